@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from virosight.llm import decontaminate, language_id, pieces, toxicity, url_filter
+from virosight.llm import decontaminate, language_id, near_dups, pieces, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_minhash_near_dedup": near_dups.ORACLE,
 }
