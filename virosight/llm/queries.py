@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from virosight.llm import decontaminate, language_id, near_dups, pieces, toxicity, url_filter
+from virosight.llm import decontaminate, language_id, near_dups, pieces, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_language_id": language_id.op4_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
