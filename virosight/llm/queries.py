@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from virosight.llm import decontaminate, language_id, near_dups, pieces, quality, toxicity, url_filter
+from virosight.llm import decontaminate, language_id, lm_score, near_dups, pieces, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_language_id": language_id.op4_language_id,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
@@ -18,4 +19,5 @@ ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op10_minhash_near_dedup": near_dups.ORACLE,
+    "op5_lm_score": lm_score.ORACLE,
 }
