@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from virosight.llm import ann, decontaminate, language_id, lm_score, near_dups, pieces, quality, toxicity, url_filter
+from virosight.llm import ann, decontaminate, language_id, licenses, lm_score, near_dups, pieces, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
 }
