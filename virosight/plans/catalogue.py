@@ -1,6 +1,495 @@
-"""Registered queries of the library and the SQL each must agree with."""
+"""Registered queries: the operators on stand-in tables, each with DuckDB SQL that must give the same rows.
+
+Stand-ins: orders are samples (date, region through customer and nation),
+documents are sequences, region-nation-customer is a tree, lineitem holds
+titers, events are observations.  Doubles are rounded on both sides, since
+engines add up in different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from virosight.functions import dates, numeric, sequences, strings
+from virosight.operators import curate, series, sites, titer, tree
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples: id, date, region, length and priority."""
+    t = lambda name: table(spark, sf_dir, name)
+    place = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("r_name").alias("region"))
+    return t("orders").join(place, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"), "region", F.col("o_totalprice").alias("length"), (F.col("o_orderpriority") == "1-URGENT").alias("priority"))
+
+
+_SAMPLES = """samples AS (SELECT o_orderkey AS id, o_orderdate AS date, r_name AS region, o_totalprice AS length, o_orderpriority = '1-URGENT' AS priority
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+# Counts and curation
+
+
+@query(f"WITH {_SAMPLES} SELECT year(date) AS year, month(date) AS month, region, count(*) AS n FROM samples GROUP BY ALL")
+def month_region_counts(spark, sf_dir):
+    return series.month_region_counts(samples(spark, sf_dir), "date", "region")
+
+
+@query(f"""WITH {_SAMPLES} SELECT year(date) AS year, month(date) AS month, {", ".join(f"count(*) FILTER (region = '{r}') AS {r.replace(' ', '_').lower()}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))} FROM samples GROUP BY 1, 2""")
+def month_region_table(spark, sf_dir):
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    out = series.month_region_table(samples(spark, sf_dir), "date", "region", names)
+    return out.withColumnsRenamed({n: n.replace(" ", "_").lower() for n in names})
+
+
+@query(f"WITH {_SAMPLES} SELECT year(date) AS year, region, count(*) AS n FROM samples GROUP BY ROLLUP (year(date), region)")
+def region_totals_rollup(spark, sf_dir):
+    return samples(spark, sf_dir).rollup(F.year("date").alias("year"), "region").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
+def keep_first_unique(spark, sf_dir):
+    return curate.keep_first(table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], [-F.col("n_chars"), "doc_id"]).select("source", "doc_id", "n_chars")
+
+
+@query("SELECT min(doc_id) AS doc_id, source, lang FROM documents GROUP BY source, lang, substring(text, 1, 40)")
+def outbreak_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 40).alias("head"))
+    return curate.keep_first(docs, ["source", "lang", "head"], ["doc_id"]).select("doc_id", "source", "lang")
+
+
+@query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m, row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
+b AS (SELECT *, row_number() OVER (PARTITION BY y, m ORDER BY priority DESC, r, region, length DESC, id) AS k FROM a) SELECT id, y, m, region FROM b WHERE k <= 20""")
+def round_robin_subsample(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumns({"y": F.year("date"), "m": F.month("date")})
+    return curate.round_robin_subsample(s, ["y", "m"], "region", 20, F.col("priority"), [F.desc("length"), "id"]).select("id", "y", "m", "region")
+
+
+@query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m, row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
+b AS (SELECT *, row_number() OVER (PARTITION BY y, m ORDER BY priority DESC, r, region, length DESC, id) AS k FROM a) SELECT id, y, m FROM b WHERE k <= 8 OR priority""")
+def priority_fill_subsample(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumns({"y": F.year("date"), "m": F.month("date")})
+    return curate.round_robin_subsample(s, ["y", "m"], "region", 8, F.col("priority"), [F.desc("length"), "id"], keep_priority=True).select("id", "y", "m")
+
+
+@query(f"""WITH {_SAMPLES}, a AS (SELECT *, row_number() OVER (PARTITION BY year(date), month(date) ORDER BY priority DESC, (id * 7919) % 1000003, id) AS k FROM samples) SELECT id FROM a WHERE k <= 10""")
+def global_subsample(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumns({"y": F.year("date"), "m": F.month("date")})
+    return curate.subsample(s, ["y", "m"], 10, F.col("priority"), [(F.col("id") * 7919) % 1000003, "id"]).select("id")
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 900 AND length(translate(text, 'ACGTacgt', '')) <= length(text) - 20")
+def length_and_alphabet_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return curate.length_filter(docs, "text", 900).where(F.length(F.translate("text", "ACGTacgt", "")) <= F.length("text") - 20).select("doc_id", F.length("text").alias("n"))
+
+
+@query("SELECT doc_id, translate(text, 'BDEFHIJKLMNOPQRSUVWXYZ', '----------------------') AS masked FROM documents")
+def mask_ambiguous(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sequences.mask_ambiguous(F.col("text")).alias("masked"))
+
+
+@query("""WITH a AS (SELECT c_custkey, 'A/H3N2 ' || c_name || '//' || lpad((c_custkey % 100)::VARCHAR, 2, '0') AS raw FROM customer),
+b AS (SELECT c_custkey, replace(regexp_replace(raw, 'H3N2|Human|human|[ ''()]', '', 'g'), '//', '/') AS x FROM a)
+SELECT c_custkey, CASE WHEN regexp_matches(split_part(x, '/', -1), '^[0-9]{2}$') THEN substring(x, 1, length(x) - 2) || CASE WHEN split_part(x, '/', -1)::INT > 16 THEN '19' ELSE '20' END || split_part(x, '/', -1) ELSE x END AS strain FROM b""")
+def name_normalise(spark, sf_dir):
+    raw = F.concat(F.lit("A/H3N2 "), "c_name", F.lit("//"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", strings.fix_name(raw).alias("strain"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR trim(raw) = '' THEN NULL ELSE TRY_CAST(string_split_regex(trim(raw), '\\s+')[1] AS DOUBLE) END AS titer
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '<40' WHEN 1 THEN '160 80' WHEN 2 THEN ' ' || c_nationkey || '0' WHEN 3 THEN 'nd' ELSE '' END AS raw FROM customer)""")
+def titer_parse(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    raw = F.when(k == 0, "<40").when(k == 1, "160 80").when(k == 2, F.concat(F.lit(" "), "c_nationkey", F.lit("0"))).when(k == 3, "nd").otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey", strings.titer_value(raw).alias("titer"))
+
+
+@query("""SELECT doc_id, CASE WHEN position('MDCK' IN upper(p)) > 0 THEN 'MDCK' WHEN position('SIAT' IN upper(p)) > 0 THEN 'SIAT' WHEN regexp_matches(p, 'linical|riginal|irect') THEN 'direct' ELSE p END AS category
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'mdck2' WHEN 1 THEN 'SIAT1' WHEN 2 THEN 'Original' WHEN 3 THEN 'Egg3' ELSE source END AS p FROM documents)""")
+def passage_category(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    p = F.when(k == 0, "mdck2").when(k == 1, "SIAT1").when(k == 2, "Original").when(k == 3, "Egg3").otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", strings.passage_category(p).alias("category"))
+
+
+@query("SELECT p_brand || CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN '-' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) ELSE '' END AS unique_name, p_partkey FROM part")
+def unique_names(spark, sf_dir):
+    return strings.unique_names(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", ["p_partkey"]).select("unique_name", "p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 5)")
+def forced_include_semi(spark, sf_dir):
+    listed = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"))
+    return curate.keep_listed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), listed, "l_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+def blacklist_anti(spark, sf_dir):
+    listed = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
+    return curate.drop_listed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), listed, "l_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) AS forced FROM orders")
+def forced_flag(spark, sf_dir):
+    listed = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return curate.flag_listed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), listed, "o_orderkey")
+
+
+_PROBES = ["The and attion to thanedble the, anea. Er", "Ertion on the it is onenerth edonre ontia"]
+_NEAR = " AND ".join(f"coalesce(list_sum([CASE WHEN substring(s, i, 1) <> substring('{p}', i, 1) THEN 1.0 ELSE 0.0 END FOR i IN range(1, 1 + least(length(s), {len(p)})) IF substring(s, i, 1) <> '-' AND substring('{p}', i, 1) <> '-']) / nullif(len([i FOR i IN range(1, 1 + least(length(s), {len(p)})) IF substring(s, i, 1) <> '-' AND substring('{p}', i, 1) <> '-']), 0), 1) >= 0.02" for p in _PROBES)
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, substring(text, 1, 41) AS s FROM documents) WHERE {_NEAR}")
+def near_probe_anti(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 41).alias("s"))
+    return curate.drop_similar(docs, "s", _PROBES).select("doc_id")
+
+
+@query(f"WITH {_SAMPLES}, base AS (SELECT id FROM samples WHERE year(date) >= 1996) SELECT id FROM base UNION ALL SELECT id FROM samples WHERE priority AND id NOT IN (SELECT id FROM base)")
+def union_prior_curated(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    return curate.append_missing(s.where(F.year("date") >= 1996).select("id"), s.where("priority").select("id"), "id")
+
+
+@query("SELECT l_partkey AS name FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25")
+def setdiff_names(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("name")).subtract(li.where("l_returnflag = 'A' and l_quantity > 25").select("l_partkey"))
+
+
+@query("SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
+def union_distinct(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    return li.where("l_returnflag in ('R', 'A')").select("l_partkey", "l_suppkey").distinct()
+
+
+@query("""SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, CASE WHEN l_discount > 0.05 THEN l_discount END, l_tax]) AS value FROM lineitem) WHERE value IS NOT NULL""")
+def unpivot_titers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"), F.col("l_tax").alias("tax"))
+    return li.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "discount", "tax"], "measure", "value").where("value is not null")
+
+
+# Dates, fits and series
+
+_YEARS = "year(o_orderdate) + (dayofyear(o_orderdate) - 1) / 365.25::DOUBLE"
+
+
+@query(f"SELECT o_orderkey, round({_YEARS}, 6) AS num_date FROM orders")
+def decimal_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(dates.decimal_year(F.col("o_orderdate")), 6).alias("num_date"))
+
+
+@query(f"SELECT o_orderkey, (make_date(floor(x)::INT, 1, 1) + round((x - floor(x)) * 365.25)::INT)::DATE AS back FROM (SELECT o_orderkey, {_YEARS} AS x FROM orders)")
+def calendar_date(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.calendar_date(dates.decimal_year(F.col("o_orderdate"))).alias("back"))
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, {_YEARS} AS t, o_totalprice AS d FROM orders), f AS (SELECT regr_slope(d, t) AS b, regr_intercept(d, t) AS a FROM a),
+r AS (SELECT o_orderkey, f.b * t + f.a - d AS r FROM a, f), q AS (SELECT quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS q FROM r) SELECT o_orderkey FROM r, q WHERE abs(r) < 1.0 * q.q""")
+def clock_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", dates.decimal_year(F.col("o_orderdate")).alias("t"), F.col("o_totalprice").alias("d"))
+    return curate.clock_filter(orders, "t", "d", 1.0).select("o_orderkey")
+
+
+@query("""WITH s AS (SELECT make_date(y, 10, 1) AS a, make_date(y + 1, 4, 1) AS b, y AS season FROM range(1992, 1999) t(y)), j AS (SELECT o_orderkey, season, o_totalprice AS x FROM orders JOIN s ON o_orderdate >= a AND o_orderdate < b)
+SELECT o_orderkey, season::INT AS season, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM j WINDOW w AS (PARTITION BY season)""")
+def standardise_by_season(spark, sf_dir):
+    seasons = spark.range(1992, 1999).select(F.col("id").cast("int").alias("season"), F.make_date(F.col("id").cast("int"), F.lit(10), F.lit(1)).alias("a"), F.make_date(F.col("id").cast("int") + 1, F.lit(4), F.lit(1)).alias("b"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("x"))
+    return series.standardise(series.interval_join(orders, seasons, "o_orderdate", "a", "b"), "x", ["season"]).select("o_orderkey", "season", F.round("z", 6).alias("z"))
+
+
+@query("SELECT event_type, least(floor((value - 0.0) / 10.0), 9)::INT AS bin, count(*) AS n FROM events WHERE value >= 0 AND value <= 100 GROUP BY ALL")
+def pivot_histogram(spark, sf_dir):
+    return series.histogram(table(spark, sf_dir, "events"), "value", 0.0, 100.0, 10, ["event_type"])
+
+
+@query("""WITH a AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error'), b AS (SELECT user_id, ts, max(value) AS last_click FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT a.event_id, b.last_click FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+def asof_pivot(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    clicks = events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("last_click"))
+    return series.as_of(events.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", ["last_click"]).select("event_id", "last_click")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM events")
+def running_average(spark, sf_dir):
+    out = series.running_average(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), "value", ["ts", "event_id"], 4, ["user_id"])
+    return out.select("event_id", F.round("smooth", 6).alias("smooth"))
+
+
+_DAILY = "daily AS (SELECT event_type, date_trunc('day', ts)::DATE AS day, avg(value) AS f FROM events GROUP BY ALL)"
+
+
+def _daily(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("f"))
+
+
+@query(f"WITH {_DAILY} SELECT event_type, day, round((f + 0.01) / (lag(f, 2) OVER (PARTITION BY event_type ORDER BY day) + 0.01), 6) AS ratio FROM daily")
+def dfreq_ratio(spark, sf_dir):
+    return series.change_ratio(_daily(spark, sf_dir), "f", "day", 2, ["event_type"]).select("event_type", "day", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {_DAILY}, s AS (SELECT event_type, epoch(day) / 86400.0 AS x, f AS y FROM daily), g AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM s WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x) AS k FROM g WHERE y > 51)
+SELECT event_type, round(CASE WHEN x0 IS NULL THEN x ELSE x0 + (51 - y0) / ((y - y0) / (x - x0)) END, 5) AS crossing, round((y - y0) / (x - x0), 5) AS slope FROM h WHERE k = 1""")
+def threshold_crossing(spark, sf_dir):
+    days = _daily(spark, sf_dir).select("event_type", F.unix_date("day").cast("double").alias("x"), F.col("f").alias("y"))
+    return series.threshold_crossing(days, "x", "y", 51.0, ["event_type"]).select("event_type", F.round("crossing", 5).alias("crossing"), F.round("slope", 5).alias("slope"))
+
+
+@query("""WITH a AS (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS f FROM events GROUP BY 1)
+SELECT day, round(f, 6) AS f, round(sqrt(f * (1 - f) / (n + 1)), 6) AS sigma FROM a""")
+def frequency_band_error(spark, sf_dir):
+    f = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.avg((F.col("event_type") == "error").cast("double")).alias("f"))
+    return f.select("day", F.round("f", 6).alias("f"), F.round(numeric.sampling_error(F.col("f"), F.col("n")), 6).alias("sigma"))
+
+
+# Sites
+
+_SEQ = 60
+_SITES = f"s AS (SELECT doc_id, lang, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, lang, text, unnest(generate_series(1, least(length(text), {_SEQ}))) AS i FROM documents WHERE lang = 'en'))"
+
+
+def _sites(spark, sf_dir, *keep):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", F.substring("text", 1, _SEQ).alias("seq"))
+    return sequences.sites(docs, "seq", *(keep or ("doc_id",)))
+
+
+@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL) SELECT pos::INT AS pos, state, n, round(n / sum(n) OVER (PARTITION BY pos), 8) AS freq FROM c")
+def site_frequencies(spark, sf_dir):
+    return sites.site_frequencies(_sites(spark, sf_dir)).select("pos", "state", "n", F.round("freq", 8).alias("freq"))
+
+
+@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos, round(-sum(f * ln(greatest(f, 1e-10))), 6) AS entropy, count(*) AS n_states FROM f GROUP BY pos")
+def entropy(spark, sf_dir):
+    out = sites.entropy(sites.site_frequencies(_sites(spark, sf_dir)))
+    return out.select("pos", F.round("entropy", 6).alias("entropy"), F.size("states").cast("long").alias("n_states"))
+
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n, strpos('{_ALPHABET}', state) AS seat FROM s WHERE state IN ({', '.join(repr(c) for c in _ALPHABET)}) GROUP BY ALL) SELECT pos::INT AS pos, state FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, seat) AS k FROM c) WHERE k = 1")
+def consensus(spark, sf_dir):
+    return sites.consensus(sites.site_frequencies(_sites(spark, sf_dir), _ALPHABET), _ALPHABET)
+
+
+@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos, round(max(f), 8) AS top FROM f GROUP BY pos HAVING max(f) < 0.85")
+def variable_sites(spark, sf_dir):
+    return sites.variable_sites(sites.site_frequencies(_sites(spark, sf_dir)), 0.15).select("pos", F.round("top", 8).alias("top"))
+
+
+_ROOT = "The and attion to thanedble the, anea. Eriner thanea."
+
+
+@query(f"SELECT doc_id, i::INT AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, text, unnest(generate_series(1, least(length(text), {len(_ROOT)}))) AS i FROM documents) WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)")
+def sparse_diff_vs_root(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, len(_ROOT)).alias("seq"))
+    return sequences.differs_only(docs, F.lit(_ROOT), "seq", "doc_id")
+
+
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, sum(coalesce(quality, 0) + 1) AS w FROM s LEFT JOIN labels USING (doc_id) GROUP BY ALL) SELECT pos::INT AS pos, state, round(w / sum(w) OVER (PARTITION BY pos), 8) AS freq FROM c""")
+def weighted_frequencies(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    s = _sites(spark, sf_dir).join(labels, "doc_id", "left")
+    return sites.site_frequencies(s, weight=F.coalesce("quality", F.lit(0)) + 1).select("pos", "state", F.round("freq", 8).alias("freq"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, source, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, source, text, unnest(generate_series(1, least(length(text), 30))) AS i FROM documents WHERE lang = 'en')),
+a AS (SELECT pos, state, count(*) / sum(count(*)) OVER (PARTITION BY pos) AS p FROM s GROUP BY pos, state), b AS (SELECT source, pos, state, count(*) / sum(count(*)) OVER (PARTITION BY source, pos) AS q FROM s GROUP BY source, pos, state)
+SELECT source, round(1 - sum(p * q) / (SELECT count(DISTINCT pos) FROM a), 6) AS distance FROM a JOIN b USING (pos, state) GROUP BY source""")
+def population_distance(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", F.substring("text", 1, 30).alias("seq"))
+    s = sequences.sites(docs, "seq", "doc_id", "source")
+    return sites.population_distance(sites.site_frequencies(s), sites.site_frequencies(s, by=["source"]), ["source"]).select("source", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND substring(text, 2, 1) = 'h' AND substring(text, 3, 1) = 'e' AND substring(text, 4, 1) = ' '")
+def genotype_conjunction(spark, sf_dir):
+    return sites.conjunction(_sites(spark, sf_dir), [(2, "h"), (3, "e"), (4, " ")], "doc_id")
+
+
+@query("SELECT '2' || substring(text, 2, 1) || '/5' || substring(text, 5, 1) AS genotype, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 10")
+def genotype_counts(spark, sf_dir):
+    return sites.genotype_counts(table(spark, sf_dir, "documents").select("text"), "text", [2, 5])
+
+
+# Trees
+
+_TREE = """tree AS (SELECT 0 AS node_id, NULL::INT AS parent_id, 0 AS child_ord, 0.0::DOUBLE AS branch_length UNION ALL SELECT 1 + r_regionkey, 0, r_regionkey, (1 + r_regionkey) / 10.0::DOUBLE FROM region
+UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, n_nationkey, (1 + n_nationkey) / 100.0::DOUBLE FROM nation UNION ALL SELECT 1000 + c_custkey::INT, 100 + c_nationkey, c_custkey::INT, abs(c_acctbal) / 1e6 FROM customer),
+closure AS (SELECT node_id AS node, node_id AS ancestor, 0 AS steps FROM tree UNION ALL SELECT c.node, t.parent_id, c.steps + 1 FROM closure c JOIN tree t ON c.ancestor = t.node_id WHERE t.parent_id IS NOT NULL)"""
+
+
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, regions, nations and customers as a tree."""
+    t = lambda name: table(spark, sf_dir, name)
+    shape = lambda df, *c: df.select(*(F.expr(x).cast(k).alias(n) for x, k, n in zip(c, ("int", "int", "int", "double"), ("node_id", "parent_id", "child_ord", "branch_length"), strict=True)))
+    root = shape(spark.range(1), "0", "null", "0", "0.0")
+    return (
+        root.unionByName(shape(t("region"), "1 + r_regionkey", "0", "r_regionkey", "(1 + r_regionkey) / 10.0D"))
+        .unionByName(shape(t("nation"), "100 + n_nationkey", "1 + n_regionkey", "n_nationkey", "(1 + n_nationkey) / 100.0D"))
+        .unionByName(shape(t("customer"), "1000 + c_custkey", "100 + c_nationkey", "c_custkey", "abs(c_acctbal) / 1e6"))
+    )
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT ancestor AS node_id, count(*) AS n_tips FROM closure WHERE node >= 1000 GROUP BY ancestor")
+def tree_closure_tipcount(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    return tree.subtree(tree.ancestors(nodes), nodes.where("node_id >= 1000").select("node_id"), "node_id", F.count("*").alias("n_tips"))
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length), 8) AS xvalue, count(*) - 1 AS depth FROM closure JOIN tree ON ancestor = node_id GROUP BY node")
+def tree_root_distance(spark, sf_dir):
+    return tree.root_distance(node_table(spark, sf_dir)).select("node_id", F.round("xvalue", 8).alias("xvalue"), "depth")
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT node AS node_id, min_by(v, steps) AS v FROM closure JOIN (SELECT node_id, node_id % 7 AS v FROM tree WHERE node_id < 1000 AND node_id % 2 = 0) k ON ancestor = k.node_id GROUP BY node")
+def tree_inherit(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    return tree.inherit(tree.ancestors(nodes), nodes.select("node_id", F.when((F.col("node_id") < 1000) & (F.col("node_id") % 2 == 0), F.col("node_id") % 7).alias("v")), "v")
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length * 2), 8) AS cumulative FROM closure JOIN tree ON ancestor = node_id GROUP BY node")
+def tree_cumulative(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    out = tree.accumulate(tree.ancestors(nodes), nodes.select("node_id", (F.col("branch_length") * 2).alias("v")), "v", "cumulative")
+    return out.select("node_id", F.round("cumulative", 8).alias("cumulative"))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, last AS (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY 1), recent AS (SELECT 1000 + o_custkey AS node FROM last WHERE d > (SELECT max(d) FROM last) - INTERVAL 3 DAY),
+held AS (SELECT ancestor, count(*) AS n FROM closure JOIN recent USING (node) GROUP BY 1)
+SELECT node_id, coalesce(n = (SELECT count(*) FROM recent) AND node_id NOT IN (SELECT 1000 + o_custkey FROM last), false) AS trunk FROM tree LEFT JOIN held ON node_id = ancestor""")
+def tree_trunk(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.unix_seconds(F.max("o_orderdate").cast("timestamp")) / 86400.0).alias("d"))
+    return tree.trunk(nodes, tree.ancestors(nodes), last.select((1000 + F.col("o_custkey")).cast("int").alias("node_id"), "d"), "d", 3.0)
+
+
+@query(f"""WITH RECURSIVE {_TREE}, below AS (SELECT ancestor AS node_id, round(sum(branch_length), 9) AS b FROM closure JOIN tree ON node = tree.node_id GROUP BY 1)
+SELECT node_id, parent_id, (row_number() OVER (PARTITION BY parent_id ORDER BY b DESC, child_ord, node_id) - 1)::INT AS child_ord FROM tree JOIN below USING (node_id)""")
+def tree_ladderize(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    return tree.ladderize(nodes, tree.ancestors(nodes)).select("node_id", "parent_id", "child_ord")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, kept AS (SELECT * FROM tree WHERE parent_id IS NULL OR NOT (node_id BETWEEN 100 AND 999 AND branch_length < 0.1))
+SELECT kept.node_id, (SELECT min_by(c.ancestor, c.steps) FROM closure c WHERE c.node = kept.node_id AND c.steps > 0 AND c.ancestor IN (SELECT node_id FROM kept)) AS parent_id FROM kept""")
+def tree_collapse(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    gone = F.col("node_id").between(100, 999) & (F.col("branch_length") < 0.1)
+    return tree.collapse(nodes, tree.ancestors(nodes), gone).select("node_id", "parent_id")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, nat AS (SELECT parent_id AS node_id, avg(child_ord) AS y FROM tree WHERE node_id >= 1000 GROUP BY 1), reg AS (SELECT t.parent_id AS node_id, avg(y) AS y FROM nat JOIN tree t USING (node_id) GROUP BY 1),
+rt AS (SELECT t.parent_id AS node_id, avg(y) AS y FROM reg JOIN tree t USING (node_id) GROUP BY 1)
+SELECT node_id, round(y, 6) AS y FROM (SELECT node_id, child_ord::DOUBLE AS y FROM tree WHERE node_id >= 1000 UNION ALL SELECT * FROM nat UNION ALL SELECT * FROM reg UNION ALL SELECT * FROM rt)""")
+def tree_layout_y(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    # Only nations with customers and what lies above them have tips below.
+    full = tree.prune(nodes, tree.ancestors(nodes), nodes.where("node_id >= 1000"))
+    out = tree.mean_of_children(full, nodes.where("node_id >= 1000").select("node_id", F.col("child_ord").cast("double").alias("y")), "y")
+    return out.select("node_id", F.round("y", 6).alias("y"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT 0 AS node_id, NULL::INT AS parent_id, 0.0::DOUBLE AS len UNION ALL SELECT 1 + r_regionkey, 0, (1 + r_regionkey) / 10.0::DOUBLE FROM region UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, (1 + n_nationkey) / 100.0::DOUBLE FROM nation),
+c AS (SELECT node_id AS node, node_id AS anc, 0.0::DOUBLE AS d FROM t UNION ALL SELECT c.node, t.parent_id, c.d + t.len FROM c JOIN t ON c.anc = t.node_id WHERE t.parent_id IS NOT NULL),
+p AS (SELECT a.node AS n, b.node AS b, min_by(b.d, a.d + b.d) AS db, min(a.d + b.d) AS d FROM c a JOIN c b ON a.anc = b.anc GROUP BY 1, 2)
+SELECT n AS node_id, round(sum(0.1 * (1 - exp(-len / 0.1)) * exp(-(CASE WHEN db = 0 THEN d ELSE d - len END) / 0.1)), 8) AS lbi FROM p JOIN t ON p.b = t.node_id WHERE t.parent_id IS NOT NULL GROUP BY n""")
+def lbi_closed_form(spark, sf_dir):
+    nodes = node_table(spark, sf_dir).where("node_id < 1000")
+    return tree.branching_index(nodes, nodes.select("node_id"), 0.1).select("node_id", F.round("lbi", 8).alias("lbi"))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, p AS (SELECT s_suppkey, 100 + s_nationkey AS a, 100 + (s_suppkey::INT % 25) AS b FROM supplier), u AS (SELECT s_suppkey, a, b, ancestor, 1 AS s FROM p JOIN closure ON node = a UNION ALL SELECT s_suppkey, a, b, ancestor, 2 FROM p JOIN closure ON node = b)
+SELECT a, b, ancestor AS node_id FROM (SELECT DISTINCT a, b, ancestor, s FROM u) GROUP BY ALL HAVING count(*) = 1""")
+def tree_path_between(spark, sf_dir):
+    nodes = node_table(spark, sf_dir).where("node_id < 1000")
+    pairs = table(spark, sf_dir, "supplier").select((100 + F.col("s_nationkey")).cast("int").alias("a"), (100 + F.col("s_suppkey").cast("int") % 25).cast("int").alias("b")).distinct()
+    return tree.path_between(tree.ancestors(nodes), pairs, "a", "b")
+
+
+# Titers
+
+_TITERS = "t AS (SELECT l_partkey AS test, (l_suppkey * 7) % 50 AS ref, l_suppkey AS serum, l_quantity AS titer, l_returnflag AS source, l_orderkey * 10 + l_linenumber AS row_id FROM lineitem)"
+
+
+def titers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as titers: test, ref, serum, titer, source and row id."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("test"), ((F.col("l_suppkey") * 7) % 50).alias("ref"), F.col("l_suppkey").alias("serum"), F.col("l_quantity").alias("titer"), F.col("l_returnflag").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
+
+
+@query(f"""WITH {_TITERS}, h AS (SELECT ref, serum, coalesce(avg(CASE WHEN test = ref THEN log2(titer) END), CASE WHEN count(DISTINCT test) > 10 THEN max(log2(titer)) END) AS base FROM t GROUP BY 1, 2)
+SELECT test, ref, serum, round(base - avg(log2(titer)), 6) + 0.0 AS norm, median(titer) AS raw, count(*) AS n FROM t JOIN h USING (ref, serum) WHERE base IS NOT NULL GROUP BY test, ref, serum, base""")
+def titer_normalise(spark, sf_dir):
+    return titer.normalise(titers(spark, sf_dir)).select("test", "ref", "serum", (F.round("norm", 6) + 0.0).alias("norm"), "raw", "n")
+
+
+@query("""WITH a AS (SELECT l_partkey % 100 AS test, l_suppkey % 100 AS ref, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT a.test, a.ref, round(a.v - b.v, 6) AS asymmetry FROM a JOIN a b ON a.test = b.ref AND a.ref = b.test WHERE a.test < a.ref""")
+def reciprocal_asymmetry(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("test"), (F.col("l_suppkey") % 100).alias("ref"), F.col("l_quantity").alias("norm"))
+    return titer.reciprocal(li).select("test", "ref", F.round("asymmetry", 6).alias("asymmetry"))
+
+
+_ENTRIES = "e AS (SELECT l_orderkey AS row_id, 'c' || (l_partkey % 25) AS col, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_ENTRIES} SELECT a.col AS col1, b.col AS col2, round(sum(a.w * b.w), 3) AS v FROM e a JOIN e b USING (row_id) WHERE a.col <= b.col GROUP BY 1, 2")
+def gram_matrix(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("c"), (F.col("l_partkey") % 25).cast("string")).alias("col")).agg(F.sum("l_quantity").alias("w"))
+    return titer.gram(e).select("col1", "col2", F.round("v", 3).alias("v"))
+
+
+@query("SELECT l_returnflag AS source, round(avg(pow(l_quantity - 50 * (1 - l_discount), 2)), 6) AS mse FROM lineitem GROUP BY 1")
+def residual_mse(spark, sf_dir):
+    e = F.col("l_quantity") - 50 * (1 - F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(F.round(F.avg(e * e), 6).alias("mse"))
+
+
+@query("""SELECT l_returnflag AS source, count(*) AS n, round(avg(abs(m - p)), 6) AS mae, round(sqrt(avg(pow(m - p, 2))), 6) AS rmse, round(regr_slope(p, m), 6) AS slope, round(corr(m, p), 6) AS r
+FROM (SELECT l_returnflag, l_quantity AS m, l_extendedprice / 2000 AS p FROM lineitem) GROUP BY 1""")
+def titer_validation_by_source(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_quantity").alias("m"), (F.col("l_extendedprice") / 2000).alias("p"))
+    out = series.validation(li, "m", "p", ["source"])
+    return out.select("source", "n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "slope", "r")))
+
+
+@query(f"""WITH {_SAMPLES}, c AS (SELECT region, year(date) AS y, count(*) AS n FROM samples GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY y) AS f FROM c),
+g AS (SELECT *, lead(f) OVER (PARTITION BY region ORDER BY y) AS nxt, lag(f) OVER (PARTITION BY region ORDER BY y) AS prev FROM f)
+SELECT y::INT AS y, round(avg(CASE WHEN nxt > f THEN (2 * f - prev > f)::INT END), 6) AS growth, round(avg(CASE WHEN nxt < f THEN (2 * f - prev < f)::INT END), 6) AS decline FROM g WHERE nxt IS NOT NULL AND prev IS NOT NULL GROUP BY y""")
+def growth_hit_rate(spark, sf_dir):
+    counts = samples(spark, sf_dir).groupBy("region", F.year("date").alias("y")).agg(F.count("*").alias("n"))
+    total = counts.groupBy("y").agg(F.sum("n").alias("all"))
+    own = Window.partitionBy("region").orderBy("y")
+    f = counts.join(total, "y").withColumn("f", F.col("n") / F.col("all")).withColumns({"nxt": F.lead("f").over(own), "prev": F.lag("f").over(own)}).where("nxt is not null and prev is not null")
+    out = series.hit_rates(f, F.col("f"), F.col("nxt"), 2 * F.col("f") - F.col("prev"), ["y"])
+    return out.select("y", F.round("growth", 6).alias("growth"), F.round("decline", 6).alias("decline"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark, sf_dir):
+    w = F.window("ts", "1 hour")
+    out = table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
