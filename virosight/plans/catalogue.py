@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from virosight.functions import dates, numeric, sequences, strings
-from virosight.operators import curate, series, sites, titer, tree
+from virosight.operators import curate, fitness, frequency, series, sites, titer, tree
+from virosight.streaming import arrival
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -493,3 +494,89 @@ def tumbling_counts(spark, sf_dir):
     w = F.window("ts", "1 hour")
     out = table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT event_type, user_id, start, n FROM (SELECT event_type, user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY event_type, user_id, s)")
+def session_counts(spark, sf_dir):
+    return arrival.sessions(table(spark, sf_dir, "events"), "6 hours", "1 day", ["event_type", "user_id"]).select("event_type", "user_id", "start", "n")
+
+
+@query("""WITH e AS (SELECT item_id, substring(text, 1, 60) AS s FROM benchmark), r AS (SELECT substring(text, 3, 80) AS r FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+k AS (SELECT item_id, s, r, unnest(generate_series(30 - length(s), length(r) - 30)) AS k FROM e, r WHERE length(s) >= 30 AND length(r) >= 30),
+b AS (SELECT item_id, k, greatest(k, 0) AS a, least(length(r), length(s) + k) AS z, s, r FROM k),
+c AS (SELECT item_id, k, len([i FOR i IN range(a, z) IF substring(r, i + 1, 1) = substring(s, i - k + 1, 1)]) / (z - a)::DOUBLE AS share FROM b)
+SELECT item_id, k::INT AS shift, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, k) AS n FROM c) WHERE n = 1 AND share > 0.12""")
+def best_shift_align(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    root = items.agg(F.min_by(F.substring("text", 3, 80), "item_id").alias("r"))
+    own = items.select("item_id", F.substring("text", 1, 60).alias("s")).join(F.broadcast(root))
+    return sites.best_shift(own, "s", "r", "item_id", accept=0.12).select("item_id", F.col("shift").cast("int").alias("shift"), F.round("share", 6).alias("share"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, source, text, unnest(generate_series(1, least(length(text), 24))) AS i FROM documents WHERE lang = 'en') WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)),
+r AS (SELECT item_id, i AS pos, substring(text, i, 1) AS state FROM (SELECT item_id, text, unnest(generate_series(1, least(length(text), 24))) AS i FROM benchmark) WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)),
+n AS (SELECT item_id, count(*) AS d FROM r GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS m FROM d JOIN r USING (pos, state) GROUP BY 1, 2), s AS (SELECT doc_id, item_id, m - 0.05 * d AS score FROM m JOIN n USING (item_id))
+SELECT doc_id, item_id, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM s WHERE score > 0) WHERE k = 1""")
+def closest_clade(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 24).alias("seq"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("seq"))
+    diffs = [sequences.differs_only(df, F.lit(_ROOT), "seq", key) for df, key in ((docs, "doc_id"), (items, "item_id"))]
+    return sites.closest_reference(*diffs, "doc_id", "item_id", penalty=0.05).select("doc_id", "item_id", F.col("score").cast("double").alias("score"))
+
+
+@query(f"WITH {_SAMPLES}, c AS (SELECT region, year(date) AS y, count(*) AS n FROM samples GROUP BY ALL) SELECT region, y::INT AS y, round(n / sum(n) OVER (PARTITION BY y), 6) AS freq FROM c QUALIFY n / sum(n) OVER (PARTITION BY y) >= 0.1 AND n / sum(n) OVER (PARTITION BY y) < 0.21")
+def clade_band_filter(spark, sf_dir):
+    counts = samples(spark, sf_dir).groupBy("region", F.year("date").alias("y")).agg(F.count("*").alias("n"))
+    freq = counts.join(counts.groupBy("y").agg(F.sum("n").alias("all")), "y").select("region", "y", (F.col("n") / F.col("all")).alias("f"))
+    return freq.where("f >= 0.1 and f < 0.21").select("region", "y", F.round("f", 6).alias("freq"))
+
+
+@query("WITH c AS (SELECT value, sum((event_type = 'error')::INT) AS a, sum((event_type <> 'error')::INT) AS b FROM events GROUP BY 1) SELECT round(max(abs(x - y)), 6) AS ks FROM (SELECT sum(a) OVER w / sum(a) OVER () AS x, sum(b) OVER w / sum(b) OVER () AS y FROM c WINDOW w AS (ORDER BY value))")
+def ks_distance(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("value", (F.col("event_type") == "error").alias("g"))
+    return series.ks_distance(events, "value", "g").select(F.round("ks", 6).alias("ks"))
+
+
+@query("SELECT l_returnflag, round(corr(a, b), 6) AS rho FROM (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS b FROM lineitem) GROUP BY 1")
+def rank_correlation(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    return series.rank_correlation(li, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("rho", 6).alias("rho"))
+
+
+@query("SELECT event_type, day, round(sum(f) OVER (PARTITION BY event_type ORDER BY day) / sum(f) OVER (PARTITION BY event_type), 6) AS share FROM (SELECT event_type, date_trunc('day', ts)::DATE AS day, avg(value) AS f FROM events GROUP BY ALL)")
+def cumulative_share(spark, sf_dir):
+    return series.cumulative_share(_daily(spark, sf_dir), "f", ["day"], ["event_type"]).select("event_type", "day", F.round("share", 6).alias("share"))
+
+
+@query("SELECT col1, col2, (n1 + n2 - 2 * k) AS differ FROM (SELECT a.col AS col1, b.col AS col2, count(*) AS k FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) b ON a.r = b.r AND a.col < b.col GROUP BY 1, 2) JOIN (SELECT col AS col1, count(*) AS n1 FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) GROUP BY 1) USING (col1) JOIN (SELECT col AS col2, count(*) AS n2 FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) GROUP BY 1) USING (col2) WHERE n1 + n2 - 2 * k <= 60")
+def colinear_columns(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("row_id"), (F.col("l_suppkey") % 40).alias("col"))
+    return titer.colinear(e, 60)
+
+
+# Iterative fits: tests hold them against optimality conditions and known curves, SQL can't.
+
+
+@query()
+def penalised_trajectory(spark, sf_dir):
+    days = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6
+    obs = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("feature"), (1970 + days / dates.DAYS).alias("num_date"), (F.col("event_type") == "error").alias("obs"))
+    start, stop = obs.agg(F.min("num_date"), F.max("num_date")).first()
+    return frequency.fit_trajectories(obs, ["feature"], start, stop, per_year=100)
+
+
+@query()
+def antigenic_fit(spark, sf_dir):
+    rows = titers(spark, sf_dir).select(F.col("test") % 40, F.col("ref") % 40, F.col("serum") % 40, "titer", "source", "row_id").toDF("test", "ref", "serum", "titer", "source", "row_id")
+    entries = titer.design(rows, rows.select("row_id", (F.abs(F.col("test") - F.col("ref")) % 10).alias("effect")))
+    return titer.fit(entries, rows.withColumn("y", F.log2("titer")), "y")
+
+
+@query()
+def fitness_simplex(spark, sf_dir):
+    s = samples(spark, sf_dir).groupBy(F.year("date").alias("season"), F.col("region").alias("clade")).agg(F.count("*").alias("n"), F.avg("length").alias("x1"), F.stddev_pop("length").alias("x2"))
+    total = s.groupBy("season").agg(F.sum("n").alias("all"))
+    f = s.join(total, "season").withColumn("freq", F.col("n") / F.col("all"))
+    ahead = f.select((F.col("season") - 1).alias("season"), "clade", F.col("freq").alias("observed"))
+    z = series.standardise(series.standardise(f, "x1", ["season"], "p1"), "x2", ["season"], "p2")
+    return fitness.learn(z.join(ahead, ["season", "clade"]), ["p1", "p2"])
