@@ -10,7 +10,7 @@ DAYS = 365.25
 
 def parse_date(text: Column) -> Column:
     """Date of ``YYYY-MM-DD`` whose unknown parts, written XX, count as 01; null if it is none."""
-    return F.try_to_date(F.replace(text, F.lit("XX"), F.lit("01")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.replace(text, F.lit("XX"), F.lit("01")), "yyyy-MM-dd")
 
 
 def decimal_year(date: Column) -> Column:
@@ -45,7 +45,7 @@ def repaired_date(text: Column, key: Column, spec: str = "year") -> Column:
     A year without a whole date gets a month drawn from a hash of ``key`` and
     the first day.  Null otherwise.
     """
-    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")))
+    whole = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
     if spec == "full":
         return whole
     month = (F.pmod(F.xxhash64(key), F.lit(12)) + 1).cast("int")

@@ -516,12 +516,12 @@ def best_shift_align(spark, sf_dir):
 @query(f"""WITH d AS (SELECT doc_id, source, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, source, text, unnest(generate_series(1, least(length(text), 24))) AS i FROM documents WHERE lang = 'en') WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)),
 r AS (SELECT item_id, i AS pos, substring(text, i, 1) AS state FROM (SELECT item_id, text, unnest(generate_series(1, least(length(text), 24))) AS i FROM benchmark) WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)),
 n AS (SELECT item_id, count(*) AS d FROM r GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS m FROM d JOIN r USING (pos, state) GROUP BY 1, 2), s AS (SELECT doc_id, item_id, m - 0.05 * d AS score FROM m JOIN n USING (item_id))
-SELECT doc_id, item_id, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM s WHERE score > 0) WHERE k = 1""")
+SELECT doc_id, item_id, round(score, 4)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM s WHERE score > 0) WHERE k = 1""")
 def closest_clade(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 24).alias("seq"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("seq"))
     diffs = [sequences.differs_only(df, F.lit(_ROOT), "seq", key) for df, key in ((docs, "doc_id"), (items, "item_id"))]
-    return sites.closest_reference(*diffs, "doc_id", "item_id", penalty=0.05).select("doc_id", "item_id", F.col("score").cast("double").alias("score"))
+    return sites.closest_reference(*diffs, "doc_id", "item_id", penalty=0.05).select("doc_id", "item_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query(f"WITH {_SAMPLES}, c AS (SELECT region, year(date) AS y, count(*) AS n FROM samples GROUP BY ALL) SELECT region, y::INT AS y, round(n / sum(n) OVER (PARTITION BY y), 6) AS freq FROM c QUALIFY n / sum(n) OVER (PARTITION BY y) >= 0.1 AND n / sum(n) OVER (PARTITION BY y) < 0.21")
