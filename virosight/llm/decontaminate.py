@@ -127,14 +127,16 @@ def _scanner(items, window: int, with_offsets: bool):
     return scan
 
 
-def _merged(pairs: list[int]) -> list[int]:
-    """Union of spans given as flat start, end pairs."""
+def _merged(spans: list[int], values: list[int]) -> list[int]:
+    """Ends of the runs that touching or overlapping word spans make, taken from ``values``, which lie beside the spans."""
     out: list[int] = []
-    for a, b in sorted(zip(pairs[::2], pairs[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
+    last = -1
+    for a, b, x, y in sorted(zip(spans[::2], spans[1::2], values[::2], values[1::2], strict=True)):
+        if a > last:
+            out += [x, y]
+            last = b
+        elif b > last:
+            out[-1], last = y, b
     return out
 
 
@@ -174,10 +176,10 @@ def contamination(
         merge = F.udf(_merged, "array<long>")
         for scan in scans[1:]:
             out = out.unionByName(scan)
-        spans = ["spans"] + ["byte_spans"] * with_offsets
+        gathered = {c: F.flatten(F.collect_list(c)) for c in ["spans"] + ["byte_spans"] * with_offsets}
         out = out.groupBy("_id").agg(
             F.first("n_words").alias("n_words"),
-            *(merge(F.flatten(F.collect_list(c))).alias(c) for c in spans),
+            *(merge(gathered["spans"], values).alias(c) for c, values in gathered.items()),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
     return out.withColumnRenamed("_id", id_col)
