@@ -135,3 +135,30 @@ def test_plans_stay_in_the_jvm(spark):
 
     plan = QUERIES["site_frequencies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+
+
+def test_ancestral_marginals_against_enumeration(spark):
+    from itertools import product
+
+    from virosight.operators import ancestral
+
+    parent, length = [-1, 0, 0, 1, 1, 2, 2], [0.0, 0.2, 0.1, 0.3, 0.4, 0.1, 0.5]
+    tips = {3: "A", 4: "C", 5: "C", 6: None}
+    p = ancestral.transition(np.array(length))
+    total = np.zeros((7, 4))
+    for states in product(range(4), repeat=7):
+        if all(t is None or "ACGT"[states[i]] == t for i, t in tips.items()):
+            w = 0.25 * np.prod([p[i][states[parent[i]], states[i]] for i in range(1, 7)])
+            for i, s in enumerate(states):
+                total[i, s] += w
+    total /= total.sum(1, keepdims=True)
+    seen = np.ones((7, 1, 4))
+    for i, t in tips.items():
+        if t:
+            seen[i, 0] = [c == t for c in "ACGT"]
+    got = ancestral.marginals(np.array(parent), np.array(length), seen)[:, 0]
+    assert np.allclose(got, total, atol=1e-9)
+    nodes = spark.createDataFrame([(i, None if q < 0 else q, x) for i, (q, x) in enumerate(zip(parent, length))], "node_id int, parent_id int, branch_length double")
+    sites_ = spark.createDataFrame([(i, 70, t) for i, t in tips.items() if t], "node_id int, pos int, state string")
+    out = {r["node_id"]: r["state"] for r in ancestral.reconstruct(nodes, sites_).collect()}
+    assert out == {i: "ACGT"[total[i].argmax()] for i in range(7)}
