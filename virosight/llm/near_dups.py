@@ -4,14 +4,16 @@ A document's set holds its distinct runs of five words.  Documents with equal
 sets are one class, stood for by its least id, so copies cost nothing beyond
 one small aggregation.  For the classes:
 
-1. bands of registers are hashed; each class in a bucket is paired with the
-   least class of the bucket, never with all others;
+1. bands of registers are hashed; a bucket's least class is its centre, and
+   each class is paired with the ``CENTRES`` centres that it shares most
+   buckets with, never with all others;
 2. pairs whose likelihood estimate is far below the threshold go; the rest
    are verified on the whole sets;
 3. verified links give components.  In buckets that still hold several
-   components, the classes of different components are compared by estimate
-   and what remains is verified too, so no link between components that share
-   a bucket is lost.
+   components, classes of different components are compared by estimate and
+   then on their sets where the bucket lies, each pair in its first common
+   bucket alone; only links leave the task.  So no link between components
+   that share a bucket is lost.  A bucket of very many classes is cut in tiles.
 
 With 32 bands of 4 registers two sets at the threshold of 0.85 miss all
 buckets with a chance below 1e-10, at 0.8 below 1e-7.
@@ -28,9 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from virosight.llm.setsketch import REGISTERS, band_hashes, estimate, sketch
-from virosight.llm.text import SPACED, blocks, encoded, gram_hashes, word_hashes, written
+from virosight.llm.text import SPACED, blocks, encoded, gram_hashes, shards, word_hashes, written
 
 SHINGLE, ROWS, THRESHOLD = 5, 4, 0.8
+#: Centres that a class is first compared with.
+CENTRES = 3
+#: Rows of split buckets in one task on average, and classes of a bucket that are held at once.
+OPEN_ROWS, TILE = 1_000, 20_000
 #: Pairs whose estimate lies this far below the threshold are not verified: over four standard errors of 128 registers.
 MARGIN = 0.16
 
@@ -86,21 +92,23 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _sets(bodies: list[bytes]) -> list[np.ndarray]:
+    """Shingle sets of packed texts."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor()
+    out = []
+    texts = [expand.decompress(b) for b in bodies]
+    for start, end in blocks(texts):
+        hashes, at = shingle_sets(texts[start:end])
+        out += [hashes[at[i] : at[i + 1]] for i in range(end - start)]
+    return out
+
+
 def _verifier(percent: int):
     """mapInArrow function over pairs with both sides' size, registers and body: the linked pairs ``a, b``."""
     cut = percent / 100 - MARGIN
 
-    def sets(bodies: list[bytes]) -> list[np.ndarray]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
-        out = []
-        texts = [expand.decompress(b) for b in bodies]
-        for start, end in blocks(texts):
-            hashes, at = shingle_sets(texts[start:end])
-            out += [hashes[at[i] : at[i + 1]] for i in range(end - start)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
@@ -116,7 +124,7 @@ def _verifier(percent: int):
                     for side in "ab":
                         ids, body = col[side].take(pa.array(some)).to_pylist(), col[f"body_{side}"].take(pa.array(some)).to_pylist()
                         bodies |= dict(zip(ids, body, strict=True))
-                    found = dict(zip(bodies, sets(list(bodies.values())), strict=True))
+                    found = dict(zip(bodies, _sets(list(bodies.values())), strict=True))
                     for i in some:
                         a, b = found[col["a"][i].as_py()], found[col["b"][i].as_py()]
                         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -159,51 +167,79 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _open_pairs(percent: int):
-    """mapInArrow function over rows sorted by bucket: pairs of different components with a likely estimate."""
+def _hidden_links(percent: int):
+    """mapInArrow function over rows sorted by bucket and tile: links between different components."""
     cut = percent / 100 - MARGIN
 
-    def bucket(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        ids, roots = rows.column("id").to_numpy(), rows.column("root").to_numpy()
-        names, place, counts = np.unique(roots, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
+    def tile(rows: pa.Table) -> list[tuple[int, int]]:
+        band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
+        ids, roots, chunk = (rows.column(c).to_numpy() for c in ("id", "root", "chunk"))
+        root = {r: r for r in np.unique(roots).tolist()}
+        if len(root) < 2:
+            return []
+
+        def find(r: int) -> int:
+            while root[r] != r:
+                root[r] = r = root[root[r]]
+            return r
+
         sizes = rows.column("n").to_numpy().astype(float)
         registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        bodies, sets, links = rows.column("body"), {}, []
+        place = roots.copy()
+        _, counts = np.unique(roots, return_counts=True)
+        largest = np.unique(roots)[counts.argmax()]
+        order = np.flatnonzero(roots != largest)
         done = np.zeros(len(ids), bool)
-        for i in np.flatnonzero(place != counts.argmax()):
+        for i in order:
             done[i] = True
-            others = np.flatnonzero((place != place[i]) & ~done)
-            if not len(others):
+            other = (place != place[i]) & ~done
+            if low != high:
+                other &= chunk != chunk[i]
+            near = np.flatnonzero(other)
+            near = near[np.minimum(sizes[near], sizes[i]) * 100 >= percent * np.maximum(sizes[near], sizes[i])]
+            same = registers[near] == registers[i]
+            likely = same.mean(1) >= cut - 0.05
+            # Each pair is looked at in the first bucket that it shares.
+            first = same.reshape(len(near), REGISTERS // ROWS, ROWS).all(2).argmax(1) == band
+            near = near[likely & first]
+            if not len(near):
                 continue
-            near = others[(registers[others] == registers[i]).mean(1) >= cut - 0.05]
-            if len(near):
-                n = np.full(len(near), sizes[i])
-                near = near[estimate(np.broadcast_to(registers[i], (len(near), REGISTERS)), registers[near], n, sizes[near]) >= cut]
-                yield from ((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near)
+            n = np.full(len(near), sizes[i])
+            near = near[estimate(np.broadcast_to(registers[i], (len(near), REGISTERS)), registers[near], n, sizes[near]) >= cut]
+            new = [j for j in [i, *near.tolist()] if j not in sets]
+            sets |= dict(zip(new, _sets([bodies[int(j)].as_py() for j in new]), strict=True))
+            for j in near.tolist():
+                a, b = find(place[i]), find(place[j])
+                if a == b:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    root[max(a, b)] = min(a, b)
+                    place[(place == a) | (place == b)] = min(a, b)
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        now = None
 
-        def packed(pairs):
-            pairs = list(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        def flush():
-            table = pa.Table.from_batches(held)
+        def flush() -> pa.RecordBatch:
+            links = tile(pa.Table.from_batches(held))
             held.clear()
-            yield packed(bucket(table))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edges = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), keys.shape[1]]
             for start, end in zip(edges, edges[1:], strict=False):
-                if held and end > start and held[-1].column(0)[0].as_py() != keys[start]:
-                    yield from flush()
                 if end > start:
+                    if held and now != tuple(keys[:, start]):
+                        yield flush()
+                    now = tuple(keys[:, start])
                     held.append(batch.slice(start, end - start))
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
@@ -223,17 +259,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = prints.where("id is not null and key is not null")
     classes = known.groupBy("key").agg(F.min("id").alias("id"))
     reps = known.select("id", "key", "bands").join(classes, ["id", "key"], "left_semi")
-    bands = written(reps.select("id", F.explode("bands").alias("bucket")).distinct())
+    bands = written(reps.select("id", F.posexplode("bands").alias("band", "bucket")).distinct())
     centre = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = bands.withColumnRenamed("id", "b").join(centre, "bucket").where("a != b").select("a", "b").distinct()
+    shared = bands.withColumnRenamed("id", "b").join(centre, "bucket").where("a != b").groupBy("b", "a").agg(F.count("*").alias("k"))
+    most = shared.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "a"))), 1, CENTRES).alias("m"))
+    pairs = most.select("b", F.explode("m.a").alias("a"))
     links = written(_verified(pairs, known, percent))
     roots = components(links)
     # Buckets in which a link between two components may still be hidden.
     placed = bands.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("k > 2 and low != high").select("bucket")
-    hidden = placed.join(split, "bucket").join(known.select("id", "n", "registers"), "id").select("bucket", "id", "root", "n", "registers")
-    hidden = hidden.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open_pairs(percent), "a long, b long").distinct()
-    more = written(_verified(hidden, known, percent))
+    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("least"), F.max("root").alias("most")).where("k > 2 and least != most")
+    chunks = F.ceil(F.col("k") / TILE).cast("int")
+    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    tiles = placed.join(split.select("bucket", "k"), "bucket").select("bucket", "band", "id", "root", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    tiles = tiles.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "band", "id", "root", "chunk")
+    parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
+    hidden = tiles.join(known.select("id", "n", "registers", "body"), "id").select("bucket", "low", "high", "band", "id", "root", "chunk", "n", "registers", "body")
+    hidden = hidden.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    more = written(hidden.mapInArrow(_hidden_links(percent), "a long, b long"))
     if not more.isEmpty():
         roots = components(links.union(more))
     placed = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
