@@ -162,3 +162,17 @@ def test_ancestral_marginals_against_enumeration(spark):
     sites_ = spark.createDataFrame([(i, 70, t) for i, t in tips.items() if t], "node_id int, pos int, state string")
     out = {r["node_id"]: r["state"] for r in ancestral.reconstruct(nodes, sites_).collect()}
     assert out == {i: "ACGT"[total[i].argmax()] for i in range(7)}
+
+
+def test_season_ancestor_and_parent_mutations(spark):
+    from virosight.operators import seasons
+
+    nodes = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 1), (4, 0)], "node_id int, parent_id int")
+    closure = tree.ancestors(nodes)
+    tips = spark.createDataFrame([(2, 2000), (3, 2001), (4, 2001)], "node_id int, season int")
+    freq = seasons.season_frequencies(closure, tips)
+    got = {(r["node_id"], r["season"]): r["ancestor"] for r in seasons.season_ancestor(closure, freq, nodes).collect()}
+    assert got[3, 2001] == 1 and got[4, 2001] == 0 and got[2, 2000] == 0
+    s = spark.createDataFrame([(1, "HA1", 5, "K"), (0, "HA1", 5, "N"), (1, "HA1", 6, "A"), (0, "HA1", 6, "A")], "node_id int, gene string, pos int, state string")
+    pairs = spark.createDataFrame([(2, 4)], "a int, b int")
+    assert [r["mutation"] for r in seasons.parent_mutations(nodes, s, pairs, "a", "b").collect()] == ["K5N"]

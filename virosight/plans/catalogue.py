@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from virosight.functions import dates, numeric, sequences, strings
-from virosight.operators import curate, fitness, frequency, series, sites, titer, tree
+from virosight.operators import curate, fitness, frequency, seasons, series, sites, titer, tree
 from virosight.streaming import arrival
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,3 +580,43 @@ def fitness_simplex(spark, sf_dir):
     ahead = f.select((F.col("season") - 1).alias("season"), "clade", F.col("freq").alias("observed"))
     z = series.standardise(series.standardise(f, "x1", ["season"], "p1"), "x2", ["season"], "p2")
     return fitness.learn(z.join(ahead, ["season", "clade"]), ["p1", "p2"])
+
+
+# Seasons and scores
+
+
+@query(f"""WITH RECURSIVE {_TREE}, s AS (SELECT y AS season, make_date(y, 10, 1) AS a, make_date(y + 1, 4, 1) AS b FROM range(1992, 1999) t(y)),
+tips AS (SELECT (1000 + o_custkey)::INT AS node, min(season) AS season FROM (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY 1) JOIN s ON d >= a AND d < b GROUP BY 1 HAVING count(*) = 1),
+n AS (SELECT ancestor, season, count(*) AS n FROM closure JOIN tips USING (node) GROUP BY 1, 2)
+SELECT ancestor AS node_id, season::INT AS season, n, round(n / ((SELECT count(*) FROM tips t WHERE t.season = n.season) + 1e-10), 6) AS freq FROM n""")
+def season_frequencies(spark, sf_dir):
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("d"))
+    tips = series.interval_join(last, seasons.season_table(spark, 1992, 1998), "d", "start", "end").select((1000 + F.col("o_custkey")).cast("int").alias("node_id"), "season")
+    return seasons.season_frequencies(tree.ancestors(node_table(spark, sf_dir)), tips).select("node_id", "season", "n", F.round("freq", 6).alias("freq"))
+
+
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS p FROM c)
+SELECT doc_id, round(sum(CASE WHEN p >= 0.01 THEN ln(p) ELSE 0 END), 6) AS tolerance FROM s JOIN f USING (pos, state) GROUP BY doc_id""")
+def tolerance_score(spark, sf_dir):
+    s = _sites(spark, sf_dir)
+    preferences = sites.site_frequencies(s).where("freq >= 0.01").select(F.col("pos").alias("site"), F.col("state").alias("aa"), F.col("freq").alias("p"))
+    return seasons.tolerance(s, preferences, "doc_id").select("doc_id", F.round("tolerance", 6).alias("tolerance"))
+
+
+@query("""WITH a AS (SELECT least(l_partkey % 25, l_suppkey % 25) AS a, greatest(l_partkey % 25, l_suppkey % 25) AS b, avg(l_quantity) AS d FROM lineitem WHERE l_partkey % 25 <> l_suppkey % 25 GROUP BY 1, 2),
+q AS (SELECT ij.a AS i, ij.b AS j, ik.b AS k, il.b AS l, list_sort([ij.d + kl.d, ik.d + jl.d, il.d + jk.d]) AS s FROM a ij JOIN a ik ON ik.a = ij.a AND ik.b > ij.b JOIN a il ON il.a = ij.a AND il.b > ik.b
+JOIN a jk ON jk.a = ij.b AND jk.b = ik.b JOIN a jl ON jl.a = ij.b AND jl.b = il.b JOIN a kl ON kl.a = ik.b AND kl.b = il.b)
+SELECT i, j, k, l, round(s[3] - s[2], 6) AS gap FROM q""")
+def quartet_additivity(spark, sf_dir):
+    a, b = F.col("l_partkey") % 25, F.col("l_suppkey") % 25
+    pairs = table(spark, sf_dir, "lineitem").where(a != b).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.avg("l_quantity").alias("d"))
+    return seasons.quartet_additivity(pairs).select("i", "j", "k", "l", F.round("gap", 6).alias("gap"))
+
+
+@query("""WITH g AS (SELECT unnest([0.9, 1.0, 1.1]) AS scale), m AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, avg(l_quantity) AS y, avg(l_extendedprice) / 2000 AS p FROM lineitem GROUP BY 1)
+SELECT scale::DOUBLE AS scale, count(*) AS n, round(sqrt(avg(pow(y - p * scale, 2))), 6) AS rms, round(avg(abs(y - p * scale)), 6) AS abs, round(regr_slope(p * scale, y), 6) AS slope FROM m, g GROUP BY 1""")
+def grid_scan(spark, sf_dir):
+    m = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(F.avg("l_quantity").alias("y"), (F.avg("l_extendedprice") / 2000).alias("p"))
+    predictions = m.select("row_id", "p", F.explode(F.array(*(F.lit(x) for x in (0.9, 1.0, 1.1)))).alias("scale")).select("row_id", "scale", (F.col("p") * F.col("scale")).alias("predicted"))
+    out = seasons.grid_scan(m, predictions, "row_id", "y", ["scale"])
+    return out.select("scale", "n", *(F.round(c, 6).alias(c) for c in ("rms", "abs", "slope")))
