@@ -176,3 +176,20 @@ def test_season_ancestor_and_parent_mutations(spark):
     s = spark.createDataFrame([(1, "HA1", 5, "K"), (0, "HA1", 5, "N"), (1, "HA1", 6, "A"), (0, "HA1", 6, "A")], "node_id int, gene string, pos int, state string")
     pairs = spark.createDataFrame([(2, 4)], "a int, b int")
     assert [r["mutation"] for r in seasons.parent_mutations(nodes, s, pairs, "a", "b").collect()] == ["K5N"]
+
+
+def test_tree_frequencies_add_up(spark):
+    rng = np.random.default_rng(5)
+    nodes = [(0, None), (1, 0), (2, 0)]
+    tips = []
+    for i in range(300):
+        t = rng.uniform(2000, 2002)
+        parent = 1 if rng.random() < (t - 2000) / 2 else 2
+        nodes.append((10 + i, parent))
+        tips.append((10 + i, "all", float(t)))
+    nodes = spark.createDataFrame(nodes, "node_id int, parent_id int")
+    freq = frequency.tree_frequencies(nodes, tree.ancestors(nodes), spark.createDataFrame(tips, "node_id int, region string, num_date double"), 2000.0, 2002.0, per_year=4, stiffness=1.0)
+    f = freq.where("node_id in (1, 2)").toPandas().pivot(index="pivot", columns="node_id", values="freq")
+    assert np.allclose(f[1] + f[2], 1) and f[1].iloc[-2] > 0.7 > 0.3 > f[1].iloc[1]
+    below = freq.where("node_id >= 10").groupBy("pivot").agg(F.sum("freq").alias("t")).toPandas()
+    assert np.allclose(below.t, 1, atol=1e-6)

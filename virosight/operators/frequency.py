@@ -19,8 +19,16 @@ def fit_trajectories(obs: DataFrame, by: list[str], start: float, stop: float, p
     Observations are first counted in narrow time bins by Spark, which bounds
     what a fitting task gets however many rows a feature has.
     """
-    t = (F.floor(F.col(date) * BINS_PER_YEAR) + 0.5) / BINS_PER_YEAR
-    bins = obs.where((F.col(date) >= start) & (F.col(date) < stop)).groupBy(*by, t.alias("_t")).agg(F.sum(F.col(seen).cast("int")).alias("_yes"), F.count("*").alias("_n"))
+    bins = obs.where((F.col(date) >= start) & (F.col(date) < stop)).groupBy(*by, _bin(date)).agg(F.sum(F.col(seen).cast("int")).alias("_yes"), F.count("*").alias("_n"))
+    return fit_bins(bins, by, start, stop, per_year, stiffness, inertia, min_obs)
+
+
+def _bin(date: str):
+    return ((F.floor(F.col(date) * BINS_PER_YEAR) + 0.5) / BINS_PER_YEAR).alias("_t")
+
+
+def fit_bins(bins: DataFrame, by: list[str], start: float, stop: float, per_year: int = 12, stiffness: float = 20.0, inertia: float = 0.0, min_obs: int = 5) -> DataFrame:
+    """As ``fit_trajectories``, from counts ``_yes`` of ``_n`` in time bins ``_t``."""
     total = bins.groupBy(*by).agg(F.sum("_yes").alias("_a"), F.sum("_n").alias("_b")).where((F.col("_b") > 10) & (F.col("_a") > min_obs) & (F.col("_a") < F.col("_b") - min_obs)).select(*by)
     bins = bins.join(total, by, "left_semi")
     grid = np.arange(np.floor(start * per_year), np.ceil(stop * per_year) + 1) / per_year
@@ -45,19 +53,31 @@ def with_region_groups(obs: DataFrame, groups: dict[str, list[str] | None], regi
     return obs.withColumn(out, F.explode(F.array_compact(labels)))
 
 
-def nested_frequencies(children: DataFrame, fitted: DataFrame, parent_freq: DataFrame) -> DataFrame:
-    """Frequencies of one level of the tree: each child's share of its parent, the remainder split evenly.
+def tree_frequencies(nodes: DataFrame, closure: DataFrame, tips: DataFrame, start: float, stop: float, per_year: int = 12, stiffness: float = 20.0, min_obs: int = 5) -> DataFrame:
+    """``node_id, region, pivot, freq`` of all clades of a tree: the root is 1 and children share their parent.
 
-    ``children``: parent_id, node_id, region.  ``fitted``: node_id, region,
-    pivot, freq (the fitted ones).  ``parent_freq``: node_id, region, pivot, freq.
+    ``tips``: node_id, region, num_date.  Every child's share of its parent is
+    fitted from binned counts, all at once; children too small to fit split
+    the remainder evenly, and the shares of siblings add up to 1.  A clade's
+    frequency is the product of the shares on its path, so no loop over the
+    levels is needed.
     """
-    parents = parent_freq.select(F.col("node_id").alias("parent_id"), "region", "pivot", F.col("freq").alias("_pf"))
-    grid = children.join(parents, ["parent_id", "region"])
-    joined = grid.join(fitted.withColumnRenamed("freq", "_f"), ["node_id", "region", "pivot"], "left")
-    sums = joined.groupBy("parent_id", "region", "pivot").agg(F.sum(F.coalesce("_f", F.lit(0.0))).alias("_s"), F.sum(F.col("_f").isNull().cast("int")).alias("_rest"))
-    out = joined.join(sums, ["parent_id", "region", "pivot"])
-    share = F.when(F.col("_rest") == 0, F.col("_f") / F.greatest("_s", F.lit(1e-10))).when(F.col("_f").isNotNull(), F.col("_f") / F.greatest("_s", F.lit(1.0))).otherwise(F.greatest(1 - F.col("_s"), F.lit(0.0)) / F.col("_rest"))
-    return out.select("node_id", "region", "pivot", (F.col("_pf") * share).alias("freq"))
+    inside = tips.where((F.col("num_date") >= start) & (F.col("num_date") < stop)).select(F.col("node_id").alias("node"), "region", _bin("num_date"))
+    counts = closure.join(inside, "node").groupBy(F.col("ancestor").alias("node_id"), "region", "_t").agg(F.count("*").alias("_k"))
+    edges = nodes.where("parent_id is not null").select("node_id", "parent_id")
+    below = counts.join(edges, "node_id").select("node_id", "parent_id", "region", "_t", F.col("_k").alias("_yes"))
+    above = counts.select(F.col("node_id").alias("parent_id"), "region", "_t", F.col("_k").alias("_n"))
+    children = below.select("node_id", "parent_id", "region").distinct()
+    bins = children.join(above, ["parent_id", "region"]).join(below, ["node_id", "parent_id", "region", "_t"], "left").select("node_id", "parent_id", "region", "_t", F.coalesce("_yes", F.lit(0)).alias("_yes"), "_n")
+    fitted = fit_bins(bins, ["node_id", "parent_id", "region"], start, stop, per_year, stiffness, 0.0, min_obs)
+    grid = np.arange(np.floor(start * per_year), np.ceil(stop * per_year) + 1) / per_year
+    every = children.withColumn("pivot", F.explode(F.array(*(F.lit(float(x)) for x in grid)))).join(fitted, ["node_id", "parent_id", "region", "pivot"], "left")
+    sums = every.groupBy("parent_id", "region", "pivot").agg(F.sum(F.coalesce("freq", F.lit(0.0))).alias("_s"), F.sum(F.col("freq").isNull().cast("int")).alias("_rest"))
+    left = F.greatest(1 - F.col("_s"), F.lit(1e-10))
+    whole = F.col("_s") + F.when(F.col("_rest") > 0, left).otherwise(0.0)
+    share = F.coalesce("freq", left / F.col("_rest")) / F.greatest(whole, F.lit(1e-10))
+    shares = every.join(sums, ["parent_id", "region", "pivot"]).select(F.col("node_id").alias("ancestor"), "region", "pivot", F.ln(F.greatest(share, F.lit(1e-10))).alias("_l"))
+    return closure.join(shares, "ancestor").groupBy(F.col("node").alias("node_id"), "region", "pivot").agg(F.exp(F.sum("_l")).alias("freq"))
 
 
 def lookup(freqs: DataFrame, region: str, genotype: str, pivots: DataFrame) -> DataFrame:
