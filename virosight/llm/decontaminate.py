@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosight.llm.text import ALNUM, encoded
+from virosight.llm.text import ALNUM, encoded, slices
 
 WINDOW = 10
 #: Words of benchmark items in one automaton.
@@ -106,7 +106,7 @@ def _scanner(items, window: int, with_offsets: bool):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(items.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             counts, flat, hit, offsets = [], [], [], []
             for text in encoded(batch.column(1)):
                 words = words_of(text)
@@ -209,7 +209,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def _without(docs: DataFrame, items, text_col: str) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(items.value, WINDOW)
-        for batch in batches:
+        for batch in slices(batches):
             texts = encoded(batch.column(batch.schema.get_field_index(text_col)))
             clean = np.array([not automaton.scan(words_of(t))[1] for t in texts], bool)
             yield batch.filter(pa.array(clean))

@@ -76,6 +76,13 @@ def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[tupl
         yield start, len(texts)
 
 
+def slices(batches, rows: int = 500) -> Iterator:
+    """Arrow batches of at most ``rows`` rows: what a task copies out of a batch at once stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def word_hashes(texts: list[bytes | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and the offsets where each text's words start.
 
