@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Pieces of text, and token pairs, whose results a worker keeps.
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 300_000
 
 _NEVER = 1 << 60
 _START = -1
