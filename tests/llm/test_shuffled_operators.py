@@ -81,6 +81,24 @@ def test_tiles_find_the_same(spark, monkeypatch):
     assert [got[i] for i in range(60)] == want
 
 
+def test_near_duplicates_on_one_far_member_of_a_star(spark):
+    rng = random.Random(0)
+    texts = []
+
+    def edited(words, at):
+        return [str(rng.random()) if i in at else w for i, w in enumerate(words)]
+
+    for _ in range(15):
+        base = [str(rng.random()) for _ in range(200)]
+        near = edited(base, {100})
+        group = [edited(base, {8 + 6 * k, 14 + 6 * k}) for k in range(12)] + [near, edited(near, {115, 135, 155})]
+        texts += [" ".join(g) for g in group]
+    want, _ = brute_components(texts, 85)
+    assert len(set(want)) == 15
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs_of(spark, texts), percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_odd_tables(spark):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "x"], [None, 4, 4])
     out = near_dups.near_duplicates(docs).collect()

@@ -263,15 +263,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
     shared = bands.withColumnRenamed("id", "b").join(centre, "bucket").where("a != b").groupBy("b", "a").agg(F.count("*").alias("k"))
     most = shared.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "a"))), 1, CENTRES).alias("m"))
-    pairs = most.select("b", F.explode("m.a").alias("a"))
+    pairs = written(most.select("b", F.explode("m.a").alias("a")))
     links = written(_verified(pairs, known, percent))
     roots = components(links)
     # Buckets in which a link between two components may still be hidden.
     placed = bands.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("least"), F.max("root").alias("most")).where("k > 2 and least != most")
+    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    placed = written(placed.join(split.select("bucket", "k"), "bucket").select("bucket", "band", "id", "root", "k"))
+    # Only a bucket of two classes that were compared above is left out.
+    twos = placed.where("k = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti")
     chunks = F.ceil(F.col("k") / TILE).cast("int")
     chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    tiles = placed.join(split.select("bucket", "k"), "bucket").select("bucket", "band", "id", "root", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    tiles = placed.select("bucket", "band", "id", "root", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     tiles = tiles.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "band", "id", "root", "chunk")
     parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
     hidden = tiles.join(known.select("id", "n", "registers", "body"), "id").select("bucket", "low", "high", "band", "id", "root", "chunk", "n", "registers", "body")
