@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from virosight.llm import decontaminate, language_id, licenses, pieces, quality, toxicity, url_filter
+from virosight.llm import compression, decontaminate, language_id, licenses, pieces, quality, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -113,6 +113,23 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.predict_languages(odd, none).collect()} == {"und"}
 
 
+def test_narrow_language_margins_are_rejected(spark):
+    rng = random.Random(6)
+    base, more = prose(rng, "en", 2000).encode(), prose(rng, "en", 30)
+    text = prose(rng, "en", 20_000)
+    docs = docs_of(spark, [text, "ka", f"{text} {more} {text}"])
+    for model, ids in (({"a": base, "b": base}, (0, 1, 2)), ({"a": base, "b": base + b" " + more.encode() + b" "}, (2,))):
+        got = {r["doc_id"]: r for r in language_id.predict_languages(docs, model).collect()}
+        assert all(got[i]["rejected"] for i in ids)
+        assert not set(ids) & {r["doc_id"] for r in language_id.keep_identified(docs, model).collect()}
+    assert got[2]["lang_pred"] == "b" and got[2]["score"] > 0.9
+
+
+def test_copies_do_not_fill_the_labelled_sample(spark):
+    docs = docs_of(spark, ["the same text"] * 2000 + [f"text {i}" for i in range(6)])
+    assert len({t for _, t in compression.labelled_sample(docs, "lang", "text", 4, 100, 5)}) == 4
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng = random.Random(3)
     insult = ["scumbag", "worthless", "pathetic", "moron"]

@@ -71,11 +71,11 @@ def labelled_sample(rows: DataFrame, label_col: str, text_col: str, per_label: i
     """At most about ``4 * per_label`` (label, text) rows of each label, the texts cut to ``max_chars``, in a fixed order.
 
     Rows are chosen by a hash of their text, so the choice does not hang on
-    partitions and copies of a text come at most once.  Null labels and texts
+    partitions, and copies of a text count and come once.  Null labels and texts
     take no part.  More than ``max_labels`` labels is an error.
     """
     known = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"))
-    counts = known.groupBy("_label").count().limit(max_labels + 1).collect()
+    counts = known.groupBy("_label").agg(F.approx_count_distinct(F.xxhash64("_text"))).limit(max_labels + 1).collect()
     if len(counts) > max_labels:
         raise ValueError(f"{label_col} has more than {max_labels} values")
     if not counts:
@@ -85,7 +85,7 @@ def labelled_sample(rows: DataFrame, label_col: str, text_col: str, per_label: i
     for label, n in counts:
         chosen = chosen | ((F.col("_label") == F.lit(label)) & (draw < min(1.0, 4.0 * per_label / n)))
     limit = 8 * per_label * len(counts)
-    found = known.where(chosen).select("_label", F.xxhash64("_text").alias("_h"), F.substring("_text", 1, max_chars).alias("_text")).limit(limit).collect()
+    found = known.where(chosen).select("_label", F.xxhash64("_text").alias("_h"), F.substring("_text", 1, max_chars).alias("_text")).distinct().limit(limit).collect()
     kept: dict = {}
     for label, h, text in sorted(found, key=lambda r: (str(r[0]), r[1], r[2])):
         own = kept.setdefault(label, {})

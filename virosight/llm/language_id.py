@@ -24,8 +24,8 @@ MAX_LANGUAGES = 200
 WINDOW_BYTES, LEVEL = 1024, 9
 #: Bits of difference that count as one unit of evidence in the score.
 TEMPER = 4.0
-#: A choice with a lower score is rejected.
-NARROW = 0.4
+#: A choice is rejected if the second best is larger by a smaller share of the best size, or by fewer bytes, than this.
+NARROW, LEAST_MARGIN = 0.02, 2
 UNKNOWN = "und"
 
 
@@ -49,18 +49,20 @@ def _compressors(model: dict[str, bytes]) -> list:
     return _held[key]
 
 
-def classify(texts: list[str | None], names: list[str], compressors: list) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; ``und`` and 0 for a text without a letter."""
+def classify(texts: list[str | None], names: list[str], compressors: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text; ``und``, 0 and True for a text without a letter."""
     forms = [plain(t) for t in texts]
     if not names:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     owner, sizes, _ = window_sizes(forms, WINDOW_BYTES, compressors)
     total = np.stack([np.bincount(owner, weights=s, minlength=len(texts)) for s in sizes], 1)
     best = total.argmin(1)
     odds = np.exp(-np.minimum((total - total.min(1, keepdims=True)) * 8 / TEMPER, 700))
     score = 1 / odds.sum(1)
-    lettered = [t is not None and any(map(str.isalpha, t)) for t in texts]
-    return [names[b] if has else UNKNOWN for b, has in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+    ordered = np.sort(total, 1)
+    narrow = ordered[:, 1] - ordered[:, 0] < np.maximum(LEAST_MARGIN, NARROW * ordered[:, 0]) if len(names) > 1 else np.zeros(len(texts), bool)
+    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+    return [names[b] if has else UNKNOWN for b, has in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0), narrow | ~lettered
 
 
 def _predictor(model, text_at: int, keep: bool):
@@ -69,11 +71,11 @@ def _predictor(model, text_at: int, keep: bool):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                langs, score = classify(part.column(text_at).to_pylist(), names, compressors)
+                langs, score, rejected = classify(part.column(text_at).to_pylist(), names, compressors)
                 if keep:
-                    yield part.filter(pa.array((score >= NARROW) & np.array([x != UNKNOWN for x in langs], bool)))
+                    yield part.filter(pa.array(~rejected))
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(score < NARROW)], names=["_id", "lang_pred", "score", "rejected"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=["_id", "lang_pred", "score", "rejected"])
 
     return run
 
@@ -83,7 +85,9 @@ def predict_languages(docs: DataFrame, model: dict[str, bytes], id_col: str = "d
 
     A null or empty text, or one without a letter, is ``und`` with score 0
     and rejected; so is every text if no language was learned.  Of languages
-    with equal sizes the first by name is chosen, at a score of 1/2 or less.
+    with equal sizes the first by name is chosen, at a score of 1/2 or less,
+    and rejected, as is every choice with a narrow margin; the margin is held
+    against the size of the text.  With one language there is no second best.
     Whole texts are encoded; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
