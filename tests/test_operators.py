@@ -112,6 +112,20 @@ def test_trajectory_recovers_a_sweep(spark):
     assert np.abs(out.freq - truth).max() < 0.12
 
 
+def test_trajectory_of_a_rare_feature_on_many_rows(spark):
+    bins = spark.range(300).selectExpr("'m' as feature", "2000D + (id + 0.5D) / 100D as _t", "70 as _yes", "7000 as _n")
+    out = frequency.fit_bins(bins, ["feature"], 2000.0, 2003.0).toPandas()
+    assert np.abs(out.freq - 0.01).max() < 1e-4
+
+
+def test_weights_equal_repeated_observations():
+    rng = np.random.default_rng(7)
+    t, seen, n = rng.uniform(2000, 2003, 200), rng.integers(0, 2, 200).astype(float), rng.integers(0, 9, 200)
+    grid = np.arange(2000, 2003.01, 1 / 12)
+    once = solvers.trajectory(t, seen, grid, 5.0, weight=n)
+    assert np.allclose(once, solvers.trajectory(np.repeat(t, n), np.repeat(seen, n), grid, 5.0), atol=1e-6)
+
+
 def test_titer_fit_recovers_effects(spark):
     rows, y = [], []
     rng = np.random.default_rng(2)

@@ -38,10 +38,7 @@ def fit_bins(bins: DataFrame, by: list[str], start: float, stop: float, per_year
         times = np.repeat(pdf["_t"].to_numpy(), 2)
         kind = np.tile([1.0, 0.0], len(pdf))
         weight = np.stack([pdf["_yes"], pdf["_n"] - pdf["_yes"]], 1).reshape(-1)
-        # Weighted copies up to a bound keep the likelihood's shape; the stiffness scales with what they stand for.
-        scale = max(1.0, weight.sum() / 5000)
-        copies = np.ceil(weight / scale).astype(int)
-        f = trajectory(np.repeat(times, copies), np.repeat(kind, copies), grid, stiffness / scale, inertia)
+        f = trajectory(times, kind, grid, stiffness, inertia, weight=weight)
         return pd.DataFrame({c: pdf[c].iloc[0] for c in by} | {"pivot": grid, "freq": f})
 
     return bins.groupBy(*by).applyInPandas(run, schema)

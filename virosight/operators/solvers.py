@@ -72,12 +72,12 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float =
     return simplex[k], float(values[k])
 
 
-def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness: float, inertia: float = 0.0, clamp: float = 1e-4, rounds: int = 60) -> np.ndarray:
+def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness: float, inertia: float = 0.0, clamp: float = 1e-4, rounds: int = 60, weight: np.ndarray | None = None) -> np.ndarray:
     """Frequencies at the grid that maximise the Bernoulli likelihood of 0/1 observations under a smoothness penalty.
 
     The curve is linear in logits between grid points.  The penalty holds the
     change of frequency of a step near ``inertia`` times the one before.
-    Damped Newton steps on the logits; the Hessian is banded and small.
+    An observation counts ``weight`` times, once by default.  Damped Newton steps on the logits; the Hessian is banded and small.
     """
     k = np.clip(np.searchsorted(grid, times, side="right") - 1, 0, len(grid) - 2)
     a = np.clip((times - grid[k]) / (grid[k + 1] - grid[k]), 0, 1)
@@ -85,7 +85,8 @@ def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness:
     rows = np.arange(len(times))
     basis[rows, k] = 1 - a
     basis[rows, k + 1] += a
-    share = np.clip(seen.mean() if len(seen) else 0.5, 0.05, 0.95)
+    weight = np.ones(len(times)) if weight is None else np.asarray(weight, float)
+    share = np.clip(np.average(seen, weights=weight) if weight.sum() > 0 else 0.5, 0.05, 0.95)
     x = np.full(len(grid), np.log(share / (1 - share)))
     step = np.diff(np.eye(len(grid)), axis=0)
     smooth = step.copy()
@@ -97,15 +98,15 @@ def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness:
     def loss(x):
         p = 1 / (1 + np.exp(-np.clip(basis @ x, -bound, bound)))
         f = 1 / (1 + np.exp(-x))
-        return -np.where(seen > 0, np.log(p), np.log(1 - p)).sum() + 0.5 * f @ penalty @ f
+        return -(weight * np.where(seen > 0, np.log(p), np.log(1 - p))).sum() + 0.5 * f @ penalty @ f
 
     now = loss(x)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(basis @ x)))
         f = 1 / (1 + np.exp(-x))
         df = f * (1 - f)
-        grad = basis.T @ (p - seen) + df * (penalty @ f)
-        hess = basis.T @ (basis * (p * (1 - p))[:, None]) + df[:, None] * penalty * df[None, :] + 1e-6 * np.eye(len(x))
+        grad = basis.T @ (weight * (p - seen)) + df * (penalty @ f)
+        hess = basis.T @ (basis * (weight * p * (1 - p))[:, None]) + df[:, None] * penalty * df[None, :] + 1e-6 * np.eye(len(x))
         move = np.linalg.solve(hess, grad)
         scale = 1.0
         while scale > 1e-6:
