@@ -65,6 +65,15 @@ def test_decontamination_against_brute_force(spark, block_words):
     assert decontaminate.contamination(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_words", [200_000, 3])
+def test_decontamination_keeps_rows_of_equal_and_null_ids(spark, block_words):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "x d e f g"), (1, "a b c"), (None, "q"), (None, "d e f a b c"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "item_id long, text string")
+    out = decontaminate.contamination(docs, bench, block_words=block_words, with_offsets=True)
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["spans"], r["items"], r["byte_spans"]) for r in out.collect())
+    assert got == [(0, 0, [], [], []), (0, 1, [], [], []), (0, 6, [0, 6], ["1", "2"], [0, 11]), (1, 3, [0, 3], ["1"], [0, 5]), (1, 3, [0, 3], ["1"], [0, 5]), (1, 5, [1, 4], ["2"], [2, 7])]
+
+
 def test_contaminated_documents_go(spark):
     item = " ".join(f"w{i}" for i in range(12))
     docs = docs_of(spark, ["x " + item.upper() + " y", "clean text", None, " ".join(f"w{i}" for i in range(9))])

@@ -8,8 +8,8 @@ words; ``spans`` maps these back to byte offsets in the original text.
 The benchmark is the stated query set.  Its items go to the executors in
 blocks of at most ``BLOCK_WORDS`` words, so that neither the driver nor a
 worker ever holds an automaton of more than that (an item longer than the
-bound is a block of its own).  With several blocks each is one pass over the
-documents and the spans are merged per document.
+bound is a block of its own).  With several blocks they are searched one after
+another beside each row, which carries the merged spans along.
 """
 
 from __future__ import annotations
@@ -101,27 +101,36 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
         yield block
 
 
-def _scanner(items, window: int, with_offsets: bool):
-    """mapInArrow function: ``_id, n_words, spans, items`` and byte offsets if wanted."""
+def _scanner(items, window: int, with_offsets: bool, first: bool, last: bool):
+    """mapInArrow function: ``_id, n_words, spans, items``, byte offsets if wanted, and ``_text`` for the next block.
+
+    All but the first continue what the block before has found in the row.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(items.value, window)
         for batch in slices(batches):
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
             counts, flat, hit, offsets = [], [], [], []
-            for text in encoded(batch.column(1)):
+            before = [[[]] * batch.num_rows if first or c not in col else col[c].to_pylist() for c in ("spans", "items", "byte_spans")]
+            for text, old, old_items, old_bytes in zip(encoded(col["_text"]), *before, strict=True):
                 words = words_of(text)
                 spans, who = automaton.scan(words)
+                own = old + [x for s in spans for x in s]
                 counts.append(len(words))
-                flat.append([x for s in spans for x in s])
-                hit.append(sorted(who))
+                flat.append(_merged(own, own))
+                hit.append(sorted(who.union(old_items)))
                 if with_offsets:
                     at = [m.span() for m in _WORD.finditer(text.translate(ALNUM))] if spans else []
-                    offsets.append([x for a, b in spans for x in (at[a][0], at[b - 1][1])])
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.string()))]
+                    offsets.append(_merged(own, old_bytes + [x for a, b in spans for x in (at[a][0], at[b - 1][1])]))
+            columns = [col["_id"], pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.string()))]
             names = ["_id", "n_words", "spans", "items"]
             if with_offsets:
                 columns.append(pa.array(offsets, pa.list_(pa.int64())))
                 names.append("byte_spans")
+            if not last:
+                columns.append(col["_text"])
+                names.append("_text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return scan
@@ -158,30 +167,16 @@ def contamination(
     window in the text; ``byte_spans`` are the same runs as byte offsets in
     the UTF-8 of the original text.  Null and empty texts have no words.
     Items that are null, empty or without an id take no part; an empty
-    benchmark hits nothing.  Rows with equal ids stay apart with one block;
-    with several blocks rows of one id (null included) are one document and
-    must have one text.  Other columns are not read.
+    benchmark hits nothing.  Rows with equal or null ids stay apart,
+    whatever the number of blocks.  Other columns are not read.
     """
     spark = docs.sparkSession
     schema = f"_id {dict(docs.dtypes)[id_col]}, n_words long, spans array<long>, items array<string>" + (", byte_spans array<long>" if with_offsets else "")
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    scans = [
-        narrow.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window, with_offsets), schema)
-        for block in item_blocks(benchmark, item_col, item_text_col, block_words)
-    ]
-    if not scans:
-        scans = [narrow.mapInArrow(_scanner(spark.sparkContext.broadcast([]), window, with_offsets), schema)]
-    out = scans[0]
-    if len(scans) > 1:
-        merge = F.udf(_merged, "array<long>")
-        for scan in scans[1:]:
-            out = out.unionByName(scan)
-        gathered = {c: F.flatten(F.collect_list(c)) for c in ["spans"] + ["byte_spans"] * with_offsets}
-        out = out.groupBy("_id").agg(
-            F.first("n_words").alias("n_words"),
-            *(merge(gathered["spans"], values).alias(c) for c, values in gathered.items()),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    shared = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_col, item_text_col, block_words)] or [spark.sparkContext.broadcast([])]
+    for k, block in enumerate(shared):
+        last = k == len(shared) - 1
+        out = out.mapInArrow(_scanner(block, window, with_offsets, k == 0, last), schema + ("" if last else ", _text string"))
     return out.withColumnRenamed("_id", id_col)
 
 
