@@ -76,6 +76,7 @@ def test_tiles_find_the_same(spark, monkeypatch):
         texts.append(" ".join(copy))
     want, _ = brute_components(texts, 85)
     monkeypatch.setattr(near_dups, "TILE", 5)
+    monkeypatch.setattr(near_dups, "PROBES", 3)
     monkeypatch.setattr(near_dups, "CENTRES", 1)
     got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs_of(spark, texts), percent=85).collect()}
     assert [got[i] for i in range(60)] == want
@@ -99,6 +100,33 @@ def test_near_duplicates_on_one_far_member_of_a_star(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_in_groups_near_the_threshold(spark):
+    rng = random.Random(11)
+
+    def edited(words, k):
+        return [str(rng.random()) if i in rng_at else w for rng_at in [set(rng.sample(range(len(words)), k))] for i, w in enumerate(words)]
+
+    texts = []
+    for _ in range(60):
+        base = [str(rng.random()) for _ in range(150)]
+        texts += [" ".join(edited(base, rng.randint(2, 4))) for _ in range(4)]
+        pair = edited(base, 2)
+        texts += [" ".join(pair), " ".join(edited(pair, 2))]
+    want, _ = brute_components(texts, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs_of(spark, texts), percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts)
+
+
+def test_words_of_a_long_text_do_not_hang_on_ranges(monkeypatch):
+    from virosight.llm import text
+
+    texts = [b"a bb ccc " * 50 + b"x" * 300, None, b"", b"bb"]
+    want, at = text.word_hashes(texts, text.SPACED)
+    monkeypatch.setattr(text, "BLOCK_BYTES", 64)
+    got, same = text.word_hashes(texts, text.SPACED)
+    assert (want == got).all() and (at == same).all()
+
+
 def test_near_duplicates_odd_tables(spark):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "x"], [None, 4, 4])
     out = near_dups.near_duplicates(docs).collect()

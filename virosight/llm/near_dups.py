@@ -9,14 +9,16 @@ one small aggregation.  For the classes:
    buckets with, never with all others;
 2. pairs whose likelihood estimate is far below the threshold go; the rest
    are verified on the whole sets;
-3. verified links give components.  In buckets that still hold several
-   components, classes of different components are compared by estimate and
-   then on their sets where the bucket lies, each pair in its first common
-   bucket alone; only links leave the task.  So no link between components
-   that share a bucket is lost.  A bucket of very many classes is cut in tiles.
-
-With 32 bands of 4 registers two sets at the threshold of 0.85 miss all
-buckets with a chance below 1e-10, at 0.8 below 1e-7.
+3. verified links give components.  A bucket that still holds several
+   components is searched: its classes outside its largest component (the
+   probes) meet all its classes, in tiles of bounded size, by their registers
+   alone.  Each pair is looked at in the first bucket that it shares;
+4. of the likely pairs, first the likeliest of each two components is
+   verified, then, where the components still differ, all the others.
+
+So no link between two classes that share a bucket is lost.  With 32 bands of
+4 registers two sets at the threshold of 0.85 miss all buckets with a chance
+below 1e-10, at 0.8 below 1e-7.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from virosight.llm.setsketch import REGISTERS, band_hashes, estimate, sketch
-from virosight.llm.text import SPACED, blocks, encoded, gram_hashes, shards, word_hashes, written
+from virosight.llm.text import SPACED, blocks, discard, encoded, gram_hashes, shards, word_hashes, written
 
 SHINGLE, ROWS, THRESHOLD = 5, 4, 0.8
 #: Centres that a class is first compared with.
 CENTRES = 3
-#: Rows of split buckets in one task on average, and classes of a bucket that are held at once.
-OPEN_ROWS, TILE = 1_000, 20_000
+#: Classes, and probes among them, in a tile of a searched bucket; and rows of tiles in one task on average.
+TILE, PROBES, OPEN_ROWS = 800, 4_000, 1_000
+#: Packed bytes of pairs whose sets are built at once.
+PAIR_BYTES = 4 << 20
 #: Pairs whose estimate lies this far below the threshold are not verified: over four standard errors of 128 registers.
 MARGIN = 0.16
 
@@ -118,8 +123,8 @@ def _verifier(percent: int):
                 sizes = [col[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
                 likely = np.flatnonzero(estimate(*regs, *sizes) >= cut) if batch.num_rows else np.empty(0, int)
                 linked = []
-                for j in range(0, len(likely), 200):
-                    some = likely[j : j + 200]
+                weight = sum(pc.binary_length(col[f"body_{side}"]).to_numpy(zero_copy_only=False)[likely] for side in "ab")
+                for some in np.split(likely, np.flatnonzero(np.diff(np.cumsum(weight) // PAIR_BYTES)) + 1):
                     bodies = {}
                     for side in "ab":
                         ids, body = col[side].take(pa.array(some)).to_pylist(), col[f"body_{side}"].take(pa.array(some)).to_pylist()
@@ -160,90 +165,94 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u != v").distinct().select("v", "u"))
+        previous, edges = edges, written(small.where("u != v").distinct().select("v", "u"))
+        discard(previous)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
-def _hidden_links(percent: int):
-    """mapInArrow function over rows sorted by bucket and tile: links between different components."""
-    cut = percent / 100 - MARGIN
-
-    def tile(rows: pa.Table) -> list[tuple[int, int]]:
-        band, low, high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
-        ids, roots, chunk = (rows.column(c).to_numpy() for c in ("id", "root", "chunk"))
-        root = {r: r for r in np.unique(roots).tolist()}
-        if len(root) < 2:
-            return []
+def _likely(percent: int):
+    """mapInArrow function over rows sorted by tile: the likely pairs ``a, b, root_a, root_b, near`` of each tile.
 
-        def find(r: int) -> int:
-            while root[r] != r:
-                root[r] = r = root[root[r]]
-            return r
+    A tile holds probes and classes of one bucket.  A probe meets every class
+    of another component once: two probes meet where the lesser id is the probe.
+    """
+    cut = percent / 100 - MARGIN
+    names = ["a", "b", "root_a", "root_b", "near"]
 
-        sizes = rows.column("n").to_numpy().astype(float)
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        band = rows.column("band")[0].as_py()
+        is_probe, rest = (rows.column(c).to_numpy() for c in ("probe", "rest"))
+        ids, roots, sizes = (rows.column(c).to_numpy() for c in ("id", "root", "n"))
+        sizes = sizes.astype(float)
         registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        bodies, sets, links = rows.column("body"), {}, []
-        place = roots.copy()
-        _, counts = np.unique(roots, return_counts=True)
-        largest = np.unique(roots)[counts.argmax()]
-        order = np.flatnonzero(roots != largest)
-        done = np.zeros(len(ids), bool)
-        for i in order:
-            done[i] = True
-            other = (place != place[i]) & ~done
-            if low != high:
-                other &= chunk != chunk[i]
-            near = np.flatnonzero(other)
+        classes = np.flatnonzero(~is_probe)
+        out = []
+        for i in np.flatnonzero(is_probe):
+            near = classes[(roots[classes] != roots[i]) & (~rest[classes] | (ids[i] < ids[classes]))]
             near = near[np.minimum(sizes[near], sizes[i]) * 100 >= percent * np.maximum(sizes[near], sizes[i])]
             same = registers[near] == registers[i]
-            likely = same.mean(1) >= cut - 0.05
-            # Each pair is looked at in the first bucket that it shares.
             first = same.reshape(len(near), REGISTERS // ROWS, ROWS).all(2).argmax(1) == band
-            near = near[likely & first]
-            if not len(near):
-                continue
-            n = np.full(len(near), sizes[i])
-            near = near[estimate(np.broadcast_to(registers[i], (len(near), REGISTERS)), registers[near], n, sizes[near]) >= cut]
-            new = [j for j in [i, *near.tolist()] if j not in sets]
-            sets |= dict(zip(new, _sets([bodies[int(j)].as_py() for j in new]), strict=True))
-            for j in near.tolist():
-                a, b = find(place[i]), find(place[j])
-                if a == b:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-                    root[max(a, b)] = min(a, b)
-                    place[(place == a) | (place == b)] = min(a, b)
-        return links
+            near = near[(same.mean(1) >= cut - 0.05) & first]
+            if len(near):
+                j = estimate(np.broadcast_to(registers[i], (len(near), REGISTERS)), registers[near], np.full(len(near), sizes[i]), sizes[near])
+                out += [(i, k, x) for k, x in zip(near[j >= cut], j[j >= cut], strict=True)]
+        left, right = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+        swap = ids[left] > ids[right]
+        a, b = np.where(swap, right, left), np.where(swap, left, right)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(roots[a]), pa.array(roots[b]), pa.array(np.array([x[2] for x in out], float))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
-
-        def flush() -> pa.RecordBatch:
-            links = tile(pa.Table.from_batches(held))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
             edges = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), keys.shape[1]]
             for start, end in zip(edges, edges[1:], strict=False):
                 if end > start:
                     if held and now != tuple(keys[:, start]):
-                        yield flush()
+                        yield pairs(pa.Table.from_batches(held))
+                        held = []
                     now = tuple(keys[:, start])
                     held.append(batch.slice(start, end - start))
         if held:
-            yield flush()
+            yield pairs(pa.Table.from_batches(held))
 
     return run
 
 
+def _tiles(placed: DataFrame) -> DataFrame:
+    """Rows of searched buckets dealt to tiles: ``bucket, part, side, probe, rest, band, id, root``.
+
+    Classes are dealt to parts of about ``TILE``, and probes (the classes
+    outside the largest component) to sides of about ``PROBES``.  A tile is a
+    part and a side, so a bucket of k classes with few probes makes about k
+    rows, and no tile grows with the bucket.
+    """
+    each = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    main = each.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("m"))
+    parts, sides = F.ceil(F.col("k") / TILE).cast("int"), F.ceil(F.col("m") / PROBES).cast("int")
+    seat = F.xxhash64("id")
+    rows = placed.join(main, "bucket").withColumn("rest", F.col("root") != F.col("main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    keep = ["rest", "band", "id", "root"]
+    classes = rows.select("bucket", F.pmod(seat, parts).cast("int").alias("part"), every(sides).alias("side"), F.lit(False).alias("probe"), *keep)
+    probes = rows.where("rest").select("bucket", every(parts).alias("part"), F.pmod(seat, sides).cast("int").alias("side"), F.lit(True).alias("probe"), *keep)
+    return classes.unionByName(probes)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes that are no roots, after more links between components."""
+    ends = links
+    for side in "ab":
+        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
+    more = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
+    return written(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(more))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = round(THRESHOLD * 100)) -> DataFrame:
     """One row per row: ``id_col, n_shingles, component_id, kept``.
 
@@ -252,7 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable over links and ``kept`` marks the row with that id.  A null,
     empty or wordless text and a row with a null id are linked with nothing
     and kept.  Rows with equal ids count as one document; repeated rows all
-    stay.  Ids are integers.  Other columns are not read.
+    stay.  A similarity of exactly ``percent`` hundredths links.  Very long
+    texts are hashed range by range.  No document gives no row.  Ids are
+    integers.  Other columns are not read.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = written(narrow.mapInArrow(_fingerprints, "id long, n long, key binary, registers binary, bands array<long>, body binary"))
@@ -268,21 +279,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     # Buckets in which a link between two components may still be hidden.
     placed = bands.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("bucket").agg(F.count("*").alias("k"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("k")).where("least != most")
     placed = written(placed.join(split.select("bucket", "k"), "bucket").select("bucket", "band", "id", "root", "k"))
     # Only a bucket of two classes that were compared above is left out.
     twos = placed.where("k = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti")
-    chunks = F.ceil(F.col("k") / TILE).cast("int")
-    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    tiles = placed.select("bucket", "band", "id", "root", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    tiles = tiles.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "band", "id", "root", "chunk")
+    placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti").drop("k")
+    tiles = written(_tiles(placed))
     parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
-    hidden = tiles.join(known.select("id", "n", "registers", "body"), "id").select("bucket", "low", "high", "band", "id", "root", "chunk", "n", "registers", "body")
-    hidden = hidden.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    more = written(hidden.mapInArrow(_hidden_links(percent), "a long, b long"))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    order = ["bucket", "part", "side"]
+    dealt = tiles.join(known.select("id", "n", "registers"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers").repartition(parts, *order).sortWithinPartitions(*order)
+    likely = written(dealt.mapInArrow(_likely(percent), "a long, b long, root_a long, root_b long, near double"))
+    if not likely.isEmpty():
+        groups = [F.least("root_a", "root_b").alias("_x"), F.greatest("root_a", "root_b").alias("_y")]
+        best = written(likely.groupBy(*groups).agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b"))
+        roots = _merged(roots, written(_verified(best, known, percent)))
+        now = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+        for side in "ab":
+            now = now.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
+        now = written(now.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+        if not now.isEmpty():
+            roots = _merged(roots, written(_verified(now, known, percent)))
     placed = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     out = prints.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(placed, "key", "left")
     component = F.coalesce("root", "id")

@@ -37,13 +37,16 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, ``n`` at least."""
+    """Powers of the hash base and of its inverse modulo 2**64, ``n`` at least; only tables of a block's size are held."""
     if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((_PRIME, _PRIME_INV)):
-            table = np.full(size, base, np.uint64)
+        tables = []
+        for base in (_PRIME, _PRIME_INV):
+            table = np.full(max(n, BLOCK_BYTES + 2), base, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
+            tables.append(np.multiply.accumulate(table))
+        if n > BLOCK_BYTES + 2:
+            return tables
+        _powers[:] = tables
     return _powers
 
 
@@ -83,24 +86,42 @@ def slices(batches, rows: int = 500) -> Iterator:
             yield batch.slice(k, rows)
 
 
+def _cuts(joined: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``BLOCK_BYTES`` that end behind a space; a longer word is a range of its own."""
+    start = 0
+    while start < len(joined):
+        end = min(start + BLOCK_BYTES, len(joined))
+        if end < len(joined):
+            end = joined.rfind(b" ", start, end) + 1 or joined.find(b" ", end) + 1
+        yield start, end
+        start = end
+
+
 def word_hashes(texts: list[bytes | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and the offsets where each text's words start.
 
-    Text ``i`` has the words ``offsets[i]:offsets[i + 1]``; a null text has none.
+    Text ``i`` has the words ``offsets[i]:offsets[i + 1]``; a null text has
+    none.  A word's hash doesn't hang on its place, so a long text is hashed
+    range by range and takes no more working memory than a short one.
     """
-    joined = b" ".join([t or b"" for t in texts]).translate(table)
-    data = np.frombuffer(joined + b" ", np.uint8)
-    word = data != 32
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], word))))
-    starts, ends = edges[::2], edges[1::2]
-    powers, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * powers[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    joined = b" ".join([t or b"" for t in texts]).translate(table) + b" "
+    whole = np.frombuffer(joined, np.uint8)
+    hashes, places = [], []
+    for low, high in _cuts(joined):
+        data = whole[low:high]
+        word = data != 32
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], word))))
+        starts, ends = edges[::2], edges[1::2]
+        powers, inverse = _power_tables(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data.astype(np.uint64) * powers[: len(data)], out=total[1:])
+        hashes.append(mix((total[ends] - total[starts]) * inverse[starts]))
+        places.append(starts + low)
+    starts = np.concatenate(places)
     sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     offsets = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
     offsets[-1] = len(starts)
-    return hashes, offsets
+    return np.concatenate(hashes), offsets
 
 
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -121,13 +142,19 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Without that setting (as in tests) a folder in the working directory's
-    warehouse is set and used.
+    Where that setting is missing, a session on one machine (as in tests)
+    uses a folder in its warehouse, and a cluster gets an error: its
+    machines would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -143,6 +170,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if path.getName() == "table":
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
 def shards(spark: SparkSession, rows: int, each: int) -> int:
     """A count of shuffle partitions that holds ``each`` rows in a partition, growing with the rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
