@@ -10,11 +10,10 @@ one small aggregation.  For the classes:
 2. pairs whose likelihood estimate is far below the threshold go; the rest
    are verified on the whole sets;
 3. verified links give components.  A bucket that still holds several
-   components is searched: its classes outside its largest component (the
-   probes) meet all its classes, in tiles of bounded size, by their registers
-   alone.  Each pair is looked at in the first bucket that it shares;
-4. of the likely pairs, first the likeliest of each two components is
-   verified, then, where the components still differ, all the others.
+   components is searched where it lies: its classes outside its largest
+   component (the probes) meet all its classes, in tiles that have a bound on
+   rows and on bytes, by estimate and then on their sets.  Each pair is looked
+   at in the first bucket that it shares, and only links leave the task.
 
 So no link between two classes that share a bucket is lost.  With 32 bands of
 4 registers two sets at the threshold of 0.85 miss all buckets with a chance
@@ -38,8 +37,12 @@ from virosight.llm.text import SPACED, blocks, discard, encoded, gram_hashes, sh
 SHINGLE, ROWS, THRESHOLD = 5, 4, 0.8
 #: Centres that a class is first compared with.
 CENTRES = 3
-#: Classes, and probes among them, in a tile of a searched bucket; and rows of tiles in one task on average.
-TILE, PROBES, OPEN_ROWS = 800, 4_000, 1_000
+#: Classes, probes among them, and packed bytes of either in a tile of a searched bucket; and rows of tiles in one task, all on average.
+TILE, PROBES, TILE_BYTES, OPEN_ROWS = 800, 4_000, 4 << 20, 1_000
+#: Salts of a bucket in the join that deals its rows.
+SALTS = 8
+#: Shingles whose sets a tile holds at once.
+HELD_SHINGLES = 4_000_000
 #: Packed bytes of pairs whose sets are built at once.
 PAIR_BYTES = 4 << 20
 #: Pairs whose estimate lies this far below the threshold are not verified: over four standard errors of 128 registers.
@@ -86,14 +89,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             bands = band_hashes(registers, ROWS).view(np.int64)
             full = sizes > 0
             keys = [hashlib.blake2b(hashes[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() if full[i] else None for i in range(len(part))]
+            bodies = [_pack(t, squeeze) if f else None for t, f in zip(part, full, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, end - start), pa.array(sizes), pa.array(keys, pa.binary()),
                     pa.array([r.tobytes() if f else None for r, f in zip(registers, full, strict=True)], pa.binary()),
                     pa.array([b if f else None for b, f in zip(bands, full, strict=True)], pa.list_(pa.int64())),
-                    pa.array([_pack(t, squeeze) if f else None for t, f in zip(part, full, strict=True)], pa.binary()),
+                    pa.array(bodies, pa.binary()), pa.array([len(b) if b else 0 for b in bodies], pa.int64()),
                 ],
-                names=["id", "n", "key", "registers", "bands", "body"],
+                names=["id", "n", "key", "registers", "bands", "body", "size"],
             )
 
 
@@ -173,36 +177,49 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _likely(percent: int):
-    """mapInArrow function over rows sorted by tile: the likely pairs ``a, b, root_a, root_b, near`` of each tile.
+def _hidden_links(percent: int):
+    """mapInArrow function over rows sorted by tile: links ``a, b`` between different components.
 
     A tile holds probes and classes of one bucket.  A probe meets every class
     of another component once: two probes meet where the lesser id is the probe.
     """
     cut = percent / 100 - MARGIN
-    names = ["a", "b", "root_a", "root_b", "near"]
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    def links(rows: pa.Table) -> pa.RecordBatch:
         band = rows.column("band")[0].as_py()
         is_probe, rest = (rows.column(c).to_numpy() for c in ("probe", "rest"))
         ids, roots, sizes = (rows.column(c).to_numpy() for c in ("id", "root", "n"))
-        sizes = sizes.astype(float)
+        sizes, bodies = sizes.astype(float), rows.column("body")
         registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         classes = np.flatnonzero(~is_probe)
-        out = []
+        place, out = roots.copy(), []
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for i in np.flatnonzero(is_probe):
-            near = classes[(roots[classes] != roots[i]) & (~rest[classes] | (ids[i] < ids[classes]))]
+            near = classes[(place[classes] != place[i]) & (~rest[classes] | (ids[i] < ids[classes]))]
             near = near[np.minimum(sizes[near], sizes[i]) * 100 >= percent * np.maximum(sizes[near], sizes[i])]
             same = registers[near] == registers[i]
             first = same.reshape(len(near), REGISTERS // ROWS, ROWS).all(2).argmax(1) == band
             near = near[(same.mean(1) >= cut - 0.05) & first]
-            if len(near):
-                j = estimate(np.broadcast_to(registers[i], (len(near), REGISTERS)), registers[near], np.full(len(near), sizes[i]), sizes[near])
-                out += [(i, k, x) for k, x in zip(near[j >= cut], j[j >= cut], strict=True)]
-        left, right = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
-        swap = ids[left] > ids[right]
-        a, b = np.where(swap, right, left), np.where(swap, left, right)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(roots[a]), pa.array(roots[b]), pa.array(np.array([x[2] for x in out], float))], names=names)
+            if not len(near):
+                continue
+            j = estimate(np.broadcast_to(registers[i], (len(near), REGISTERS)), registers[near], np.full(len(near), sizes[i]), sizes[near])
+            near = near[np.argsort(-j, kind="stable")[: (j >= cut).sum()]]
+            own = _sets([bodies[int(i)].as_py()])[0] if len(near) else None
+            for k in near.tolist():
+                if place[i] == place[k]:
+                    continue
+                if k not in sets:
+                    if held > HELD_SHINGLES:
+                        sets.clear()
+                        held = 0
+                    sets[k] = _sets([bodies[k].as_py()])[0]
+                    held += len(sets[k])
+                both = len(np.intersect1d(own, sets[k], assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(sets[k]) - both):
+                    out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+                    place[place == place[k]] = place[i]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,33 +230,35 @@ def _likely(percent: int):
             for start, end in zip(edges, edges[1:], strict=False):
                 if end > start:
                     if held and now != tuple(keys[:, start]):
-                        yield pairs(pa.Table.from_batches(held))
+                        yield links(pa.Table.from_batches(held))
                         held = []
                     now = tuple(keys[:, start])
                     held.append(batch.slice(start, end - start))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield links(pa.Table.from_batches(held))
 
     return run
 
 
 def _tiles(placed: DataFrame) -> DataFrame:
-    """Rows of searched buckets dealt to tiles: ``bucket, part, side, probe, rest, band, id, root``.
+    """Rows of searched buckets (bucket, band, id, root, size) dealt to tiles: ``bucket, part, side, probe, rest, band, id, root``.
 
-    Classes are dealt to parts of about ``TILE``, and probes (the classes
-    outside the largest component) to sides of about ``PROBES``.  A tile is a
-    part and a side, so a bucket of k classes with few probes makes about k
-    rows, and no tile grows with the bucket.
+    Classes are dealt to parts of about ``TILE`` classes and ``TILE_BYTES``,
+    and probes (the classes outside the largest component) to sides alike.  A
+    tile is a part and a side, so a bucket of k classes with few probes makes
+    about k rows, and no tile grows with the bucket.
     """
-    each = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    main = each.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("m"))
-    parts, sides = F.ceil(F.col("k") / TILE).cast("int"), F.ceil(F.col("m") / PROBES).cast("int")
+    each = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
+    main = each.groupBy("bucket").agg(F.max_by(F.struct("root", "size"), F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("m"), F.sum("size").alias("size"))
+    count = lambda n, most, size: F.greatest(F.ceil(n / most), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
+    main = main.select("bucket", F.col("main.root").alias("main"), count(F.col("k"), TILE, F.col("size")).alias("parts"), count(F.col("m"), PROBES, F.col("size") - F.col("main.size")).alias("sides"))
     seat = F.xxhash64("id")
-    rows = placed.join(main, "bucket").withColumn("rest", F.col("root") != F.col("main"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    salted = main.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = placed.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"]).withColumn("rest", F.col("root") != F.col("main"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keep = ["rest", "band", "id", "root"]
-    classes = rows.select("bucket", F.pmod(seat, parts).cast("int").alias("part"), every(sides).alias("side"), F.lit(False).alias("probe"), *keep)
-    probes = rows.where("rest").select("bucket", every(parts).alias("part"), F.pmod(seat, sides).cast("int").alias("side"), F.lit(True).alias("probe"), *keep)
+    classes = rows.select("bucket", F.pmod(seat, "parts").cast("int").alias("part"), every("sides").alias("side"), F.lit(False).alias("probe"), *keep)
+    probes = rows.where("rest").select("bucket", every("parts").alias("part"), F.pmod(seat, "sides").cast("int").alias("side"), F.lit(True).alias("probe"), *keep)
     return classes.unionByName(probes)
 
 
@@ -266,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     integers.  Other columns are not read.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = written(narrow.mapInArrow(_fingerprints, "id long, n long, key binary, registers binary, bands array<long>, body binary"))
+    prints = written(narrow.mapInArrow(_fingerprints, "id long, n long, key binary, registers binary, bands array<long>, body binary, size long"))
     known = prints.where("id is not null and key is not null")
     classes = known.groupBy("key").agg(F.min("id").alias("id"))
     reps = known.select("id", "key", "bands").join(classes, ["id", "key"], "left_semi")
@@ -284,21 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only a bucket of two classes that were compared above is left out.
     twos = placed.where("k = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti").drop("k")
-    tiles = written(_tiles(placed))
+    sized = known.groupBy("id").agg(F.max("size").alias("size"))
+    tiles = written(_tiles(placed.join(sized, "id")))
     parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
     order = ["bucket", "part", "side"]
-    dealt = tiles.join(known.select("id", "n", "registers"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers").repartition(parts, *order).sortWithinPartitions(*order)
-    likely = written(dealt.mapInArrow(_likely(percent), "a long, b long, root_a long, root_b long, near double"))
-    if not likely.isEmpty():
-        groups = [F.least("root_a", "root_b").alias("_x"), F.greatest("root_a", "root_b").alias("_y")]
-        best = written(likely.groupBy(*groups).agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b"))
-        roots = _merged(roots, written(_verified(best, known, percent)))
-        now = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-        for side in "ab":
-            now = now.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left")
-        now = written(now.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
-        if not now.isEmpty():
-            roots = _merged(roots, written(_verified(now, known, percent)))
+    dealt = tiles.join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartition(parts, *order).sortWithinPartitions(*order)
+    more = written(dealt.mapInArrow(_hidden_links(percent), "a long, b long"))
+    if not more.isEmpty():
+        roots = _merged(roots, more)
     placed = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     out = prints.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(placed, "key", "left")
     component = F.coalesce("root", "id")
