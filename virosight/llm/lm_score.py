@@ -15,7 +15,6 @@ of all words.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,56 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosight.llm.text import ALNUM, blocks, encoded, gram_hashes, shards, word_hashes, written
+from virosight.llm.text import ALNUM, PACK_BYTES, blocks, gram_hashes, packed_blocks, shards, unpacked, word_hashes, written
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
-#: Text bytes of a block, and n-grams of a shard at most on average.
-PACK_BYTES, SHARD_GRAMS = 12 << 20, 2_500_000
-
-
-def _packer(limit: int):
-    """mapInArrow function that gathers (id, text) rows to blocks of about ``limit`` text bytes."""
-
-    def pack(ids: list, texts: list[bytes | None], kind: pa.DataType, squeeze) -> pa.RecordBatch:
-        words = 0
-        for start, end in blocks(texts):
-            data = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts[start:end])]).translate(ALNUM), np.uint8) != 32
-            words += int((data[1:] & ~data[:-1]).sum())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(kind)),
-                pa.array([[-1 if t is None else len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([squeeze.compress(b"".join(t or b"" for t in texts))], pa.binary()), pa.array([words], pa.int64()),
-            ],
-            names=["block", "ids", "sizes", "body", "words"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3)
-        ids, texts, size, kind = [], [], 0, None
-        for batch in batches:
-            kind = batch.schema.types[0]
-            for i, t in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
-                if texts and size + len(t or b"") > limit:
-                    yield pack(ids, texts, kind, squeeze)
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t or b"")
-        if texts:
-            yield pack(ids, texts, kind, squeeze)
-
-    return run
-
-
-def _texts(sizes: list[int], body: bytes) -> list[bytes | None]:
-    import zstandard
-
-    whole = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, sum(n for n in sizes if n > 0)))
-    ends = np.cumsum([max(n, 0) for n in sizes])
-    return [None if n < 0 else whole[e - n : e] for n, e in zip(sizes, ends.tolist(), strict=True)]
+#: N-grams of a shard at most on average.
+SHARD_GRAMS = 2_500_000
 
 
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +56,7 @@ def _asker(order: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words, places = _words(_texts(sizes, body))
+                words, places = _words(unpacked(sizes, body))
                 for n in range(1, order + 1):
                     grams, counts = np.unique(_grams(words, places, n)[0], return_counts=True)
                     own = _shard(grams, count)
@@ -153,7 +107,7 @@ def _scorer(order: int, backoff: float, least: int, total: int):
     """Over rows sorted by block, its texts first: ``_id, n_tokens, n_backoff, log10_score``."""
 
     def scores(ids, sizes, body, found: dict[int, list[np.ndarray]], kind) -> pa.RecordBatch:
-        texts = _texts(sizes, body)
+        texts = unpacked(sizes, body)
         words, places = _words(texts)
         counts: list[np.ndarray] = [np.full(len(words), max(total, 1), np.uint64)]
         for n in range(1, order + 1):
@@ -215,7 +169,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    packed = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_packer(PACK_BYTES), f"block long, ids array<{kind}>, sizes array<long>, body binary, words long"))
+    packed = written(packed_blocks(docs, id_col, text_col, PACK_BYTES))
     total = packed.agg(F.sum("words")).first()[0] or 0
     count = shards(spark, total * order, SHARD_GRAMS)
     asked = packed.select("block", "sizes", "body").mapInArrow(_asker(order, count), "shard long, block long, n long, grams binary, counts binary")

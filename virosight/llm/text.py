@@ -13,10 +13,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+#: Bytes of a block of a kernel, and of a packed block that travels.
+BLOCK_BYTES, PACK_BYTES = 2 << 20, 12 << 20
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -59,8 +61,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def encoded(column) -> list[bytes | None]:
     """UTF-8 of an Arrow string column, without decoding it."""
-    import pyarrow as pa
-
     if pa.types.is_large_string(column.type):
         return column.cast(pa.large_binary()).to_pylist()
     return column.cast(pa.binary()).to_pylist()
@@ -187,3 +187,54 @@ def shards(spark: SparkSession, rows: int, each: int) -> int:
 def crc_bucket(column: str, modulus: int):
     """crc32 of a column as text, modulo ``modulus``; a null counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def _packer(limit: int):
+    """mapInArrow function that gathers (id, text) rows to blocks of about ``limit`` text bytes."""
+
+    def pack(ids: list, texts: list[bytes | None], kind: pa.DataType, squeeze) -> pa.RecordBatch:
+        words = 0
+        for start, end in blocks(texts):
+            data = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts[start:end])]).translate(ALNUM), np.uint8) != 32
+            words += int((data[1:] & ~data[:-1]).sum())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(kind)),
+                pa.array([[-1 if t is None else len(t) for t in texts]], pa.list_(pa.int64())),
+                pa.array([squeeze.compress(b"".join(t or b"" for t in texts))], pa.binary()), pa.array([words], pa.int64()),
+            ],
+            names=["block", "ids", "sizes", "body", "words"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        ids, texts, size, kind = [], [], 0, None
+        for batch in batches:
+            kind = batch.schema.types[0]
+            for i, t in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                if texts and size + len(t or b"") > limit:
+                    yield pack(ids, texts, kind, squeeze)
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t or b"")
+        if texts:
+            yield pack(ids, texts, kind, squeeze)
+
+    return run
+
+
+def unpacked(sizes: list[int], body: bytes) -> list[bytes | None]:
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, sum(n for n in sizes if n > 0)))
+    ends = np.cumsum([max(n, 0) for n in sizes])
+    return [None if n < 0 else whole[e - n : e] for n, e in zip(sizes, ends.tolist(), strict=True)]
+
+
+def packed_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = PACK_BYTES) -> DataFrame:
+    """Rows ``block, ids, sizes, body, words`` of about ``limit`` text bytes each, the texts compressed in one body."""
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_packer(limit), f"block long, ids array<{kind}>, sizes array<long>, body binary, words long")
