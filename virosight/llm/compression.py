@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from virosight.llm.text import ALNUM
@@ -67,28 +68,40 @@ def window_sizes(texts: list[bytes], size: int, compressors: Iterable) -> tuple[
     return np.array(owner, np.int64), sizes, lengths
 
 
+def drawn_windows(texts: Iterable[bytes], size: int, limit: int) -> list[bytes]:
+    """Windows of about ``size`` bytes from all places of all texts, in the order of a hash, of ``limit`` bytes together."""
+    windows = {text[a : a + n] for text in texts for a, n in cuts(text, size)}
+    out, used = [], 0
+    for w in sorted(windows, key=lambda w: hashlib.blake2b(w, digest_size=8).digest()):
+        if used + len(w) + 1 > limit:
+            break
+        out.append(w)
+        used += len(w) + 1
+    return out
+
+
 def labelled_sample(rows: DataFrame, label_col: str, text_col: str, per_label: int, max_chars: int, max_labels: int) -> list[tuple]:
-    """At most about ``4 * per_label`` (label, text) rows of each label, the texts cut to ``max_chars``, in a fixed order.
+    """At most ``per_label`` (label, text) rows of each label with whole, different texts, in a fixed order.
 
-    Rows are chosen by a hash of their text, so the choice does not hang on
-    partitions, and copies of a text count and come once.  Null labels and texts
-    take no part.  More than ``max_labels`` labels is an error.
+    Copies of a text come once, then the texts with the least hashes are
+    drawn, so the choice hangs neither on partitions nor on how often a text
+    occurs.  Texts of over ``max_chars`` characters aren't drawn, and null
+    labels and null or empty texts take no part.  More than ``max_labels``
+    labels is an error.
     """
-    known = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"))
-    counts = known.groupBy("_label").agg(F.approx_count_distinct(F.xxhash64("_text"))).limit(max_labels + 1).collect()
+    fits = F.length(text_col).between(1, max_chars)
+    known = rows.where(F.col(label_col).isNotNull() & fits).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text", F.lit("sample")))
+    counts = known.groupBy("_label").agg(F.approx_count_distinct("_h")).limit(max_labels + 1).collect()
     if len(counts) > max_labels:
         raise ValueError(f"{label_col} has more than {max_labels} values")
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = F.lit(False)
+    draw = F.pmod("_h", F.lit(1 << 40)) / float(1 << 40)
+    rate = F.lit(0.0)
     for label, n in counts:
-        chosen = chosen | ((F.col("_label") == F.lit(label)) & (draw < min(1.0, 4.0 * per_label / n)))
-    limit = 8 * per_label * len(counts)
-    found = known.where(chosen).select("_label", F.xxhash64("_text").alias("_h"), F.substring("_text", 1, max_chars).alias("_text")).distinct().limit(limit).collect()
-    kept: dict = {}
-    for label, h, text in sorted(found, key=lambda r: (str(r[0]), r[1], r[2])):
-        own = kept.setdefault(label, {})
-        if len(own) < per_label:
-            own.setdefault(h, text)
-    return [(label, text) for label, own in kept.items() for text in own.values()]
+        # Twice what is wanted: the count is an estimate, and the window below cuts the rest.
+        rate = F.when(F.col("_label") == F.lit(label), F.lit(min(1.0, 2.0 * per_label / max(n, 1)))).otherwise(rate)
+    once = known.where(draw < rate).groupBy("_label", "_h").agg(F.min("_text").alias("_text"))
+    seat = F.row_number().over(Window.partitionBy("_label").orderBy(draw, "_h"))
+    found = once.withColumn("_k", seat).where(F.col("_k") <= per_label).select("_label", "_k", "_text").collect()
+    return [(label, text) for label, _, text in sorted(found, key=lambda r: (str(r[0]), r[1]))]

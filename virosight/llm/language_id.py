@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosight.llm.compression import compressor, labelled_sample, plain, window_sizes
+from virosight.llm.compression import compressor, drawn_windows, labelled_sample, plain, window_sizes
 from virosight.llm.text import crc_bucket
 
-#: Labelled texts of a language, characters of each, and bytes of a dictionary: the bounds of the learned sample.
-PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4_000, 100_000
-MAX_LANGUAGES = 200
+#: Labelled texts of a language, characters that a drawn text may have, and bytes of a dictionary: the bounds of the learned sample.
+PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 200_000, 100_000
+#: Bytes of a piece of a dictionary; languages of a model at most; and compressors that a worker holds at once.
+PIECE_BYTES, MAX_LANGUAGES, HELD_LANGUAGES = 256, 2_000, 200
 WINDOW_BYTES, LEVEL = 1024, 9
 #: Bits of difference that count as one unit of evidence in the score.
 TEMPER = 4.0
@@ -30,32 +31,38 @@ UNKNOWN = "und"
 
 
 def learn_languages(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
-    """Dictionary content of each language that the rows are labelled with, from a bounded sample."""
+    """Dictionary content of each language that the rows are labelled with: pieces from all places of a bounded sample of whole texts."""
     parts: dict[str, list[bytes]] = {}
     for lang, text in labelled_sample(rows, lang_col, text_col, PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES):
         parts.setdefault(str(lang), []).append(plain(text))
-    return {lang: (b" ".join(own)[:DICTIONARY_BYTES] + b" ") for lang, own in sorted(parts.items())}
+    return {lang: b" ".join(drawn_windows(own, PIECE_BYTES, DICTIONARY_BYTES)) + b" " for lang, own in sorted(parts.items())}
 
 
 _held: dict[int, list] = {}
 
 
-def _compressors(model: dict[str, bytes]) -> list:
-    """The model's compressors; a worker keeps those of the last model."""
-    key = hash(tuple(model.items()))
-    if key not in _held:
-        _held.clear()
-        _held[key] = [compressor(c, LEVEL) for c in model.values()]
-    return _held[key]
+def _compressors(model: dict[str, bytes]) -> Iterator[list]:
+    """The model's compressors, ``HELD_LANGUAGES`` at a time; a worker keeps those of the last part it used."""
+    contents = list(model.values())
+    for k in range(0, len(contents), HELD_LANGUAGES):
+        key = hash((k, *contents[k : k + HELD_LANGUAGES]))
+        if key not in _held:
+            _held.clear()
+            _held[key] = [compressor(c, LEVEL) for c in contents[k : k + HELD_LANGUAGES]]
+        yield _held[key]
 
 
-def classify(texts: list[str | None], names: list[str], compressors: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+def classify(texts: list[str | None], model: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text; ``und``, 0 and True for a text without a letter."""
-    forms = [plain(t) for t in texts]
+    names = list(model)
     if not names:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    owner, sizes, _ = window_sizes(forms, WINDOW_BYTES, compressors)
-    total = np.stack([np.bincount(owner, weights=s, minlength=len(texts)) for s in sizes], 1)
+    forms = [plain(t) for t in texts]
+    columns = []
+    for some in _compressors(model):
+        owner, sizes, _ = window_sizes(forms, WINDOW_BYTES, some)
+        columns += [np.bincount(owner, weights=s, minlength=len(texts)) for s in sizes]
+    total = np.stack(columns, 1)
     best = total.argmin(1)
     odds = np.exp(-np.minimum((total - total.min(1, keepdims=True)) * 8 / TEMPER, 700))
     score = 1 / odds.sum(1)
@@ -67,11 +74,10 @@ def classify(texts: list[str | None], names: list[str], compressors: list) -> tu
 
 def _predictor(model, text_at: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, compressors = list(model.value), _compressors(model.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                langs, score, rejected = classify(part.column(text_at).to_pylist(), names, compressors)
+                langs, score, rejected = classify(part.column(text_at).to_pylist(), model.value)
                 if keep:
                     yield part.filter(pa.array(~rejected))
                 else:
@@ -88,7 +94,8 @@ def predict_languages(docs: DataFrame, model: dict[str, bytes], id_col: str = "d
     with equal sizes the first by name is chosen, at a score of 1/2 or less,
     and rejected, as is every choice with a narrow margin; the margin is held
     against the size of the text.  With one language there is no second best.
-    Whole texts are encoded; other columns are not read.
+    Whole texts of any length are encoded.  Repeated rows all stay, an empty
+    table gives no row, and other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean"
@@ -96,7 +103,13 @@ def predict_languages(docs: DataFrame, model: dict[str, bytes], id_col: str = "d
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The rows whose language is identified by a margin that is not narrow, all columns kept."""
+    """The rows whose language is identified by a margin that is not narrow, all columns kept.
+
+    Null, empty and letterless texts go.  With an empty model there is no
+    language to identify, and every row stays.
+    """
+    if not model:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_predictor(shared, docs.columns.index(text_col), True), docs.schema)
 
@@ -107,6 +120,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out; odd rows as in ``predict_languages``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict_languages(docs, learn_languages(training_rows(docs)))
     return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

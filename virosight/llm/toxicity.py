@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
 Two raw-content zstandard dictionaries are trained, one on toxic and one on
-ordinary labelled text, with the same ordinary text at their ends, so that
-only what sets toxic text apart differs.  A text is cut into short windows;
-how much shorter each comes out with the toxic dictionary gives three
-measures, and a logistic curve fitted on labelled texts that made neither
-dictionary turns them into a score.
+ordinary labelled texts.  The toxic one holds windows of toxic texts with runs
+of bytes that are far more frequent there, the most telling ones last (where
+matches are cheapest); the ordinary one holds as many bytes of windows of
+ordinary texts.  Both end with the same ordinary text, so that only what sets
+toxic text apart differs.  A text is cut into short windows; how much shorter
+each comes out with the toxic dictionary gives three measures, and a logistic
+curve fitted on labelled texts that made neither dictionary turns them into a
+score.
 """
 
 from __future__ import annotations
@@ -16,18 +19,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from virosight.llm.compression import compressor, plain, window_sizes
+from virosight.llm.compression import compressor, cuts, drawn_windows, plain, window_sizes
 from virosight.llm.text import crc_bucket
 
-#: Labelled rows of each class and characters of each: the bounds of the learned sample.
-PER_CLASS, SAMPLE_CHARS = 2_500, 20_000
+#: Labelled texts of each class, and characters that a drawn text may have: the bounds of the learned sample.
+PER_CLASS, SAMPLE_CHARS = 2_500, 200_000
 WINDOW_BYTES, LEVEL = 48, 9
-SHARED_BYTES, OWN_BYTES = 64_000, 16_000
-#: Least standard score and frequency ratio of the byte runs that set toxic text apart.
-RUN, LEAST_Z, LEAST_RATIO, LEAST_TEXTS = 5, 7.0, 10.0, 3
+#: Bytes of the ordinary text that both dictionaries end with, and of a window of it; most bytes of a dictionary's own windows, and of one.
+SHARED_BYTES, SHARED_WINDOW, OWN_BYTES, OWN_WINDOW = 64_000, 200, 16_000, 12
+#: Bytes of a run; least standard score, frequency ratio and texts of a telling one; and windows that a run is held by.
+RUN, LEAST_Z, LEAST_RATIO, LEAST_TEXTS, TIMES = 5, 6.0, 10.0, 3, 1
 TOXIC_FROM = 0.7
 
 
@@ -44,32 +48,42 @@ def _runs(text: bytes) -> set[bytes]:
     return {s[i : i + RUN] for i in range(len(s) - RUN + 1)}
 
 
-def _distinct_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words that hold a run of bytes far more frequent in toxic texts, most telling first."""
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
+    """Runs of bytes that far more toxic than ordinary texts hold, with their log ratio."""
     many, few = Counter(), Counter()
     for counts, texts in ((many, toxic), (few, ordinary)):
         for t in texts:
             counts.update(_runs(t))
     a, b = len(toxic), len(ordinary)
-    telling = {}
+    out = {}
     for run, n in many.items():
-        m = few[run]
-        if n >= LEAST_TEXTS and n / a > LEAST_RATIO * (m + 0.5) / b:
-            p = (n + m + 1) / (a + b + 2)
-            z = ((n + 0.5) / (a + 1) - (m + 0.5) / (b + 1)) / np.sqrt(p * (1 - p) * (1 / a + 1 / b))
-            if z >= max(4.5, min(LEAST_Z, 0.22 * np.sqrt(a))):
-                telling[run] = z
-    in_toxic, in_ordinary = Counter(), Counter()
-    for counts, texts in ((in_toxic, toxic), (in_ordinary, ordinary)):
-        for t in texts:
-            counts.update(set(t.split()))
+        p, q = (n + 0.5) / (a + 1), (few[run] + 0.5) / (b + 1)
+        if n >= LEAST_TEXTS and p > LEAST_RATIO * q:
+            share = (n + few[run] + 1) / (a + b + 2)
+            if (p - q) / np.sqrt(share * (1 - share) * (1 / a + 1 / b)) >= LEAST_Z:
+                out[run] = float(np.log(p / q))
+    return out
+
+
+def _toxic_windows(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Windows of toxic texts, most telling for their length first; one whose runs others hold already is passed over."""
+    telling = _telling(toxic, ordinary)
     value = {}
-    for word, n in in_toxic.items():
-        s = b" " + word + b" "
-        v = max((telling.get(s[i : i + RUN], 0.0) for i in range(len(s) - RUN + 1)), default=0.0)
-        if v and n >= min(LEAST_TEXTS, a / 50 + 1) and n > LEAST_RATIO * in_ordinary[word]:
-            value[word] = v * n
-    return sorted(value, key=lambda w: (-value[w], w))
+    for text in toxic:
+        for start, n in cuts(text, OWN_WINDOW):
+            w = text[start : start + n]
+            if w not in value and (v := sum(telling.get(r, 0.0) for r in _runs(w))):
+                value[w] = v
+    out, used, size = [], Counter(), 0
+    for w in sorted(value, key=lambda w: (-value[w] / (len(w) + 8), w)):
+        own = _runs(w) & telling.keys()
+        if sum(telling[r] for r in own if used[r] < TIMES) >= value[w] / 2:
+            size += len(w) + 1
+            if size > OWN_BYTES:
+                break
+            used.update(own)
+            out.append(w)
+    return out
 
 
 def _features(texts: list[bytes], compressors: list) -> np.ndarray:
@@ -87,7 +101,11 @@ def _features(texts: list[bytes], compressors: list) -> np.ndarray:
 
 
 def learn_toxicity(sample: list[tuple[int, str]]) -> ToxicityModel | None:
-    """Train the dictionaries on two thirds of the (label, text) rows and fit the curve on the rest; None if a class is missing."""
+    """Train the dictionaries on two thirds of the (label, text) rows and fit the curve on the rest; None if a class is missing.
+
+    A text of both labels counts for both, repeated rows count as often as
+    they come; windows of equal worth go in the order of their bytes.
+    """
     by = {0: [], 1: []}
     for label, text in sample:
         by[int(bool(label))].append(plain(text))
@@ -95,10 +113,9 @@ def learn_toxicity(sample: list[tuple[int, str]]) -> ToxicityModel | None:
         return None
     toxic, ordinary = ([t for k, t in enumerate(by[c]) if k % 3] for c in (1, 0))
     held = [by[c][::3] for c in (1, 0)]
-    own = b" ".join(reversed(_distinct_words(toxic, ordinary)))[-OWN_BYTES:]
-    share = max(200, SHARED_BYTES // len(ordinary))
-    base = b" ".join(t[:share] for t in ordinary)[:SHARED_BYTES]
-    pad = base[: len(own)]
+    own = b" ".join(reversed(_toxic_windows(toxic, ordinary)))
+    base = b" ".join(drawn_windows(ordinary, SHARED_WINDOW, SHARED_BYTES))
+    pad = b" ".join(drawn_windows(ordinary, OWN_WINDOW, len(own)))
     model = ToxicityModel(pad + b" " + base + b" ", own + b" " + base + b" ", [], [], [])
     x = _features(held[0] + held[1], [compressor(model.ordinary, LEVEL), compressor(model.toxic, LEVEL)])
     y = np.repeat([1.0, 0.0], [len(held[0]), len(held[1])])
@@ -114,17 +131,15 @@ def learn_toxicity(sample: list[tuple[int, str]]) -> ToxicityModel | None:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, str]]:
-    """A bounded sample of (label, text): ids are drawn by hash from ``labels``, then only their texts are read."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) != 0).cast("int").alias("_label"))
-    counts = dict(known.groupBy("_label").count().collect())
-    if not counts:
-        return []
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.when(F.col("_label") == 1, F.lit(min(1.0, PER_CLASS / counts.get(1, 1)))).otherwise(F.lit(min(1.0, PER_CLASS / counts.get(0, 1))))
-    ids = known.where(draw < rate).limit(4 * PER_CLASS)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    rows = text.join(F.broadcast(ids), "_id").select("_label", F.xxhash64("_id").alias("_h"), F.substring("_text", 1, SAMPLE_CHARS).alias("_text")).limit(4 * PER_CLASS)
-    return [(label, t) for label, _, t in sorted(rows.collect(), key=lambda r: (r[0], r[1], r[2]))]
+    """A bounded sample of (label, text): at most ``PER_CLASS`` different whole texts of each class, the ones with the least hashes."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) != 0).cast("int").alias("_label")).distinct()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, SAMPLE_CHARS)).withColumn("_h", F.xxhash64("_text", F.lit("toxic")))
+    # The texts stay behind until it is known which ones are drawn.
+    seat = F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_id"))
+    once = rows.select("_id", "_h").join(known, "_id").groupBy("_label", "_h").agg(F.min("_id").alias("_id"))
+    drawn = once.withColumn("_k", seat).where(F.col("_k") <= PER_CLASS)
+    found = rows.join(F.broadcast(drawn), ["_id", "_h"]).select("_label", "_k", "_text").dropDuplicates(["_label", "_k"]).collect()
+    return [(label, text) for label, _, text in sorted(found, key=lambda r: (r[0], r[1]))]
 
 
 _held: dict = {}
@@ -149,8 +164,10 @@ def score_texts(texts: list[str | None], model: ToxicityModel | None) -> np.ndar
 def toxicity_scores(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``id_col, score``.
 
-    Whole texts are scored; a null or empty text has no window and gets the
-    score of a text that gains nothing.  Other columns are not read.
+    Whole texts of any length are scored; a null or empty text has no window
+    and gets the score of a text that gains nothing.  Equal texts score alike,
+    repeated rows all stay and an empty table gives no row.  Other columns are
+    not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"_id {dict(docs.dtypes)[id_col]}, score double"
@@ -165,6 +182,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel | None, id_col: str =
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labelled rows that are not held out; odd rows as in ``toxicity_scores``."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = learn_toxicity(labelled_texts(docs, labels.where(crc_bucket("doc_id", 3) != 1)))
     held_out = (crc_bucket("doc_id", 3) == 1).alias("held_out")
