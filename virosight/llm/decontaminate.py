@@ -180,12 +180,22 @@ def contamination(
     return out.withColumnRenamed("_id", id_col)
 
 
+def _covered(spans):
+    """Summed lengths of the flat spans start, end, ... of an array column."""
+    ends = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of ``contamination`` for every document; ``hit_bytes`` are the bytes of the original text from the first to the last word of each hit run.
+
+    Odd rows as described there: null texts have no words and hit nothing,
+    repeated rows all stay, an empty table gives no row.
+    """
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    n_hit = F.aggregate("spans", F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("n")), lambda a, x: F.when(a["start"] < 0, F.struct(x.alias("start"), a["n"].alias("n"))).otherwise(F.struct(F.lit(-1).cast("long").alias("start"), (a["n"] + x - a["start"]).alias("n"))), lambda a: a["n"])
-    return contamination(docs, benchmark).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    return contamination(docs, benchmark, with_offsets=True).select(
+        "doc_id", "n_words", _covered("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), _covered("byte_spans").alias("hit_bytes"),
     )
 
 
@@ -193,7 +203,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """Documents without any benchmark window, all columns kept.
 
     The scan runs beside the row itself, so there is no join back: rows of
-    equal or null ids are each judged by their own text.
+    equal or null ids are each judged by their own text.  Null, empty and
+    wordless texts hit nothing and stay; an empty benchmark drops nothing.
     """
     kept = docs
     for block in item_blocks(benchmark, "item_id", "text", BLOCK_WORDS):
@@ -212,8 +223,9 @@ def _without(docs: DataFrame, items, text_col: str) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
-_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_LIST = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + _WORDS + "')"
+_WORDS, _REST = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD_LIST = f"regexp_extract_all({_LOWER_TEXT}, '{_WORDS}')"
 
 ORACLE = f"""
 WITH item_words AS (SELECT item_id, {_WORD_LIST} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -224,11 +236,18 @@ WITH item_words AS (SELECT item_id, {_WORD_LIST} AS w FROM benchmark WHERE item_
      runs AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
             FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= size)),
      hits AS (SELECT runs.doc_id, runs.i, runs.size, windows.item_id FROM runs JOIN windows USING (size, win)),
-     hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
-                   FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+     places AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)),
+     hit_words AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+     tokens AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS k
+                FROM (SELECT doc_id, regexp_extract_all({_LOWER_TEXT}, '{_WORDS}|{_REST}') AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM places))),
+     ends AS (SELECT doc_id, t, k, sum(strlen(t)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM tokens),
+     words AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p, stop - strlen(t) AS start, stop FROM ends WHERE regexp_matches(t, '^{_WORDS}$')),
+     islands AS (SELECT doc_id, max(stop) - min(start) AS n
+                 FROM (SELECT doc_id, start, stop, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM places JOIN words USING (doc_id, p)) GROUP BY doc_id, island),
+     hit_bytes AS (SELECT doc_id, sum(n) AS n FROM islands GROUP BY doc_id),
      hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
                    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(hit_bytes.n, 0)::BIGINT AS hit_bytes
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN hit_bytes USING (doc_id)
 """
