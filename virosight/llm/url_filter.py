@@ -16,11 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Terms that reject a url alone.
-STRICT = ("spam", "porn", "xxx", "hentai", "escort", "viagra", "cialis", "warez", "nude", "camgirl", "phishing", "malware")
+STRICT = (
+    "spam", "porn", "porno", "pornhub", "xxx", "hentai", "escort", "escorts", "viagra", "cialis", "levitra", "warez", "nude", "nudes", "camgirl", "camgirls", "phishing", "malware", "milf",
+    "blowjob", "bdsm", "fetish", "onlyfans", "sexcam", "livesex", "spyware", "botnet", "carding", "ransomware", "stresser",
+)
 #: Terms of which several distinct ones reject.
-SOFT = ("cheap", "pills", "casino", "poker", "bet", "loan", "loans", "sexy", "adult", "dating", "crack", "keygen", "torrent", "free", "win", "prize", "pharmacy", "replica", "payday", "hot")
+SOFT = (
+    "cheap", "pills", "pill", "casino", "casinos", "poker", "bet", "bets", "betting", "slots", "jackpot", "roulette", "loan", "loans", "payday", "credit", "sexy", "sex", "adult", "adults", "dating",
+    "singles", "crack", "cracked", "keygen", "serial", "torrent", "torrents", "nulled", "free", "win", "winner", "prize", "giveaway", "pharmacy", "drugs", "meds", "replica", "replicas", "hot",
+    "discount", "coupon", "hack", "hacks", "cheats", "proxy", "bitcoin", "forex", "rich", "weightloss", "diet", "detox", "tramadol", "xanax", "vape", "kratom",
+)
 #: Distinct soft terms that reject.
 SOFT_LIMIT = 2
+#: Terms of a loaded vocabulary at most: the automaton goes to every worker.
+MAX_TERMS = 200_000
 #: (host, path, verdict): fits the host and its subdomains where the path starts so.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -56,6 +65,21 @@ def count_terms(url: str | None, found) -> tuple[int, int]:
     return len(strict), len(soft)
 
 
+def load_vocabulary(table: DataFrame, term_col: str = "term", class_col: str = "class") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table of terms and their class (``strict`` or ``soft``), as ``judge_urls`` takes them.
+
+    Terms are lower-cased; a term of both classes is strict; rows with a null
+    or empty term or another class take no part.  Over ``MAX_TERMS`` terms are
+    an error: the size is checked before anything is collected.
+    """
+    term, kind = F.translate(F.trim(term_col), _UPPER, _LOWER).alias("t"), F.lower(F.trim(class_col)).alias("c")
+    rows = table.select(term, kind).where("t != '' and c in ('strict', 'soft')").groupBy("t").agg(F.max(F.col("c") == "strict").alias("strict"))
+    if (n := rows.count()) > MAX_TERMS:
+        raise ValueError(f"a vocabulary of {n} terms; at most {MAX_TERMS} go to the workers")
+    known = rows.orderBy("t").collect()
+    return tuple(r["t"] for r in known if r["strict"]), tuple(r["t"] for r in known if not r["strict"])
+
+
 def host_of(url: Column) -> Column:
     """Text between the first ``://`` and the next ``/``, ``?`` or ``#``, A-Z lower-cased; else empty."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
@@ -81,7 +105,9 @@ def judge_urls(
     verdict is the rule's, else ``block`` if the vocabulary rejects the url,
     else ``allow``.  A null or empty url has empty host and path, no term and
     the verdict ``allow``; a url without ``://`` has no host but its terms
-    count.  Equal rows stay; other columns are not read.
+    count.  Urls of any length are scanned whole.  Of rules of equal length the
+    first by name holds.  Equal rows stay; an empty table gives no row; other
+    columns are not read.
     """
 
     @F.pandas_udf("n_strict int, n_soft int")
@@ -106,6 +132,7 @@ def judge_urls(
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge_urls`` over all of ``pages``; odd rows as described there."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
