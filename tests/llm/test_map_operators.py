@@ -164,10 +164,13 @@ def test_licenses(spark):
     notice = licenses.TEMPLATES["mit-notice"]
     words = notice.split()
     worn = " ".join(w for i, w in enumerate(words) if i % 9)
-    texts = [None, "", "the of and to", f"Some text. {licenses.TEMPLATES['gpl-3.0']} More.", "x " * 3000 + worn + " y" * 3000, "Licensed under CC BY-NC 4.0. " * 3, "the license of the public version"]
+    texts = [None, "", "the of and", f"Some text. {licenses.TEMPLATES['gpl-3.0']} More.", "x " * 3000 + worn + " y" * 3000, "Licensed under CC BY-NC 4.0. " * 3, "the license of the public version"]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
     best = {i: r["found"][0]["license"] if r["found"] else None for i, r in got.items()}
     assert best == {0: None, 1: None, 2: None, 3: "gpl-3.0", 4: "mit-notice", 5: "cc-by-nc-4.0", 6: None}
+    assert licenses.scan_licenses(docs_of(spark, texts), templates={}).where("size(found) > 0").count() == 0
+    table = spark.createDataFrame([("own", "Quux frobnicates the zyzzyva."), ("own", "Zz later copy"), (None, "x"), ("none", None)], "license string, text string")
+    assert licenses.load_templates(table) == {"own": "Quux frobnicates the zyzzyva."}
     f = got[3]["found"][0]
     assert texts[3].encode()[f["start"] : f["end"]].decode() == licenses.TEMPLATES["gpl-3.0"].rstrip(".") and f["coverage"] == 1.0
 
