@@ -38,7 +38,7 @@ SHINGLE, ROWS, THRESHOLD = 5, 4, 0.8
 #: Centres that a class is first compared with.
 CENTRES = 3
 #: Classes, probes among them, and packed bytes of either in a tile of a searched bucket; and rows of tiles in one task, all on average.
-TILE, PROBES, TILE_BYTES, OPEN_ROWS = 800, 4_000, 4 << 20, 1_000
+TILE, PROBES, TILE_BYTES, OPEN_ROWS = 600, 600, 4 << 20, 1_000
 #: Salts of a bucket in the join that deals its rows.
 SALTS = 8
 #: Shingles whose sets a tile holds at once.
@@ -149,7 +149,8 @@ def _verified(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     kind = dict(pairs.dtypes)["a"]
     heavy = prints.select("id", "n", "registers", "body")
     for side in "ab":
-        pairs = pairs.join(heavy.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "registers", "body"))), side)
+        # The texts' side is never small where that matters, so the join is the same at every size.
+        pairs = pairs.hint("merge").join(heavy.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "registers", "body"))), side)
     columns = ["a", "b", *(f"{c}_{s}" for c in ("n", "registers", "body") for s in "ab")]
     return pairs.select(*columns).mapInArrow(_verifier(percent), f"a {kind}, b {kind}")
 
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tiles = written(_tiles(placed.join(sized, "id")))
     parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
     order = ["bucket", "part", "side"]
-    dealt = tiles.join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartition(parts, *order).sortWithinPartitions(*order)
+    dealt = tiles.hint("merge").join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartition(parts, *order).sortWithinPartitions(*order)
     more = written(dealt.mapInArrow(_hidden_links(percent), "a long, b long"))
     if not more.isEmpty():
         roots = _merged(roots, more)
