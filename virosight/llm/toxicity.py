@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from virosight.llm.compression import compressor, cuts, drawn_windows, plain, window_sizes
-from virosight.llm.text import crc_bucket
+from virosight.llm.text import crc_bucket, written
 
 #: Labelled texts of each class, and characters that a drawn text may have: the bounds of the learned sample.
 PER_CLASS, SAMPLE_CHARS = 2_500, 200_000
@@ -135,9 +135,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) != 0).cast("int").alias("_label")).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, SAMPLE_CHARS)).withColumn("_h", F.xxhash64("_text", F.lit("toxic")))
     # The texts stay behind until it is known which ones are drawn.
-    seat = F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_id"))
-    once = rows.select("_id", "_h").join(known, "_id").groupBy("_label", "_h").agg(F.min("_id").alias("_id"))
-    drawn = once.withColumn("_k", seat).where(F.col("_k") <= PER_CLASS)
+    once = written(rows.select("_id", "_h").join(known, "_id").groupBy("_label", "_h").agg(F.min("_id").alias("_id")))
+    draw, rate = F.pmod("_h", F.lit(1 << 40)) / float(1 << 40), F.lit(0.0)
+    for label, n in once.groupBy("_label").count().collect():
+        # Twice what is wanted, so that few rows are ranked and still enough are left.
+        rate = F.when(F.col("_label") == label, F.lit(min(1.0, 2.0 * PER_CLASS / n))).otherwise(rate)
+    seat = F.row_number().over(Window.partitionBy("_label").orderBy(draw, "_h"))
+    drawn = once.where(draw < rate).withColumn("_k", seat).where(F.col("_k") <= PER_CLASS)
     found = rows.join(F.broadcast(drawn), ["_id", "_h"]).select("_label", "_k", "_text").dropDuplicates(["_label", "_k"]).collect()
     return [(label, text) for label, _, text in sorted(found, key=lambda r: (r[0], r[1]))]
 
