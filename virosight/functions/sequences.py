@@ -83,8 +83,9 @@ def sites(df: DataFrame, seq: str, *keep: str) -> DataFrame:
 
 
 def differs_only(df: DataFrame, root: Column, seq: str, *keep: str) -> DataFrame:
-    """Long form of the places that differ from the root alone: the sparse export."""
-    at = F.filter(F.transform(chars(F.col(seq)), lambda c, i: F.struct((i + 1).alias("pos"), c.alias("state"))), lambda s: s["state"] != F.substr(root, s["pos"], F.lit(1)))
+    """Long form of the places of the root that differ from it: the sparse export.  Places behind the end of either have no state."""
+    pairs = F.arrays_zip(chars(F.col(seq)).alias("a"), chars(root).alias("r"))
+    at = F.filter(F.transform(pairs, lambda p, i: F.struct((i + 1).alias("pos"), p["a"].alias("state"), p["r"].alias("r"))), lambda s: s["state"] != s["r"])
     return df.select(*keep, F.explode(at).alias("d")).select(*keep, "d.pos", "d.state")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from virosight.functions.sequences import canonical, mismatch_share
+from virosight.operators.ordered import quantiles
 
 
 def length_filter(df: DataFrame, seq: str, least: int) -> DataFrame:
@@ -76,17 +77,29 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(packed).alias("_m")).select(*keys, *(F.col(f"_m._row.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
-def round_robin_subsample(df: DataFrame, stratum: list[str], region: str, per_stratum: int, priority: Column, order: list, keep_priority: bool = False) -> DataFrame:
+def round_robin_subsample(
+    df: DataFrame, stratum: list[str], region: str, per_stratum: int, priority: Column, order: list, keep_priority: bool = False
+) -> DataFrame:
     """Per stratum: the first of every region, then the second, and so on, priority rows before others.
 
-    With ``keep_priority`` all priority rows stay and the rest fills up to the limit.
+    With ``keep_priority`` all priority rows stay and the rest fills up to the
+    limit.  No more than ``per_stratum`` rows of a region can be wanted, so
+    ranks are cut at that before rows are shuffled, and priority rows are
+    ranked apart from the rest.
     """
-    df = df.withColumn("_p", priority.cast("int"))
-    inner = Window.partitionBy(*stratum, region, "_p").orderBy(*order)
-    df = df.withColumn("_r", F.row_number().over(inner))
-    outer = Window.partitionBy(*stratum).orderBy(F.desc("_p"), "_r", region, *order)
-    kept = df.withColumn("_k", F.row_number().over(outer)).where((F.col("_k") <= per_stratum) | (F.lit(keep_priority) & (F.col("_p") == 1)))
-    return kept.drop("_p", "_r", "_k")
+    df = df.withColumn("_p", F.coalesce(priority.cast("boolean"), F.lit(False)))
+    inner = Window.partitionBy(*stratum, region).orderBy(*order)
+    outer = Window.partitionBy(*stratum).orderBy("_r", region, *order)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        first = rows.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= per_stratum)
+        return first.withColumn("_k", F.row_number().over(outer)).where(F.col("_k") <= per_stratum)
+
+    first, rest = df.where("_p"), ranked(df.where("not _p"))
+    taken = first.groupBy(*stratum).agg(F.count("*").alias("_taken"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in stratum]
+    filled = rest.alias("l").join(taken.alias("r"), same, "left").where(F.col("_k") + F.coalesce("_taken", F.lit(0)) <= per_stratum).select("l.*")
+    return (first if keep_priority else ranked(first)).unionByName(filled, allowMissingColumns=True).drop("_p", "_r", "_k")
 
 
 def subsample(df: DataFrame, stratum: list[str], per_stratum: int, priority: Column, order: list) -> DataFrame:
@@ -109,17 +122,58 @@ def append_missing(df: DataFrame, curated: DataFrame, key: str) -> DataFrame:
 def clock_filter(df: DataFrame, t: str, d: str, spread: float, keep: Column | None = None) -> DataFrame:
     """Rows whose residual of the line d ~ t is within ``spread`` interquartile ranges; rows in ``keep`` always stay.
 
-    The fit and the quartiles are two one-row aggregates that are joined back,
-    so each pass combines before it shuffles.
+    The fit is a one-row aggregate that is joined back; the exact quartiles
+    come from ranges of the residuals, so no task holds them all.
     """
     line = df.agg(F.regr_slope(d, t).alias("_b"), F.regr_intercept(d, t).alias("_a"))
     res = df.join(F.broadcast(line)).withColumn("_r", F.col("_b") * F.col(t) + F.col("_a") - F.col(d))
-    band = res.agg((F.percentile("_r", F.lit(0.75)) - F.percentile("_r", F.lit(0.25))).alias("_q"))
-    ok = F.abs("_r") < spread * F.col("_q")
-    return res.join(F.broadcast(band)).where(ok if keep is None else ok | keep).drop("_a", "_b", "_r", "_q")
+    low, high = quantiles(res.select("_r"), "_r", [0.25, 0.75])
+    ok = F.abs("_r") < F.lit(None if low is None else spread * (high - low)).cast("double")
+    return res.where(ok if keep is None else ok | keep).drop("_a", "_b", "_r")
 
 
 def recent_with_vaccines(df: DataFrame, start: float, older: DataFrame, span: float, key: str = "strain", date: str = "num_date") -> DataFrame:
     """Adds listed older strains from the ``span`` years before the start that are not there yet."""
     window = older.where((F.col(date) >= start - span) & (F.col(date) < start))
     return append_missing(df, window, key)
+
+
+def sort_by_length(df: DataFrame, seq: str, key: str, seed: int = 0) -> DataFrame:
+    """Longest first; ties in the order of a hash of the key."""
+    return df.orderBy(F.desc(F.length(seq)), F.xxhash64(key, F.lit(seed)), key)
+
+
+def transfer(nodes: DataFrame, attributes: DataFrame, on: str, fields: list[str]) -> DataFrame:
+    """Nodes with the named attributes of the record of the same key; without a record they stay null."""
+    return nodes.join(keep_first(attributes.select(on, *fields), [on], fields), on, "left")
+
+
+def place_lookup(df: DataFrame, strain: str, synonyms: DataFrame, regions: DataFrame, prune: bool = False) -> DataFrame:
+    """Adds ``country`` and ``region`` of the place in a strain name.
+
+    Three candidates are cut from the name and looked up in turn (``synonyms``:
+    label, country; ``regions``: country, region); without a hit both are
+    ``Unknown``, and with ``prune`` rows of an unknown region go.  The lookups
+    are joins; small tables are broadcast by the optimizer.
+    """
+    from virosight.functions.strings import location_labels
+    from virosight.sources.readers import snake_case
+
+    labels = keep_first(synonyms.select(F.lower("label").alias("_label"), snake_case(F.col("country")).alias("_c")), ["_label"], ["_c"])
+    out = df
+    for k, label in enumerate(location_labels(F.col(strain))):
+        out = out.withColumn("_l", label).join(labels.toDF("_l", f"_c{k}"), "_l", "left").drop("_l")
+    out = out.withColumn("country", F.coalesce("_c0", "_c1", "_c2", F.lit("Unknown"))).drop("_c0", "_c1", "_c2")
+    known = keep_first(regions.select(snake_case(F.col("country")).alias("country"), snake_case(F.col("region")).alias("region")), ["country"], ["region"])
+    out = out.drop("region").join(known, "country", "left").withColumn("region", F.coalesce("region", F.lit("Unknown")))
+    return out.where("region <> 'Unknown'") if prune else out
+
+
+def conditional_counts(df: DataFrame, condition: Column, by: list[str]) -> DataFrame:
+    """Rows that meet a condition, counted by some columns, most frequent first."""
+    return df.where(condition).groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
+
+
+def name_difference(names: DataFrame, other: DataFrame) -> DataFrame:
+    """Distinct names that the other set doesn't hold."""
+    return names.subtract(other)

@@ -19,11 +19,11 @@ def fit_trajectories(obs: DataFrame, by: list[str], start: float, stop: float, p
     Observations are first counted in narrow time bins by Spark, which bounds
     what a fitting task gets however many rows a feature has.
     """
-    bins = obs.where((F.col(date) >= start) & (F.col(date) < stop)).groupBy(*by, _bin(date)).agg(F.sum(F.col(seen).cast("int")).alias("_yes"), F.count("*").alias("_n"))
+    bins = obs.where((F.col(date) >= start) & (F.col(date) < stop)).groupBy(*by, bin_of(date)).agg(F.sum(F.col(seen).cast("int")).alias("_yes"), F.count("*").alias("_n"))
     return fit_bins(bins, by, start, stop, per_year, stiffness, inertia, min_obs)
 
 
-def _bin(date: str):
+def bin_of(date: str):
     return ((F.floor(F.col(date) * BINS_PER_YEAR) + 0.5) / BINS_PER_YEAR).alias("_t")
 
 
@@ -59,7 +59,7 @@ def tree_frequencies(nodes: DataFrame, closure: DataFrame, tips: DataFrame, star
     frequency is the product of the shares on its path, so no loop over the
     levels is needed.
     """
-    inside = tips.where((F.col("num_date") >= start) & (F.col("num_date") < stop)).select(F.col("node_id").alias("node"), "region", _bin("num_date"))
+    inside = tips.where((F.col("num_date") >= start) & (F.col("num_date") < stop)).select(F.col("node_id").alias("node"), "region", bin_of("num_date"))
     counts = closure.join(inside, "node").groupBy(F.col("ancestor").alias("node_id"), "region", "_t").agg(F.count("*").alias("_k"))
     edges = nodes.where("parent_id is not null").select("node_id", "parent_id")
     below = counts.join(edges, "node_id").select("node_id", "parent_id", "region", "_t", F.col("_k").alias("_yes"))

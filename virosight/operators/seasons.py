@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from virosight.functions.sequences import binding_sites, differences, masked_sites
+
 
 def season_table(spark: SparkSession, first: int, last: int) -> DataFrame:
     """``season, start, end``: October to April of each year."""
@@ -32,6 +34,37 @@ def season_ancestor(closure: DataFrame, frequencies: DataFrame, nodes: DataFrame
     return present.join(near, ["node", "season"], "left").join(F.broadcast(root)).where("node <> _root").select(F.col("node").alias("node_id"), "season", F.coalesce("near", "_root").alias("ancestor"))
 
 
+def season_distance(ancestors: DataFrame, masked: DataFrame) -> DataFrame:
+    """``node_id, season, distance``: differing masked residues between a node and its ancestor of the season before.
+
+    ``ancestors`` as ``season_ancestor`` gives them; ``masked``: node_id and
+    ``residues``, the residues of the site class as one string.
+    """
+    own = masked.select("node_id", F.col("residues").alias("_a"))
+    theirs = masked.select(F.col("node_id").alias("ancestor"), F.col("residues").alias("_b"))
+    return ancestors.join(own, "node_id").join(theirs, "ancestor").select("node_id", "season", differences(F.col("_a"), F.col("_b")).cast("long").alias("distance"))
+
+
+def site_distances(proteins: DataFrame, key: str, seq: str, root: str, mask: str) -> DataFrame:
+    """``key, ep, ne, rb``: residues that differ from the root's at masked, unmasked and receptor-binding sites."""
+    r, m, s = F.lit(root), F.lit(mask), F.col(seq)
+    pair = lambda f: differences(f(s), f(r)).cast("long")
+    return proteins.select(
+        key, pair(lambda x: masked_sites(x, m)).alias("ep"), pair(lambda x: masked_sites(x, m, "0")).alias("ne"), pair(binding_sites).alias("rb")
+    )
+
+
+def aligned_tolerance(sites: DataFrame, mapping: DataFrame, preferences: DataFrame, key: str, other: float = 1e-5) -> DataFrame:
+    """``key, tolerance`` over sites that are aligned gap-free to those of the preferences.
+
+    ``mapping``: pos, site.  A residue without a preference at a mapped site
+    has the probability ``other``; gaps and unmapped sites add nothing.
+    """
+    p = preferences.select("site", F.col("aa").alias("state"), "p")
+    rows = sites.where("state <> '-'").join(mapping, "pos").join(p, ["site", "state"], "left")
+    return rows.groupBy(key).agg(F.sum(F.ln(F.coalesce("p", F.lit(other)))).alias("tolerance"))
+
+
 def tolerance(sites: DataFrame, preferences: DataFrame, key: str) -> DataFrame:
     """Summed log preference of each sequence's residues; a residue without preference adds nothing."""
     p = preferences.select(F.col("site").alias("pos"), F.col("aa").alias("state"), F.ln("p").alias("_l"))

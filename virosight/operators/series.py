@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from virosight.operators.ordered import blocks_with_edges, running_totals, value_counts
 
-def running_average(df: DataFrame, value: str, order: list[str], size: int, by: list[str] | None = None, out: str = "smooth", zero_padded: bool = False) -> DataFrame:
-    """Mean over ``size`` rows; edges divide by what is there, or by ``size`` if zero padded."""
+
+def running_average(
+    df: DataFrame, value: str, order: list[str], size: int, by: list[str] | None = None, out: str = "smooth", zero_padded: bool = False
+) -> DataFrame:
+    """Mean over ``size`` rows; edges divide by what is there, or by ``size`` if zero padded.
+
+    Without groups the one order is cut in blocks that carry their edges along.
+    """
     low, high = -(size // 2), size // 2 - (size + 1) % 2
-    own = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(low, high)
-    return df.withColumn(out, F.sum(value).over(own) / size if zero_padded else F.avg(value).over(own))
+    rows = df if by else blocks_with_edges(df, order, -low, high)
+    own = Window.partitionBy(*(by or ["_block"])).orderBy(*order).rowsBetween(low, high)
+    rows = rows.withColumn(out, F.sum(value).over(own) / size if zero_padded else F.avg(value).over(own))
+    return rows if by else rows.where("_own").drop("_block", "_own")
 
 
 def cumulative_share(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "share") -> DataFrame:
@@ -81,24 +90,34 @@ def hit_rates(df: DataFrame, initial: Column, observed: Column, predicted: Colum
 
 
 def ks_distance(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Largest distance of the two groups' cumulative shares; ``group`` is boolean.
+    """Largest distance of the two groups' cumulative shares; ``group`` is boolean, null values take no part.
 
-    Values are counted first, so the one ordered pass has a row for each distinct value.
+    Values are counted first, and the counts are added up range by range.
     """
-    counts = df.groupBy(value).agg(F.sum(F.when(F.col(group), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group), 0).otherwise(1)).alias("b"))
-    own = Window.partitionBy(F.lit(0)).orderBy(value)
-    every = Window.partitionBy(F.lit(0))
-    d = F.abs(F.sum("a").over(own) / F.sum("a").over(every) - F.sum("b").over(own) / F.sum("b").over(every))
-    return counts.select(d.alias("d")).agg(F.max("d").alias("ks"))
+    yes = F.coalesce(F.col(group), F.lit(False)).cast("int")
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(yes).alias("a"), F.sum(1 - yes).alias("b"))
+    sums = counts.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    upto = running_totals(counts, [value], {"upto_a": "a", "upto_b": "b"}).join(F.broadcast(sums))
+    return upto.agg(F.max(F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))).alias("ks"))
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Spearman correlation over average ranks."""
-    def rank(c: str) -> Column:
-        own = Window.partitionBy(*by).orderBy(c)
-        return F.rank().over(own) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    """Spearman correlation over average ranks of rows with both values.
 
-    return df.select(*by, rank(x).alias("_x"), rank(y).alias("_y")).groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
+    Ranks belong to values, not rows: they come from running totals of value
+    counts, and pairs of values are counted before they meet their ranks.  The
+    mean rank of n rows is (n + 1) / 2, so one pass sums centred products.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.forall(F.array(*(F.col(c).isNotNull() for c in by)), lambda c: c))
+    pairs = rows.groupBy(*by, x, y).agg(F.count("*").alias("_n"))
+    total = rows.groupBy(*by).agg(F.count("*").alias("_all"))
+    for c, name in ((x, "_x"), (y, "_y")):
+        ranks = value_counts(rows, c, by).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+        pairs = pairs.join(ranks, [*by, c])
+    centred = {c: F.col(c) - (F.col("_all") + 1) / 2 for c in ("_x", "_y")}
+    part = lambda p, q: F.sum(F.col("_n") * centred[p] * centred[q])
+    sums = pairs.join(total, by).groupBy(*by).agg(part("_x", "_y").alias("_xy"), part("_x", "_x").alias("_xx"), part("_y", "_y").alias("_yy"))
+    return sums.select(*by, F.try_divide("_xy", F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"))
 
 
 def bootstrap_share(df: DataFrame, success: Column, key: list[str], by: list[str], draws: int = 100, seed: int = 0) -> DataFrame:
@@ -122,3 +141,42 @@ def month_region_counts(df: DataFrame, date: str, region: str) -> DataFrame:
 def month_region_table(df: DataFrame, date: str, region: str, regions: list[str]) -> DataFrame:
     """One row a month, one column a region, zeros filled in."""
     return df.groupBy(F.year(date).alias("year"), F.month(date).alias("month")).pivot(region, regions).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def interval_statistics(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``key, n, top, mean, deviation`` over the intervals that hold the key, nulls left out; largest first by ``top``."""
+    out = df.groupBy(*key).agg(F.count(value).alias("n"), F.max(value).alias("top"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    return out.where("n > 0").orderBy(F.desc("top"), *key)
+
+
+def interval_table(df: DataFrame, key: list[str], interval: str, value: str, intervals: list) -> DataFrame:
+    """One row a key, one column an interval (the stated ones): a full outer merge with nulls where a key is missing."""
+    return df.where(F.col(interval).isin(*intervals)).groupBy(*key).pivot(interval, intervals).agg(F.max(value))
+
+
+def largest_changes(df: DataFrame, by: list[str], order: str, value: str, top: int = 30) -> DataFrame:
+    """The ``top`` trajectories by their summed absolute change, largest first."""
+    own = Window.partitionBy(*by).orderBy(order)
+    steps = df.select(*by, F.abs(F.col(value) - F.lag(value).over(own)).alias("_d"))
+    return steps.groupBy(*by).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("change")).orderBy(F.desc("change"), *by).limit(top)
+
+
+def pick_best(df: DataFrame, by: list[str], value: str, order: list[str], least: bool = False) -> DataFrame:
+    """The row of each group with the largest (or least) value, the first in ``order`` among equal ones."""
+    from virosight.operators.curate import keep_first
+
+    worth = F.col(value) if least else -F.col(value)
+    return keep_first(df.where(F.col(value).isNotNull()), by, [worth, *order])
+
+
+def band_of_two_errors(df: DataFrame, f: str, n: str, order: str, by: list[str]) -> DataFrame:
+    """Adds ``n_mean`` (running mean of two counts), ``sigma`` and the band ``low, high`` of two errors around ``f``."""
+    own = Window.partitionBy(*by).orderBy(order).rowsBetween(-1, 0)
+    rows = df.withColumn("n_mean", F.avg(n).over(own))
+    sigma = F.sqrt(F.col(f) * (1 - F.col(f)) / (F.col("n_mean") + 1))
+    return rows.withColumn("sigma", sigma).withColumns({"low": F.col(f) - 2 * F.col("sigma"), "high": F.col(f) + 2 * F.col("sigma")})
+
+
+def region_totals(df: DataFrame, date: str, region: str) -> DataFrame:
+    """Samples by year and region, by year, and in all."""
+    return df.rollup(F.year(date).alias("year"), F.col(region).alias("region")).agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from virosight.functions.sequences import chars
+
 
 def site_frequencies(sites: DataFrame, alphabet: str | None = None, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Frequency of each state at each place; states outside the alphabet count in the denominator alone.
@@ -23,7 +25,7 @@ def site_frequencies(sites: DataFrame, alphabet: str | None = None, by: list[str
 def entropy(freqs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Shannon entropy (natural logarithm) and the observed states of each place."""
     f = F.col("freq")
-    return freqs.groupBy(*(by or []), "pos").agg((-F.sum(f * F.ln(F.greatest(f, F.lit(1e-10))))).alias("entropy"), F.array_sort(F.collect_set("state")).alias("states"))
+    return freqs.groupBy(*(by or []), "pos").agg(F.abs(F.sum(f * F.ln(F.greatest(f, F.lit(1e-10))))).alias("entropy"), F.array_sort(F.collect_set("state")).alias("states"))
 
 
 def consensus(freqs: DataFrame, alphabet: str, by: list[str] | None = None) -> DataFrame:
@@ -79,19 +81,18 @@ def closest_reference(queries: DataFrame, references: DataFrame, query: str, ref
 
 
 def best_shift(df: DataFrame, seq: str, root: str, key: str, overlap: int = 30, accept: float = 0.9) -> DataFrame:
-    """Shift of each sequence against the root with the largest share of identical letters.
+    """Shift of each sequence against the root with the largest share of identical letters, the least of equal ones.
 
-    All shifts that leave ``overlap`` letters are tried inside the row; rows
-    whose best share is not above ``accept`` go.
+    All shifts that leave ``overlap`` letters are tried, a row each, and the
+    best is kept before rows are shuffled; sequences whose best share is not
+    above ``accept`` go.
     """
-    s, r = F.col(seq), F.col(root)
-    shifts = F.sequence(F.lit(overlap) - F.length(s), F.length(r) - overlap)
-
-    def share(k: Column) -> Column:
-        start, stop = F.greatest(k, F.lit(0)), F.least(F.length(r), F.length(s) + k)
-        same = F.size(F.filter(F.sequence(start, stop - 1), lambda i: F.substr(r, i + 1, F.lit(1)) == F.substr(s, i - k + 1, F.lit(1))))
-        return same / (stop - start)
-
-    scored = F.transform(shifts, lambda k: F.struct(share(k).alias("share"), (-k).alias("back")))
-    best = df.where((F.length(s) >= overlap) & (F.length(r) >= overlap)).select(key, F.array_max(scored).alias("b"))
-    return best.where(F.col("b.share") > accept).select(key, (-F.col("b.back")).alias("shift"), F.col("b.share").alias("share"))
+    rows = df.where((F.length(seq) >= overlap) & (F.length(root) >= overlap)).select(key, chars(F.col(seq)).alias("_s"), chars(F.col(root)).alias("_r"))
+    n, m = F.size("_s"), F.size("_r")
+    tried = rows.withColumn("_k", F.explode(F.sequence(F.lit(overlap) - n, m - overlap)))
+    start = F.greatest("_k", F.lit(0))
+    length = F.least(m, n + F.col("_k")) - start
+    same = F.zip_with(F.slice("_r", start + 1, length), F.slice("_s", start - F.col("_k") + 1, length), lambda a, b: a == b)
+    scored = tried.select(key, "_k", (F.size(F.filter(same, lambda x: x)) / length).alias("_share"))
+    best = scored.groupBy(key).agg(F.max(F.struct("_share", (-F.col("_k")).alias("back"))).alias("b"))
+    return best.where(F.col("b._share") > accept).select(key, (-F.col("b.back")).alias("shift"), F.col("b._share").alias("share"))

@@ -121,27 +121,3 @@ def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness:
         if gain < 1e-8:
             break
     return 1 / (1 + np.exp(-x))
-
-
-def maximal_cliques(edges: list[tuple]) -> list[frozenset]:
-    """Maximal cliques of a small graph (Bron-Kerbosch with pivots)."""
-    near: dict = {}
-    for a, b in edges:
-        if a != b:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    out: list[frozenset] = []
-    stack = [(frozenset(), set(near), set())]
-    while stack:
-        clique, todo, done = stack.pop()
-        if not todo and not done:
-            out.append(clique)
-            continue
-        if not todo:
-            continue
-        pivot = max(todo | done, key=lambda v: (len(near[v] & todo), str(v)))
-        for v in list(todo - near[pivot]):
-            stack.append((clique | {v}, todo & near[v], done & near[v]))
-            todo.discard(v)
-            done.add(v)
-    return out

@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from virosight.operators.solvers import quadratic
+from virosight.session import saved
 
-#: Columns of a model whose normal equations may be collected.
-MAX_COLUMNS = 20_000
+#: Columns, and cells of their normal equations, that a fit may collect.
+MAX_COLUMNS, MAX_CELLS = 4_000, 8_000_000
 
 
 def homologous(titers: DataFrame, least: int = 10) -> DataFrame:
@@ -58,22 +59,32 @@ def moments(entries: DataFrame, target: DataFrame, y: str, row: str = "row_id")
     return entries.join(target.select(row, y), row).groupBy("col").agg(F.sum(F.col("w") * F.col(y)).alias("v"))
 
 
-def fit(entries: DataFrame, target: DataFrame, y: str, l1: float = 1.0, l2_serum: float = 3.0, l2_virus: float = 0.3, signed: bool = False, row: str = "row_id") -> DataFrame:
-    """Effects with an L1 penalty at 0 or above (or signed), sera and viruses with ridge penalties: ``col, value``.
-
-    The normal equations are two distributed aggregations; only they are
-    collected, and a design of over ``MAX_COLUMNS`` columns is refused.
-    ``l1`` 0 gives non-negative least squares.
-    """
+def collect_equations(entries: DataFrame, target: DataFrame, y: str, row: str = "row_id") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Column names, X'X and -X'y of the design; both sizes are checked before anything is collected."""
     names = [r[0] for r in entries.select("col").distinct().orderBy("col").limit(MAX_COLUMNS + 1).collect()]
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"a design of over {MAX_COLUMNS} columns")
+    cells = saved(gram(entries, row))
+    if (n := cells.count()) > MAX_CELLS:
+        raise ValueError(f"normal equations of {n} cells; at most {MAX_CELLS} are collected")
     seat = {c: i for i, c in enumerate(names)}
     p, q = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for a, b, v in gram(entries, row).collect():
+    for a, b, v in cells.toLocalIterator():
         p[seat[a], seat[b]] = p[seat[b], seat[a]] = v
     for c, v in moments(entries, target, y, row).collect():
         q[seat[c]] = -v
+    return names, p, q
+
+
+def fit(
+    entries: DataFrame, target: DataFrame, y: str, l1: float = 1.0, l2_serum: float = 3.0, l2_virus: float = 0.3, signed: bool = False, row: str = "row_id"
+) -> DataFrame:
+    """Effects with an L1 penalty at 0 or above (or signed), sera and viruses with ridge penalties: ``col, value``.
+
+    The normal equations are two distributed aggregations; only they are
+    collected, with a bound on their size.
+    """
+    names, p, q = collect_equations(entries, target, y, row)
     genetic = np.array([c.startswith("effect:") for c in names])
     ridge = np.array([0.0 if g else l2_serum if c.startswith("serum:") else l2_virus for c, g in zip(names, genetic, strict=True)])
     x = quadratic(p, q, np.where(genetic, l1, 0.0), ridge, genetic & (not signed))
@@ -100,5 +111,5 @@ def colinear(entries: DataFrame, most: int = 5, row: str = "row_id") -> DataFram
     return n.select("col1", "col2", (F.col("n1") + F.col("n2") - 2 * F.col("k")).alias("differ")).where(F.col("differ") <= most)
 
 
-def mean_squared_error(df: DataFrame, y: Column, predicted: Column) -> DataFrame:
-    return df.agg(F.avg((y - predicted) * (y - predicted)).alias("mse"))
+def mean_squared_error(df: DataFrame, y: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(by or [])).agg(F.avg((y - predicted) * (y - predicted)).alias("mse"))

@@ -2,26 +2,18 @@
 
 Path questions go through the ancestor closure, built by doubling: each round
 joins pairs of a node and an ancestor with themselves, so a tree of depth d
-takes log2(d) joins.  Subtree questions use pre-order intervals.
+takes log2(d) joins.  Orders and subtree counts use pre-order intervals, which
+come from ranking the walk around the tree by doubling too: log2(2 n) joins of
+2 n rows for n nodes of any depth.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _saved(df: DataFrame) -> DataFrame:
-    """``df`` as written to the cluster's checkpoint folder, or as it is where none is set (tests on one machine)."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.cache()
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from virosight.operators.ordered import running_totals
+from virosight.session import dropped, saved
 
 
 def ancestors(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", length: str | None = None) -> DataFrame:
@@ -35,16 +27,85 @@ def ancestors(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id"
     jump = base.where("up is not null").select("node", F.col("up").alias("far"), "w")
     found = base.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("distance"))
     reach = 1
-    jump, found = _saved(jump), _saved(found)
+    jump, found = saved(jump), saved(found)
+    rounds = max(1, nodes.count()).bit_length() + 1
     while not jump.isEmpty():
+        if not (rounds := rounds - 1):
+            raise ValueError("a node is its own ancestor")
         # found holds up to reach - 1 steps, jump exactly reach steps.
-        more = found.join(jump.select(F.col("node").alias("ancestor"), "far", "w"), "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("steps") + reach).alias("steps"), (F.col("distance") + F.col("w")).alias("distance"))
-        found = _saved(found.unionByName(more))
-        jump = _saved(jump.join(jump.select(F.col("node").alias("far"), F.col("far").alias("next"), F.col("w").alias("w2")), "far").select("node", F.col("next").alias("far"), (F.col("w") + F.col("w2")).alias("w")))
+        step = jump.select(F.col("node").alias("ancestor"), "far", "w")
+        more = found.join(step, "ancestor").select(
+            "node", F.col("far").alias("ancestor"), (F.col("steps") + reach).alias("steps"), (F.col("distance") + F.col("w")).alias("distance")
+        )
+        twice = jump.select(F.col("node").alias("far"), F.col("far").alias("next"), F.col("w").alias("w2"))
+        old = found, jump
+        found = saved(found.unionByName(more))
+        jump = saved(jump.join(twice, "far").select("node", F.col("next").alias("far"), (F.col("w") + F.col("w2")).alias("w")))
+        for table in old:
+            dropped(table)
         reach *= 2
     return found if length else found.drop("distance")
 
 
+def intervals(nodes: DataFrame) -> DataFrame:
+    """``node_id, root, pre, last, post, depth`` of every node: children in the order of ``child_ord``, then id.
+
+    ``pre`` and ``post`` count from 0 within a root's tree; the descendants of
+    a node, itself included, are those with ``pre`` from its ``pre`` to its
+    ``last``.  The walk down and up every edge is a list; its suffix sums are
+    doubled until all pointers have run out.  A cycle is an error.
+    """
+    own = Window.partitionBy("parent_id").orderBy("child_ord", "node_id")
+    base = nodes.select("node_id", "parent_id", F.when(F.col("parent_id").isNotNull(), F.lead("node_id").over(own)).alias("sibling"))
+    first = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", F.struct("child_ord", "node_id")).alias("child"))
+    base = base.join(first, "node_id", "left")
+    down = base.select(
+        F.col("node_id").alias("v"), F.lit(0).alias("up"), F.coalesce("child", "node_id").alias("to"), F.col("child").isNull().cast("int").alias("to_up")
+    )
+    up = base.select(
+        F.col("node_id").alias("v"), F.lit(1).alias("up"), F.coalesce("sibling", "parent_id").alias("to"), F.col("sibling").isNull().cast("int").alias("to_up")
+    )
+    one = F.lit(1).cast("long")
+    walk = down.unionByName(up).withColumns({"downs": F.when(F.col("up") == 0, one).otherwise(0), "ups": F.when(F.col("up") == 1, one).otherwise(0)})
+    walk = saved(walk.withColumn("root", F.when(F.col("to").isNull(), F.col("v"))))
+    rounds = (2 * max(1, nodes.count())).bit_length() + 1
+    while not walk.where("to is not null").isEmpty():
+        if not (rounds := rounds - 1):
+            raise ValueError("a node is its own ancestor")
+        ahead = walk.select(
+            F.col("v").alias("to"), F.col("up").alias("to_up"), F.col("downs").alias("d2"), F.col("ups").alias("u2"), F.col("root").alias("r2"),
+            F.col("to").alias("next"), F.col("to_up").alias("next_up"),
+        )
+        joined = walk.join(ahead, ["to", "to_up"], "left")
+        before, walk = walk, saved(
+            joined.select(
+                "v", "up", F.col("next").alias("to"), F.col("next_up").alias("to_up"), (F.col("downs") + F.coalesce("d2", F.lit(0))).alias("downs"),
+                (F.col("ups") + F.coalesce("u2", F.lit(0))).alias("ups"), F.coalesce("root", "r2").alias("root"),
+            )
+        )
+        dropped(before)
+    there = walk.where("up = 0").select(F.col("v").alias("node_id"), "root", F.col("downs").alias("_d"), F.col("ups").alias("_u"))
+    back = walk.where("up = 1").select(F.col("v").alias("node_id"), F.col("downs").alias("_d2"), F.col("ups").alias("_u2"))
+    total = there.where("node_id = root").select("root", F.col("_d").alias("_n"))
+    joined = there.join(back, "node_id").join(total, "root")
+    pre = F.col("_n") - F.col("_d")
+    return joined.select(
+        "node_id", "root", pre.alias("pre"), (pre + F.col("_d") - F.col("_d2") - 1).alias("last"), (F.col("_n") - F.col("_u2")).alias("post"),
+        (F.col("_u") - F.col("_d")).alias("depth"),
+    )
+
+
+def subtree_counts(spans: DataFrame, values: DataFrame, value: str, out: str = "n") -> DataFrame:
+    """``node_id, out``: sum of a whole-number column of ``values`` (node_id, value) over each node's descendants, itself included.
+
+    Running totals over the pre-order, so a deep tree costs no more than a flat one.
+    """
+    rows = spans.join(values.groupBy("node_id").agg(F.sum(value).alias("_v")), "node_id", "left").withColumn("_v", F.coalesce("_v", F.lit(0)).cast("long"))
+    upto = saved(running_totals(rows.select("node_id", "root", "pre", "last", "_v"), ["root", "pre"], {"_upto": "_v"}))
+    ends = upto.select("root", F.col("pre").alias("last"), F.col("_upto").alias("_end"))
+    return upto.join(ends, ["root", "last"]).select("node_id", (F.col("_end") - F.col("_upto") + F.col("_v")).alias(out))
+
+
 def subtree(closure: DataFrame, values: DataFrame, node: str, *aggs: Column) -> DataFrame:
     """Aggregates over each node's descendants, itself included: ``node_id`` and the aggregates of ``values``."""
     return closure.join(values.withColumnRenamed(node, "node"), "node").groupBy(F.col("ancestor").alias(node)).agg(*aggs)
@@ -100,15 +161,18 @@ def prune(nodes: DataFrame, closure: DataFrame, tips: DataFrame) -> DataFrame:
 
 
 def reroot(nodes: DataFrame, outgroup: int, length: float = 0.001) -> DataFrame:
-    """Tree without the outgroup tip; while the root has one child the root moves down, and its edge gets ``length``."""
+    """Tree without the outgroup tip; while the root has one child the root moves down, and its edge gets ``length``.
+
+    The new root is the shallowest node that has not just one child: all above it lie on one chain.
+    """
     kept = nodes.where(F.col("node_id") != outgroup)
-    while True:
-        root = kept.where("parent_id is null").select("node_id").first()[0]
-        children = [r[0] for r in kept.where(F.col("parent_id") == root).select("node_id").limit(2).collect()]
-        if len(children) != 1:
-            break
-        kept = kept.where(F.col("node_id") != root).withColumn("parent_id", F.when(F.col("node_id") != children[0], F.col("parent_id")))
-    return kept.withColumn("branch_length", F.when(F.col("parent_id").isNull(), F.lit(length)).otherwise(F.col("branch_length")))
+    depth = intervals(kept).select("node_id", "depth")
+    children = kept.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_c"))
+    rows = kept.join(depth, "node_id").join(children, "node_id", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    top = rows.where("_c <> 1").agg(F.min("depth").alias("_top"))
+    rows = rows.join(F.broadcast(top)).where("depth >= _top").withColumn("parent_id", F.when(F.col("depth") > F.col("_top"), F.col("parent_id")))
+    rooted = F.when(F.col("parent_id").isNull(), F.lit(length)).otherwise(F.col("branch_length"))
+    return rows.withColumn("branch_length", rooted).select(*nodes.columns)
 
 
 def mean_of_children(nodes: DataFrame, tips: DataFrame, value: str) -> DataFrame:
@@ -130,26 +194,91 @@ def mean_of_children(nodes: DataFrame, tips: DataFrame, value: str) -> DataFrame
 def branching_index(nodes: DataFrame, alive: DataFrame, tau: float, length: str = "branch_length") -> DataFrame:
     """Local branching index: attenuated alive edge length around each node.
 
-    Closed form over pairs of nodes that share an ancestor: edge b below node
-    a adds tau (1 - exp(-len_b / tau)) exp(-d / tau), d being the distance to
-    the nearer end.  Meant for trees that fit an all-pairs table (interactive
-    sizes); ``alive`` lists the node ids whose edges count.
+    An alive edge has the mass tau (1 - exp(-len / tau)).  ``_up`` sums the
+    edges below a node, each weakened by its upper end's distance.  What comes
+    from above obeys a recurrence along the root path, whose closed form is a
+    sum over the node's ancestors.  Both are sums over the closure, so there
+    is no table of pairs of nodes.  ``alive`` lists the nodes whose edges count.
     """
-    closure = ancestors(nodes, length=length).withColumnRenamed("distance", "d")
-    edges = nodes.where("parent_id is not null").join(alive, "node_id", "left_semi").select("node_id", (tau * (1 - F.exp(-F.col(length) / tau))).alias("mass"), F.col(length).alias("len"))
-    a = closure.select(F.col("node").alias("n"), "ancestor", F.col("d").alias("dn"))
-    b = closure.join(edges.withColumnRenamed("node_id", "node"), "node").select(F.col("node").alias("b"), "ancestor", F.col("d").alias("db"), "mass", "len")
-    met = a.join(b, "ancestor").groupBy("n", "b").agg(F.min(F.struct((F.col("dn") + F.col("db")).alias("d"), "dn", "db", "mass", "len")).alias("m"))
-    # Below the node (or the node's own edge) the nearer end is at the distance less the edge, on the node's path it is the lower end.
-    near = F.when(F.col("m.db") == 0, F.col("m.d")).otherwise(F.col("m.d") - F.col("m.len"))
-    return met.select("n", (F.col("m.mass") * F.exp(-near / tau)).alias("x")).groupBy(F.col("n").alias("node_id")).agg(F.sum("x").alias("lbi"))
-
-
-def path_between(closure: DataFrame, pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Edges between two nodes of each pair: ancestors of exactly one of them."""
+    closure = ancestors(nodes, length=length)
+    fade = lambda x: F.exp(-x / F.lit(tau))
+    own = F.coalesce(F.col(length), F.lit(0.0))
+    living = alive.select("node_id").distinct().withColumn("_alive", F.lit(True))
+    mass = F.when(F.col("_alive") & F.col("parent_id").isNotNull(), tau * (1 - fade(own))).otherwise(0.0)
+    edges = saved(nodes.join(living, "node_id", "left").select("node_id", "parent_id", own.alias("_len"), mass.alias("_m")))
+    below = closure.where("steps > 0").join(edges.withColumnRenamed("node_id", "node"), "node")
+    sent = below.groupBy(F.col("ancestor").alias("node_id")).agg(F.sum(F.col("_m") * fade(F.col("distance") - F.col("_len"))).alias("_up"))
+    up = saved(edges.join(sent, "node_id", "left").withColumn("_up", F.coalesce("_up", F.lit(0.0))))
+    parent = up.select(F.col("node_id").alias("parent_id"), F.col("_up").alias("_parent_up"))
+    around = F.col("_parent_up") - F.col("_up") * fade(F.col("_len")) - F.col("_m")
+    step = up.join(parent, "parent_id").select(F.col("node_id").alias("ancestor"), (F.col("_m") + fade(F.col("_len")) * around).alias("_c"))
+    down = closure.join(step, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum(F.col("_c") * fade(F.col("distance"))).alias("_down"))
+    return up.join(down, "node_id", "left").select("node_id", (F.col("_up") + F.coalesce("_down", F.lit(0.0))).alias("lbi"))
+
+
+def path_between(closure: DataFrame, pairs: DataFrame, left: str, right: str, only: DataFrame | None = None) -> DataFrame:
+    """Edges between two nodes of each pair: ancestors of exactly one of them, those of ``only`` (node_id) if given."""
     a = pairs.join(closure.select(F.col("node").alias(left), "ancestor"), left).withColumn("_s", F.lit(1))
     b = pairs.join(closure.select(F.col("node").alias(right), "ancestor"), right).withColumn("_s", F.lit(2))
-    return a.unionByName(b).groupBy(left, right, "ancestor").agg(F.count_distinct("_s").alias("_n")).where("_n = 1").select(left, right, F.col("ancestor").alias("node_id"))
+    one = a.unionByName(b).groupBy(left, right, "ancestor").agg(F.count_distinct("_s").alias("_n")).where("_n = 1")
+    path = one.select(left, right, F.col("ancestor").alias("node_id"))
+    return path if only is None else path.join(only.select("node_id").distinct(), "node_id", "left_semi").select(left, right, "node_id")
+
+
+def refine(nodes: DataFrame, gone: Column | None = None, ladder: bool = True) -> DataFrame:
+    """Collapse, ladderize and lay out: the nodes with ``pre, last, clade`` (post-order), ``xvalue, yvalue``.
+
+    ``gone`` marks inner nodes to collapse.  Tips stand at their place in leaf
+    order, inner nodes at the mean of their children; x is the distance from
+    the root.
+    """
+    kept = nodes
+    if gone is not None:
+        kept = saved(collapse(kept, ancestors(kept), gone).select(*nodes.columns))
+    if ladder:
+        kept = saved(ladderize(kept, ancestors(kept)).select(*nodes.columns))
+    spans = saved(intervals(kept))
+    tips = kept.join(kept.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_anti").select("node_id")
+    seats = running_totals(spans.join(tips, "node_id", "left_semi").withColumn("_one", F.lit(1).cast("long")), ["root", "pre"], {"_y": "_one"})
+    y = mean_of_children(kept, seats.select("node_id", F.col("_y").cast("double").alias("yvalue")), "yvalue")
+    out = kept.join(spans.select("node_id", "pre", "last", F.col("post").alias("clade")), "node_id").join(root_distance(kept).drop("depth"), "node_id")
+    return out.join(y, "node_id", "left")
+
+
+def alive_in_window(nodes: DataFrame, spans: DataFrame, tips: DataFrame, date: str, start: float, end: float) -> DataFrame:
+    """``node_id, alive``: tips dated in [start, end), and inner nodes with such a tip below."""
+    inside = tips.where((F.col(date) >= start) & (F.col(date) < end)).select("node_id", F.lit(1).alias("_v"))
+    counts = subtree_counts(spans, inside, "_v")
+    return nodes.select("node_id").join(counts, "node_id").select("node_id", (F.col("n") > 0).alias("alive"))
+
+
+def frequency_band(freqs: DataFrame, nodes: DataFrame, low: float = 0.1, high: float = 0.99, by: list[str] | None = None) -> DataFrame:
+    """Rows (by, node_id, freq) with a frequency in [low, high) and strictly below their parent's."""
+    by = by or []
+    above = freqs.select(*by, F.col("node_id").alias("parent_id"), F.col("freq").alias("_f"))
+    inside = freqs.where((F.col("freq") >= low) & (F.col("freq") < high)).join(nodes.select("node_id", "parent_id"), "node_id")
+    return inside.join(above, [*by, "parent_id"]).where("freq < _f").select(*freqs.columns)
+
+
+def fill_from_children(nodes: DataFrame, tips: DataFrame, value: str, how: str = "mean") -> DataFrame:
+    """``node_id, value`` of all nodes: own value of tips, and least, largest or mean of the children's for inner ones."""
+    if how == "mean":
+        return mean_of_children(nodes, tips, value)
+    agg = {"min": F.min, "max": F.max}[how](value).alias(value)
+    return subtree(ancestors(nodes), tips.select("node_id", value), "node_id", agg)
+
+
+def mark_choices(nodes: DataFrame, choices: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Adds ``choice_date`` of tips whose strain is in ``choices`` (strain, choice_date) and the ``label`` of annotated nodes (node_id, label)."""
+    chosen = choices.groupBy("strain").agg(F.min("choice_date").alias("choice_date"))
+    labels = annotations.groupBy("node_id").agg(F.min("label").alias("label"))
+    return nodes.join(chosen, "strain", "left").join(labels, "node_id", "left")
+
+
+def sampled_paths(closure: DataFrame, tips: DataFrame, year: str, seed: int = 0) -> DataFrame:
+    """``year, tip, node_id, steps``: the path to the root of one tip of each year, drawn by a hash of its id."""
+    drawn = tips.groupBy(year).agg(F.min_by("node_id", F.struct(F.xxhash64("node_id", F.lit(seed)), "node_id")).alias("tip"))
+    return closure.withColumnRenamed("node", "tip").join(drawn, "tip").select(year, "tip", F.col("ancestor").alias("node_id"), "steps")
 
 
 def branch_classes(closure: DataFrame, measured: DataFrame) -> DataFrame:

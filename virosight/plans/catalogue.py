@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from virosight.functions import dates, numeric, sequences, strings
 from virosight.operators import curate, fitness, frequency, seasons, series, sites, titer, tree
+from virosight.sources import sinks
 from virosight.streaming import arrival
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +66,7 @@ def month_region_table(spark, sf_dir):
 
 @query(f"WITH {_SAMPLES} SELECT year(date) AS year, region, count(*) AS n FROM samples GROUP BY ROLLUP (year(date), region)")
 def region_totals_rollup(spark, sf_dir):
-    return samples(spark, sf_dir).rollup(F.year("date").alias("year"), "region").agg(F.count("*").alias("n"))
+    return series.region_totals(samples(spark, sf_dir), "date", "region")
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
@@ -73,10 +74,10 @@ def keep_first_unique(spark, sf_dir):
     return curate.keep_first(table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], [-F.col("n_chars"), "doc_id"]).select("source", "doc_id", "n_chars")
 
 
-@query("SELECT min(doc_id) AS doc_id, source, lang FROM documents GROUP BY source, lang, substring(text, 1, 40)")
+@query("SELECT min(doc_id) AS doc_id, source, lang FROM documents GROUP BY source, lang, text")
 def outbreak_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 40).alias("head"))
-    return curate.keep_first(docs, ["source", "lang", "head"], ["doc_id"]).select("doc_id", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("seq"))
+    return curate.keep_first(docs, ["source", "lang", "seq"], ["doc_id"]).select("doc_id", "source", "lang")
 
 
 @query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m, row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
@@ -99,10 +100,10 @@ def global_subsample(spark, sf_dir):
     return curate.subsample(s, ["y", "m"], 10, F.col("priority"), [(F.col("id") * 7919) % 1000003, "id"]).select("id")
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 900 AND length(translate(text, 'ACGTacgt', '')) <= length(text) - 20")
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 900 AND length(translate(text, 'ACGTacgt', '')) <= 1500")
 def length_and_alphabet_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return curate.length_filter(docs, "text", 900).where(F.length(F.translate("text", "ACGTacgt", "")) <= F.length("text") - 20).select("doc_id", F.length("text").alias("n"))
+    return curate.canonical_filter(curate.length_filter(docs, "text", 900), "text", slack=1500).select("doc_id", F.length("text").alias("n"))
 
 
 @query("SELECT doc_id, translate(text, 'BDEFHIJKLMNOPQRSUVWXYZ', '----------------------') AS masked FROM documents")
@@ -157,14 +158,12 @@ def forced_flag(spark, sf_dir):
     return curate.flag_listed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), listed, "o_orderkey")
 
 
-_PROBES = ["The and attion to thanedble the, anea. Er", "Ertion on the it is onenerth edonre ontia"]
-_NEAR = " AND ".join(f"coalesce(list_sum([CASE WHEN substring(s, i, 1) <> substring('{p}', i, 1) THEN 1.0 ELSE 0.0 END FOR i IN range(1, 1 + least(length(s), {len(p)})) IF substring(s, i, 1) <> '-' AND substring('{p}', i, 1) <> '-']) / nullif(len([i FOR i IN range(1, 1 + least(length(s), {len(p)})) IF substring(s, i, 1) <> '-' AND substring('{p}', i, 1) <> '-']), 0), 1) >= 0.02" for p in _PROBES)
-
-
-@query(f"SELECT doc_id FROM (SELECT doc_id, substring(text, 1, 41) AS s FROM documents) WHERE {_NEAR}")
+@query("""WITH p AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS p FROM benchmark ORDER BY item_id LIMIT 2), d AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents),
+x AS (SELECT doc_id, item_id, len([1 FOR i IN range(1, 1 + least(len(s), len(p))) IF s[i] <> '-' AND p[i] <> '-']) AS n, len([1 FOR i IN range(1, 1 + least(len(s), len(p))) IF s[i] <> '-' AND p[i] <> '-' AND s[i] <> p[i]]) AS k FROM d, p)
+SELECT doc_id FROM x GROUP BY doc_id HAVING min(coalesce(k / nullif(n, 0), 1)) >= 0.92""")
 def near_probe_anti(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 41).alias("s"))
-    return curate.drop_similar(docs, "s", _PROBES).select("doc_id")
+    probes = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(2).collect()]
+    return curate.drop_similar(table(spark, sf_dir, "documents"), "text", probes, 0.92).select("doc_id")
 
 
 @query(f"WITH {_SAMPLES}, base AS (SELECT id FROM samples WHERE year(date) >= 1996) SELECT id FROM base UNION ALL SELECT id FROM samples WHERE priority AND id NOT IN (SELECT id FROM base)")
@@ -176,13 +175,15 @@ def union_prior_curated(spark, sf_dir):
 @query("SELECT l_partkey AS name FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25")
 def setdiff_names(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return li.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("name")).subtract(li.where("l_returnflag = 'A' and l_quantity > 25").select("l_partkey"))
+    late = li.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("name"))
+    return curate.name_difference(late, li.where("l_returnflag = 'A' and l_quantity > 25").select("l_partkey"))
 
 
 @query("SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
 def union_distinct(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
-    return li.where("l_returnflag in ('R', 'A')").select("l_partkey", "l_suppkey").distinct()
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("strain"), F.col("l_suppkey").alias("accession"), "l_returnflag")
+    lists = [li.where(F.col("l_returnflag") == flag) for flag in ("R", "A")]
+    return sinks.merged_accessions(lists).toDF("l_partkey", "l_suppkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, CASE WHEN l_discount > 0.05 THEN l_discount END, l_tax]) AS value FROM lineitem) WHERE value IS NOT NULL""")
@@ -269,13 +270,12 @@ def frequency_band_error(spark, sf_dir):
 
 # Sites
 
-_SEQ = 60
-_SITES = f"s AS (SELECT doc_id, lang, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, lang, text, unnest(generate_series(1, least(length(text), {_SEQ}))) AS i FROM documents WHERE lang = 'en'))"
+_SITES = "s AS (SELECT doc_id, lang, source, unnest(w) AS state, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '(?s).') AS w FROM documents))"
 
 
 def _sites(spark, sf_dir, *keep):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", F.substring("text", 1, _SEQ).alias("seq"))
-    return sequences.sites(docs, "seq", *(keep or ("doc_id",)))
+    """Whole texts as sequences, a row for each place."""
+    return sequences.sites(table(spark, sf_dir, "documents"), "text", *(keep or ("doc_id",)))
 
 
 @query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL) SELECT pos::INT AS pos, state, n, round(n / sum(n) OVER (PARTITION BY pos), 8) AS freq FROM c")
@@ -283,7 +283,7 @@ def site_frequencies(spark, sf_dir):
     return sites.site_frequencies(_sites(spark, sf_dir)).select("pos", "state", "n", F.round("freq", 8).alias("freq"))
 
 
-@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos, round(-sum(f * ln(greatest(f, 1e-10))), 6) AS entropy, count(*) AS n_states FROM f GROUP BY pos")
+@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos, round(abs(sum(f * ln(greatest(f, 1e-10)))), 6) AS entropy, count(*) AS n_states FROM f GROUP BY pos")
 def entropy(spark, sf_dir):
     out = sites.entropy(sites.site_frequencies(_sites(spark, sf_dir)))
     return out.select("pos", F.round("entropy", 6).alias("entropy"), F.size("states").cast("long").alias("n_states"))
@@ -302,13 +302,22 @@ def variable_sites(spark, sf_dir):
     return sites.variable_sites(sites.site_frequencies(_sites(spark, sf_dir)), 0.15).select("pos", F.round("top", 8).alias("top"))
 
 
-_ROOT = "The and attion to thanedble the, anea. Eriner thanea."
+_ROOT = "root AS (SELECT regexp_extract_all(text, '(?s).') AS r FROM benchmark ORDER BY item_id LIMIT 1)"
+
+
+def _diffs(spark, sf_dir, name, key):
+    """Differences of whole texts from the first benchmark item, which stands for the root."""
+    root = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("_root"))
+    return sequences.differs_only(table(spark, sf_dir, name).join(F.broadcast(root)), F.col("_root"), "text", key)
+
 
+def _diffs_sql(name, key):
+    return f"(SELECT {key}, pos, w[pos] AS state FROM (SELECT {key}, w, r, unnest(range(1, 1 + least(len(w), len(r)))) AS pos FROM (SELECT {key}, regexp_extract_all(text, '(?s).') AS w FROM {name}), root) WHERE w[pos] <> r[pos])"
 
-@query(f"SELECT doc_id, i::INT AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, text, unnest(generate_series(1, least(length(text), {len(_ROOT)}))) AS i FROM documents) WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)")
+
+@query(f"WITH {_ROOT} SELECT doc_id, pos::INT AS pos, state FROM {_diffs_sql('documents', 'doc_id')}")
 def sparse_diff_vs_root(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, len(_ROOT)).alias("seq"))
-    return sequences.differs_only(docs, F.lit(_ROOT), "seq", "doc_id")
+    return _diffs(spark, sf_dir, "documents", "doc_id")
 
 
 @query(f"""WITH {_SITES}, c AS (SELECT pos, state, sum(coalesce(quality, 0) + 1) AS w FROM s LEFT JOIN labels USING (doc_id) GROUP BY ALL) SELECT pos::INT AS pos, state, round(w / sum(w) OVER (PARTITION BY pos), 8) AS freq FROM c""")
@@ -318,16 +327,15 @@ def weighted_frequencies(spark, sf_dir):
     return sites.site_frequencies(s, weight=F.coalesce("quality", F.lit(0)) + 1).select("pos", "state", F.round("freq", 8).alias("freq"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, source, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, source, text, unnest(generate_series(1, least(length(text), 30))) AS i FROM documents WHERE lang = 'en')),
-a AS (SELECT pos, state, count(*) / sum(count(*)) OVER (PARTITION BY pos) AS p FROM s GROUP BY pos, state), b AS (SELECT source, pos, state, count(*) / sum(count(*)) OVER (PARTITION BY source, pos) AS q FROM s GROUP BY source, pos, state)
+@query(f"""WITH {_SITES}, a AS (SELECT pos, state, count(*) / sum(count(*)) OVER (PARTITION BY pos) AS p FROM s GROUP BY pos, state),
+b AS (SELECT source, pos, state, count(*) / sum(count(*)) OVER (PARTITION BY source, pos) AS q FROM s GROUP BY source, pos, state)
 SELECT source, round(1 - sum(p * q) / (SELECT count(DISTINCT pos) FROM a), 6) AS distance FROM a JOIN b USING (pos, state) GROUP BY source""")
 def population_distance(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", F.substring("text", 1, 30).alias("seq"))
-    s = sequences.sites(docs, "seq", "doc_id", "source")
+    s = _sites(spark, sf_dir, "doc_id", "source")
     return sites.population_distance(sites.site_frequencies(s), sites.site_frequencies(s, by=["source"]), ["source"]).select("source", F.round("distance", 6).alias("distance"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' AND substring(text, 2, 1) = 'h' AND substring(text, 3, 1) = 'e' AND substring(text, 4, 1) = ' '")
+@query("SELECT doc_id FROM documents WHERE substring(text, 2, 1) = 'h' AND substring(text, 3, 1) = 'e' AND substring(text, 4, 1) = ' '")
 def genotype_conjunction(spark, sf_dir):
     return sites.conjunction(_sites(spark, sf_dir), [(2, "h"), (3, "e"), (4, " ")], "doc_id")
 
@@ -415,21 +423,20 @@ def tree_layout_y(spark, sf_dir):
     return out.select("node_id", F.round("y", 6).alias("y"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT 0 AS node_id, NULL::INT AS parent_id, 0.0::DOUBLE AS len UNION ALL SELECT 1 + r_regionkey, 0, (1 + r_regionkey) / 10.0::DOUBLE FROM region UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, (1 + n_nationkey) / 100.0::DOUBLE FROM nation),
-c AS (SELECT node_id AS node, node_id AS anc, 0.0::DOUBLE AS d FROM t UNION ALL SELECT c.node, t.parent_id, c.d + t.len FROM c JOIN t ON c.anc = t.node_id WHERE t.parent_id IS NOT NULL),
-p AS (SELECT a.node AS n, b.node AS b, min_by(b.d, a.d + b.d) AS db, min(a.d + b.d) AS d FROM c a JOIN c b ON a.anc = b.anc GROUP BY 1, 2)
-SELECT n AS node_id, round(sum(0.1 * (1 - exp(-len / 0.1)) * exp(-(CASE WHEN db = 0 THEN d ELSE d - len END) / 0.1)), 8) AS lbi FROM p JOIN t ON p.b = t.node_id WHERE t.parent_id IS NOT NULL GROUP BY n""")
+@query(f"""WITH RECURSIVE {_TREE}, len AS (SELECT node_id, branch_length AS len, parent_id FROM tree), far AS (SELECT c.node, c.ancestor, coalesce(sum(l.len), 0) AS d FROM closure c LEFT JOIN closure m ON m.node = c.node AND m.steps < c.steps LEFT JOIN len l ON l.node_id = m.ancestor GROUP BY 1, 2),
+p AS (SELECT a.node AS n, b.node AS b, min_by(b.d, a.d + b.d) AS db, min(a.d + b.d) AS d FROM far a JOIN far b USING (ancestor) GROUP BY 1, 2)
+SELECT n AS node_id, round(sum(0.1 * (1 - exp(-len / 0.1)) * exp(-(CASE WHEN db = 0 THEN d ELSE d - len END) / 0.1)), 7) AS lbi FROM p JOIN len ON p.b = len.node_id WHERE parent_id IS NOT NULL GROUP BY n""")
 def lbi_closed_form(spark, sf_dir):
-    nodes = node_table(spark, sf_dir).where("node_id < 1000")
-    return tree.branching_index(nodes, nodes.select("node_id"), 0.1).select("node_id", F.round("lbi", 8).alias("lbi"))
+    nodes = node_table(spark, sf_dir)
+    return tree.branching_index(nodes, nodes.select("node_id"), 0.1).select("node_id", F.round("lbi", 7).alias("lbi"))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, p AS (SELECT s_suppkey, 100 + s_nationkey AS a, 100 + (s_suppkey::INT % 25) AS b FROM supplier), u AS (SELECT s_suppkey, a, b, ancestor, 1 AS s FROM p JOIN closure ON node = a UNION ALL SELECT s_suppkey, a, b, ancestor, 2 FROM p JOIN closure ON node = b)
-SELECT a, b, ancestor AS node_id FROM (SELECT DISTINCT a, b, ancestor, s FROM u) GROUP BY ALL HAVING count(*) = 1""")
+@query(f"""WITH RECURSIVE {_TREE}, p AS (SELECT (1000 + c_custkey)::INT AS a, 100 + (c_custkey::INT * 7) % 25 AS b FROM customer),
+u AS (SELECT a, b, ancestor, 1 AS s FROM p JOIN closure ON node = a UNION ALL SELECT a, b, ancestor, 2 FROM p JOIN closure ON node = b)
+SELECT a, b, ancestor AS node_id FROM u GROUP BY ALL HAVING count(*) = 1""")
 def tree_path_between(spark, sf_dir):
-    nodes = node_table(spark, sf_dir).where("node_id < 1000")
-    pairs = table(spark, sf_dir, "supplier").select((100 + F.col("s_nationkey")).cast("int").alias("a"), (100 + F.col("s_suppkey").cast("int") % 25).cast("int").alias("b")).distinct()
-    return tree.path_between(tree.ancestors(nodes), pairs, "a", "b")
+    pairs = table(spark, sf_dir, "customer").select((1000 + F.col("c_custkey")).cast("int").alias("a"), (100 + (F.col("c_custkey") * 7) % 25).cast("int").alias("b"))
+    return tree.path_between(tree.ancestors(node_table(spark, sf_dir)), pairs, "a", "b")
 
 
 # Titers
@@ -465,8 +472,8 @@ def gram_matrix(spark, sf_dir):
 
 @query("SELECT l_returnflag AS source, round(avg(pow(l_quantity - 50 * (1 - l_discount), 2)), 6) AS mse FROM lineitem GROUP BY 1")
 def residual_mse(spark, sf_dir):
-    e = F.col("l_quantity") - 50 * (1 - F.col("l_discount"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(F.round(F.avg(e * e), 6).alias("mse"))
+    li = table(spark, sf_dir, "lineitem").withColumn("source", F.col("l_returnflag"))
+    return titer.mean_squared_error(li, F.col("l_quantity"), 50 * (1 - F.col("l_discount")), ["source"]).withColumn("mse", F.round("mse", 6))
 
 
 @query("""SELECT l_returnflag AS source, count(*) AS n, round(avg(abs(m - p)), 6) AS mae, round(sqrt(avg(pow(m - p, 2))), 6) AS rmse, round(regr_slope(p, m), 6) AS slope, round(corr(m, p), 6) AS r
@@ -491,9 +498,8 @@ def growth_hit_rate(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_counts(spark, sf_dir):
-    w = F.window("ts", "1 hour")
-    out = table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    out = arrival.tumbling(table(spark, sf_dir, "events"), "1 hour", "1 day", ["event_type"])
+    return out.withColumn("total", F.round("total", 4))
 
 
 @query("SELECT event_type, user_id, start, n FROM (SELECT event_type, user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY event_type, user_id, s)")
@@ -501,34 +507,33 @@ def session_counts(spark, sf_dir):
     return arrival.sessions(table(spark, sf_dir, "events"), "6 hours", "1 day", ["event_type", "user_id"]).select("event_type", "user_id", "start", "n")
 
 
-@query("""WITH e AS (SELECT item_id, substring(text, 1, 60) AS s FROM benchmark), r AS (SELECT substring(text, 3, 80) AS r FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
-k AS (SELECT item_id, s, r, unnest(generate_series(30 - length(s), length(r) - 30)) AS k FROM e, r WHERE length(s) >= 30 AND length(r) >= 30),
-b AS (SELECT item_id, k, greatest(k, 0) AS a, least(length(r), length(s) + k) AS z, s, r FROM k),
-c AS (SELECT item_id, k, len([i FOR i IN range(a, z) IF substring(r, i + 1, 1) = substring(s, i - k + 1, 1)]) / (z - a)::DOUBLE AS share FROM b)
+@query("""WITH e AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS s FROM benchmark), r AS (SELECT s AS r FROM e WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+k AS (SELECT item_id, s, r, unnest(generate_series(30 - len(s), len(r) - 30)) AS k FROM e, r WHERE len(s) >= 30 AND len(r) >= 30),
+b AS (SELECT item_id, k, greatest(k, 0) AS a, least(len(r), len(s) + k) AS z, s, r FROM k),
+c AS (SELECT item_id, k, len([i FOR i IN range(a, z) IF r[i + 1] = s[i - k + 1]]) / (z - a)::DOUBLE AS share FROM b)
 SELECT item_id, k::INT AS shift, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, k) AS n FROM c) WHERE n = 1 AND share > 0.12""")
 def best_shift_align(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    root = items.agg(F.min_by(F.substring("text", 3, 80), "item_id").alias("r"))
-    own = items.select("item_id", F.substring("text", 1, 60).alias("s")).join(F.broadcast(root))
+    root = items.agg(F.min_by("text", "item_id").alias("r"))
+    own = items.select("item_id", F.col("text").alias("s")).join(F.broadcast(root))
     return sites.best_shift(own, "s", "r", "item_id", accept=0.12).select("item_id", F.col("shift").cast("int").alias("shift"), F.round("share", 6).alias("share"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, i AS pos, substring(text, i, 1) AS state FROM (SELECT doc_id, source, text, unnest(generate_series(1, least(length(text), 24))) AS i FROM documents WHERE lang = 'en') WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)),
-r AS (SELECT item_id, i AS pos, substring(text, i, 1) AS state FROM (SELECT item_id, text, unnest(generate_series(1, least(length(text), 24))) AS i FROM benchmark) WHERE substring(text, i, 1) <> substring('{_ROOT}', i, 1)),
+@query(f"""WITH {_ROOT}, d AS {_diffs_sql('documents', 'doc_id')}, r AS {_diffs_sql('benchmark', 'item_id')},
 n AS (SELECT item_id, count(*) AS d FROM r GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS m FROM d JOIN r USING (pos, state) GROUP BY 1, 2), s AS (SELECT doc_id, item_id, m - 0.05 * d AS score FROM m JOIN n USING (item_id))
 SELECT doc_id, item_id, round(score, 4)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM s WHERE score > 0) WHERE k = 1""")
 def closest_clade(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 24).alias("seq"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("seq"))
-    diffs = [sequences.differs_only(df, F.lit(_ROOT), "seq", key) for df, key in ((docs, "doc_id"), (items, "item_id"))]
+    diffs = [_diffs(spark, sf_dir, name, key) for name, key in (("documents", "doc_id"), ("benchmark", "item_id"))]
     return sites.closest_reference(*diffs, "doc_id", "item_id", penalty=0.05).select("doc_id", "item_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@query(f"WITH {_SAMPLES}, c AS (SELECT region, year(date) AS y, count(*) AS n FROM samples GROUP BY ALL) SELECT region, y::INT AS y, round(n / sum(n) OVER (PARTITION BY y), 6) AS freq FROM c QUALIFY n / sum(n) OVER (PARTITION BY y) >= 0.1 AND n / sum(n) OVER (PARTITION BY y) < 0.21")
+@query(f"""WITH RECURSIVE {_TREE}, n AS (SELECT ancestor, count(*) AS n FROM closure WHERE node >= 1000 GROUP BY 1), f AS (SELECT ancestor AS node_id, n / (SELECT max(n) FROM n) AS freq FROM n)
+SELECT f.node_id, round(f.freq, 8) AS freq FROM f JOIN tree USING (node_id) JOIN f p ON p.node_id = parent_id WHERE f.freq >= 0.03 AND f.freq < 0.21 AND f.freq < p.freq""")
 def clade_band_filter(spark, sf_dir):
-    counts = samples(spark, sf_dir).groupBy("region", F.year("date").alias("y")).agg(F.count("*").alias("n"))
-    freq = counts.join(counts.groupBy("y").agg(F.sum("n").alias("all")), "y").select("region", "y", (F.col("n") / F.col("all")).alias("f"))
-    return freq.where("f >= 0.1 and f < 0.21").select("region", "y", F.round("f", 6).alias("freq"))
+    nodes = node_table(spark, sf_dir)
+    counts = tree.subtree(tree.ancestors(nodes), nodes.where("node_id >= 1000").select("node_id"), "node_id", F.count("*").alias("n"))
+    freqs = counts.join(F.broadcast(counts.agg(F.max("n").alias("all")))).select("node_id", (F.col("n") / F.col("all")).alias("freq"))
+    return tree.frequency_band(freqs, nodes, 0.03, 0.21).select("node_id", F.round("freq", 8).alias("freq"))
 
 
 @query("WITH c AS (SELECT value, sum((event_type = 'error')::INT) AS a, sum((event_type <> 'error')::INT) AS b FROM events GROUP BY 1) SELECT round(max(abs(x - y)), 6) AS ks FROM (SELECT sum(a) OVER w / sum(a) OVER () AS x, sum(b) OVER w / sum(b) OVER () AS y FROM c WINDOW w AS (ORDER BY value))")
@@ -596,11 +601,11 @@ def season_frequencies(spark, sf_dir):
 
 
 @query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS p FROM c)
-SELECT doc_id, round(sum(CASE WHEN p >= 0.01 THEN ln(p) ELSE 0 END), 6) AS tolerance FROM s JOIN f USING (pos, state) GROUP BY doc_id""")
+SELECT doc_id, round(sum(CASE WHEN p >= 0.01 THEN ln(p) ELSE 0 END), 3) AS tolerance FROM s JOIN f USING (pos, state) GROUP BY doc_id""")
 def tolerance_score(spark, sf_dir):
     s = _sites(spark, sf_dir)
     preferences = sites.site_frequencies(s).where("freq >= 0.01").select(F.col("pos").alias("site"), F.col("state").alias("aa"), F.col("freq").alias("p"))
-    return seasons.tolerance(s, preferences, "doc_id").select("doc_id", F.round("tolerance", 6).alias("tolerance"))
+    return seasons.tolerance(s, preferences, "doc_id").select("doc_id", F.round("tolerance", 3).alias("tolerance"))
 
 
 @query("""WITH a AS (SELECT least(l_partkey % 25, l_suppkey % 25) AS a, greatest(l_partkey % 25, l_suppkey % 25) AS b, avg(l_quantity) AS d FROM lineitem WHERE l_partkey % 25 <> l_suppkey % 25 GROUP BY 1, 2),

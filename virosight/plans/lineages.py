@@ -30,6 +30,7 @@ class LineageConfig:
 LINEAGES = {
     "h3n2": LineageConfig("h3n2", 987, "full"),
     "h1n1pdm": LineageConfig("h1n1pdm", 987, "full"),
+    "h1n1": LineageConfig("h1n1", 1701, "year"),
     "vic": LineageConfig("vic", 987, "full"),
     "yam": LineageConfig("yam", 987, "full"),
     "zika": LineageConfig("zika", 3000, "year", name_pattern=None),
@@ -90,3 +91,24 @@ def by_lineage(df: DataFrame, subtype: str, lineage: str, codes: dict[tuple[str,
     for (s, g), code in codes.items():
         out = F.when((F.lower(subtype) == s) & (F.lower(lineage) == g), F.lit(code)).otherwise(out)
     return df.withColumn("lineage_code", out)
+
+
+def build(raw: DataFrame, config: LineageConfig, steps: list[Callable[[DataFrame], DataFrame]] | None = None, forced: DataFrame | None = None) -> DataFrame:
+    """Curate, then run the lineage's own steps (functions of a DataFrame, in order), then subsample."""
+    df = curated(raw, config)
+    for step in steps or []:
+        df = df.transform(step)
+    return sampled(df, config, forced)
+
+
+def by_identity(df: DataFrame, seq: str, references: dict[str, str], share: float = 0.85, out: str = "lineage_code") -> DataFrame:
+    """Fills a null ``out`` with the reference of most equal letters, place by place, if they are over ``share`` of its length; else ``other``.
+
+    References are few literals, so this is one expression and no join.
+    """
+    same = {code: F.size(F.filter(F.arrays_zip(sequences.chars(F.col(seq)).alias("a"), sequences.chars(F.lit(ref)).alias("b")), lambda p: p["a"] == p["b"])) for code, ref in references.items()}
+    scored = F.array(*(F.struct((n / F.lit(len(references[c]))).alias("s"), F.lit(c).alias("c")) for c, n in same.items()))
+    best = F.array_max(scored)
+    found = F.when(best["s"] > share, best["c"]).otherwise(F.lit("other"))
+    own = F.col(out) if out in df.columns else F.lit(None).cast("string")
+    return df.withColumn(out, F.coalesce(own, found))

@@ -1,8 +1,11 @@
-"""Session builder with the settings the library expects."""
+"""Session builder with the settings the library expects, and tables written to the cluster's shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Time zone for reproducible dates, adaptive re-planning with skew handling, and room for deep trees.
 SETTINGS = {
@@ -16,3 +19,30 @@ SETTINGS = {
 
 def builder(app: str = "virosight") -> SparkSession.Builder:
     return SparkSession.builder.appName(app).config(map=SETTINGS)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as written to the cluster's shared checkpoint folder and read back, which cuts the lineage.
+
+    Without ``spark.checkpoint.dir`` a session on one machine (as in tests)
+    uses its warehouse; on a cluster that is an error, since the machines
+    would not see each other's files.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of ``saved`` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if path.getName() == "table":
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,10 @@ def fasta(spark: SparkSession, path: str, fields: dict[int, str] | None = None,
     """Records of a FASTA file with a header of ``|``-separated fields, and ``seq``.
 
     Fields past the end are empty; a field named twice is taken from the later
-    place.  Records are split at ``>``, so a file is read in parallel.
+    place.  Records are split at ``>`` at the start of a line, so a file is
+    read in parallel; any other ``>`` of a header is left out.
     """
-    record = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    record = spark.read.text(path, lineSep="\n>").where(F.length(F.trim("value")) > 0)
     line = F.split(F.col("value"), "\n", 2)
     head = F.split(F.regexp_replace(F.trim(line[0]), "[>\r]", ""), r"\|")
     seq = F.regexp_replace(F.coalesce(F.get(line, F.lit(1)), F.lit("")), r"\s", "")
@@ -70,7 +72,7 @@ def _matrix(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for name, text in zip(batch["path"], batch["value"], strict=True):
             lines = [[x.strip() for x in line.split(",")] for line in text.splitlines()]
-            sera = list(zip(*(line + [""] * 200 for line in lines[:3]), strict=True))[:200] if len(lines) > 3 else []
+            sera = list(zip_longest(*lines[:3], fillvalue="")) if len(lines) > 3 else []
             part = ""
             for line in lines[3:]:
                 first = line[0] if line else ""

@@ -1,36 +1,58 @@
-"""Streams: new samples appended once, tumbling counts, and sessions."""
+"""Streams: new samples appended once, tumbling counts, sessions, and a filter that keeps state by key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _held(spark: SparkSession, folder: str, schema, epoch: int) -> DataFrame:
+    """Rows of a folder that earlier batches wrote; none if it is not there yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema.add("batch", "long")).parquet(folder).where(F.col("batch") < epoch).drop("batch")
+
+
 def append_new(stream: DataFrame, target: str, key: str, checkpoint: str, least: int = 10) -> StreamingQuery:
-    """Appends arriving rows whose key is not in the target yet, if a batch brings ``least`` of them; others wait in ``target``'s pending folder.
+    """Appends arriving rows whose key is not in ``target``'s ``rows`` yet, once ``least`` of them have come together.
 
-    Each batch overwrites its own folder, so a batch that is run again after a
-    failure leaves the same rows.
+    Until then they wait: each batch writes all waiting rows to its own folder
+    of ``pending``, and the newest such folder counts.  A batch reads what
+    earlier batches wrote and overwrites its own folders, so a batch that is
+    run again after a failure leaves the same rows.
     """
 
     def take(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        try:
-            held = spark.read.schema(batch.schema).parquet(f"{target}/*/*")
-            rows = rows.join(held.select(key), key, "left_anti").select(*batch.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.persist()
-        place = "rows" if rows.limit(least).count() >= least else "pending"
-        rows.write.mode("overwrite").parquet(f"{target}/{place}/batch={epoch}")
+        spark, columns = batch.sparkSession, batch.columns
+        schema = lambda: type(batch.schema)(list(batch.schema.fields))
+        last = _newest(spark, f"{target}/pending", epoch)
+        waiting = spark.createDataFrame([], batch.schema) if last is None else spark.read.schema(batch.schema).parquet(f"{target}/pending/batch={last}")
+        rows = batch.unionByName(waiting.select(*columns)).dropDuplicates([key])
+        rows = rows.join(_held(spark, f"{target}/rows", schema(), epoch).select(key), key, "left_anti").select(*columns).persist()
+        enough = rows.limit(least).count() >= least
+        empty = rows.limit(0)
+        (rows if enough else empty).write.mode("overwrite").parquet(f"{target}/rows/batch={epoch}")
+        (empty if enough else rows).write.mode("overwrite").parquet(f"{target}/pending/batch={epoch}")
         rows.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(availableNow=True).start()
 
 
+def _newest(spark: SparkSession, folder: str, epoch: int) -> int | None:
+    """The latest batch before ``epoch`` that wrote to the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return max((k for n in names if n.startswith("batch=") and (k := int(n.split("=")[1])) < epoch), default=None)
+
+
 def tumbling(events: DataFrame, width: str, late: str, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Counts and sums in windows of one width; rows later than ``late`` behind the newest are left out of a stream's result."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events
@@ -43,3 +65,28 @@ def sessions(events: DataFrame, gap: str, late: str, by: list[str], ts: str = "t
     rows = events.withWatermark(ts, late) if events.isStreaming else events
     out = rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+
+
+def filtered_frequency(events: DataFrame, key: str, seen: str, late: str, ts: str = "ts", rate: float = 0.05) -> DataFrame:
+    """``key, n, freq``: a running frequency of a boolean by key, kept as state from batch to batch.
+
+    Each micro-batch moves a key's frequency by ``rate`` for each of its rows
+    towards what they show, oldest first.  State of a key without rows for the
+    watermark's delay is dropped.
+    """
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, freq = state.get if state.exists else (0, 0.5)
+        for batch in batches:
+            for value in batch.sort_values([ts, seen])[seen]:
+                n, freq = n + 1, freq + rate * (float(value) - freq)
+        state.update((n, freq))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 86_400_000)
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "freq": [freq]})
+
+    rows = events.where(F.col(seen).isNotNull()).select(key, ts, seen).withWatermark(ts, late)
+    kind = dict(events.dtypes)[key]
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, freq double", "n long, freq double", "update", "EventTimeTimeout")
