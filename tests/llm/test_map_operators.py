@@ -28,6 +28,8 @@ def test_url_rules_and_terms(spark):
         ("d.com", "/cheap-cheap", None, "allow"), ("d.com", "/a", None, "allow"), ("notexample.com", "/de/", None, "allow"), ("example.com", "/DE/", None, "allow"),
     ]
     assert url_filter.judge_urls(df.limit(0)).count() == 0
+    twice = url_filter.judge_urls(df.unionByName(df)).where("page_id = 9").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
 
 
 def brute_spans(words, items, window):
@@ -74,6 +76,14 @@ def test_decontamination_keeps_rows_of_equal_and_null_ids(spark, block_words):
     assert got == [(0, 0, [], [], []), (0, 1, [], [], []), (0, 6, [0, 6], ["1", "2"], [0, 11]), (1, 3, [0, 3], ["1"], [0, 5]), (1, 3, [0, 3], ["1"], [0, 5]), (1, 5, [1, 4], ["2"], [2, 7])]
 
 
+def test_decontamination_of_odd_tables(spark):
+    docs = docs_of(spark, ["a b c " * 20_000, "a b c", "a b c", ""]).withColumns({"spans": F.lit("clash"), "items": F.lit(1), "_text": F.lit("x")})
+    bench = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "...")], "item_id long, text string")
+    got = decontaminate.contamination(docs, bench, with_offsets=True).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["spans"], r["items"]) for r in got] == [(60_000, [0, 60_000], ["1"]), (3, [0, 3], ["1"]), (3, [0, 3], ["1"]), (0, [], [])]
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(docs.drop("_text"), bench).count() == 1
+
+
 def test_contaminated_documents_go(spark):
     item = " ".join(f"w{i}" for i in range(12))
     docs = docs_of(spark, ["x " + item.upper() + " y", "clean text", None, " ".join(f"w{i}" for i in range(9))])
@@ -100,6 +110,19 @@ def test_pieces_equal_the_library(spark):
     assert [tuple(r) for r in same] == [tuple(r) for r in pieces.encode_documents(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").orderBy("doc_id").collect()]
 
 
+def test_pieces_of_odd_tables(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    long = "The quick brown fox " * 20_000
+    docs = docs_of(spark, [long, "same text", "same text"])
+    docs = docs.unionByName(docs.where("doc_id = 1"))
+    got = pieces.token_digests(docs).collect()
+    assert len(got) == 4 and len({r["ids_sha256"] for r in got if r["doc_id"] != 0}) == 1
+    assert next(r["n_tokens"] for r in got if r["doc_id"] == 0) == len(lib.encode(long)) + 2
+    assert pieces.token_digests(docs.limit(0)).count() == 0
+
+
 SYLLABLES = {"en": "the er on an re he in ed nd ha at".split(), "de": "sch ung lich ein ver keit ich".split(), "fr": "eau oi ent tion elle aux que".split()}
 
 
