@@ -30,6 +30,14 @@ def test_titer_files(spark, tmp_path):
     assert [(r["part"], r["test"], r["raw"]) for r in got] == [("reference", "A/Ref/1", "160"), ("reference", "A/Ref/1", "<40"), ("test", "A/New/2", "80"), ("test", "A/New/2", "40")]
 
 
+def test_names_of_wide_tables(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("A/Vic/361/11",), ("A/Victoria/ 3/1975",), ("B/HK/8/73",)], "n string")
+    got = [r[0] for r in rows.select(readers.matrix_name(F.col("n"), {"Vic": "VICTORIA", "HK": "HONGKONG"})).collect()]
+    assert got == ["A/VICTORIA/361/2011", "A/Victoria/3/1975", "B/HONGKONG/8/1973"]
+
+
 def test_trees(spark, tmp_path):
     (tmp_path / "t.nwk").write_text("(('A/x,(1)':0.1,B:0.2):0.3,C:1e-2)root;")
     rows = {r["strain"]: r for r in readers.newick(spark, str(tmp_path / "t.nwk")).collect()}

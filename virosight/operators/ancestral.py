@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATES = "ACGT"
-#: Nodes of one tree that go to every task, places in a block, and the floor of messages.
-MAX_NODES, BLOCK, TINY = 500_000, 64, 1e-30
+#: Nodes of one tree that go to every task, places in a block and node states of a block at most, and the floor of messages.
+MAX_NODES, BLOCK, BLOCK_STATES, TINY = 500_000, 64, 1_000_000, 1e-30
 
 
 def transition(t: np.ndarray) -> np.ndarray:
@@ -79,5 +79,7 @@ def reconstruct(nodes: DataFrame, sites: DataFrame) -> DataFrame:
         ids = np.fromiter(seat, np.int64, len(seat))
         return pd.DataFrame({"node_id": np.repeat(ids, len(places)), "pos": np.tile(places, len(ids)), "state": np.array(list(STATES))[best.reshape(-1)]})
 
-    blocks = sites.select("node_id", F.col("pos").cast("int").alias("pos"), F.upper("state").alias("state")).withColumn("_block", F.floor((F.col("pos") - 1) / BLOCK))
+    # A task's arrays have a row for each node, place and state: the larger the tree, the fewer places.
+    places = max(1, min(BLOCK, BLOCK_STATES // max(1, len(order))))
+    blocks = sites.select("node_id", F.col("pos").cast("int").alias("pos"), F.upper("state").alias("state")).withColumn("_block", F.floor((F.col("pos") - 1) / places))
     return blocks.groupBy("_block").applyInPandas(run, "node_id long, pos int, state string")

@@ -95,6 +95,24 @@ def titer_matrix(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_matrix, "source string, part string, test string, serum string, raw string")
 
 
+def matrix_name(name: Column, places: dict[str, str] | None = None) -> Column:
+    """Strain name of a wide titer table: the place spelled out if it is one of the abbreviations, and a two-digit year as a whole one.
+
+    Years below 20 are of this century, unlike those of sequence names.
+    """
+    parts = F.split(F.regexp_replace(F.trim(name), r"\s+", ""), "/")
+    place = F.upper(F.get(parts, F.lit(1)))
+    long = place
+    for short, full in (places or {}).items():
+        long = F.when(place == short.upper(), F.lit(full)).otherwise(long)
+    known = place.isin(*(k.upper() for k in places)) if places else F.lit(False)
+    last = F.element_at(parts, -1)
+    year = F.when(last.rlike("^[0-9]{2}$"), last.try_cast("int"))
+    whole = F.when(year.isNull(), last).otherwise(F.concat(F.when(year < 20, F.lit("20")).otherwise(F.lit("19")), last))
+    mapped = F.transform(parts, lambda p, i: F.when((i == 1) & known, long).when(i == F.size(parts) - 1, whole).otherwise(p))
+    return F.array_join(mapped, "/")
+
+
 def json_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
