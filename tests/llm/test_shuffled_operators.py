@@ -182,6 +182,8 @@ def test_scores_against_brute_force(spark, order, monkeypatch):
     for i, (n, backed, score) in enumerate(brute_scores(texts, order, 0.4, 2)):
         assert got[i][:2] == (n, backed) and abs(got[i][2] - score) < 1e-6
     assert lm_score.score_documents(docs.limit(0)).count() == 0
+    tables = {r["doc_id"]: (r["n_tokens"], r["n_backoff"], r["log10_score"]) for r in lm_score.score_relational(docs, order=order).collect()}
+    assert set(tables) == set(got) and all(tables[i][:2] == got[i][:2] and abs(tables[i][2] - got[i][2]) < 1e-6 for i in got)
 
 
 def cosines(x, q):

@@ -181,7 +181,46 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(_scorer(order, backoff, min_count, total), f"_id {kind}, n_tokens long, n_backoff long, log10_score double").withColumnRenamed("_id", id_col)
 
 
+def ngrams(docs: DataFrame, text_col: str, order: int) -> DataFrame:
+    """``row, at, n, gram, context``: every n-gram of every row by its hash, with that of the words before its last."""
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    own = docs.select("row", words.alias("w")).where(F.size("w") > 0)
+
+    def ending(i):
+        sizes = F.sequence(F.lit(1), F.least(i, F.lit(order)))
+        return F.transform(sizes, lambda n: F.struct(i.alias("at"), n.alias("n"), F.xxhash64(F.slice("w", i - n + 1, n)).alias("gram"), F.xxhash64(F.slice("w", i - n + 1, n - 1)).alias("context")))
+
+    found = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), ending))
+    return own.select("row", F.explode(found).alias("g")).select("row", "g.*")
+
+
+def score_relational(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """The same result as ``score_documents`` by tables alone, for corpora whose n-grams may all be shuffled.
+
+    Count tables of n-grams, dealt by hash, are joined to the exploded n-grams
+    and to their contexts; the highest order that counts is taken for each
+    word and summed for each document.
+    """
+    rows = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("row")))
+    grams = ngrams(rows, "_text", order)
+    counts = written(grams.groupBy("n", "gram").agg(F.count("*").alias("c")))
+    total = F.lit(counts.where("n = 1").agg(F.sum("c")).first()[0] or 1)
+    before = counts.select((F.col("n") + 1).alias("n"), F.col("gram").alias("context"), F.col("c").alias("cc"))
+    met = grams.join(counts, ["n", "gram"]).join(before, ["n", "context"], "left")
+    least = F.when(F.col("n") > 1, F.lit(min_count)).otherwise(F.lit(1))
+    value = F.log10("c") - F.log10(F.when(F.col("n") > 1, F.col("cc")).otherwise(total))
+    best = met.groupBy("row", "at").agg(F.max("n").alias("top"), F.max(F.when(F.col("c") >= least, F.struct("n", value.alias("v")))).alias("b"))
+    score = F.col("b.v") + (F.col("top") - F.col("b.n")) * F.log10(F.lit(backoff))
+    sums = best.groupBy("row").agg(F.count("*").alias("n_tokens"), F.sum((F.col("b.n") < F.col("top")).cast("long")).alias("n_backoff"), F.sum(score).alias("log10_score"))
+    zero = F.lit(0).cast("long")
+    return rows.join(sums, "row", "left").select(
+        F.col("_id").alias(id_col), F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("n_backoff", zero).alias("n_backoff"), F.coalesce("log10_score", F.lit(0.0)).alias("log10_score")
+    )
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_documents`` over all of ``documents``, and the score a word; odd rows as described there."""
     out = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_tokens", "n_backoff", F.round("log10_score", 4).alias("log10_score"), F.round(F.col("log10_score") / F.greatest("n_tokens", F.lit(1)), 6).alias("log10_per_token"))
 
