@@ -57,7 +57,8 @@ def month_region_counts(spark, sf_dir):
     return series.month_region_counts(samples(spark, sf_dir), "date", "region")
 
 
-@query(f"""WITH {_SAMPLES} SELECT year(date) AS year, month(date) AS month, {", ".join(f"count(*) FILTER (region = '{r}') AS {r.replace(' ', '_').lower()}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))} FROM samples GROUP BY 1, 2""")
+@query(f"""WITH {_SAMPLES} SELECT year(date) AS year, month(date) AS month, {", ".join(f"count(*) FILTER (region = '{r}') AS {r.replace(' ', '_').lower()}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
+FROM samples GROUP BY 1, 2""")
 def month_region_table(spark, sf_dir):
     names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     out = series.month_region_table(samples(spark, sf_dir), "date", "region", names)
@@ -69,7 +70,8 @@ def region_totals_rollup(spark, sf_dir):
     return series.region_totals(samples(spark, sf_dir), "date", "region")
 
 
-@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
+@query("""SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k
+FROM documents) WHERE k = 1""")
 def keep_first_unique(spark, sf_dir):
     return curate.keep_first(table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], [-F.col("n_chars"), "doc_id"]).select("source", "doc_id", "n_chars")
 
@@ -80,21 +82,26 @@ def outbreak_dedupe(spark, sf_dir):
     return curate.keep_first(docs, ["source", "lang", "seq"], ["doc_id"]).select("doc_id", "source", "lang")
 
 
-@query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m, row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
-b AS (SELECT *, row_number() OVER (PARTITION BY y, m ORDER BY priority DESC, r, region, length DESC, id) AS k FROM a) SELECT id, y, m, region FROM b WHERE k <= 20""")
+@query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m,
+row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
+b AS (SELECT *, row_number() OVER (PARTITION BY y, m ORDER BY priority DESC, r, region, length DESC, id) AS k FROM a) SELECT id, y, m, region FROM b
+WHERE k <= 20""")
 def round_robin_subsample(spark, sf_dir):
     s = samples(spark, sf_dir).withColumns({"y": F.year("date"), "m": F.month("date")})
     return curate.round_robin_subsample(s, ["y", "m"], "region", 20, F.col("priority"), [F.desc("length"), "id"]).select("id", "y", "m", "region")
 
 
-@query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m, row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
-b AS (SELECT *, row_number() OVER (PARTITION BY y, m ORDER BY priority DESC, r, region, length DESC, id) AS k FROM a) SELECT id, y, m FROM b WHERE k <= 8 OR priority""")
+@query(f"""WITH {_SAMPLES}, a AS (SELECT *, year(date) AS y, month(date) AS m,
+row_number() OVER (PARTITION BY year(date), month(date), region, priority ORDER BY length DESC, id) AS r FROM samples),
+b AS (SELECT *, row_number() OVER (PARTITION BY y, m ORDER BY priority DESC, r, region, length DESC, id) AS k FROM a) SELECT id, y, m FROM b
+WHERE k <= 8 OR priority""")
 def priority_fill_subsample(spark, sf_dir):
     s = samples(spark, sf_dir).withColumns({"y": F.year("date"), "m": F.month("date")})
     return curate.round_robin_subsample(s, ["y", "m"], "region", 8, F.col("priority"), [F.desc("length"), "id"], keep_priority=True).select("id", "y", "m")
 
 
-@query(f"""WITH {_SAMPLES}, a AS (SELECT *, row_number() OVER (PARTITION BY year(date), month(date) ORDER BY priority DESC, (id * 7919) % 1000003, id) AS k FROM samples) SELECT id FROM a WHERE k <= 10""")
+@query(f"""WITH {_SAMPLES}, a AS (SELECT *, row_number() OVER (PARTITION BY year(date), month(date)
+ORDER BY priority DESC, (id * 7919) % 1000003, id) AS k FROM samples) SELECT id FROM a WHERE k <= 10""")
 def global_subsample(spark, sf_dir):
     s = samples(spark, sf_dir).withColumns({"y": F.year("date"), "m": F.month("date")})
     return curate.subsample(s, ["y", "m"], 10, F.col("priority"), [(F.col("id") * 7919) % 1000003, "id"]).select("id")
@@ -113,21 +120,25 @@ def mask_ambiguous(spark, sf_dir):
 
 @query("""WITH a AS (SELECT c_custkey, 'A/H3N2 ' || c_name || '//' || lpad((c_custkey % 100)::VARCHAR, 2, '0') AS raw FROM customer),
 b AS (SELECT c_custkey, replace(regexp_replace(raw, 'H3N2|Human|human|[ ''()]', '', 'g'), '//', '/') AS x FROM a)
-SELECT c_custkey, CASE WHEN regexp_matches(split_part(x, '/', -1), '^[0-9]{2}$') THEN substring(x, 1, length(x) - 2) || CASE WHEN split_part(x, '/', -1)::INT > 16 THEN '19' ELSE '20' END || split_part(x, '/', -1) ELSE x END AS strain FROM b""")
+SELECT c_custkey, CASE WHEN regexp_matches(split_part(x, '/', -1), '^[0-9]{2}$') THEN substring(x, 1, length(x) - 2) || CASE
+WHEN split_part(x, '/', -1)::INT > 16 THEN '19' ELSE '20' END || split_part(x, '/', -1) ELSE x END AS strain FROM b""")
 def name_normalise(spark, sf_dir):
     raw = F.concat(F.lit("A/H3N2 "), "c_name", F.lit("//"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
     return table(spark, sf_dir, "customer").select("c_custkey", strings.fix_name(raw).alias("strain"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR trim(raw) = '' THEN NULL ELSE TRY_CAST(string_split_regex(trim(raw), '\\s+')[1] AS DOUBLE) END AS titer
-FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '<40' WHEN 1 THEN '160 80' WHEN 2 THEN ' ' || c_nationkey || '0' WHEN 3 THEN 'nd' ELSE '' END AS raw FROM customer)""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR trim(raw) = '' THEN NULL
+ELSE TRY_CAST(string_split_regex(trim(raw), '\\s+')[1] AS DOUBLE) END AS titer
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '<40' WHEN 1 THEN '160 80' WHEN 2 THEN ' ' || c_nationkey || '0' WHEN 3 THEN 'nd'
+ELSE '' END AS raw FROM customer)""")
 def titer_parse(spark, sf_dir):
     k = F.col("c_custkey") % 5
     raw = F.when(k == 0, "<40").when(k == 1, "160 80").when(k == 2, F.concat(F.lit(" "), "c_nationkey", F.lit("0"))).when(k == 3, "nd").otherwise("")
     return table(spark, sf_dir, "customer").select("c_custkey", strings.titer_value(raw).alias("titer"))
 
 
-@query("""SELECT doc_id, CASE WHEN position('MDCK' IN upper(p)) > 0 THEN 'MDCK' WHEN position('SIAT' IN upper(p)) > 0 THEN 'SIAT' WHEN regexp_matches(p, 'linical|riginal|irect') THEN 'direct' ELSE p END AS category
+@query("""SELECT doc_id, CASE WHEN position('MDCK' IN upper(p)) > 0 THEN 'MDCK' WHEN position('SIAT' IN upper(p)) > 0 THEN 'SIAT'
+WHEN regexp_matches(p, 'linical|riginal|irect') THEN 'direct' ELSE p END AS category
 FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'mdck2' WHEN 1 THEN 'SIAT1' WHEN 2 THEN 'Original' WHEN 3 THEN 'Egg3' ELSE source END AS p FROM documents)""")
 def passage_category(spark, sf_dir):
     k = F.col("doc_id") % 5
@@ -135,7 +146,8 @@ def passage_category(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.passage_category(p).alias("category"))
 
 
-@query("SELECT p_brand || CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN '-' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) ELSE '' END AS unique_name, p_partkey FROM part")
+@query("""SELECT p_brand || CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN '-' || row_number() OVER (PARTITION BY p_brand
+ORDER BY p_partkey) ELSE '' END AS unique_name, p_partkey FROM part""")
 def unique_names(spark, sf_dir):
     return strings.unique_names(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", ["p_partkey"]).select("unique_name", "p_partkey")
 
@@ -158,21 +170,25 @@ def forced_flag(spark, sf_dir):
     return curate.flag_listed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), listed, "o_orderkey")
 
 
-@query("""WITH p AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS p FROM benchmark ORDER BY item_id LIMIT 2), d AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents),
-x AS (SELECT doc_id, item_id, len([1 FOR i IN range(1, 1 + least(len(s), len(p))) IF s[i] <> '-' AND p[i] <> '-']) AS n, len([1 FOR i IN range(1, 1 + least(len(s), len(p))) IF s[i] <> '-' AND p[i] <> '-' AND s[i] <> p[i]]) AS k FROM d, p)
+@query("""WITH p AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS p FROM benchmark ORDER BY item_id LIMIT 2),
+d AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents),
+x AS (SELECT doc_id, item_id, len([1 FOR i IN range(1, 1 + least(len(s), len(p))) IF s[i] <> '-' AND p[i] <> '-']) AS n, len([1 FOR i IN range(1, 1 + least(len(s), len(p))) IF s[i] <> '-' AND p[i] <> '-' AND s[i] <> p[i]]) AS k
+FROM d, p)
 SELECT doc_id FROM x GROUP BY doc_id HAVING min(coalesce(k / nullif(n, 0), 1)) >= 0.92""")
 def near_probe_anti(spark, sf_dir):
     probes = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(2).collect()]
     return curate.drop_similar(table(spark, sf_dir, "documents"), "text", probes, 0.92).select("doc_id")
 
 
-@query(f"WITH {_SAMPLES}, base AS (SELECT id FROM samples WHERE year(date) >= 1996) SELECT id FROM base UNION ALL SELECT id FROM samples WHERE priority AND id NOT IN (SELECT id FROM base)")
+@query(f"""WITH {_SAMPLES}, base AS (SELECT id FROM samples WHERE year(date) >= 1996) SELECT id FROM base UNION ALL SELECT id FROM samples
+WHERE priority AND id NOT IN (SELECT id FROM base)""")
 def union_prior_curated(spark, sf_dir):
     s = samples(spark, sf_dir)
     return curate.append_missing(s.where(F.year("date") >= 1996).select("id"), s.where("priority").select("id"), "id")
 
 
-@query("SELECT l_partkey AS name FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25")
+@query("""SELECT l_partkey AS name FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem
+WHERE l_returnflag = 'A' AND l_quantity > 25""")
 def setdiff_names(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     late = li.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("name"))
@@ -186,7 +202,9 @@ def union_distinct(spark, sf_dir):
     return sinks.merged_accessions(lists).toDF("l_partkey", "l_suppkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, CASE WHEN l_discount > 0.05 THEN l_discount END, l_tax]) AS value FROM lineitem) WHERE value IS NOT NULL""")
+@query("""SELECT l_orderkey, l_linenumber, measure, value
+FROM (SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, CASE
+WHEN l_discount > 0.05 THEN l_discount END, l_tax]) AS value FROM lineitem) WHERE value IS NOT NULL""")
 def unpivot_titers(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"), F.col("l_tax").alias("tax"))
     return li.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "discount", "tax"], "measure", "value").where("value is not null")
@@ -202,19 +220,22 @@ def decimal_year(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(dates.decimal_year(F.col("o_orderdate")), 6).alias("num_date"))
 
 
-@query(f"SELECT o_orderkey, (make_date(floor(x)::INT, 1, 1) + round((x - floor(x)) * 365.25)::INT)::DATE AS back FROM (SELECT o_orderkey, {_YEARS} AS x FROM orders)")
+@query(f"""SELECT o_orderkey, (make_date(floor(x)::INT, 1, 1) + round((x - floor(x)) * 365.25)::INT)::DATE AS back
+FROM (SELECT o_orderkey, {_YEARS} AS x FROM orders)""")
 def calendar_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.calendar_date(dates.decimal_year(F.col("o_orderdate"))).alias("back"))
 
 
 @query(f"""WITH a AS (SELECT o_orderkey, {_YEARS} AS t, o_totalprice AS d FROM orders), f AS (SELECT regr_slope(d, t) AS b, regr_intercept(d, t) AS a FROM a),
-r AS (SELECT o_orderkey, f.b * t + f.a - d AS r FROM a, f), q AS (SELECT quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS q FROM r) SELECT o_orderkey FROM r, q WHERE abs(r) < 1.0 * q.q""")
+r AS (SELECT o_orderkey, f.b * t + f.a - d AS r FROM a, f), q AS (SELECT quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS q FROM r)
+SELECT o_orderkey FROM r, q WHERE abs(r) < 1.0 * q.q""")
 def clock_filter(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", dates.decimal_year(F.col("o_orderdate")).alias("t"), F.col("o_totalprice").alias("d"))
     return curate.clock_filter(orders, "t", "d", 1.0).select("o_orderkey")
 
 
-@query("""WITH s AS (SELECT make_date(y, 10, 1) AS a, make_date(y + 1, 4, 1) AS b, y AS season FROM range(1992, 1999) t(y)), j AS (SELECT o_orderkey, season, o_totalprice AS x FROM orders JOIN s ON o_orderdate >= a AND o_orderdate < b)
+@query("""WITH s AS (SELECT make_date(y, 10, 1) AS a, make_date(y + 1, 4, 1) AS b, y AS season FROM range(1992, 1999) t(y)),
+j AS (SELECT o_orderkey, season, o_totalprice AS x FROM orders JOIN s ON o_orderdate >= a AND o_orderdate < b)
 SELECT o_orderkey, season::INT AS season, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM j WINDOW w AS (PARTITION BY season)""")
 def standardise_by_season(spark, sf_dir):
     seasons = spark.range(1992, 1999).select(F.col("id").cast("int").alias("season"), F.make_date(F.col("id").cast("int"), F.lit(10), F.lit(1)).alias("a"), F.make_date(F.col("id").cast("int") + 1, F.lit(4), F.lit(1)).alias("b"))
@@ -227,7 +248,8 @@ def pivot_histogram(spark, sf_dir):
     return series.histogram(table(spark, sf_dir, "events"), "value", 0.0, 100.0, 10, ["event_type"])
 
 
-@query("""WITH a AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error'), b AS (SELECT user_id, ts, max(value) AS last_click FROM events WHERE event_type = 'click' GROUP BY ALL)
+@query("""WITH a AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error'), b AS (SELECT user_id, ts, max(value) AS last_click
+FROM events WHERE event_type = 'click' GROUP BY ALL)
 SELECT a.event_id, b.last_click FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts""")
 def asof_pivot(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
@@ -253,15 +275,18 @@ def dfreq_ratio(spark, sf_dir):
     return series.change_ratio(_daily(spark, sf_dir), "f", "day", 2, ["event_type"]).select("event_type", "day", F.round("ratio", 6).alias("ratio"))
 
 
-@query(f"""WITH {_DAILY}, s AS (SELECT event_type, epoch(day) / 86400.0 AS x, f AS y FROM daily), g AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM s WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+@query(f"""WITH {_DAILY}, s AS (SELECT event_type, epoch(day) / 86400.0 AS x, f AS y FROM daily),
+g AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM s WINDOW w AS (PARTITION BY event_type ORDER BY x)),
 h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x) AS k FROM g WHERE y > 51)
-SELECT event_type, round(CASE WHEN x0 IS NULL THEN x ELSE x0 + (51 - y0) / ((y - y0) / (x - x0)) END, 5) AS crossing, round((y - y0) / (x - x0), 5) AS slope FROM h WHERE k = 1""")
+SELECT event_type, round(CASE WHEN x0 IS NULL THEN x ELSE x0 + (51 - y0) / ((y - y0) / (x - x0)) END, 5) AS crossing,
+round((y - y0) / (x - x0), 5) AS slope FROM h WHERE k = 1""")
 def threshold_crossing(spark, sf_dir):
     days = _daily(spark, sf_dir).select("event_type", F.unix_date("day").cast("double").alias("x"), F.col("f").alias("y"))
     return series.threshold_crossing(days, "x", "y", 51.0, ["event_type"]).select("event_type", F.round("crossing", 5).alias("crossing"), F.round("slope", 5).alias("slope"))
 
 
-@query("""WITH a AS (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS f FROM events GROUP BY 1)
+@query("""WITH a AS (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS f
+FROM events GROUP BY 1)
 SELECT day, round(f, 6) AS f, round(sqrt(f * (1 - f) / (n + 1)), 6) AS sigma FROM a""")
 def frequency_band_error(spark, sf_dir):
     f = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.avg((F.col("event_type") == "error").cast("double")).alias("f"))
@@ -270,7 +295,8 @@ def frequency_band_error(spark, sf_dir):
 
 # Sites
 
-_SITES = "s AS (SELECT doc_id, lang, source, unnest(w) AS state, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '(?s).') AS w FROM documents))"
+_SITES = """s AS (SELECT doc_id, lang, source, unnest(w) AS state, generate_subscripts(w, 1) AS pos
+FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '(?s).') AS w FROM documents))"""
 
 
 def _sites(spark, sf_dir, *keep):
@@ -278,12 +304,15 @@ def _sites(spark, sf_dir, *keep):
     return sequences.sites(table(spark, sf_dir, "documents"), "text", *(keep or ("doc_id",)))
 
 
-@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL) SELECT pos::INT AS pos, state, n, round(n / sum(n) OVER (PARTITION BY pos), 8) AS freq FROM c")
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL) SELECT pos::INT AS pos, state, n,
+round(n / sum(n) OVER (PARTITION BY pos), 8) AS freq FROM c""")
 def site_frequencies(spark, sf_dir):
     return sites.site_frequencies(_sites(spark, sf_dir)).select("pos", "state", "n", F.round("freq", 8).alias("freq"))
 
 
-@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos, round(abs(sum(f * ln(greatest(f, 1e-10)))), 6) AS entropy, count(*) AS n_states FROM f GROUP BY pos")
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL),
+f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos,
+round(abs(sum(f * ln(greatest(f, 1e-10)))), 6) AS entropy, count(*) AS n_states FROM f GROUP BY pos""")
 def entropy(spark, sf_dir):
     out = sites.entropy(sites.site_frequencies(_sites(spark, sf_dir)))
     return out.select("pos", F.round("entropy", 6).alias("entropy"), F.size("states").cast("long").alias("n_states"))
@@ -292,12 +321,15 @@ def entropy(spark, sf_dir):
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n, strpos('{_ALPHABET}', state) AS seat FROM s WHERE state IN ({', '.join(repr(c) for c in _ALPHABET)}) GROUP BY ALL) SELECT pos::INT AS pos, state FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, seat) AS k FROM c) WHERE k = 1")
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n, strpos('{_ALPHABET}', state) AS seat FROM s
+WHERE state IN ({', '.join(repr(c) for c in _ALPHABET)}) GROUP BY ALL) SELECT pos::INT AS pos, state FROM (SELECT *,
+row_number() OVER (PARTITION BY pos ORDER BY n DESC, seat) AS k FROM c) WHERE k = 1""")
 def consensus(spark, sf_dir):
     return sites.consensus(sites.site_frequencies(_sites(spark, sf_dir), _ALPHABET), _ALPHABET)
 
 
-@query(f"WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos, round(max(f), 8) AS top FROM f GROUP BY pos HAVING max(f) < 0.85")
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS f
+FROM c) SELECT pos::INT AS pos, round(max(f), 8) AS top FROM f GROUP BY pos HAVING max(f) < 0.85""")
 def variable_sites(spark, sf_dir):
     return sites.variable_sites(sites.site_frequencies(_sites(spark, sf_dir)), 0.15).select("pos", F.round("top", 8).alias("top"))
 
@@ -320,7 +352,8 @@ def sparse_diff_vs_root(spark, sf_dir):
     return _diffs(spark, sf_dir, "documents", "doc_id")
 
 
-@query(f"""WITH {_SITES}, c AS (SELECT pos, state, sum(coalesce(quality, 0) + 1) AS w FROM s LEFT JOIN labels USING (doc_id) GROUP BY ALL) SELECT pos::INT AS pos, state, round(w / sum(w) OVER (PARTITION BY pos), 8) AS freq FROM c""")
+@query(f"""WITH {_SITES}, c AS (SELECT pos, state, sum(coalesce(quality, 0) + 1) AS w FROM s LEFT JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT pos::INT AS pos, state, round(w / sum(w) OVER (PARTITION BY pos), 8) AS freq FROM c""")
 def weighted_frequencies(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     s = _sites(spark, sf_dir).join(labels, "doc_id", "left")
@@ -347,9 +380,12 @@ def genotype_counts(spark, sf_dir):
 
 # Trees
 
-_TREE = """tree AS (SELECT 0 AS node_id, NULL::INT AS parent_id, 0 AS child_ord, 0.0::DOUBLE AS branch_length UNION ALL SELECT 1 + r_regionkey, 0, r_regionkey, (1 + r_regionkey) / 10.0::DOUBLE FROM region
-UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, n_nationkey, (1 + n_nationkey) / 100.0::DOUBLE FROM nation UNION ALL SELECT 1000 + c_custkey::INT, 100 + c_nationkey, c_custkey::INT, abs(c_acctbal) / 1e6 FROM customer),
-closure AS (SELECT node_id AS node, node_id AS ancestor, 0 AS steps FROM tree UNION ALL SELECT c.node, t.parent_id, c.steps + 1 FROM closure c JOIN tree t ON c.ancestor = t.node_id WHERE t.parent_id IS NOT NULL)"""
+_TREE = """tree AS (SELECT 0 AS node_id, NULL::INT AS parent_id, 0 AS child_ord, 0.0::DOUBLE AS branch_length UNION ALL
+SELECT 1 + r_regionkey, 0, r_regionkey, (1 + r_regionkey) / 10.0::DOUBLE FROM region
+UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, n_nationkey, (1 + n_nationkey) / 100.0::DOUBLE FROM nation UNION ALL
+SELECT 1000 + c_custkey::INT, 100 + c_nationkey, c_custkey::INT, abs(c_acctbal) / 1e6 FROM customer),
+closure AS (SELECT node_id AS node, node_id AS ancestor, 0 AS steps FROM tree UNION ALL SELECT c.node, t.parent_id, c.steps + 1 FROM closure c
+JOIN tree t ON c.ancestor = t.node_id WHERE t.parent_id IS NOT NULL)"""
 
 
 def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,51 +406,61 @@ def tree_closure_tipcount(spark, sf_dir):
     return tree.subtree(tree.ancestors(nodes), nodes.where("node_id >= 1000").select("node_id"), "node_id", F.count("*").alias("n_tips"))
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length), 8) AS xvalue, count(*) - 1 AS depth FROM closure JOIN tree ON ancestor = node_id GROUP BY node")
+@query(f"""WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length), 8) AS xvalue, count(*) - 1 AS depth FROM closure
+JOIN tree ON ancestor = node_id GROUP BY node""")
 def tree_root_distance(spark, sf_dir):
     return tree.root_distance(node_table(spark, sf_dir)).select("node_id", F.round("xvalue", 8).alias("xvalue"), "depth")
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT node AS node_id, min_by(v, steps) AS v FROM closure JOIN (SELECT node_id, node_id % 7 AS v FROM tree WHERE node_id < 1000 AND node_id % 2 = 0) k ON ancestor = k.node_id GROUP BY node")
+@query(f"""WITH RECURSIVE {_TREE} SELECT node AS node_id, min_by(v, steps) AS v FROM closure JOIN (SELECT node_id, node_id % 7 AS v FROM tree
+WHERE node_id < 1000 AND node_id % 2 = 0) k ON ancestor = k.node_id GROUP BY node""")
 def tree_inherit(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     return tree.inherit(tree.ancestors(nodes), nodes.select("node_id", F.when((F.col("node_id") < 1000) & (F.col("node_id") % 2 == 0), F.col("node_id") % 7).alias("v")), "v")
 
 
-@query(f"WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length * 2), 8) AS cumulative FROM closure JOIN tree ON ancestor = node_id GROUP BY node")
+@query(f"""WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length * 2), 8) AS cumulative FROM closure JOIN tree ON ancestor = node_id
+GROUP BY node""")
 def tree_cumulative(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     out = tree.accumulate(tree.ancestors(nodes), nodes.select("node_id", (F.col("branch_length") * 2).alias("v")), "v", "cumulative")
     return out.select("node_id", F.round("cumulative", 8).alias("cumulative"))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, last AS (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY 1), recent AS (SELECT 1000 + o_custkey AS node FROM last WHERE d > (SELECT max(d) FROM last) - INTERVAL 3 DAY),
+@query(f"""WITH RECURSIVE {_TREE}, last AS (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY 1),
+recent AS (SELECT 1000 + o_custkey AS node FROM last WHERE d > (SELECT max(d) FROM last) - INTERVAL 3 DAY),
 held AS (SELECT ancestor, count(*) AS n FROM closure JOIN recent USING (node) GROUP BY 1)
-SELECT node_id, coalesce(n = (SELECT count(*) FROM recent) AND node_id NOT IN (SELECT 1000 + o_custkey FROM last), false) AS trunk FROM tree LEFT JOIN held ON node_id = ancestor""")
+SELECT node_id, coalesce(n = (SELECT count(*) FROM recent) AND node_id NOT IN (SELECT 1000 + o_custkey FROM last), false) AS trunk FROM tree LEFT
+JOIN held ON node_id = ancestor""")
 def tree_trunk(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.unix_seconds(F.max("o_orderdate").cast("timestamp")) / 86400.0).alias("d"))
     return tree.trunk(nodes, tree.ancestors(nodes), last.select((1000 + F.col("o_custkey")).cast("int").alias("node_id"), "d"), "d", 3.0)
 
 
-@query(f"""WITH RECURSIVE {_TREE}, below AS (SELECT ancestor AS node_id, round(sum(branch_length), 9) AS b FROM closure JOIN tree ON node = tree.node_id GROUP BY 1)
-SELECT node_id, parent_id, (row_number() OVER (PARTITION BY parent_id ORDER BY b DESC, child_ord, node_id) - 1)::INT AS child_ord FROM tree JOIN below USING (node_id)""")
+@query(f"""WITH RECURSIVE {_TREE}, below AS (SELECT ancestor AS node_id, round(sum(branch_length), 9) AS b FROM closure
+JOIN tree ON node = tree.node_id GROUP BY 1)
+SELECT node_id, parent_id, (row_number() OVER (PARTITION BY parent_id ORDER BY b DESC, child_ord, node_id) - 1)::INT AS child_ord FROM tree
+JOIN below USING (node_id)""")
 def tree_ladderize(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     return tree.ladderize(nodes, tree.ancestors(nodes)).select("node_id", "parent_id", "child_ord")
 
 
 @query(f"""WITH RECURSIVE {_TREE}, kept AS (SELECT * FROM tree WHERE parent_id IS NULL OR NOT (node_id BETWEEN 100 AND 999 AND branch_length < 0.1))
-SELECT kept.node_id, (SELECT min_by(c.ancestor, c.steps) FROM closure c WHERE c.node = kept.node_id AND c.steps > 0 AND c.ancestor IN (SELECT node_id FROM kept)) AS parent_id FROM kept""")
+SELECT kept.node_id, (SELECT min_by(c.ancestor, c.steps) FROM closure c WHERE c.node = kept.node_id AND c.steps > 0 AND c.ancestor IN (SELECT node_id
+FROM kept)) AS parent_id FROM kept""")
 def tree_collapse(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     gone = F.col("node_id").between(100, 999) & (F.col("branch_length") < 0.1)
     return tree.collapse(nodes, tree.ancestors(nodes), gone).select("node_id", "parent_id")
 
 
-@query(f"""WITH RECURSIVE {_TREE}, nat AS (SELECT parent_id AS node_id, avg(child_ord) AS y FROM tree WHERE node_id >= 1000 GROUP BY 1), reg AS (SELECT t.parent_id AS node_id, avg(y) AS y FROM nat JOIN tree t USING (node_id) GROUP BY 1),
+@query(f"""WITH RECURSIVE {_TREE}, nat AS (SELECT parent_id AS node_id, avg(child_ord) AS y FROM tree WHERE node_id >= 1000 GROUP BY 1),
+reg AS (SELECT t.parent_id AS node_id, avg(y) AS y FROM nat JOIN tree t USING (node_id) GROUP BY 1),
 rt AS (SELECT t.parent_id AS node_id, avg(y) AS y FROM reg JOIN tree t USING (node_id) GROUP BY 1)
-SELECT node_id, round(y, 6) AS y FROM (SELECT node_id, child_ord::DOUBLE AS y FROM tree WHERE node_id >= 1000 UNION ALL SELECT * FROM nat UNION ALL SELECT * FROM reg UNION ALL SELECT * FROM rt)""")
+SELECT node_id, round(y, 6) AS y FROM (SELECT node_id, child_ord::DOUBLE AS y FROM tree WHERE node_id >= 1000 UNION ALL SELECT * FROM nat UNION ALL
+SELECT * FROM reg UNION ALL SELECT * FROM rt)""")
 def tree_layout_y(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     # Only nations with customers and what lies above them have tips below.
@@ -423,9 +469,12 @@ def tree_layout_y(spark, sf_dir):
     return out.select("node_id", F.round("y", 6).alias("y"))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, len AS (SELECT node_id, branch_length AS len, parent_id FROM tree), far AS (SELECT c.node, c.ancestor, coalesce(sum(l.len), 0) AS d FROM closure c LEFT JOIN closure m ON m.node = c.node AND m.steps < c.steps LEFT JOIN len l ON l.node_id = m.ancestor GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {_TREE}, len AS (SELECT node_id, branch_length AS len, parent_id FROM tree), far AS (SELECT c.node, c.ancestor,
+coalesce(sum(l.len), 0) AS d FROM closure c LEFT JOIN closure m ON m.node = c.node AND m.steps < c.steps LEFT JOIN len l ON l.node_id = m.ancestor
+GROUP BY 1, 2),
 p AS (SELECT a.node AS n, b.node AS b, min_by(b.d, a.d + b.d) AS db, min(a.d + b.d) AS d FROM far a JOIN far b USING (ancestor) GROUP BY 1, 2)
-SELECT n AS node_id, round(sum(0.1 * (1 - exp(-len / 0.1)) * exp(-(CASE WHEN db = 0 THEN d ELSE d - len END) / 0.1)), 7) AS lbi FROM p JOIN len ON p.b = len.node_id WHERE parent_id IS NOT NULL GROUP BY n""")
+SELECT n AS node_id, round(sum(0.1 * (1 - exp(-len / 0.1)) * exp(-(CASE WHEN db = 0 THEN d ELSE d - len END) / 0.1)), 7) AS lbi FROM p
+JOIN len ON p.b = len.node_id WHERE parent_id IS NOT NULL GROUP BY n""")
 def lbi_closed_form(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     return tree.branching_index(nodes, nodes.select("node_id"), 0.1).select("node_id", F.round("lbi", 7).alias("lbi"))
@@ -441,7 +490,8 @@ def tree_path_between(spark, sf_dir):
 
 # Titers
 
-_TITERS = "t AS (SELECT l_partkey AS test, (l_suppkey * 7) % 50 AS ref, l_suppkey AS serum, l_quantity AS titer, l_returnflag AS source, l_orderkey * 10 + l_linenumber AS row_id FROM lineitem)"
+_TITERS = """t AS (SELECT l_partkey AS test, (l_suppkey * 7) % 50 AS ref, l_suppkey AS serum, l_quantity AS titer, l_returnflag AS source, l_orderkey * 10 + l_linenumber AS row_id
+FROM lineitem)"""
 
 
 def titers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,13 +499,16 @@ def titers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("test"), ((F.col("l_suppkey") * 7) % 50).alias("ref"), F.col("l_suppkey").alias("serum"), F.col("l_quantity").alias("titer"), F.col("l_returnflag").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
 
 
-@query(f"""WITH {_TITERS}, h AS (SELECT ref, serum, coalesce(avg(CASE WHEN test = ref THEN log2(titer) END), CASE WHEN count(DISTINCT test) > 10 THEN max(log2(titer)) END) AS base FROM t GROUP BY 1, 2)
-SELECT test, ref, serum, round(base - avg(log2(titer)), 6) + 0.0 AS norm, median(titer) AS raw, count(*) AS n FROM t JOIN h USING (ref, serum) WHERE base IS NOT NULL GROUP BY test, ref, serum, base""")
+@query(f"""WITH {_TITERS}, h AS (SELECT ref, serum, coalesce(avg(CASE WHEN test = ref THEN log2(titer) END), CASE
+WHEN count(DISTINCT test) > 10 THEN max(log2(titer)) END) AS base FROM t GROUP BY 1, 2)
+SELECT test, ref, serum, round(base - avg(log2(titer)), 6) + 0.0 AS norm, median(titer) AS raw, count(*) AS n FROM t JOIN h USING (ref, serum)
+WHERE base IS NOT NULL GROUP BY test, ref, serum, base""")
 def titer_normalise(spark, sf_dir):
     return titer.normalise(titers(spark, sf_dir)).select("test", "ref", "serum", (F.round("norm", 6) + 0.0).alias("norm"), "raw", "n")
 
 
-@query("""WITH a AS (SELECT l_partkey % 100 AS test, l_suppkey % 100 AS ref, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT a.test, a.ref, round(a.v - b.v, 6) AS asymmetry FROM a JOIN a b ON a.test = b.ref AND a.ref = b.test WHERE a.test < a.ref""")
+@query("""WITH a AS (SELECT l_partkey % 100 AS test, l_suppkey % 100 AS ref, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT a.test, a.ref,
+round(a.v - b.v, 6) AS asymmetry FROM a JOIN a b ON a.test = b.ref AND a.ref = b.test WHERE a.test < a.ref""")
 def reciprocal_asymmetry(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("test"), (F.col("l_suppkey") % 100).alias("ref"), F.col("l_quantity").alias("norm"))
     return titer.reciprocal(li).select("test", "ref", F.round("asymmetry", 6).alias("asymmetry"))
@@ -464,7 +517,8 @@ def reciprocal_asymmetry(spark, sf_dir):
 _ENTRIES = "e AS (SELECT l_orderkey AS row_id, 'c' || (l_partkey % 25) AS col, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)"
 
 
-@query(f"WITH {_ENTRIES} SELECT a.col AS col1, b.col AS col2, round(sum(a.w * b.w), 3) AS v FROM e a JOIN e b USING (row_id) WHERE a.col <= b.col GROUP BY 1, 2")
+@query(f"""WITH {_ENTRIES} SELECT a.col AS col1, b.col AS col2, round(sum(a.w * b.w), 3) AS v FROM e a JOIN e b USING (row_id) WHERE a.col <= b.col
+GROUP BY 1, 2""")
 def gram_matrix(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("c"), (F.col("l_partkey") % 25).cast("string")).alias("col")).agg(F.sum("l_quantity").alias("w"))
     return titer.gram(e).select("col1", "col2", F.round("v", 3).alias("v"))
@@ -476,7 +530,8 @@ def residual_mse(spark, sf_dir):
     return titer.mean_squared_error(li, F.col("l_quantity"), 50 * (1 - F.col("l_discount")), ["source"]).withColumn("mse", F.round("mse", 6))
 
 
-@query("""SELECT l_returnflag AS source, count(*) AS n, round(avg(abs(m - p)), 6) AS mae, round(sqrt(avg(pow(m - p, 2))), 6) AS rmse, round(regr_slope(p, m), 6) AS slope, round(corr(m, p), 6) AS r
+@query("""SELECT l_returnflag AS source, count(*) AS n, round(avg(abs(m - p)), 6) AS mae, round(sqrt(avg(pow(m - p, 2))), 6) AS rmse,
+round(regr_slope(p, m), 6) AS slope, round(corr(m, p), 6) AS r
 FROM (SELECT l_returnflag, l_quantity AS m, l_extendedprice / 2000 AS p FROM lineitem) GROUP BY 1""")
 def titer_validation_by_source(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_quantity").alias("m"), (F.col("l_extendedprice") / 2000).alias("p"))
@@ -484,9 +539,11 @@ def titer_validation_by_source(spark, sf_dir):
     return out.select("source", "n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "slope", "r")))
 
 
-@query(f"""WITH {_SAMPLES}, c AS (SELECT region, year(date) AS y, count(*) AS n FROM samples GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER (PARTITION BY y) AS f FROM c),
+@query(f"""WITH {_SAMPLES}, c AS (SELECT region, year(date) AS y, count(*) AS n FROM samples GROUP BY ALL),
+f AS (SELECT *, n / sum(n) OVER (PARTITION BY y) AS f FROM c),
 g AS (SELECT *, lead(f) OVER (PARTITION BY region ORDER BY y) AS nxt, lag(f) OVER (PARTITION BY region ORDER BY y) AS prev FROM f)
-SELECT y::INT AS y, round(avg(CASE WHEN nxt > f THEN (2 * f - prev > f)::INT END), 6) AS growth, round(avg(CASE WHEN nxt < f THEN (2 * f - prev < f)::INT END), 6) AS decline FROM g WHERE nxt IS NOT NULL AND prev IS NOT NULL GROUP BY y""")
+SELECT y::INT AS y, round(avg(CASE WHEN nxt > f THEN (2 * f - prev > f)::INT END), 6) AS growth, round(avg(CASE
+WHEN nxt < f THEN (2 * f - prev < f)::INT END), 6) AS decline FROM g WHERE nxt IS NOT NULL AND prev IS NOT NULL GROUP BY y""")
 def growth_hit_rate(spark, sf_dir):
     counts = samples(spark, sf_dir).groupBy("region", F.year("date").alias("y")).agg(F.count("*").alias("n"))
     total = counts.groupBy("y").agg(F.sum("n").alias("all"))
@@ -502,16 +559,21 @@ def tumbling_counts(spark, sf_dir):
     return out.withColumn("total", F.round("total", 4))
 
 
-@query("SELECT event_type, user_id, start, n FROM (SELECT event_type, user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY event_type, user_id, s)")
+@query("""SELECT event_type, user_id, start, n FROM (SELECT event_type, user_id, min(ts) AS start, count(*) AS n FROM (SELECT *,
+sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE
+WHEN ts >= lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events))
+GROUP BY event_type, user_id, s)""")
 def session_counts(spark, sf_dir):
     return arrival.sessions(table(spark, sf_dir, "events"), "6 hours", "1 day", ["event_type", "user_id"]).select("event_type", "user_id", "start", "n")
 
 
-@query("""WITH e AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS s FROM benchmark), r AS (SELECT s AS r FROM e WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+@query("""WITH e AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS s FROM benchmark), r AS (SELECT s AS r FROM e
+WHERE item_id = (SELECT min(item_id) FROM benchmark)),
 k AS (SELECT item_id, s, r, unnest(generate_series(30 - len(s), len(r) - 30)) AS k FROM e, r WHERE len(s) >= 30 AND len(r) >= 30),
 b AS (SELECT item_id, k, greatest(k, 0) AS a, least(len(r), len(s) + k) AS z, s, r FROM k),
 c AS (SELECT item_id, k, len([i FOR i IN range(a, z) IF r[i + 1] = s[i - k + 1]]) / (z - a)::DOUBLE AS share FROM b)
-SELECT item_id, k::INT AS shift, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, k) AS n FROM c) WHERE n = 1 AND share > 0.12""")
+SELECT item_id, k::INT AS shift, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, k) AS n
+FROM c) WHERE n = 1 AND share > 0.12""")
 def best_shift_align(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     root = items.agg(F.min_by("text", "item_id").alias("r"))
@@ -520,15 +582,19 @@ def best_shift_align(spark, sf_dir):
 
 
 @query(f"""WITH {_ROOT}, d AS {_diffs_sql('documents', 'doc_id')}, r AS {_diffs_sql('benchmark', 'item_id')},
-n AS (SELECT item_id, count(*) AS d FROM r GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS m FROM d JOIN r USING (pos, state) GROUP BY 1, 2), s AS (SELECT doc_id, item_id, m - 0.05 * d AS score FROM m JOIN n USING (item_id))
-SELECT doc_id, item_id, round(score, 4)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM s WHERE score > 0) WHERE k = 1""")
+n AS (SELECT item_id, count(*) AS d FROM r GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS m FROM d JOIN r USING (pos, state) GROUP BY 1, 2),
+s AS (SELECT doc_id, item_id, m - 0.05 * d AS score FROM m JOIN n USING (item_id))
+SELECT doc_id, item_id, round(score, 4)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k
+FROM s WHERE score > 0) WHERE k = 1""")
 def closest_clade(spark, sf_dir):
     diffs = [_diffs(spark, sf_dir, name, key) for name, key in (("documents", "doc_id"), ("benchmark", "item_id"))]
     return sites.closest_reference(*diffs, "doc_id", "item_id", penalty=0.05).select("doc_id", "item_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {_TREE}, n AS (SELECT ancestor, count(*) AS n FROM closure WHERE node >= 1000 GROUP BY 1), f AS (SELECT ancestor AS node_id, n / (SELECT max(n) FROM n) AS freq FROM n)
-SELECT f.node_id, round(f.freq, 8) AS freq FROM f JOIN tree USING (node_id) JOIN f p ON p.node_id = parent_id WHERE f.freq >= 0.03 AND f.freq < 0.21 AND f.freq < p.freq""")
+@query(f"""WITH RECURSIVE {_TREE}, n AS (SELECT ancestor, count(*) AS n FROM closure WHERE node >= 1000 GROUP BY 1),
+f AS (SELECT ancestor AS node_id, n / (SELECT max(n) FROM n) AS freq FROM n)
+SELECT f.node_id, round(f.freq, 8) AS freq FROM f JOIN tree USING (node_id) JOIN f p ON p.node_id = parent_id
+WHERE f.freq >= 0.03 AND f.freq < 0.21 AND f.freq < p.freq""")
 def clade_band_filter(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     counts = tree.subtree(tree.ancestors(nodes), nodes.where("node_id >= 1000").select("node_id"), "node_id", F.count("*").alias("n"))
@@ -536,24 +602,34 @@ def clade_band_filter(spark, sf_dir):
     return tree.frequency_band(freqs, nodes, 0.03, 0.21).select("node_id", F.round("freq", 8).alias("freq"))
 
 
-@query("WITH c AS (SELECT value, sum((event_type = 'error')::INT) AS a, sum((event_type <> 'error')::INT) AS b FROM events GROUP BY 1) SELECT round(max(abs(x - y)), 6) AS ks FROM (SELECT sum(a) OVER w / sum(a) OVER () AS x, sum(b) OVER w / sum(b) OVER () AS y FROM c WINDOW w AS (ORDER BY value))")
+@query("""WITH c AS (SELECT value, sum((event_type = 'error')::INT) AS a, sum((event_type <> 'error')::INT) AS b FROM events GROUP BY 1)
+SELECT round(max(abs(x - y)), 6) AS ks FROM (SELECT sum(a) OVER w / sum(a) OVER () AS x, sum(b) OVER w / sum(b) OVER () AS y FROM c
+WINDOW w AS (ORDER BY value))""")
 def ks_distance(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("value", (F.col("event_type") == "error").alias("g"))
     return series.ks_distance(events, "value", "g").select(F.round("ks", 6).alias("ks"))
 
 
-@query("SELECT l_returnflag, round(corr(a, b), 6) AS rho FROM (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS b FROM lineitem) GROUP BY 1")
+@query("""SELECT l_returnflag, round(corr(a, b), 6) AS rho FROM (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag
+ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS a, rank() OVER (PARTITION BY l_returnflag
+ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS b FROM lineitem) GROUP BY 1""")
 def rank_correlation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     return series.rank_correlation(li, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("rho", 6).alias("rho"))
 
 
-@query("SELECT event_type, day, round(sum(f) OVER (PARTITION BY event_type ORDER BY day) / sum(f) OVER (PARTITION BY event_type), 6) AS share FROM (SELECT event_type, date_trunc('day', ts)::DATE AS day, avg(value) AS f FROM events GROUP BY ALL)")
+@query("""SELECT event_type, day, round(sum(f) OVER (PARTITION BY event_type ORDER BY day) / sum(f) OVER (PARTITION BY event_type), 6) AS share
+FROM (SELECT event_type, date_trunc('day', ts)::DATE AS day, avg(value) AS f FROM events GROUP BY ALL)""")
 def cumulative_share(spark, sf_dir):
     return series.cumulative_share(_daily(spark, sf_dir), "f", ["day"], ["event_type"]).select("event_type", "day", F.round("share", 6).alias("share"))
 
 
-@query("SELECT col1, col2, (n1 + n2 - 2 * k) AS differ FROM (SELECT a.col AS col1, b.col AS col2, count(*) AS k FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) b ON a.r = b.r AND a.col < b.col GROUP BY 1, 2) JOIN (SELECT col AS col1, count(*) AS n1 FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) GROUP BY 1) USING (col1) JOIN (SELECT col AS col2, count(*) AS n2 FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) GROUP BY 1) USING (col2) WHERE n1 + n2 - 2 * k <= 60")
+@query("""SELECT col1, col2, (n1 + n2 - 2 * k) AS differ FROM (SELECT a.col AS col1, b.col AS col2, count(*) AS k
+FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) a
+JOIN (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) b ON a.r = b.r AND a.col < b.col GROUP BY 1, 2)
+JOIN (SELECT col AS col1, count(*) AS n1 FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) GROUP BY 1) USING (col1)
+JOIN (SELECT col AS col2, count(*) AS n2 FROM (SELECT DISTINCT l_orderkey % 500 AS r, l_suppkey % 40 AS col FROM lineitem) GROUP BY 1) USING (col2)
+WHERE n1 + n2 - 2 * k <= 60""")
 def colinear_columns(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("row_id"), (F.col("l_suppkey") % 40).alias("col"))
     return titer.colinear(e, 60)
@@ -591,7 +667,8 @@ def fitness_simplex(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_TREE}, s AS (SELECT y AS season, make_date(y, 10, 1) AS a, make_date(y + 1, 4, 1) AS b FROM range(1992, 1999) t(y)),
-tips AS (SELECT (1000 + o_custkey)::INT AS node, min(season) AS season FROM (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY 1) JOIN s ON d >= a AND d < b GROUP BY 1 HAVING count(*) = 1),
+tips AS (SELECT (1000 + o_custkey)::INT AS node, min(season) AS season FROM (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY 1)
+JOIN s ON d >= a AND d < b GROUP BY 1 HAVING count(*) = 1),
 n AS (SELECT ancestor, season, count(*) AS n FROM closure JOIN tips USING (node) GROUP BY 1, 2)
 SELECT ancestor AS node_id, season::INT AS season, n, round(n / ((SELECT count(*) FROM tips t WHERE t.season = n.season) + 1e-10), 6) AS freq FROM n""")
 def season_frequencies(spark, sf_dir):
@@ -608,8 +685,10 @@ def tolerance_score(spark, sf_dir):
     return seasons.tolerance(s, preferences, "doc_id").select("doc_id", F.round("tolerance", 3).alias("tolerance"))
 
 
-@query("""WITH a AS (SELECT least(l_partkey % 25, l_suppkey % 25) AS a, greatest(l_partkey % 25, l_suppkey % 25) AS b, avg(l_quantity) AS d FROM lineitem WHERE l_partkey % 25 <> l_suppkey % 25 GROUP BY 1, 2),
-q AS (SELECT ij.a AS i, ij.b AS j, ik.b AS k, il.b AS l, list_sort([ij.d + kl.d, ik.d + jl.d, il.d + jk.d]) AS s FROM a ij JOIN a ik ON ik.a = ij.a AND ik.b > ij.b JOIN a il ON il.a = ij.a AND il.b > ik.b
+@query("""WITH a AS (SELECT least(l_partkey % 25, l_suppkey % 25) AS a, greatest(l_partkey % 25, l_suppkey % 25) AS b, avg(l_quantity) AS d
+FROM lineitem WHERE l_partkey % 25 <> l_suppkey % 25 GROUP BY 1, 2),
+q AS (SELECT ij.a AS i, ij.b AS j, ik.b AS k, il.b AS l, list_sort([ij.d + kl.d, ik.d + jl.d, il.d + jk.d]) AS s FROM a ij
+JOIN a ik ON ik.a = ij.a AND ik.b > ij.b JOIN a il ON il.a = ij.a AND il.b > ik.b
 JOIN a jk ON jk.a = ij.b AND jk.b = ik.b JOIN a jl ON jl.a = ij.b AND jl.b = il.b JOIN a kl ON kl.a = ik.b AND kl.b = il.b)
 SELECT i, j, k, l, round(s[3] - s[2], 6) AS gap FROM q""")
 def quartet_additivity(spark, sf_dir):
@@ -618,8 +697,10 @@ def quartet_additivity(spark, sf_dir):
     return seasons.quartet_additivity(pairs).select("i", "j", "k", "l", F.round("gap", 6).alias("gap"))
 
 
-@query("""WITH g AS (SELECT unnest([0.9, 1.0, 1.1]) AS scale), m AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, avg(l_quantity) AS y, avg(l_extendedprice) / 2000 AS p FROM lineitem GROUP BY 1)
-SELECT scale::DOUBLE AS scale, count(*) AS n, round(sqrt(avg(pow(y - p * scale, 2))), 6) AS rms, round(avg(abs(y - p * scale)), 6) AS abs, round(regr_slope(p * scale, y), 6) AS slope FROM m, g GROUP BY 1""")
+@query("""WITH g AS (SELECT unnest([0.9, 1.0, 1.1]) AS scale),
+m AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, avg(l_quantity) AS y, avg(l_extendedprice) / 2000 AS p FROM lineitem GROUP BY 1)
+SELECT scale::DOUBLE AS scale, count(*) AS n, round(sqrt(avg(pow(y - p * scale, 2))), 6) AS rms, round(avg(abs(y - p * scale)), 6) AS abs,
+round(regr_slope(p * scale, y), 6) AS slope FROM m, g GROUP BY 1""")
 def grid_scan(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(F.avg("l_quantity").alias("y"), (F.avg("l_extendedprice") / 2000).alias("p"))
     predictions = m.select("row_id", "p", F.explode(F.array(*(F.lit(x) for x in (0.9, 1.0, 1.1)))).alias("scale")).select("row_id", "scale", (F.col("p") * F.col("scale")).alias("predicted"))
