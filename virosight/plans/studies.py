@@ -44,7 +44,7 @@ paths AS (SELECT node_id, [0] AS path FROM seats WHERE parent_id IS NULL UNION A
 JOIN paths p ON s.parent_id = p.node_id),
 x AS (SELECT node AS node_id, sum(branch_length) AS x FROM line JOIN up ON ancestor = up.node_id GROUP BY 1)
 SELECT node_id, s.parent_id, row_number() OVER (ORDER BY path) - 1 AS pre, row_number() OVER (ORDER BY list_append(path, 1000000000)) - 1 AS clade,
-round(x, 7) AS xvalue,
+round(x, 9) AS xvalue,
 CASE WHEN node_id NOT IN (SELECT parent_id FROM up WHERE parent_id IS NOT NULL) THEN (count(*) FILTER (node_id NOT IN (SELECT parent_id FROM up
 WHERE parent_id IS NOT NULL)) OVER (ORDER BY path))::DOUBLE END AS tip_y
 FROM seats s JOIN paths USING (node_id) JOIN x USING (node_id)""")
@@ -53,7 +53,7 @@ def tree_refine(spark, sf_dir):
     out = tree.refine(nodes, F.col("node_id").between(100, 999) & (F.col("branch_length") < 0.1))
     inner = out.select(F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
     tip_y = F.when(F.col("inner").isNull(), F.col("yvalue"))
-    return out.join(inner, "node_id", "left").select("node_id", "parent_id", "pre", "clade", F.round("xvalue", 7).alias("xvalue"), tip_y.alias("tip_y"))
+    return out.join(inner, "node_id", "left").select("node_id", "parent_id", "pre", "clade", F.round("xvalue", 9).alias("xvalue"), tip_y.alias("tip_y"))
 
 
 _LAST = f"last AS (SELECT (1000 + o_custkey)::INT AS node_id, max({_YEARS}) AS num_date FROM orders GROUP BY 1)"
