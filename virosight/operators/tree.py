@@ -47,6 +47,18 @@ def ancestors(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id"
     return found if length else found.drop("distance")
 
 
+def _doubled(walk: DataFrame) -> DataFrame:
+    """Each place of the walk takes over the sums and the pointer of the place that it points to."""
+    ahead = walk.select(
+        F.col("v").alias("to"), F.col("up").alias("to_up"), F.col("downs").alias("d2"), F.col("ups").alias("u2"), F.col("root").alias("r2"),
+        F.col("to").alias("next"), F.col("to_up").alias("next_up"),
+    )
+    return walk.join(ahead, ["to", "to_up"], "left").select(
+        "v", "up", F.col("next").alias("to"), F.col("next_up").alias("to_up"), (F.col("downs") + F.coalesce("d2", F.lit(0))).alias("downs"),
+        (F.col("ups") + F.coalesce("u2", F.lit(0))).alias("ups"), F.coalesce("root", "r2").alias("root"),
+    )
+
+
 def intervals(nodes: DataFrame) -> DataFrame:
     """``node_id, root, pre, last, post, depth`` of every node: children in the order of ``child_ord``, then id.
 
@@ -68,22 +80,12 @@ def intervals(nodes: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     walk = down.unionByName(up).withColumns({"downs": F.when(F.col("up") == 0, one).otherwise(0), "ups": F.when(F.col("up") == 1, one).otherwise(0)})
     walk = saved(walk.withColumn("root", F.when(F.col("to").isNull(), F.col("v"))))
-    rounds = (2 * max(1, nodes.count())).bit_length() + 1
-    while not walk.where("to is not null").isEmpty():
-        if not (rounds := rounds - 1):
-            raise ValueError("a node is its own ancestor")
-        ahead = walk.select(
-            F.col("v").alias("to"), F.col("up").alias("to_up"), F.col("downs").alias("d2"), F.col("ups").alias("u2"), F.col("root").alias("r2"),
-            F.col("to").alias("next"), F.col("to_up").alias("next_up"),
-        )
-        joined = walk.join(ahead, ["to", "to_up"], "left")
-        before, walk = walk, saved(
-            joined.select(
-                "v", "up", F.col("next").alias("to"), F.col("next_up").alias("to_up"), (F.col("downs") + F.coalesce("d2", F.lit(0))).alias("downs"),
-                (F.col("ups") + F.coalesce("u2", F.lit(0))).alias("ups"), F.coalesce("root", "r2").alias("root"),
-            )
-        )
+    # A list of 2 n places has run out after log2(2 n) doublings, two to a table.
+    for _ in range(((2 * max(1, nodes.count())).bit_length() + 1) // 2):
+        before, walk = walk, saved(_doubled(_doubled(walk)))
         dropped(before)
+    if not walk.where("to is not null").isEmpty():
+        raise ValueError("a node is its own ancestor")
     there = walk.where("up = 0").select(F.col("v").alias("node_id"), "root", F.col("downs").alias("_d"), F.col("ups").alias("_u"))
     back = walk.where("up = 1").select(F.col("v").alias("node_id"), F.col("downs").alias("_d2"), F.col("ups").alias("_u2"))
     total = there.where("node_id = root").select("root", F.col("_d").alias("_n"))
@@ -111,10 +113,11 @@ def subtree(closure: DataFrame, values: DataFrame, node: str, *aggs: Column) ->
     return closure.join(values.withColumnRenamed(node, "node"), "node").groupBy(F.col("ancestor").alias(node)).agg(*aggs)
 
 
-def root_distance(nodes: DataFrame, length: str = "branch_length") -> DataFrame:
+def root_distance(nodes: DataFrame, length: str = "branch_length", closure: DataFrame | None = None) -> DataFrame:
     """Summed edge lengths from the root down to each node, the root's own edge included."""
     own = nodes.select(F.col("node_id").alias("ancestor"), F.coalesce(F.col(length), F.lit(0.0)).alias("w"))
-    return ancestors(nodes).join(own, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum("w").alias("xvalue"), (F.count("*") - 1).alias("depth"))
+    closure = ancestors(nodes) if closure is None else closure
+    return closure.join(own, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum("w").alias("xvalue"), (F.count("*") - 1).alias("depth"))
 
 
 def accumulate(closure: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
@@ -175,13 +178,13 @@ def reroot(nodes: DataFrame, outgroup: int, length: float = 0.001) -> DataFrame:
     return rows.withColumn("branch_length", rooted).select(*nodes.columns)
 
 
-def mean_of_children(nodes: DataFrame, tips: DataFrame, value: str) -> DataFrame:
+def mean_of_children(nodes: DataFrame, tips: DataFrame, value: str, closure: DataFrame | None = None) -> DataFrame:
     """Tips keep their value; inner nodes get the mean of their children's, level by level from the deepest.
 
     As a closed form: each tip weighs the product of 1 / (children) over its
     path, so one pass over the closure replaces the levels.
     """
-    closure = ancestors(nodes)
+    closure = ancestors(nodes) if closure is None else closure
     children = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("ancestor")).agg(F.ln(F.count("*").cast("double")).alias("_k"))
     weight = closure.where("steps > 0").join(children, "ancestor").select("node", F.col("ancestor").alias("mid"), F.col("_k"), "steps")
     pairs = closure.join(tips.select(F.col("node_id").alias("node"), F.col(value).alias("_v")), "node")
@@ -235,13 +238,14 @@ def refine(nodes: DataFrame, gone: Column | None = None, ladder: bool = True) ->
     kept = nodes
     if gone is not None:
         kept = saved(collapse(kept, ancestors(kept), gone).select(*nodes.columns))
+    closure = ancestors(kept)
     if ladder:
-        kept = saved(ladderize(kept, ancestors(kept)).select(*nodes.columns))
+        kept = saved(ladderize(kept, closure).select(*nodes.columns))
     spans = saved(intervals(kept))
     tips = kept.join(kept.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_anti").select("node_id")
     seats = running_totals(spans.join(tips, "node_id", "left_semi").withColumn("_one", F.lit(1).cast("long")), ["root", "pre"], {"_y": "_one"})
-    y = mean_of_children(kept, seats.select("node_id", F.col("_y").cast("double").alias("yvalue")), "yvalue")
-    out = kept.join(spans.select("node_id", "pre", "last", F.col("post").alias("clade")), "node_id").join(root_distance(kept).drop("depth"), "node_id")
+    y = mean_of_children(kept, seats.select("node_id", F.col("_y").cast("double").alias("yvalue")), "yvalue", closure)
+    out = kept.join(spans.select("node_id", "pre", "last", F.col("post").alias("clade")), "node_id").join(root_distance(kept, closure=closure).drop("depth"), "node_id")
     return out.join(y, "node_id", "left")
 
 
