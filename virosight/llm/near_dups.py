@@ -306,9 +306,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti").drop("k")
     sized = known.groupBy("id").agg(F.max("size").alias("size"))
     tiles = written(_tiles(placed.join(sized, "id")))
+    # Ranges of tiles hold about as many rows each, and a tile is never cut.
     parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
     order = ["bucket", "part", "side"]
-    dealt = tiles.hint("merge").join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartition(parts, *order).sortWithinPartitions(*order)
+    dealt = tiles.hint("merge").join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     more = written(dealt.mapInArrow(_hidden_links(percent), "a long, b long"))
     if not more.isEmpty():
         roots = _merged(roots, more)
