@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from virosight.llm import ann, decontaminate, language_id, licenses, lm_score, near_dups, pieces, quality, simhash, toxicity, url_filter
+from virosight.llm import ann, decontaminate, language_id, licenses, lm_score, near_dups, pieces, quality, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
     "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES = {
