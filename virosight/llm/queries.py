@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from virosight.llm import ann, decontaminate, language_id, licenses, lm_score, near_dups, pieces, quality, simhash, spelling, toxicity, url_filter
+from virosight.llm import ann, decontaminate, hard_negatives, language_id, licenses, lm_score, near_dups, pieces, quality, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -24,4 +25,5 @@ ORACLES = {
     "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op10_minhash_near_dedup": near_dups.ORACLE,
     "op5_lm_score": lm_score.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
