@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,28 +24,71 @@ def builder(app: str = "virosight") -> SparkSession.Builder:
     return SparkSession.builder.appName(app).config(map=SETTINGS)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as written to the cluster's shared checkpoint folder and read back, which cuts the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared checkpoint folder.
 
-    Without ``spark.checkpoint.dir`` a session on one machine (as in tests)
-    uses its warehouse; on a cluster that is an error, since the machines
-    would not see each other's files.
+    Where that setting is missing, a session on one machine (as in tests)
+    uses a folder in its warehouse, and a cluster gets an error: its
+    machines would not see each other's files.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+        else:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/table"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``saved`` writes within are deleted at the end, all but those written with ``keep``.
+
+    Kept tables of an inner block belong to the block around it.
+    """
+    outer, _scratch.tables = getattr(_scratch, "tables", None), []
+    try:
+        yield
+    finally:
+        own, _scratch.tables = _scratch.tables, outer
+        for spark, path, keep in own:
+            if not keep:
+                _deleted(spark, path)
+            elif outer is not None:
+                outer.append((spark, path, False))
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` as written to the cluster's shared checkpoint folder and read back.
+
+    This cuts the lineage: a lost executor costs no earlier work, and every
+    reader sees the same rows.  Within ``scratch`` the table goes at its end
+    unless ``keep`` is set.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if getattr(_scratch, "tables", None) is not None:
+        _scratch.tables.append((spark, path, keep))
+    return out
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete a table of ``saved`` that nothing reads any more."""
     spark = df.sparkSession
     for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if path.getName() == "table":
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+        path = name.rsplit("/", 1)[0]
+        if path.endswith("/table"):
+            _deleted(spark, path)
