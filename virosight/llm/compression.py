@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from virosight.llm.text import ALNUM
 
@@ -97,11 +98,9 @@ def labelled_sample(rows: DataFrame, label_col: str, text_col: str, per_label: i
     if not counts:
         return []
     draw = F.pmod("_h", F.lit(1 << 40)) / float(1 << 40)
-    rate = F.lit(0.0)
-    for label, n in counts:
-        # Twice what is wanted: the count is an estimate, and the window below cuts the rest.
-        rate = F.when(F.col("_label") == F.lit(label), F.lit(min(1.0, 2.0 * per_label / max(n, 1)))).otherwise(rate)
-    once = known.where(draw < rate).groupBy("_label", "_h").agg(F.min("_text").alias("_text"))
+    # Twice what is wanted: the count is an estimate, and the window below cuts the rest.
+    rates = rows.sparkSession.createDataFrame([(label, min(1.0, 2.0 * per_label / max(n, 1))) for label, n in counts], StructType([known.schema["_label"], StructField("_rate", DoubleType())]))
+    once = known.join(F.broadcast(rates), "_label").where(draw < F.col("_rate")).groupBy("_label", "_h").agg(F.min("_text").alias("_text"))
     seat = F.row_number().over(Window.partitionBy("_label").orderBy(draw, "_h"))
     found = once.withColumn("_k", seat).where(F.col("_k") <= per_label).select("_label", "_k", "_text").collect()
     return [(label, text) for label, _, text in sorted(found, key=lambda r: (str(r[0]), r[1]))]

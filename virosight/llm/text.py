@@ -8,7 +8,6 @@ a single longer text makes a longer block, since texts are never cut.
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from virosight.session import dropped as discard  # noqa: F401
+from virosight.session import saved as written  # noqa: F401
+from virosight.session import scratch  # noqa: F401
+
 #: Bytes of a block of a kernel, and of a packed block that travels.
 BLOCK_BYTES, PACK_BYTES = 2 << 20, 12 << 20
 
@@ -139,46 +142,6 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    Where that setting is missing, a session on one machine (as in tests)
-    uses a folder in its warehouse, and a cluster gets an error: its
-    machines would not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        elif spark.sparkContext.master.startswith("local"):
-            base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there.
-
-    This cuts the lineage: a lost executor costs no earlier work, and every
-    reader sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if path.getName() == "table":
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
-
-
 def shards(spark: SparkSession, rows: int, each: int) -> int:
     """A count of shuffle partitions that holds ``each`` rows in a partition, growing with the rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
