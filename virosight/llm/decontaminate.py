@@ -8,26 +8,29 @@ words; ``spans`` maps these back to byte offsets in the original text.
 The benchmark is the stated query set.  Its items go to the executors in
 blocks of at most ``BLOCK_WORDS`` words, so that neither the driver nor a
 worker ever holds an automaton of more than that (an item longer than the
-bound is a block of its own).  With several blocks they are searched one after
-another beside each row, which carries the merged spans along.
+bound is a block of its own).  A task gathers ``SPOOL_BYTES`` of text and
+searches them with one block after another in the same worker, which holds one
+automaton at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from virosight.llm.text import ALNUM, encoded, slices
 
 WINDOW = 10
-#: Words of benchmark items in one automaton.
-BLOCK_WORDS = 200_000
+#: Words of benchmark items in one automaton, and bytes of text that meet it before the next one is built.
+BLOCK_WORDS, SPOOL_BYTES = 200_000, 64 << 20
 
 _WORD = re.compile(rb"[^ ]+")
 
@@ -73,16 +76,38 @@ class WindowAutomaton:
         return [(a, b) for a, b in spans], items
 
 
-_built: dict[bytes, WindowAutomaton] = {}
+_built: dict[tuple[bytes, int], WindowAutomaton] = {}
 
 
-def _automaton(items: list[tuple[str, bytes]], window: int) -> WindowAutomaton:
+def _packed(items: list[tuple[str, bytes]]) -> bytes:
+    return zlib.compress(json.dumps([(i, t.decode()) for i, t in items]).encode())
+
+
+def _automaton(packed: bytes, window: int) -> WindowAutomaton:
     """The automaton of these items; a worker keeps the last one it built."""
-    key = hashlib.sha256(repr((items, window)).encode()).digest()
-    if key not in _built:
+    if (packed, window) not in _built:
         _built.clear()
-        _built[key] = WindowAutomaton(items, window)
-    return _built[key]
+        _built[packed, window] = WindowAutomaton([(i, t.encode()) for i, t in json.loads(zlib.decompress(packed))], window)
+    return _built[packed, window]
+
+
+def _spooled(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about ``SPOOL_BYTES`` of text."""
+    held, size = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(text_at))).as_py() or 0
+        if size >= SPOOL_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _in_turn(blocks: list, window: int, backwards: bool) -> Iterator[WindowAutomaton]:
+    """Automata of all blocks; every other time from the last one, which is still there."""
+    for block in reversed(blocks) if backwards else blocks:
+        yield _automaton(block.value, window)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -101,51 +126,50 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
         yield block
 
 
-def _scanner(items, window: int, with_offsets: bool, first: bool, last: bool):
-    """mapInArrow function: ``_id, n_words, spans, items``, byte offsets if wanted, and ``_text`` for the next block.
-
-    All but the first continue what the block before has found in the row.
-    """
+def _scanner(blocks: list, window: int, with_offsets: bool):
+    """mapInArrow function: ``_id, n_words, spans, items``, and byte offsets if wanted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items.value, window)
-        for batch in slices(batches):
-            col = dict(zip(batch.schema.names, batch.columns, strict=True))
-            counts, flat, hit, offsets = [], [], [], []
-            before = [[[]] * batch.num_rows if first or c not in col else col[c].to_pylist() for c in ("spans", "items", "byte_spans")]
-            for text, old, old_items, old_bytes in zip(encoded(col["_text"]), *before, strict=True):
-                words = words_of(text)
-                spans, who = automaton.scan(words)
-                own = old + [x for s in spans for x in s]
-                counts.append(len(words))
-                flat.append(_merged(own, own))
-                hit.append(sorted(who.union(old_items)))
+        for turn, held in enumerate(_spooled(batches, 1)):
+            rows = [text for batch in held for text in encoded(batch.column(1))]
+            spans: list[list[int]] = [[] for _ in rows]
+            items: list[set[str]] = [set() for _ in rows]
+            counts = np.zeros(len(rows), np.int64)
+            for automaton in _in_turn(blocks, window, turn % 2 == 1):
+                for i, text in enumerate(rows):
+                    words = words_of(text)
+                    counts[i] = len(words)
+                    found, who = automaton.scan(words)
+                    spans[i] += [x for s in found for x in s]
+                    items[i] |= who
+            done = 0
+            for batch in held:
+                own = slice(done, done := done + batch.num_rows)
+                flat = [_merged(s) for s in spans[own]]
+                columns = [batch.column(0), pa.array(counts[own]), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items[own]], pa.list_(pa.string()))]
+                names = ["_id", "n_words", "spans", "items"]
                 if with_offsets:
-                    at = [m.span() for m in _WORD.finditer(text.translate(ALNUM))] if spans else []
-                    offsets.append(_merged(own, old_bytes + [x for a, b in spans for x in (at[a][0], at[b - 1][1])]))
-            columns = [col["_id"], pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.string()))]
-            names = ["_id", "n_words", "spans", "items"]
-            if with_offsets:
-                columns.append(pa.array(offsets, pa.list_(pa.int64())))
-                names.append("byte_spans")
-            if not last:
-                columns.append(col["_text"])
-                names.append("_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns.append(pa.array([_byte_spans(t, s) for t, s in zip(rows[own], flat, strict=True)], pa.list_(pa.int64())))
+                    names.append("byte_spans")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return scan
 
 
-def _merged(spans: list[int], values: list[int]) -> list[int]:
-    """Ends of the runs that touching or overlapping word spans make, taken from ``values``, which lie beside the spans."""
+def _byte_spans(text: bytes | None, spans: list[int]) -> list[int]:
+    """Byte offsets in the original text of flat word spans."""
+    at = [m.span() for m in _WORD.finditer(text.translate(ALNUM))] if spans else []
+    return [x for a, b in zip(spans[::2], spans[1::2], strict=True) for x in (at[a][0], at[b - 1][1])]
+
+
+def _merged(spans: list[int]) -> list[int]:
+    """Flat runs that touching or overlapping flat word spans make."""
     out: list[int] = []
-    last = -1
-    for a, b, x, y in sorted(zip(spans[::2], spans[1::2], values[::2], values[1::2], strict=True)):
-        if a > last:
-            out += [x, y]
-            last = b
-        elif b > last:
-            out[-1], last = y, b
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
     return out
 
 
@@ -170,16 +194,17 @@ def contamination(
     benchmark hits nothing.  Rows with equal or null ids stay apart,
     whatever the number of blocks.  Other columns are not read.
     """
-    spark = docs.sparkSession
     schema = f"_id {dict(docs.dtypes)[id_col]}, n_words long, spans array<long>, items array<string>" + (", byte_spans array<long>" if with_offsets else "")
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    shared = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_col, item_text_col, block_words)] or [spark.sparkContext.broadcast([])]
-    for k, block in enumerate(shared):
-        last = k == len(shared) - 1
-        out = out.mapInArrow(_scanner(block, window, with_offsets, k == 0, last), schema + ("" if last else ", _text string"))
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_scanner(_shared_blocks(benchmark, item_col, item_text_col, block_words), window, with_offsets), schema)
     return out.withColumnRenamed("_id", id_col)
 
 
+def _shared_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list:
+    """Packed blocks on their way to the workers, one empty block if the benchmark has none."""
+    send = benchmark.sparkSession.sparkContext.broadcast
+    return [send(_packed(block)) for block in item_blocks(benchmark, item_col, text_col, block_words)] or [send(_packed([]))]
+
+
 def _covered(spans):
     """Summed lengths of the flat spans start, end, ... of an array column."""
     ends = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
@@ -199,26 +224,25 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without any benchmark window, all columns kept.
 
     The scan runs beside the row itself, so there is no join back: rows of
     equal or null ids are each judged by their own text.  Null, empty and
     wordless texts hit nothing and stay; an empty benchmark drops nothing.
     """
-    kept = docs
-    for block in item_blocks(benchmark, "item_id", "text", BLOCK_WORDS):
-        kept = _without(kept, docs.sparkSession.sparkContext.broadcast(block), text_col)
-    return kept
-
+    blocks, at = _shared_blocks(benchmark, "item_id", "text", block_words), docs.columns.index(text_col)
 
-def _without(docs: DataFrame, items, text_col: str) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items.value, WINDOW)
-        for batch in slices(batches):
-            texts = encoded(batch.column(batch.schema.get_field_index(text_col)))
-            clean = np.array([not automaton.scan(words_of(t))[1] for t in texts], bool)
-            yield batch.filter(pa.array(clean))
+        for turn, held in enumerate(_spooled(batches, at)):
+            clean = [np.ones(batch.num_rows, bool) for batch in held]
+            for automaton in _in_turn(blocks, WINDOW, turn % 2 == 1):
+                for batch, flags in zip(held, clean, strict=True):
+                    texts = encoded(batch.column(at))
+                    for i in np.flatnonzero(flags):
+                        flags[i] = not automaton.scan(words_of(texts[i]))[1]
+            for batch, flags in zip(held, clean, strict=True):
+                yield batch.filter(pa.array(flags))
 
     return docs.mapInArrow(keep, docs.schema)
 
