@@ -7,8 +7,9 @@ one small aggregation.  For the classes:
 1. bands of registers are hashed; a bucket's least class is its centre, and
    each class is paired with the ``CENTRES`` centres that it shares most
    buckets with, never with all others;
-2. pairs whose likelihood estimate is far below the threshold go; the rest
-   are verified on the whole sets;
+2. pairs meet their registers first: those whose likelihood estimate is far
+   below the threshold go, and only the rest meet their texts and are verified
+   on the whole sets;
 3. verified links give components.  A bucket that still holds several
    components is searched where it lies: its classes outside its largest
    component (the probes) meet all its classes, in tiles that have a bound on
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from virosight.llm.setsketch import REGISTERS, band_hashes, estimate, sketch
-from virosight.llm.text import SPACED, blocks, discard, encoded, gram_hashes, shards, word_hashes, written
+from virosight.llm.text import SPACED, blocks, discard, encoded, gram_hashes, scratch, shards, slices, word_hashes, written
 
 SHINGLE, ROWS, THRESHOLD = 5, 4, 0.8
 #: Centres that a class is first compared with.
@@ -41,6 +42,8 @@ CENTRES = 3
 TILE, PROBES, TILE_BYTES, OPEN_ROWS = 600, 600, 4 << 20, 1_000
 #: Salts of a bucket in the join that deals its rows.
 SALTS = 8
+#: Salts of a class in the join that gives its copies their component.
+COPY_SALTS = 16
 #: Shingles whose sets a tile holds at once.
 HELD_SHINGLES = 4_000_000
 #: Packed bytes of pairs whose sets are built at once.
@@ -114,45 +117,58 @@ def _sets(bodies: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _verifier(percent: int):
-    """mapInArrow function over pairs with both sides' size, registers and body: the linked pairs ``a, b``."""
+def _likely(percent: int):
+    """mapInArrow function over pairs with both sides' size and registers: the pairs ``a, b`` whose estimate is not far below the threshold."""
     cut = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-                regs = [np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b")]
-                sizes = [col[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
-                likely = np.flatnonzero(estimate(*regs, *sizes) >= cut) if batch.num_rows else np.empty(0, int)
-                linked = []
-                weight = sum(pc.binary_length(col[f"body_{side}"]).to_numpy(zero_copy_only=False)[likely] for side in "ab")
-                for some in np.split(likely, np.flatnonzero(np.diff(np.cumsum(weight) // PAIR_BYTES)) + 1):
-                    bodies = {}
-                    for side in "ab":
-                        ids, body = col[side].take(pa.array(some)).to_pylist(), col[f"body_{side}"].take(pa.array(some)).to_pylist()
-                        bodies |= dict(zip(ids, body, strict=True))
-                    found = dict(zip(bodies, _sets(list(bodies.values())), strict=True))
-                    for i in some:
-                        a, b = found[col["a"][i].as_py()], found[col["b"][i].as_py()]
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if 100 * both >= percent * (len(a) + len(b) - both):
-                            linked.append(i)
-                at = pa.array(np.array(linked, np.int64))
-                yield pa.RecordBatch.from_arrays([col["a"].take(at), col["b"].take(at)], names=["a", "b"])
+        for batch in slices(batches, 2000):
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            regs = [np.frombuffer(b"".join(col[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b")]
+            sizes = [col[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
+            at = pa.array(np.flatnonzero(estimate(*regs, *sizes) >= cut))
+            yield pa.RecordBatch.from_arrays([col["a"].take(at), col["b"].take(at)], names=["a", "b"])
+
+    return run
+
+
+def _verifier(percent: int):
+    """mapInArrow function over pairs with both sides' body: the linked pairs ``a, b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            linked = []
+            weight = sum(pc.binary_length(col[f"body_{side}"]).to_numpy(zero_copy_only=False) for side in "ab")
+            for some in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(weight) // PAIR_BYTES)) + 1):
+                bodies = {}
+                for side in "ab":
+                    ids, body = col[side].take(pa.array(some)).to_pylist(), col[f"body_{side}"].take(pa.array(some)).to_pylist()
+                    bodies |= dict(zip(ids, body, strict=True))
+                found = dict(zip(bodies, _sets(list(bodies.values())), strict=True))
+                for i in some:
+                    a, b = found[col["a"][i].as_py()], found[col["b"][i].as_py()]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        linked.append(i)
+            at = pa.array(np.array(linked, np.int64))
+            yield pa.RecordBatch.from_arrays([col["a"].take(at), col["b"].take(at)], names=["a", "b"])
 
     return run
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    kind = dict(pairs.dtypes)["a"]
-    heavy = prints.select("id", "n", "registers", "body")
-    for side in "ab":
-        # The texts' side is never small where that matters, so the join is the same at every size.
-        pairs = pairs.hint("merge").join(heavy.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "registers", "body"))), side)
-    columns = ["a", "b", *(f"{c}_{s}" for c in ("n", "registers", "body") for s in "ab")]
-    return pairs.select(*columns).mapInArrow(_verifier(percent), f"a {kind}, b {kind}")
+    """The linked pairs; a pair's bodies are fetched only if its registers make a link likely."""
+    shape = f"a {dict(pairs.dtypes)['a']}, b {dict(pairs.dtypes)['b']}"
+
+    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in "ab":
+            # The texts' side is never small where that matters, so the join is the same at every size.
+            pairs = pairs.hint("merge").join(prints.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return pairs.select("a", "b", *(f"{c}_{s}" for c in columns for s in "ab"))
+
+    likely = written(beside(pairs, "n", "registers").mapInArrow(_likely(percent), shape))
+    return beside(likely, "body").mapInArrow(_verifier(percent), shape)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,41 +301,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are hashed range by range.  No document gives no row.  Ids are
     integers.  Other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = written(narrow.mapInArrow(_fingerprints, "id long, n long, key binary, registers binary, bands array<long>, body binary, size long"))
-    known = prints.where("id is not null and key is not null")
-    classes = known.groupBy("key").agg(F.min("id").alias("id"))
-    reps = known.select("id", "key", "bands").join(classes, ["id", "key"], "left_semi")
-    bands = written(reps.select("id", F.posexplode("bands").alias("band", "bucket")).distinct())
-    centre = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    shared = bands.withColumnRenamed("id", "b").join(centre, "bucket").where("a != b").groupBy("b", "a").agg(F.count("*").alias("k"))
-    most = shared.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "a"))), 1, CENTRES).alias("m"))
-    pairs = written(most.select("b", F.explode("m.a").alias("a")))
-    links = written(_verified(pairs, known, percent))
-    roots = components(links)
-    # Buckets in which a link between two components may still be hidden.
-    placed = bands.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("k")).where("least != most")
-    placed = written(placed.join(split.select("bucket", "k"), "bucket").select("bucket", "band", "id", "root", "k"))
-    # Only a bucket of two classes that were compared above is left out.
-    twos = placed.where("k = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti").drop("k")
-    sized = known.groupBy("id").agg(F.max("size").alias("size"))
-    tiles = written(_tiles(placed.join(sized, "id")))
-    # Ranges of tiles hold about as many rows each, and a tile is never cut.
-    parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
-    order = ["bucket", "part", "side"]
-    dealt = tiles.hint("merge").join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    more = written(dealt.mapInArrow(_hidden_links(percent), "a long, b long"))
-    if not more.isEmpty():
-        roots = _merged(roots, more)
-    placed = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
-    out = prints.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(placed, "key", "left")
-    component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    with scratch():
+        narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        prints = written(narrow.mapInArrow(_fingerprints, "id long, n long, key binary, registers binary, bands array<long>, body binary, size long"))
+        known = prints.where("id is not null and key is not null")
+        classes = known.groupBy("key").agg(F.min("id").alias("id"))
+        reps = known.select("id", "key", "bands").join(classes, ["id", "key"], "left_semi")
+        bands = written(reps.select("id", F.posexplode("bands").alias("band", "bucket")).distinct())
+        centre = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
+        shared = bands.withColumnRenamed("id", "b").join(centre, "bucket").where("a != b").groupBy("b", "a").agg(F.count("*").alias("k"))
+        most = shared.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "a"))), 1, CENTRES).alias("m"))
+        pairs = written(most.select("b", F.explode("m.a").alias("a")))
+        links = written(_verified(pairs, known, percent))
+        roots = components(links)
+        # Buckets in which a link between two components may still be hidden.
+        placed = bands.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        split = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("k")).where("least != most")
+        placed = written(placed.join(split.select("bucket", "k"), "bucket").select("bucket", "band", "id", "root", "k"))
+        # Only a bucket of two classes that were compared above is left out.
+        twos = placed.where("k = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+        placed = placed.join(twos.join(pairs, ["a", "b"], "left_semi").select("bucket"), "bucket", "left_anti").drop("k")
+        sized = known.groupBy("id").agg(F.max("size").alias("size"))
+        tiles = written(_tiles(placed.join(sized, "id")))
+        # Ranges of tiles hold about as many rows each, and a tile is never cut.
+        parts = shards(prints.sparkSession, tiles.count(), OPEN_ROWS)
+        order = ["bucket", "part", "side"]
+        dealt = tiles.hint("merge").join(known.select("id", "n", "registers", "body"), "id").select(*order, "probe", "rest", "band", "id", "root", "n", "registers", "body").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        more = written(dealt.mapInArrow(_hidden_links(percent), "a long, b long"))
+        if not more.isEmpty():
+            roots = _merged(roots, more)
+        # Classes of several rows or with links are looked up, under salts; any other row stands for itself.
+        many = known.groupBy("key").agg(F.count("*").alias("k"))
+        linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        placed = classes.join(many, "key").join(linked.withColumnRenamed("node", "id"), "id", "left").where("k > 1 or root is not null").select("key", F.coalesce("root", "id").alias("root"))
+        salted = placed.withColumn("salt", F.explode(F.array(*map(F.lit, range(COPY_SALTS)))))
+        # A row without a key gets its salt as one, so that such rows don't meet in one task.
+        salt = F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int")
+        rows = prints.select("id", "n", F.when(F.col("id").isNotNull() & F.col("key").isNotNull(), F.col("key")).otherwise(F.unhex(F.hex(F.xxhash64("id")))).alias("key"), salt.alias("salt"))
+        component = F.coalesce("root", "id")
+        out = rows.join(salted, ["key", "salt"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        return written(out, keep=True)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept of every row of ``documents``, at 85 hundredths; odd rows as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 
