@@ -150,7 +150,7 @@ def test_toxicity_score_from_plain_sizes(spark):
     for s, t in zip(got, [*texts, texts[0]], strict=True):
         a, b = (np.array(x) for x in plain_sizes(t, (model.ordinary, model.toxic), toxicity.WINDOW_BYTES, toxicity.LEVEL))
         gain = a - b
-        x = np.array([1, max([0, *np.clip(gain, 0, 12)]), np.log1p((gain >= 3).sum()), np.maximum(gain, 0).mean() if len(gain) else 0.0])
+        x = np.array([1, max([0, *np.clip(gain, 0, 12)]), np.log1p((gain >= 3).sum()), np.log1p((gain >= 5).sum()), np.maximum(gain, 0).mean() if len(gain) else 0.0, np.log1p(len(gain))])
         z = ((x - model.mean) / model.scale) @ np.array(model.weights)
         assert s == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
     assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
