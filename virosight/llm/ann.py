@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from virosight.llm.text import written
+from virosight.llm.text import scratch, written
 
 PIVOTS, PREFIX, PART_ROWS = 256, 64, 4096
 #: Vectors, and their components, of the sample of one length; and sample vectors whose neighbours are looked up in it.
 SAMPLE_ROWS, SAMPLE_VALUES, SAMPLE_QUERIES = 4096, 1 << 21, 256
+#: Lengths of vectors that have a sample: the most common ones.  Vectors of any other length are one file, reranked in full.
+LENGTHS = 16
 #: Share of the sample's neighbours that must lie in visited cells, and that must be reranked.
 REACH = 0.985
 #: Vectors of a part that are reranked at least.
@@ -104,6 +106,11 @@ def fit(sample: np.ndarray, total: int, k: int) -> Fit:
     return Fit(pivots, cells, visits, float(np.quantile(place, REACH, method="higher")) + 1 / len(unit))
 
 
+def _fit_of(fits, d: int) -> Fit:
+    """The fit of a length, or one file that is reranked in full."""
+    return fits.value.get(d) or Fit(np.full((1, d), d**-0.5), 1, 1, 1.0)
+
+
 class Part:
     """The pivots' files of one part of the index."""
 
@@ -155,7 +162,7 @@ def _assigner(fits):
             sizes = batch.column(3).to_numpy()
             cell = np.zeros(len(sizes), np.int32)
             for d in np.unique(sizes).tolist():
-                at, index = np.flatnonzero(sizes == d), fits.value[d]
+                at, index = np.flatnonzero(sizes == d), _fit_of(fits, d)
                 x = batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
                 cell[at] = (_unit(x) @ index.pivots[: index.cells].T).argmax(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["id", "v", "q", "d", "cell"])
@@ -170,7 +177,7 @@ def _visitor(fits):
         for batch in batches:
             sizes = batch.column(3).to_numpy()
             for d in np.unique(sizes).tolist():
-                at, index = np.flatnonzero(sizes == d), fits.value[d]
+                at, index = np.flatnonzero(sizes == d), _fit_of(fits, d)
                 for some in np.array_split(at, max(1, len(at) // 64)):
                     x = batch.column(1).take(pa.array(some)).flatten().to_numpy().reshape(len(some), d)
                     near = _prefixes(_unit(x), index.pivots[: index.cells], index.visits)
@@ -201,7 +208,7 @@ def _searcher(fits, k: int):
                     vectors.append(rows)
                     continue
                 if index is None and ids:
-                    index = Part(np.concatenate(ids), np.concatenate(vectors), fits.value[d], k)
+                    index = Part(np.concatenate(ids), np.concatenate(vectors), _fit_of(fits, d), k)
                 out = list(index.search(own, rows, k)) if index else []
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
@@ -219,33 +226,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     have the query's length.  No usable vector gives no row.  Other columns
     are not read.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("d", F.size("v"))
-    totals = dict(rows.groupBy("d").count().collect())
-    # The sample: distinct vectors drawn by a hash of their components.
-    draw = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.lit(0.0)
-    for d, n in totals.items():
-        rate = F.when(F.col("d") == d, F.lit(min(1.0, 1.5 * min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // d)) / n))).otherwise(rate)
-    drawn = rows.where(draw < rate).groupBy("d", F.xxhash64("v").alias("h")).agg(F.first("v").alias("v"))
-    seat = F.row_number().over(Window.partitionBy("d").orderBy("h"))
-    bound = F.least(F.lit(SAMPLE_ROWS), F.greatest(F.lit(1), F.floor(SAMPLE_VALUES / F.col("d"))))
-    sample: dict[int, list] = {}
-    for r in drawn.withColumn("_k", seat).where(F.col("_k") <= bound).orderBy("d", "h").select("d", "v").toLocalIterator():
-        sample.setdefault(r["d"], []).append(r["v"])
-    fits = spark.sparkContext.broadcast({d: fit(np.array(x), totals[d], k) for d, x in sample.items()})
-    known = rows.where(F.col("d").isin(*sample)) if sample else rows.limit(0)
-    shape = "id long, v array<double>, q boolean, d int, cell int"
-    index = written(known.mapInArrow(_assigner(fits), shape))
-    parts = F.broadcast(index.groupBy("d", "cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")))
-    posted = index.join(parts, ["d", "cell"]).select("d", "cell", F.pmod(F.xxhash64("id", "v"), "parts").cast("int").alias("part"), F.lit(0).alias("is_query"), "id", "v")
-    asked = index.where("q").select("id", "v", "q", "d").dropDuplicates(["id", "v"]).mapInArrow(_visitor(fits), shape)
-    asked = asked.join(parts, ["d", "cell"]).select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("is_query"), "id", "v")
-    order = ["d", "cell", "part"]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(totals.values()) // PART_ROWS))
-    found = posted.unionByName(asked).repartition(tasks, *order).sortWithinPartitions(*order, "is_query").mapInArrow(_searcher(fits, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    with scratch():
+        spark = vectors.sparkSession
+        rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("d", F.size("v"))
+        totals = dict(rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect())
+        # The sample: distinct vectors drawn by a hash of their components.
+        draw = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) / float(1 << 40)
+        share = lambda d, n: min(1.0, 1.5 * min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // len(totals) // d)) / n)
+        rate = F.element_at(F.create_map(*(F.lit(x) for d, n in totals.items() for x in (d, share(d, n)))), F.col("d")) if totals else F.lit(0.0)
+        drawn = rows.where(draw < rate).groupBy("d", F.xxhash64("v").alias("h")).agg(F.first("v").alias("v"))
+        seat = F.row_number().over(Window.partitionBy("d").orderBy("h"))
+        bound = F.least(F.lit(SAMPLE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SAMPLE_VALUES // max(1, len(totals))) / F.col("d"))))
+        sample: dict[int, list] = {}
+        for r in drawn.withColumn("_k", seat).where(F.col("_k") <= bound).orderBy("d", "h").select("d", "v").toLocalIterator():
+            sample.setdefault(r["d"], []).append(r["v"])
+        fits = spark.sparkContext.broadcast({d: fit(np.array(x), totals[d], k) for d, x in sample.items()})
+        shape = "id long, v array<double>, q boolean, d int, cell int"
+        index = written(rows.mapInArrow(_assigner(fits), shape))
+        parts = written(index.groupBy("d", "cell").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")))
+        posted = index.join(parts, ["d", "cell"]).select("d", "cell", F.pmod(F.xxhash64("id", "v"), "parts").cast("int").alias("part"), F.lit(0).alias("is_query"), "id", "v")
+        asked = index.where("q").select("id", "v", "q", "d").dropDuplicates(["id", "v"]).mapInArrow(_visitor(fits), shape)
+        asked = asked.join(parts, ["d", "cell"]).select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("is_query"), "id", "v")
+        order = ["d", "cell", "part"]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]))
+        found = posted.unionByName(asked).repartition(tasks, *order).sortWithinPartitions(*order, "is_query").mapInArrow(_searcher(fits, k), "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return written(found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k), keep=True)
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
