@@ -41,9 +41,9 @@ def test_stages_on_empty_and_odd_documents(spark):
 
 
 def test_registered_names_and_sql(spark):
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == [] and set(ORACLES) <= set(QUERIES)
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == [] and set(ORACLES) <= set(QUERIES)
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         cursor = con.execute(sql)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from virosight.llm.text import discard, slices, written
+from virosight.llm.text import scratch, slices, written
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256.0
 #: Rows, and their components, of a part; rows of a leaf; children of a node; query rows searched at once.
@@ -227,8 +227,9 @@ def _visitor(fits, radii: dict[tuple[int, int], float], ask: Ask):
                 owner, score = _windows_of(wins)
                 if ask.positive and cells:
                     score = _sample_bound(cells, rows.column("id").to_numpy(), rows.column("label").to_numpy(), v, ask.k)[owner]
-                    fields = [wins.flatten().field(0), wins.flatten().field(1), pa.array(score)]
-                    wins = pa.ListArray.from_arrays(wins.offsets, pa.StructArray.from_arrays(fields, names=["place", "other", "score"]))
+                # Made anew in any case, so that all batches have one schema.
+                fields = [wins.flatten().field(0), wins.flatten().field(1), pa.array(score)]
+                wins = pa.ListArray.from_arrays(wins.offsets, pa.StructArray.from_arrays(fields, names=["place", "other", "score"]))
                 low, high = ask.windows(score)
                 if cells:
                     total = (v * v).sum(1)[:, None] + cells.longest
@@ -327,41 +328,40 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
     anchors of one id count once (least label and vector).  No anchor gives no
     row.  Other columns are not read.  Ids and labels are whole numbers.
     """
-    spark = vectors.sparkSession
-    narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
-    known = narrow.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("v"), scale)).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double"))).withColumn("d", F.size("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    totals = {r["d"]: r for r in known.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()}
-    draw, rate = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) / float(1 << 40), F.lit(0.0)
-    for d, r in totals.items():
-        rate = F.when(F.col("d") == d, F.lit(min(1.0, 1.5 * min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // d // len(totals))) / r["n"]))).otherwise(rate)
-    drawn = known.where(draw < rate).groupBy("d", F.xxhash64("v").alias("h")).agg(F.min(F.struct("id", "label", "v")).alias("r"))
-    seat = F.row_number().over(Window.partitionBy("d").orderBy("h"))
-    bound = F.least(F.lit(SAMPLE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SAMPLE_VALUES) / F.col("d") / max(1, len(totals)))))
-    sample: dict[int, list] = {}
-    for r in drawn.withColumn("_k", seat).where(F.col("_k") <= bound).orderBy("d", "h").select("d", "r.*").toLocalIterator():
-        sample.setdefault(r["d"], []).append(r)
-    fits = {}
-    for d, rows in sample.items():
-        x = np.array([r["v"] for r in rows])
-        count = int(min(CELLS, len(x), max(1, round(totals[d]["n"] / _part_rows(d)))))
-        fits[d] = Cells(totals[d]["longest"], x[:count], x, np.array([r["label"] for r in rows]), np.array([r["id"] for r in rows]))
-    shared = spark.sparkContext.broadcast(fits)
-    index = written(known.mapInArrow(_assigner(shared), "id long, label long, v array<double>, anchor boolean, d int, cell int, far double"))
-    sizes = written(index.groupBy("d", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")))
-    radii = {(r["d"], r["cell"]): r["far"] for r in sizes.where(F.col("d").isin(*fits)).collect()} if fits else {}
-    each = F.least(F.lit(PART_ROWS), F.greatest(F.lit(LEAF), F.floor(F.lit(PART_VALUES) / F.col("d"))))
-    parts = sizes.select("d", "cell", F.ceil(F.col("n") / each).cast("int").alias("parts"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]))
-    anchors = index.where("anchor").groupBy("id").agg(F.min(F.struct("label", "v", "d")).alias("r")).select("id", "r.*")
-    entry = lambda place, other, score: F.struct(place.alias("place"), other.alias("other"), score.alias("score"))
-    start = anchors.withColumn("wins", F.array(entry(F.lit(1), F.lit(0).cast("long"), F.lit(_NEVER + 1).cast("long"))))
-    near = written(_searched(index, parts, start, shared, radii, Ask(True, positives), tasks))
-    wins = near.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list(entry(F.col("rank"), F.col("found_id"), F.col("found_score"))).alias("wins"))
-    out = written(_searched(index, parts, anchors.join(wins, "id"), shared, radii, Ask(False, negatives, low, high), tasks))
-    for table in (index, sizes, near):
-        discard(table)
-    return out.select("anchor_id", F.col("other").alias("positive_id"), "rank", F.col("found_id").alias("negative_id"), F.col("score").alias("positive_score"), F.col("found_score").alias("negative_score"))
+    with scratch():
+        spark = vectors.sparkSession
+        narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
+        known = narrow.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("v"), scale)).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double"))).withColumn("d", F.size("v"))
+        norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+        totals = {r["d"]: r for r in known.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()}
+        draw = F.pmod(F.xxhash64("v"), F.lit(1 << 40)) / float(1 << 40)
+        share = lambda d, n: min(1.0, 1.5 * min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // d // len(totals))) / n)
+        rate = F.element_at(F.create_map(*(F.lit(x) for d, r in totals.items() for x in (d, share(d, r["n"])))), F.col("d")) if totals else F.lit(0.0)
+        drawn = known.where(draw < rate).groupBy("d", F.xxhash64("v").alias("h")).agg(F.min(F.struct("id", "label", "v")).alias("r"))
+        seat = F.row_number().over(Window.partitionBy("d").orderBy("h"))
+        bound = F.least(F.lit(SAMPLE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SAMPLE_VALUES) / F.col("d") / max(1, len(totals)))))
+        sample: dict[int, list] = {}
+        for r in drawn.withColumn("_k", seat).where(F.col("_k") <= bound).orderBy("d", "h").select("d", "r.*").toLocalIterator():
+            sample.setdefault(r["d"], []).append(r)
+        fits = {}
+        for d, rows in sample.items():
+            x = np.array([r["v"] for r in rows])
+            count = int(min(CELLS, len(x), max(1, round(totals[d]["n"] / _part_rows(d)))))
+            fits[d] = Cells(totals[d]["longest"], x[:count], x, np.array([r["label"] for r in rows]), np.array([r["id"] for r in rows]))
+        shared = spark.sparkContext.broadcast(fits)
+        index = written(known.mapInArrow(_assigner(shared), "id long, label long, v array<double>, anchor boolean, d int, cell int, far double"))
+        sizes = written(index.groupBy("d", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")))
+        radii = {(r["d"], r["cell"]): r["far"] for r in sizes.where(F.col("d").isin(*fits)).collect()} if fits else {}
+        each = F.least(F.lit(PART_ROWS), F.greatest(F.lit(LEAF), F.floor(F.lit(PART_VALUES) / F.col("d"))))
+        parts = sizes.select("d", "cell", F.ceil(F.col("n") / each).cast("int").alias("parts"))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]))
+        anchors = index.where("anchor").groupBy("id").agg(F.min(F.struct("label", "v", "d")).alias("r")).select("id", "r.*")
+        entry = lambda place, other, score: F.struct(place.alias("place"), other.alias("other"), score.alias("score"))
+        start = anchors.withColumn("wins", F.array(entry(F.lit(1), F.lit(0).cast("long"), F.lit(_NEVER + 1).cast("long"))))
+        near = written(_searched(index, parts, start, shared, radii, Ask(True, positives), tasks))
+        wins = near.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list(entry(F.col("rank"), F.col("found_id"), F.col("found_score"))).alias("wins"))
+        out = _searched(index, parts, anchors.join(wins, "id"), shared, radii, Ask(False, negatives, low, high), tasks)
+        return written(out.select("anchor_id", F.col("other").alias("positive_id"), "rank", F.col("found_id").alias("negative_id"), F.col("score").alias("positive_score"), F.col("found_score").alias("negative_score")), keep=True)
 
 
 def _part_rows(d: int) -> int:

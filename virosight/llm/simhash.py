@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from virosight.llm.near_dups import components
-from virosight.llm.text import SPACED, blocks, discard, encoded, shards, slices, written
+from virosight.llm.text import SPACED, blocks, encoded, scratch, shards, slices, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints of a tile, and rows of tiles in a task on average.
@@ -207,9 +207,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     tasks = shards(prints.sparkSession, 22 * int(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), TASK_ROWS)
     tile = ["tile", "part", "chunk"]
     dealt = own.unionByName(other).repartition(tasks, *tile).sortWithinPartitions(*tile, "side")
-    links = written(dealt.mapInArrow(_tile_links(radius), "a long, b long"))
-    discard(cells)
-    return links
+    return written(dealt.mapInArrow(_tile_links(radius), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -224,22 +222,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by their fingerprints.  No document gives no row.  Other columns are not
     read.  Ids are integers.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = written(narrow.mapInArrow(_fingerprints, "id long, print long"))
-    classes = written(prints.where("id is not null").groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    links = links_within(classes, radius)
-    roots = written(components(links))
-    discard(links)
-    # Only fingerprints of several rows or with links need a look-up; any other row stands for itself.
-    heads = roots.select("root").distinct().select(F.col("root").alias("node"), "root")
-    linked = roots.unionByName(heads)
-    held = classes.join(linked.withColumnRenamed("node", "print"), "print", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "print"))
-    least = held.groupBy("root").agg(F.min("id").alias("component"))
-    placed = held.join(least, "root").select("print", "component", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(placed, ["print", "salt"], "left")
-    digits = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    with scratch():
+        narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        prints = written(narrow.mapInArrow(_fingerprints, "id long, print long"))
+        classes = written(prints.where("id is not null").groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+        links = links_within(classes, radius)
+        roots = written(components(links))
+        # Only fingerprints of several rows or with links need a look-up; any other row stands for itself.
+        heads = roots.select("root").distinct().select(F.col("root").alias("node"), "root")
+        linked = roots.unionByName(heads)
+        held = classes.join(linked.withColumnRenamed("node", "print"), "print", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "print"))
+        least = held.groupBy("root").agg(F.min("id").alias("component"))
+        placed = held.join(least, "root").select("print", "component", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        salted = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        out = salted.join(placed, ["print", "salt"], "left")
+        digits = F.lower(F.lpad(F.hex("print"), 16, "0"))
+        return written(out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")), keep=True)
 
 
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virosight.llm.text import discard, encoded, slices, written
+from virosight.llm.text import discard, encoded, scratch, slices, written
 
 #: Code points of a word, occurrences of it, and how many times as common a form has to be.
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
@@ -129,9 +129,7 @@ def near_words(words: DataFrame) -> DataFrame:
     probes = posted.where("probe").select(*key, F.col("last").alias("own"), F.col("word").alias("a"))
     met = probes.join(posted.where("not probe").select(*key, "last", F.col("word").alias("b")), key).where("own <= last and a <> b")
     near = met.where(F.levenshtein("a", "b", 1) == 1).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    out = written(near.distinct())
-    discard(posted)
-    return out
+    return written(near.distinct())
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -157,19 +155,18 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an id are documents each.  Repeated rows count each.  Whole texts are
     read, however long.  No word gives no row.  Other columns are not read.
     """
-    words = written(word_counts(docs, id_col, text_col))
-    pairs = near_words(words)
-    both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
-    other = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    best = F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word")))
-    near = both.join(other, "other").groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    rows = words.join(near, "word", "left")
-    has_form = -F.col("best.n") >= RATIO * F.col("n")
-    rows = written(rows.select("word", F.when(has_form, F.col("best.word")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has_form, -F.col("best.n")).alias("form_n")))
-    for table in (words, pairs):
-        discard(table)
-    roots = _roots(rows.where("form is not null"))
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    with scratch():
+        words = written(word_counts(docs, id_col, text_col))
+        pairs = near_words(words)
+        both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
+        other = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
+        best = F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word")))
+        near = both.join(other, "other").groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+        rows = words.join(near, "word", "left")
+        has_form = -F.col("best.n") >= RATIO * F.col("n")
+        rows = written(rows.select("word", F.when(has_form, F.col("best.word")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has_form, -F.col("best.n")).alias("form_n")))
+        roots = _roots(rows.where("form is not null"))
+        return written(rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"), keep=True)
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
