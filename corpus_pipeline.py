@@ -13,7 +13,7 @@ from virosight.llm.language_id import keep_identified, learn_languages, training
 from virosight.llm.near_dups import drop_near_duplicates
 from virosight.llm.pieces import token_digests
 from virosight.llm.quality import keep_good
-from virosight.llm.text import discard, written
+from virosight.llm.text import discard, scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each but the last returns is written to the shared folder, and deleted when the next is."""
+    """All stages over ``documents``.
+
+    What each but the last returns is written to the shared folder and deleted
+    when the next is; what a stage needed besides goes with its end.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, written(stage(spark, docs, sf_dir))
+        with scratch():
+            before, docs = docs, written(stage(spark, docs, sf_dir), keep=True)
         if k:
             discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
