@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from virosight.functions import dates, numeric, sequences, strings
-from virosight.operators import curate, fitness, frequency, seasons, series, sites, titer, tree
+from virosight.operators import curate, fitness, frequency, pileup, seasons, series, sites, titer, tree
 from virosight.sources import sinks
 from virosight.streaming import arrival
 
@@ -299,22 +299,22 @@ _SITES = """s AS (SELECT doc_id, lang, source, unnest(w) AS state, generate_subs
 FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '(?s).') AS w FROM documents))"""
 
 
-def _sites(spark, sf_dir, *keep):
-    """Whole texts as sequences, a row for each place."""
-    return sequences.sites(table(spark, sf_dir, "documents"), "text", *(keep or ("doc_id",)))
+def _piles(spark, sf_dir):
+    """Counted places of whole texts, which stand for sequences."""
+    return pileup.pileup(table(spark, sf_dir, "documents"), "text")
 
 
 @query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL) SELECT pos::INT AS pos, state, n,
 round(n / sum(n) OVER (PARTITION BY pos), 8) AS freq FROM c""")
 def site_frequencies(spark, sf_dir):
-    return sites.site_frequencies(_sites(spark, sf_dir)).select("pos", "state", "n", F.round("freq", 8).alias("freq"))
+    return pileup.frequencies(_piles(spark, sf_dir)).select("pos", "state", "n", F.round("freq", 8).alias("freq"))
 
 
 @query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL),
 f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS f FROM c) SELECT pos::INT AS pos,
 round(abs(sum(f * ln(greatest(f, 1e-10)))), 6) AS entropy, count(*) AS n_states FROM f GROUP BY pos""")
 def entropy(spark, sf_dir):
-    out = sites.entropy(sites.site_frequencies(_sites(spark, sf_dir)))
+    out = pileup.entropy(_piles(spark, sf_dir))
     return out.select("pos", F.round("entropy", 6).alias("entropy"), F.size("states").cast("long").alias("n_states"))
 
 
@@ -325,13 +325,13 @@ _ALPHABET = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHERE state IN ({', '.join(repr(c) for c in _ALPHABET)}) GROUP BY ALL) SELECT pos::INT AS pos, state FROM (SELECT *,
 row_number() OVER (PARTITION BY pos ORDER BY n DESC, seat) AS k FROM c) WHERE k = 1""")
 def consensus(spark, sf_dir):
-    return sites.consensus(sites.site_frequencies(_sites(spark, sf_dir), _ALPHABET), _ALPHABET)
+    return pileup.consensus(_piles(spark, sf_dir), _ALPHABET)
 
 
 @query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, n / sum(n) OVER (PARTITION BY pos) AS f
 FROM c) SELECT pos::INT AS pos, round(max(f), 8) AS top FROM f GROUP BY pos HAVING max(f) < 0.85""")
 def variable_sites(spark, sf_dir):
-    return sites.variable_sites(sites.site_frequencies(_sites(spark, sf_dir)), 0.15).select("pos", F.round("top", 8).alias("top"))
+    return pileup.variable_sites(_piles(spark, sf_dir), 0.15).select("pos", F.round("top", 8).alias("top"))
 
 
 _ROOT = "root AS (SELECT regexp_extract_all(text, '(?s).') AS r FROM benchmark ORDER BY item_id LIMIT 1)"
@@ -340,7 +340,7 @@ _ROOT = "root AS (SELECT regexp_extract_all(text, '(?s).') AS r FROM benchmark O
 def _diffs(spark, sf_dir, name, key):
     """Differences of whole texts from the first benchmark item, which stands for the root."""
     root = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("_root"))
-    return sequences.differs_only(table(spark, sf_dir, name).join(F.broadcast(root)), F.col("_root"), "text", key)
+    return pileup.differences_from_root(table(spark, sf_dir, name).join(F.broadcast(root)), F.col("_root"), "text", key)
 
 
 def _diffs_sql(name, key):
@@ -356,21 +356,21 @@ def sparse_diff_vs_root(spark, sf_dir):
 SELECT pos::INT AS pos, state, round(w / sum(w) OVER (PARTITION BY pos), 8) AS freq FROM c""")
 def weighted_frequencies(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    s = _sites(spark, sf_dir).join(labels, "doc_id", "left")
-    return sites.site_frequencies(s, weight=F.coalesce("quality", F.lit(0)) + 1).select("pos", "state", F.round("freq", 8).alias("freq"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    piles = pileup.pileup(docs, "text", weight=F.coalesce("quality", F.lit(0)) + 1)
+    return pileup.frequencies(piles).select("pos", "state", F.round("freq", 8).alias("freq"))
 
 
 @query(f"""WITH {_SITES}, a AS (SELECT pos, state, count(*) / sum(count(*)) OVER (PARTITION BY pos) AS p FROM s GROUP BY pos, state),
 b AS (SELECT source, pos, state, count(*) / sum(count(*)) OVER (PARTITION BY source, pos) AS q FROM s GROUP BY source, pos, state)
 SELECT source, round(1 - sum(p * q) / (SELECT count(DISTINCT pos) FROM a), 6) AS distance FROM a JOIN b USING (pos, state) GROUP BY source""")
 def population_distance(spark, sf_dir):
-    s = _sites(spark, sf_dir, "doc_id", "source")
-    return sites.population_distance(sites.site_frequencies(s), sites.site_frequencies(s, by=["source"]), ["source"]).select("source", F.round("distance", 6).alias("distance"))
+    return pileup.population_distance(table(spark, sf_dir, "documents"), "text", "source").select("source", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT doc_id FROM documents WHERE substring(text, 2, 1) = 'h' AND substring(text, 3, 1) = 'e' AND substring(text, 4, 1) = ' '")
 def genotype_conjunction(spark, sf_dir):
-    return sites.conjunction(_sites(spark, sf_dir), [(2, "h"), (3, "e"), (4, " ")], "doc_id")
+    return table(spark, sf_dir, "documents").where(pileup.has_states(F.col("text"), [(2, "h"), (3, "e"), (4, " ")])).select("doc_id")
 
 
 @query("SELECT '2' || substring(text, 2, 1) || '/5' || substring(text, 5, 1) AS genotype, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 10")
@@ -680,9 +680,8 @@ def season_frequencies(spark, sf_dir):
 @query(f"""WITH {_SITES}, c AS (SELECT pos, state, count(*) AS n FROM s GROUP BY ALL), f AS (SELECT pos, state, n / sum(n) OVER (PARTITION BY pos) AS p FROM c)
 SELECT doc_id, round(sum(CASE WHEN p >= 0.01 THEN ln(p) ELSE 0 END), 3) AS tolerance FROM s JOIN f USING (pos, state) GROUP BY doc_id""")
 def tolerance_score(spark, sf_dir):
-    s = _sites(spark, sf_dir)
-    preferences = sites.site_frequencies(s).where("freq >= 0.01").select(F.col("pos").alias("site"), F.col("state").alias("aa"), F.col("freq").alias("p"))
-    return seasons.tolerance(s, preferences, "doc_id").select("doc_id", F.round("tolerance", 3).alias("tolerance"))
+    preferences = pileup.frequencies(_piles(spark, sf_dir)).where("freq >= 0.01").select("pos", "state", F.ln("freq").alias("value"))
+    return pileup.place_scores(table(spark, sf_dir, "documents"), "text", "doc_id", preferences, "tolerance").select("doc_id", F.round("tolerance", 3).alias("tolerance"))
 
 
 @query("""WITH a AS (SELECT least(l_partkey % 25, l_suppkey % 25) AS a, greatest(l_partkey % 25, l_suppkey % 25) AS b, avg(l_quantity) AS d
