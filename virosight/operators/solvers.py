@@ -72,52 +72,149 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float =
     return simplex[k], float(values[k])
 
 
-def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness: float, inertia: float = 0.0, clamp: float = 1e-4, rounds: int = 60, weight: np.ndarray | None = None) -> np.ndarray:
-    """Frequencies at the grid that maximise the Bernoulli likelihood of 0/1 observations under a smoothness penalty.
+#: Frequencies that the likelihood and the penalty's variance are held within, and that a fit's results are.
+LIKELY, VARIED, CLAMP = 1e-3, 1e-2, 1e-4
 
-    The curve is linear in logits between grid points.  The penalty holds the
-    change of frequency of a step near ``inertia`` times the one before.
-    An observation counts ``weight`` times, once by default.  Damped Newton steps on the logits; the Hessian is banded and small.
+
+class Drift:
+    """Negative log likelihood of 0/1 observations under a drifting frequency, as a function of logits at grid points.
+
+    Between grid points logits are linear.  A step's change of frequency, less
+    ``inertia`` times the one before, costs ``stiffness / 4`` times its square
+    over the time and the sampling variance p (1 - p) at its start, so rare
+    features are held as firmly for their size as common ones.
     """
-    k = np.clip(np.searchsorted(grid, times, side="right") - 1, 0, len(grid) - 2)
-    a = np.clip((times - grid[k]) / (grid[k + 1] - grid[k]), 0, 1)
-    basis = np.zeros((len(times), len(grid)))
-    rows = np.arange(len(times))
-    basis[rows, k] = 1 - a
-    basis[rows, k + 1] += a
+
+    def __init__(self, times: np.ndarray, seen: np.ndarray, weight: np.ndarray, grid: np.ndarray, stiffness: float, inertia: float):
+        self.k = np.clip(np.searchsorted(grid, times, side="right") - 1, 0, len(grid) - 2)
+        self.a = np.clip((times - grid[self.k]) / (grid[self.k + 1] - grid[self.k]), 0, 1)
+        self.yes, self.weight, self.size = seen * weight, weight, len(grid)
+        step = np.diff(np.eye(len(grid)), axis=0)
+        self.steps = step.copy()
+        self.steps[1:] -= inertia * step[:-1]
+        self.scale = stiffness / (4 * np.diff(grid))
+
+    def _residuals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Root costs of the steps and their derivatives by the logits."""
+        f = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        held = np.clip(f[:-1], VARIED, 1 - VARIED)
+        root = np.sqrt(self.scale / (held * (1 - held)))
+        change = self.steps @ f
+        jacobian = root[:, None] * self.steps * (f * (1 - f))
+        inside = (f[:-1] > VARIED) & (f[:-1] < 1 - VARIED)
+        rows = np.arange(len(root))
+        jacobian[rows, rows] -= np.where(inside, root * change * (1 - 2 * f[:-1]) / 2, 0.0)
+        return root * change, jacobian
+
+    def value(self, x: np.ndarray) -> float:
+        logit = (1 - self.a) * x[self.k] + self.a * x[self.k + 1]
+        p = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), LIKELY, 1 - LIKELY)
+        r, _ = self._residuals(x)
+        return float(-(self.yes * np.log(p) + (self.weight - self.yes) * np.log(1 - p)).sum() + r @ r)
+
+    def slope(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient, and a positive curvature for Newton steps."""
+        logit = (1 - self.a) * x[self.k] + self.a * x[self.k + 1]
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        open_ = (p > LIKELY) & (p < 1 - LIKELY)
+        g, h = np.where(open_, self.weight * p - self.yes, 0.0), np.where(open_, self.weight * p * (1 - p), 0.0)
+        r, jacobian = self._residuals(x)
+        grad, hess = 2 * jacobian.T @ r, 2 * jacobian.T @ jacobian
+        for i, u in ((self.k, 1 - self.a), (self.k + 1, self.a)):
+            np.add.at(grad, i, u * g)
+            for j, v in ((self.k, 1 - self.a), (self.k + 1, self.a)):
+                np.add.at(hess, (i, j), u * v * h)
+        return grad, hess
+
+    def least(self, x: np.ndarray) -> np.ndarray:
+        """Damped Newton steps from ``x``, and single logits moved by fixed steps where those are stuck, until neither lowers the value.
+
+        The cost has kinks and valleys, where curvature alone ends too early.
+        """
+        x = self._newton(x)
+        bound, now = np.log((1 - CLAMP) / CLAMP), self.value(x)
+        for step in (2.0, 1.0, 0.5, 0.25, 0.1):
+            moved = True
+            while moved:
+                moved = False
+                for i in range(len(x)):
+                    for d in (step, -step):
+                        new = x.copy()
+                        new[i] = np.clip(new[i] + d, -bound, bound)
+                        if (value := self.value(new)) < now - 1e-6 * (1 + abs(now)):
+                            x, now, moved = new, value, True
+                if moved:
+                    x = self._newton(x)
+                    now = self.value(x)
+        return x
+
+    def _newton(self, x: np.ndarray, rounds: int = 200) -> np.ndarray:
+        bound = np.log((1 - CLAMP) / CLAMP)
+        now, damp = self.value(x), 1e-3
+        for _ in range(rounds):
+            grad, hess = self.slope(x)
+            while damp < 1e9:
+                new = np.clip(x - np.linalg.solve(hess + damp * np.diag(np.diag(hess) + 1e-6), grad), -bound, bound)
+                value = self.value(new)
+                if value < now:
+                    break
+                damp *= 4
+            else:
+                return x
+            gain, x, now, damp = now - value, new, value, max(damp / 8, 1e-12)
+            if gain < 1e-9 * (1 + abs(now)):
+                return x
+        return x
+
+
+def active_range(times: np.ndarray, yes: np.ndarray, no: np.ndarray, grid: np.ndarray, extra: int) -> tuple[int, int]:
+    """Grid points (first, after the last) from ``extra`` before the first change between kinds of observation to as many behind the last.
+
+    ``times`` ascend.  With five changes or fewer the whole grid is active.
+    """
+    kind = np.where(no == 0, 1, np.where(yes == 0, 0, 2))
+    mixed = np.flatnonzero(kind == 2)
+    turns = np.flatnonzero((kind[:-1] != kind[1:]) & (kind[:-1] != 2) & (kind[1:] != 2))
+    if len(turns) + 2 * len(mixed) <= 5:
+        return 0, len(grid)
+    places = np.concatenate([turns, mixed])
+    first, last = times[places.min()], times[places.max()]
+    low = max(0, int(np.searchsorted(grid, first)) - extra) if grid[0] < first < grid[-1] else 0
+    high = min(len(grid), int(np.searchsorted(grid, last)) - 1 + extra) if grid[0] < last < grid[-1] else len(grid)
+    return (low, high) if high - low > 2 else (0, len(grid))
+
+
+def trajectory(times: np.ndarray, seen: np.ndarray, grid: np.ndarray, stiffness: float, inertia: float = 0.0, weight: np.ndarray | None = None, extra: int = 5) -> np.ndarray:
+    """Most likely frequencies at the grid of 0/1 observations (each ``weight`` times) under drift: see ``Drift``.
+
+    Only the grid around changes is fitted, with ends held constant beyond
+    (``active_range``).  The fit starts on every fourth grid point and is
+    refined to every second and to all.
+    """
+    times, seen = np.asarray(times, float), np.asarray(seen, float)
     weight = np.ones(len(times)) if weight is None else np.asarray(weight, float)
-    share = np.clip(np.average(seen, weights=weight) if weight.sum() > 0 else 0.5, 0.05, 0.95)
-    x = np.full(len(grid), np.log(share / (1 - share)))
-    step = np.diff(np.eye(len(grid)), axis=0)
-    smooth = step.copy()
-    smooth[1:] -= inertia * step[:-1]
-    dt = np.diff(grid)
-    penalty = stiffness * smooth.T @ (smooth / dt[:, None])
-    bound = np.log((1 - clamp) / clamp)
-
-    def loss(x):
-        p = 1 / (1 + np.exp(-np.clip(basis @ x, -bound, bound)))
-        f = 1 / (1 + np.exp(-x))
-        return -(weight * np.where(seen > 0, np.log(p), np.log(1 - p))).sum() + 0.5 * f @ penalty @ f
-
-    now = loss(x)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(basis @ x)))
-        f = 1 / (1 + np.exp(-x))
-        df = f * (1 - f)
-        grad = basis.T @ (weight * (p - seen)) + df * (penalty @ f)
-        hess = basis.T @ (basis * (weight * p * (1 - p))[:, None]) + df[:, None] * penalty * df[None, :] + 1e-6 * np.eye(len(x))
-        move = np.linalg.solve(hess, grad)
-        scale = 1.0
-        while scale > 1e-6:
-            new = np.clip(x - scale * move, -bound, bound)
-            value = loss(new)
-            if value < now - 1e-12:
-                break
-            scale /= 2
-        else:
-            break
-        gain, x, now = now - value, new, value
-        if gain < 1e-8:
-            break
-    return 1 / (1 + np.exp(-x))
+    order = np.argsort(times, kind="stable")
+    times, seen, weight = times[order], seen[order], weight[order]
+    if not weight.sum() > 0:
+        return np.full(len(grid), 0.5)
+    at, where = np.unique(times, return_inverse=True)
+    yes = np.bincount(where, weights=seen * weight)
+    no = np.bincount(where, weights=(1 - seen) * weight)
+    low, high = active_range(at[yes + no > 0], yes[yes + no > 0], no[yes + no > 0], grid, extra)
+    own = grid[low:high]
+    inside = (times >= own[0]) & (times < own[-1])
+    if not weight[inside].sum() > 0:
+        inside = np.ones(len(times), bool)
+    times, seen, weight = times[inside], seen[inside], weight[inside]
+    share = np.clip(np.average(seen, weights=weight), 0.05, 0.95)
+    points, x = own, np.full(len(own), np.log(share / (1 - share)))
+    for every in (4, 2, 1):
+        if len(grid) <= 2 * every and every > 1:
+            continue
+        some = own[::every] if (len(own) - 1) % every == 0 else np.append(own[::every], own[-1])
+        if len(some) < 2:
+            continue
+        x = Drift(times, seen, weight, some, stiffness, inertia).least(np.interp(some, points, x))
+        points = some
+    fitted = np.clip(1 / (1 + np.exp(-x)), CLAMP, 1 - CLAMP)
+    return np.interp(grid, own, fitted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -123,9 +124,10 @@ def censored_slopes(nodes: DataFrame, closure: DataFrame, tips: DataFrame, seaso
     parts = []
     for season, start, end in seasons:
         freqs = tree_frequencies(nodes, closure, tips.where((F.col("num_date") >= start) & (F.col("num_date") < end)), start, end, **fit)
-        first = sorted({r[0] for r in freqs.select("pivot").distinct().collect()})[2:3]
+        # The third pivot, by the formula that makes them.
+        first = (math.floor(start * fit.get("per_year", 12)) + 2) / fit.get("per_year", 12)
         x = F.ln(F.greatest("freq", F.lit(1e-12)) / F.greatest(1 - F.col("freq"), F.lit(1e-12)))
-        rows = freqs.where(F.col("pivot") >= (first[0] if first else 0.0)).withColumn("_x", F.greatest(F.least(x, F.lit(25.0)), F.lit(-25.0)))
+        rows = freqs.where(F.col("pivot") >= first - 1e-9).withColumn("_x", F.greatest(F.least(x, F.lit(25.0)), F.lit(-25.0)))
         parts.append(rows.groupBy("node_id", "region").agg(F.regr_slope("_x", "pivot").alias("dfreq")).withColumn("season", F.lit(season)))
     out = parts[0]
     for p in parts[1:]:

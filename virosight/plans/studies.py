@@ -366,24 +366,16 @@ def _tree_tips(spark, sf_dir):
     return _last_orders(spark, sf_dir).withColumn("region", F.lit("global"))
 
 
-def _small_tree(spark, sf_dir):
-    """The tree down to nations, whose tips are the customers' last orders put on the nation."""
-    nodes = node_table(spark, sf_dir)
-    tips = _tree_tips(spark, sf_dir).join(nodes.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "region", "num_date")
-    inner = nodes.join(nodes.where("node_id < 1000").select("node_id"), "node_id", "left_semi")
-    return inner, tips
-
-
 @query()
 def nested_clade_frequencies(spark, sf_dir):
-    nodes, tips = _small_tree(spark, sf_dir)
-    return frequency.tree_frequencies(nodes, tree.ancestors(nodes), tips, 1997.0, 1999.0, per_year=6)
+    nodes = node_table(spark, sf_dir)
+    return frequency.tree_frequencies(nodes, tree.ancestors(nodes), _tree_tips(spark, sf_dir), 1997.0, 1999.0, per_year=6)
 
 
 @query()
 def censored_slopes(spark, sf_dir):
-    nodes, tips = _small_tree(spark, sf_dir)
-    return trajectories.censored_slopes(nodes, tree.ancestors(nodes), tips, [(1997, 1997.0, 1998.0), (1998, 1998.0, 1999.0)], per_year=6)
+    nodes = node_table(spark, sf_dir)
+    return trajectories.censored_slopes(nodes, tree.ancestors(nodes), _tree_tips(spark, sf_dir), [(1997, 1997.0, 1998.0), (1998, 1998.0, 1999.0)], per_year=6)
 
 
 @query()
