@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from virosight.operators.solvers import quadratic
 from virosight.operators.titer import collect_equations, design
-from virosight.operators.tree import ancestors, branch_classes, path_between
+from virosight.operators.tree import accumulate, ancestors, branch_classes, path_between
 from virosight.session import saved
 
 #: Columns of a fit by name: is the effect penalty L1, may effects be negative, and do effects get a ridge instead.
@@ -144,7 +144,7 @@ def branch_effects(nodes: DataFrame, classes: DataFrame, effects: DataFrame, mut
     carrier = counted.groupBy("effect").agg(F.max_by("node_id", F.struct("n", -F.col("node_id"))).alias("node_id"))
     own = nodes.select("node_id").join(carrier.join(effects, "effect").groupBy("node_id").agg(F.sum("value").alias("dhi")), "node_id", "left")
     own = saved(own.withColumn("dhi", F.coalesce("dhi", F.lit(0.0))))
-    summed = ancestors(nodes).join(own.withColumnRenamed("node_id", "ancestor"), "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum("dhi").alias("chi"))
+    summed = accumulate(nodes, own, "dhi", "chi")
     return own.join(summed, "node_id")
 
 

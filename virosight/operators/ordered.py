@@ -6,10 +6,12 @@ the sums of the ranges before it (one figure a partition) are added to them.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType
 
 from virosight.session import saved
 
@@ -26,8 +28,9 @@ def running_totals(df: DataFrame, order: list[str], values: dict[str, str]) -> D
     sums = {v: F.sum(v).alias(f"_s{i}") for i, v in enumerate(dict.fromkeys(values.values()))}
     parts = sorted(ranged.groupBy("_range").agg(*sums.values()).collect())
     # One row a partition: what the ranges before it add up to.
-    columns = [[0, *accumulate(r[k] or 0 for r in parts)][:-1] for k in range(1, len(sums) + 1)]
     kinds = ranged.groupBy("_range").agg(*sums.values()).schema
+    zeros = [Decimal(0) if isinstance(f.dataType, DecimalType) else 0.0 if isinstance(f.dataType, DoubleType) else 0 for f in kinds.fields]
+    columns = [[*accumulate((r[k] or zeros[k] for r in parts), initial=zeros[k])][:-1] for k in range(1, len(sums) + 1)]
     before = df.sparkSession.createDataFrame([(r[0], *c) for r, c in zip(parts, zip(*columns, strict=True), strict=True)], kinds)
     own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seat = {v: f"_s{i}" for i, v in enumerate(sums)}

@@ -30,8 +30,10 @@ class Context:
 
 def _branching(c: Context) -> DataFrame:
     parts = []
+    spans = saved(tree.intervals(c.nodes))
     for season in c.seasons:
-        alive = tree.subtree(tree.ancestors(c.nodes), c.tips.where(F.col("season") == season).select("node_id"), "node_id", F.count("*").alias("_n")).select("node_id")
+        own = c.tips.where(F.col("season") == season).select("node_id", F.lit(1).alias("_one"))
+        alive = tree.subtree_counts(spans, own, "_one").where("n > 0").select("node_id")
         parts.append(tree.branching_index(c.nodes, alive, c.tau).select("node_id", F.lit(season).alias("season"), F.col("lbi").alias("value")))
     out = parts[0]
     for p in parts[1:]:

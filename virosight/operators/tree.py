@@ -1,10 +1,11 @@
 """Trees as node tables (tree_id, node_id, parent_id, child_ord, branch_length, ...).
 
-Path questions go through the ancestor closure, built by doubling: each round
-joins pairs of a node and an ancestor with themselves, so a tree of depth d
-takes log2(d) joins.  Orders and subtree counts use pre-order intervals, which
-come from ranking the walk around the tree by doubling too: log2(2 n) joins of
-2 n rows for n nodes of any depth.
+Orders use pre-order intervals, which come from ranking the walk around the
+tree by doubling: log2(2 n) joins of 2 n rows for n nodes of any depth.  Sums
+over subtrees and over root paths are running totals along that walk, and
+recurrences are contracted (``contraction``), so none of them makes a row for
+each pair of a node and an ancestor.  Only questions whose answer names such
+pairs go through the closure (``ancestors``), built by doubling.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from virosight.operators.contraction import linear_down, linear_up, nearest_marked
 from virosight.operators.ordered import running_totals
 from virosight.session import dropped, saved
 
@@ -97,15 +99,39 @@ def intervals(nodes: DataFrame) -> DataFrame:
     )
 
 
-def subtree_counts(spans: DataFrame, values: DataFrame, value: str, out: str = "n") -> DataFrame:
-    """``node_id, out``: sum of a whole-number column of ``values`` (node_id, value) over each node's descendants, itself included.
+#: Sums of lengths are exact in units of 1e-15, so that equal sums stay equal.
+_EXACT = "decimal(38,15)"
+
+
+def subtree_sums(spans: DataFrame, values: DataFrame, value: str, out: str, kind: str = "double") -> DataFrame:
+    """``node_id, out``: sum of a column of ``values`` (node_id, value) over each node's descendants, itself included.
 
-    Running totals over the pre-order, so a deep tree costs no more than a flat one.
+    Running totals over the pre-order, so a deep tree costs no more than a
+    flat one.  ``kind`` is long or double; nulls count as 0.
     """
-    rows = spans.join(values.groupBy("node_id").agg(F.sum(value).alias("_v")), "node_id", "left").withColumn("_v", F.coalesce("_v", F.lit(0)).cast("long"))
+    exact = _EXACT if kind == "double" else "long"
+    rows = spans.join(values.groupBy("node_id").agg(F.sum(F.col(value).cast(exact)).cast(exact).alias("_v")), "node_id", "left").withColumn("_v", F.coalesce("_v", F.lit(0)).cast(exact))
     upto = saved(running_totals(rows.select("node_id", "root", "pre", "last", "_v"), ["root", "pre"], {"_upto": "_v"}))
     ends = upto.select("root", F.col("pre").alias("last"), F.col("_upto").alias("_end"))
-    return upto.join(ends, ["root", "last"]).select("node_id", (F.col("_end") - F.col("_upto") + F.col("_v")).alias(out))
+    return upto.join(ends, ["root", "last"]).select("node_id", (F.col("_end") - F.col("_upto") + F.col("_v")).cast(kind).alias(out))
+
+
+def subtree_counts(spans: DataFrame, values: DataFrame, value: str, out: str = "n") -> DataFrame:
+    """As ``subtree_sums``, of a whole-number column."""
+    return subtree_sums(spans, values, value, out, "long")
+
+
+def path_sums(spans: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
+    """``node_id, out``: sum of a column of ``values`` (node_id, value) over each node's path from the root, itself included.
+
+    The walk around the tree adds a node's value where it is entered and takes
+    it off where it is left; the running total at the entry is the path's.
+    """
+    rows = spans.join(values.groupBy("node_id").agg(F.sum(F.col(value).cast(_EXACT)).cast(_EXACT).alias("_v")), "node_id", "left").withColumn("_v", F.coalesce("_v", F.lit(0)).cast(_EXACT))
+    enter = rows.select("node_id", "root", F.col("pre").alias("at"), F.lit(1).alias("enters"), "_v")
+    leave = rows.select(F.lit(None).cast(dict(rows.dtypes)["node_id"]).alias("node_id"), "root", (F.col("last") + 1).alias("at"), F.lit(0).alias("enters"), (-F.col("_v")).cast(_EXACT).alias("_v"))
+    total = running_totals(enter.unionByName(leave), ["root", "at", "enters"], {"_upto": "_v"})
+    return total.where("enters = 1").select("node_id", F.col("_upto").cast("double").alias(out))
 
 
 def subtree(closure: DataFrame, values: DataFrame, node: str, *aggs: Column) -> DataFrame:
@@ -113,53 +139,54 @@ def subtree(closure: DataFrame, values: DataFrame, node: str, *aggs: Column) ->
     return closure.join(values.withColumnRenamed(node, "node"), "node").groupBy(F.col("ancestor").alias(node)).agg(*aggs)
 
 
-def root_distance(nodes: DataFrame, length: str = "branch_length", closure: DataFrame | None = None) -> DataFrame:
-    """Summed edge lengths from the root down to each node, the root's own edge included."""
-    own = nodes.select(F.col("node_id").alias("ancestor"), F.coalesce(F.col(length), F.lit(0.0)).alias("w"))
-    closure = ancestors(nodes) if closure is None else closure
-    return closure.join(own, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum("w").alias("xvalue"), (F.count("*") - 1).alias("depth"))
+def root_distance(nodes: DataFrame, length: str = "branch_length", spans: DataFrame | None = None) -> DataFrame:
+    """Summed edge lengths from the root down to each node, the root's own edge included, and the depth."""
+    spans = saved(intervals(nodes)) if spans is None else spans
+    return path_sums(spans, nodes.select("node_id", length), length, "xvalue").join(spans.select("node_id", "depth"), "node_id")
 
 
-def accumulate(closure: DataFrame, values: DataFrame, value: str, out: str) -> DataFrame:
+def accumulate(nodes: DataFrame, values: DataFrame, value: str, out: str, spans: DataFrame | None = None) -> DataFrame:
     """Sum of a value over each node's path from the root."""
-    return closure.join(values.select(F.col("node_id").alias("ancestor"), value), "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias(out))
+    return path_sums(saved(intervals(nodes)) if spans is None else spans, values, value, out)
 
 
-def inherit(closure: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """A node's own value, else that of the nearest ancestor with one."""
-    known = values.where(F.col(value).isNotNull()).select(F.col("node_id").alias("ancestor"), F.col(value).alias("_v"))
-    return closure.join(known, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.min_by("_v", "steps").alias(value))
+def inherit(nodes: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """A node's own value, else that of the nearest ancestor with one; nodes without either are left out."""
+    known = values.where(F.col(value).isNotNull()).select(F.col("node_id").alias("near"), value)
+    return nearest_marked(nodes, known.select(F.col("near").alias("node_id"))).join(known, "near").select("node_id", value)
 
 
-def trunk(nodes: DataFrame, closure: DataFrame, tips: DataFrame, date: str, span: float) -> DataFrame:
+def trunk(nodes: DataFrame, tips: DataFrame, date: str, span: float, spans: DataFrame | None = None) -> DataFrame:
     """``node_id, trunk``: inner nodes from which all recent tips (within ``span`` of the last) descend."""
+    spans = saved(intervals(nodes)) if spans is None else spans
     last = tips.agg(F.max(date).alias("_last"))
-    recent = tips.join(F.broadcast(last)).where(F.col("_last") - F.col(date) < span).select(F.col("node_id").alias("node"))
-    total = recent.agg(F.count("*").alias("_all"))
-    held = closure.join(recent, "node").groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("_n"))
+    recent = tips.join(F.broadcast(last)).where(F.col("_last") - F.col(date) < span).select("node_id", F.lit(1).alias("_one"))
+    total = recent.join(nodes.select("node_id"), "node_id", "left_semi").agg(F.count("*").alias("_all"))
+    held = subtree_counts(spans, recent, "_one", "_n").where("_n > 0")
     inner = nodes.join(tips.select("node_id"), "node_id", "left_anti").select("node_id")
     flagged = held.join(F.broadcast(total)).where("_n = _all").join(inner, "node_id", "left_semi").select("node_id", F.lit(True).alias("trunk"))
     return nodes.select("node_id").join(flagged, "node_id", "left").select("node_id", F.coalesce("trunk", F.lit(False)).alias("trunk"))
 
 
-def ladderize(nodes: DataFrame, closure: DataFrame, length: str = "branch_length") -> DataFrame:
+def ladderize(nodes: DataFrame, length: str = "branch_length", spans: DataFrame | None = None) -> DataFrame:
     """New child order: by the total edge length below, most first, then the old order."""
-    below = subtree(closure, nodes.select("node_id", F.coalesce(length, F.lit(0.0)).alias("_w")), "node_id", F.sum("_w").alias("below"))
+    spans = saved(intervals(nodes)) if spans is None else spans
+    below = subtree_sums(spans, nodes.select("node_id", length), length, "below")
     own = Window.partitionBy("parent_id").orderBy(F.desc("below"), "child_ord", "node_id")
     return nodes.join(below, "node_id").withColumn("child_ord", F.row_number().over(own) - 1)
 
 
-def collapse(nodes: DataFrame, closure: DataFrame, gone: Column) -> DataFrame:
+def collapse(nodes: DataFrame, gone: Column) -> DataFrame:
     """Nodes without those for which ``gone`` holds; their children hang from the nearest kept ancestor."""
     kept = nodes.where(~F.coalesce(gone, F.lit(False)) | F.col("parent_id").isNull())
-    up = closure.where("steps > 0").join(kept.select(F.col("node_id").alias("ancestor")), "ancestor", "left_semi")
-    parent = up.groupBy(F.col("node").alias("node_id")).agg(F.min_by("ancestor", "steps").alias("_p"))
-    return kept.join(parent, "node_id", "left").withColumn("parent_id", F.col("_p")).drop("_p")
+    near = nearest_marked(nodes, kept.select("node_id")).select(F.col("node_id").alias("parent_id"), "near")
+    return kept.join(near, "parent_id", "left").withColumn("parent_id", F.col("near")).select(*nodes.columns)
 
 
-def prune(nodes: DataFrame, closure: DataFrame, tips: DataFrame) -> DataFrame:
+def prune(nodes: DataFrame, tips: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Nodes with one of the given tips below or at them: other tips and inner nodes left without tips go."""
-    alive = closure.join(tips.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("node_id")).distinct()
+    spans = saved(intervals(nodes)) if spans is None else spans
+    alive = subtree_counts(spans, tips.select("node_id", F.lit(1).alias("_one")), "_one").where("n > 0")
     return nodes.join(alive, "node_id", "left_semi")
 
 
@@ -178,45 +205,37 @@ def reroot(nodes: DataFrame, outgroup: int, length: float = 0.001) -> DataFrame:
     return rows.withColumn("branch_length", rooted).select(*nodes.columns)
 
 
-def mean_of_children(nodes: DataFrame, tips: DataFrame, value: str, closure: DataFrame | None = None) -> DataFrame:
-    """Tips keep their value; inner nodes get the mean of their children's, level by level from the deepest.
+def mean_of_children(nodes: DataFrame, tips: DataFrame, value: str) -> DataFrame:
+    """Tips keep their value; inner nodes get the mean of their children's, as a contracted recurrence.
 
-    As a closed form: each tip weighs the product of 1 / (children) over its
-    path, so one pass over the closure replaces the levels.
+    Nodes without a tip below are left out, and children without a value count as 0.
     """
-    closure = ancestors(nodes) if closure is None else closure
-    children = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("ancestor")).agg(F.ln(F.count("*").cast("double")).alias("_k"))
-    weight = closure.where("steps > 0").join(children, "ancestor").select("node", F.col("ancestor").alias("mid"), F.col("_k"), "steps")
-    pairs = closure.join(tips.select(F.col("node_id").alias("node"), F.col(value).alias("_v")), "node")
-    own = Window.partitionBy("node").orderBy("steps").rowsBetween(Window.unboundedPreceding, 0)
-    path = weight.withColumn("_sum", F.sum("_k").over(own)).select("node", F.col("mid").alias("ancestor"), "_sum")
-    joined = pairs.join(path, ["node", "ancestor"], "left").withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
-    return joined.groupBy(F.col("ancestor").alias("node_id")).agg(F.sum(F.col("_v") * F.exp(-F.col("_sum"))).alias(value))
+    children = nodes.where("parent_id is not null").groupBy("parent_id").agg((1 / F.count("*")).alias("_share"))
+    own = tips.select("node_id", F.col(value).cast("double").alias("_own"))
+    rows = nodes.select("node_id", "parent_id").join(children, "parent_id", "left").join(own, "node_id", "left")
+    held = subtree_counts(saved(intervals(nodes)), tips.select("node_id", F.lit(1).alias("_one")), "_one").where("n > 0")
+    return linear_up(rows, "_own", "_share", value).join(held, "node_id", "left_semi")
 
 
 def branching_index(nodes: DataFrame, alive: DataFrame, tau: float, length: str = "branch_length") -> DataFrame:
     """Local branching index: attenuated alive edge length around each node.
 
     An alive edge has the mass tau (1 - exp(-len / tau)).  ``_up`` sums the
-    edges below a node, each weakened by its upper end's distance.  What comes
-    from above obeys a recurrence along the root path, whose closed form is a
-    sum over the node's ancestors.  Both are sums over the closure, so there
-    is no table of pairs of nodes.  ``alive`` lists the nodes whose edges count.
+    edges below a node, each weakened by its upper end's distance: a
+    recurrence over children.  What comes from above is one over parents.
+    ``alive`` lists the nodes whose edges count.
     """
-    closure = ancestors(nodes, length=length)
     fade = lambda x: F.exp(-x / F.lit(tau))
     own = F.coalesce(F.col(length), F.lit(0.0))
     living = alive.select("node_id").distinct().withColumn("_alive", F.lit(True))
     mass = F.when(F.col("_alive") & F.col("parent_id").isNotNull(), tau * (1 - fade(own))).otherwise(0.0)
-    edges = saved(nodes.join(living, "node_id", "left").select("node_id", "parent_id", own.alias("_len"), mass.alias("_m")))
-    below = closure.where("steps > 0").join(edges.withColumnRenamed("node_id", "node"), "node")
-    sent = below.groupBy(F.col("ancestor").alias("node_id")).agg(F.sum(F.col("_m") * fade(F.col("distance") - F.col("_len"))).alias("_up"))
-    up = saved(edges.join(sent, "node_id", "left").withColumn("_up", F.coalesce("_up", F.lit(0.0))))
+    edges = saved(nodes.join(living, "node_id", "left").select("node_id", "parent_id", own.alias("_len"), mass.alias("_m"), fade(own).alias("_fade")))
+    masses = edges.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("_m").alias("_below"))
+    up = saved(edges.join(linear_up(edges.join(masses, "node_id", "left"), "_below", "_fade", "_up"), "node_id"))
     parent = up.select(F.col("node_id").alias("parent_id"), F.col("_up").alias("_parent_up"))
-    around = F.col("_parent_up") - F.col("_up") * fade(F.col("_len")) - F.col("_m")
-    step = up.join(parent, "parent_id").select(F.col("node_id").alias("ancestor"), (F.col("_m") + fade(F.col("_len")) * around).alias("_c"))
-    down = closure.join(step, "ancestor").groupBy(F.col("node").alias("node_id")).agg(F.sum(F.col("_c") * fade(F.col("distance"))).alias("_down"))
-    return up.join(down, "node_id", "left").select("node_id", (F.col("_up") + F.coalesce("_down", F.lit(0.0))).alias("lbi"))
+    around = F.col("_parent_up") - F.col("_up") * F.col("_fade") - F.col("_m")
+    step = up.join(parent, "parent_id", "left").withColumn("_c", F.col("_m") + F.col("_fade") * around)
+    return up.join(linear_down(step, "_c", "_fade", "_down"), "node_id").select("node_id", (F.col("_up") + F.col("_down")).alias("lbi"))
 
 
 def path_between(closure: DataFrame, pairs: DataFrame, left: str, right: str, only: DataFrame | None = None) -> DataFrame:
@@ -237,15 +256,14 @@ def refine(nodes: DataFrame, gone: Column | None = None, ladder: bool = True) ->
     """
     kept = nodes
     if gone is not None:
-        kept = saved(collapse(kept, ancestors(kept), gone).select(*nodes.columns))
-    closure = ancestors(kept)
+        kept = saved(collapse(kept, gone))
     if ladder:
-        kept = saved(ladderize(kept, closure).select(*nodes.columns))
+        kept = saved(ladderize(kept).select(*nodes.columns))
     spans = saved(intervals(kept))
     tips = kept.join(kept.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_anti").select("node_id")
     seats = running_totals(spans.join(tips, "node_id", "left_semi").withColumn("_one", F.lit(1).cast("long")), ["root", "pre"], {"_y": "_one"})
-    y = mean_of_children(kept, seats.select("node_id", F.col("_y").cast("double").alias("yvalue")), "yvalue", closure)
-    out = kept.join(spans.select("node_id", "pre", "last", F.col("post").alias("clade")), "node_id").join(root_distance(kept, closure=closure).drop("depth"), "node_id")
+    y = mean_of_children(kept, seats.select("node_id", F.col("_y").cast("double").alias("yvalue")), "yvalue")
+    out = kept.join(spans.select("node_id", "pre", "last", F.col("post").alias("clade")), "node_id").join(root_distance(kept, spans=spans).drop("depth"), "node_id")
     return out.join(y, "node_id", "left")
 
 

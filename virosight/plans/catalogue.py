@@ -403,7 +403,8 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TREE} SELECT ancestor AS node_id, count(*) AS n_tips FROM closure WHERE node >= 1000 GROUP BY ancestor")
 def tree_closure_tipcount(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    return tree.subtree(tree.ancestors(nodes), nodes.where("node_id >= 1000").select("node_id"), "node_id", F.count("*").alias("n_tips"))
+    tips = nodes.where("node_id >= 1000").select("node_id", F.lit(1).alias("one"))
+    return tree.subtree_counts(tree.intervals(nodes), tips, "one", "n_tips").where("n_tips > 0")
 
 
 @query(f"""WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length), 8) AS xvalue, count(*) - 1 AS depth FROM closure
@@ -416,14 +417,14 @@ def tree_root_distance(spark, sf_dir):
 WHERE node_id < 1000 AND node_id % 2 = 0) k ON ancestor = k.node_id GROUP BY node""")
 def tree_inherit(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    return tree.inherit(tree.ancestors(nodes), nodes.select("node_id", F.when((F.col("node_id") < 1000) & (F.col("node_id") % 2 == 0), F.col("node_id") % 7).alias("v")), "v")
+    return tree.inherit(nodes, nodes.select("node_id", F.when((F.col("node_id") < 1000) & (F.col("node_id") % 2 == 0), F.col("node_id") % 7).alias("v")), "v")
 
 
 @query(f"""WITH RECURSIVE {_TREE} SELECT node AS node_id, round(sum(branch_length * 2), 8) AS cumulative FROM closure JOIN tree ON ancestor = node_id
 GROUP BY node""")
 def tree_cumulative(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    out = tree.accumulate(tree.ancestors(nodes), nodes.select("node_id", (F.col("branch_length") * 2).alias("v")), "v", "cumulative")
+    out = tree.accumulate(nodes, nodes.select("node_id", (F.col("branch_length") * 2).alias("v")), "v", "cumulative")
     return out.select("node_id", F.round("cumulative", 8).alias("cumulative"))
 
 
@@ -435,7 +436,7 @@ JOIN held ON node_id = ancestor""")
 def tree_trunk(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.unix_seconds(F.max("o_orderdate").cast("timestamp")) / 86400.0).alias("d"))
-    return tree.trunk(nodes, tree.ancestors(nodes), last.select((1000 + F.col("o_custkey")).cast("int").alias("node_id"), "d"), "d", 3.0)
+    return tree.trunk(nodes, last.select((1000 + F.col("o_custkey")).cast("int").alias("node_id"), "d"), "d", 3.0)
 
 
 @query(f"""WITH RECURSIVE {_TREE}, below AS (SELECT ancestor AS node_id, round(sum(branch_length), 9) AS b FROM closure
@@ -444,7 +445,7 @@ SELECT node_id, parent_id, (row_number() OVER (PARTITION BY parent_id ORDER BY b
 JOIN below USING (node_id)""")
 def tree_ladderize(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    return tree.ladderize(nodes, tree.ancestors(nodes)).select("node_id", "parent_id", "child_ord")
+    return tree.ladderize(nodes).select("node_id", "parent_id", "child_ord")
 
 
 @query(f"""WITH RECURSIVE {_TREE}, kept AS (SELECT * FROM tree WHERE parent_id IS NULL OR NOT (node_id BETWEEN 100 AND 999 AND branch_length < 0.1))
@@ -453,7 +454,7 @@ FROM kept)) AS parent_id FROM kept""")
 def tree_collapse(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     gone = F.col("node_id").between(100, 999) & (F.col("branch_length") < 0.1)
-    return tree.collapse(nodes, tree.ancestors(nodes), gone).select("node_id", "parent_id")
+    return tree.collapse(nodes, gone).select("node_id", "parent_id")
 
 
 @query(f"""WITH RECURSIVE {_TREE}, nat AS (SELECT parent_id AS node_id, avg(child_ord) AS y FROM tree WHERE node_id >= 1000 GROUP BY 1),
@@ -464,7 +465,7 @@ SELECT * FROM reg UNION ALL SELECT * FROM rt)""")
 def tree_layout_y(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
     # Only nations with customers and what lies above them have tips below.
-    full = tree.prune(nodes, tree.ancestors(nodes), nodes.where("node_id >= 1000"))
+    full = tree.prune(nodes, nodes.where("node_id >= 1000"))
     out = tree.mean_of_children(full, nodes.where("node_id >= 1000").select("node_id", F.col("child_ord").cast("double").alias("y")), "y")
     return out.select("node_id", F.round("y", 6).alias("y"))
 
@@ -597,7 +598,7 @@ SELECT f.node_id, round(f.freq, 8) AS freq FROM f JOIN tree USING (node_id) JOIN
 WHERE f.freq >= 0.03 AND f.freq < 0.21 AND f.freq < p.freq""")
 def clade_band_filter(spark, sf_dir):
     nodes = node_table(spark, sf_dir)
-    counts = tree.subtree(tree.ancestors(nodes), nodes.where("node_id >= 1000").select("node_id"), "node_id", F.count("*").alias("n"))
+    counts = tree.subtree_counts(tree.intervals(nodes), nodes.where("node_id >= 1000").select("node_id", F.lit(1).alias("one")), "one").where("n > 0")
     freqs = counts.join(F.broadcast(counts.agg(F.max("n").alias("all")))).select("node_id", (F.col("n") / F.col("all")).alias("freq"))
     return tree.frequency_band(freqs, nodes, 0.03, 0.21).select("node_id", F.round("freq", 8).alias("freq"))
 
