@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from virosight.operators.solvers import quadratic
-from virosight.operators.titer import collect_equations, design
+from virosight.operators.titer import collect_equations, design, solved
 from virosight.operators.tree import accumulate, ancestors, branch_classes, path_between
 from virosight.session import saved
 
@@ -113,9 +113,7 @@ def fit_effects(entries: DataFrame, target: DataFrame, y: str, method: str = "nn
     on all; ``nnl1``: effects at 0 or above with an L1 penalty, ridge on sera
     and viruses, which are free; ``l1``: as that with free effects.
     """
-    names, p, q = collect_equations(entries, target, y)
-    x = quadratic(p, q, *_penalties(names, method, genetic, serum, virus))
-    return entries.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, x, strict=True)], "col string, value double")
+    return solved(entries, target, y, lambda names: _penalties(names, method, genetic, serum, virus))
 
 
 def scan_penalties(entries: DataFrame, target: DataFrame, y: str, settings: list[tuple[float, float, float]], method: str = "nnl1") -> DataFrame:

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from virosight.operators import large_fit
 from virosight.operators.solvers import quadratic
 from virosight.session import saved
 
-#: Columns, and cells of their normal equations, that a fit may collect.
+#: Columns, and cells of their normal equations, that a fit collects; larger ones stay distributed.
 MAX_COLUMNS, MAX_CELLS = 4_000, 8_000_000
 
 
@@ -59,12 +60,12 @@ def moments(entries: DataFrame, target: DataFrame, y: str, row: str = "row_id")
     return entries.join(target.select(row, y), row).groupBy("col").agg(F.sum(F.col("w") * F.col(y)).alias("v"))
 
 
-def collect_equations(entries: DataFrame, target: DataFrame, y: str, row: str = "row_id") -> tuple[list[str], np.ndarray, np.ndarray]:
+def collect_equations(entries: DataFrame, target: DataFrame, y: str, row: str = "row_id", cells: DataFrame | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Column names, X'X and -X'y of the design; both sizes are checked before anything is collected."""
     names = [r[0] for r in entries.select("col").distinct().orderBy("col").limit(MAX_COLUMNS + 1).collect()]
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"a design of over {MAX_COLUMNS} columns")
-    cells = saved(gram(entries, row))
+    cells = saved(gram(entries, row)) if cells is None else cells
     if (n := cells.count()) > MAX_CELLS:
         raise ValueError(f"normal equations of {n} cells; at most {MAX_CELLS} are collected")
     seat = {c: i for i, c in enumerate(names)}
@@ -81,14 +82,35 @@ def fit(
 ) -> DataFrame:
     """Effects with an L1 penalty at 0 or above (or signed), sera and viruses with ridge penalties: ``col, value``.
 
-    The normal equations are two distributed aggregations; only they are
-    collected, with a bound on their size.
+    The normal equations are two distributed aggregations; see ``solved``.
+    """
+
+    def penalties(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        genetic = np.array([c.startswith("effect:") for c in names], bool)
+        ridge = np.array([0.0 if g else l2_serum if c.startswith("serum:") else l2_virus for c, g in zip(names, genetic, strict=True)])
+        return np.where(genetic, l1, 0.0), ridge, genetic & (not signed)
+
+    return solved(entries, target, y, penalties, row)
+
+
+def solved(entries: DataFrame, target: DataFrame, y: str, penalties, row: str = "row_id") -> DataFrame:
+    """``col, value`` of the least penalised squares; ``penalties(names)`` gives L1, ridge and sign of columns.
+
+    Equations of up to ``MAX_COLUMNS`` columns and ``MAX_CELLS`` cells are
+    collected and solved by coordinate descent; larger ones stay distributed
+    (``large_fit``).  Both end at the same optimum.
     """
-    names, p, q = collect_equations(entries, target, y, row)
-    genetic = np.array([c.startswith("effect:") for c in names])
-    ridge = np.array([0.0 if g else l2_serum if c.startswith("serum:") else l2_virus for c, g in zip(names, genetic, strict=True)])
-    x = quadratic(p, q, np.where(genetic, l1, 0.0), ridge, genetic & (not signed))
-    return entries.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, x, strict=True)], "col string, value double")
+    cells = saved(gram(entries, row))
+    few = entries.select("col").distinct().limit(MAX_COLUMNS + 1).count() <= MAX_COLUMNS
+    if few and cells.count() <= MAX_CELLS:
+        names, p, q = collect_equations(entries, target, y, row, cells)
+        x = quadratic(p, q, *penalties(names))
+        return entries.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(names, x, strict=True)], "col string, value double")
+    equations = large_fit.Equations(cells, moments(entries, target, y, row), entries)
+    try:
+        return large_fit.fitted(equations, penalties)
+    finally:
+        equations.close()
 
 
 def predict(entries: DataFrame, model: DataFrame, row: str = "row_id", unweighted: bool = True, cutoff: float = 0.0) -> DataFrame:
