@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from virosight.functions.sequences import chars
+from virosight.operators.pileup import code_points
 
 
 def site_frequencies(sites: DataFrame, alphabet: str | None = None, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -80,19 +85,53 @@ def closest_reference(queries: DataFrame, references: DataFrame, query: str, ref
     return score.groupBy(query).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(reference).alias("r"))).alias("b")).select(query, F.col("b.r").alias(reference), (-F.col("b.s")).alias("score"))
 
 
+def shift_counts(seq: np.ndarray, spectra: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """Identical letters of a sequence and a root at every shift (mod ``size``), from the root's spectrum of each letter."""
+    total = np.zeros(size // 2 + 1, complex)
+    for letter in np.unique(seq).tolist():
+        if letter in spectra:
+            total += spectra[letter] * np.conj(np.fft.rfft(seq == letter, size))
+    return np.rint(np.fft.irfft(total, size)).astype(np.int64)
+
+
+def _shifts(overlap: int, accept: float):
+    """mapInArrow function over key, sequence and root: the best shift of each row and its share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+        for batch in batches:
+            rows, shifts, shares = [], [], []
+            for i, (text, root) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if not text or not root or min(len(text), len(root)) < overlap:
+                    continue
+                n, m = len(text), len(root)
+                if root != last:
+                    last, held = root, {}
+                size = 1 << (n + m - 1).bit_length()
+                if size not in held:
+                    codes = code_points([root])[0]
+                    held[size] = {c: np.fft.rfft(codes == c, size) for c in np.unique(codes).tolist()}
+                shift = np.arange(overlap - n, m - overlap + 1)
+                same = shift_counts(code_points([text])[0], held[size], size)[shift % size]
+                share = same / (np.minimum(m, n + shift) - np.maximum(shift, 0))
+                best = int(share.argmax())
+                if share[best] > accept:
+                    rows.append(i)
+                    shifts.append(int(shift[best]))
+                    shares.append(float(share[best]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(shifts, pa.int32()), pa.array(shares, pa.float64())], names=["key", "shift", "share"])
+
+    return run
+
+
 def best_shift(df: DataFrame, seq: str, root: str, key: str, overlap: int = 30, accept: float = 0.9) -> DataFrame:
-    """Shift of each sequence against the root with the largest share of identical letters, the least of equal ones.
+    """``key, shift, share``: shift of each sequence against the root with the largest share of identical letters, the least of equal ones.
 
-    All shifts that leave ``overlap`` letters are tried, a row each, and the
-    best is kept before rows are shuffled; sequences whose best share is not
-    above ``accept`` go.
+    All shifts that leave ``overlap`` letters are compared at once: the counts
+    of identical letters are the sum over letters of correlations, taken by
+    Fourier transforms, in n log n.  Sequences whose best share is not above
+    ``accept``, and null or shorter ones, go.
     """
-    rows = df.where((F.length(seq) >= overlap) & (F.length(root) >= overlap)).select(key, chars(F.col(seq)).alias("_s"), chars(F.col(root)).alias("_r"))
-    n, m = F.size("_s"), F.size("_r")
-    tried = rows.withColumn("_k", F.explode(F.sequence(F.lit(overlap) - n, m - overlap)))
-    start = F.greatest("_k", F.lit(0))
-    length = F.least(m, n + F.col("_k")) - start
-    same = F.zip_with(F.slice("_r", start + 1, length), F.slice("_s", start - F.col("_k") + 1, length), lambda a, b: a == b)
-    scored = tried.select(key, "_k", (F.size(F.filter(same, lambda x: x)) / length).alias("_share"))
-    best = scored.groupBy(key).agg(F.max(F.struct("_share", (-F.col("_k")).alias("back"))).alias("b"))
-    return best.where(F.col("b._share") > accept).select(key, (-F.col("b.back")).alias("shift"), F.col("b._share").alias("share"))
+    rows = df.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), F.col(root).alias("_root"))
+    shape = StructType([StructField("key", rows.schema["_key"].dataType), StructField("shift", IntegerType()), StructField("share", DoubleType())])
+    return rows.mapInArrow(_shifts(overlap, accept), shape).withColumnRenamed("key", key)
