@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from virosight.operators import curate, frequency, series, sites, solvers, titer, tree
@@ -36,6 +39,44 @@ def test_bootstrap_is_near_the_share(spark):
     assert abs(r["mean"] - 0.25) < 0.02 and 0 < r["deviation"] < 0.05
 
 
+def test_bootstrap_equals_plain_resamples(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 5 == 0 else f"g{rng.integers(4)}", None if i % 11 == 0 else bool(rng.random() < 0.4)) for i in range(300)] + [(1000, "lone", True)]
+    df = spark.createDataFrame(rows, "id int, g string, s boolean")
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id", F.lit(3)).alias("h")).collect()}
+    monkeypatch.setattr(series, "HELD", 100)  # counters are handed on all the time
+    got = {r["g"]: (r["mean"], r["deviation"]) for r in series.bootstrap_share(df, F.col("s"), ["id"], ["g"], draws=30, seed=3).collect()}
+    assert len(got) == 6
+    for g, (mean, deviation) in got.items():
+        own = [(hashes[i], bool(s)) for i, h, s in rows if h == g]
+        copies = series.poisson_copies(np.array([h for h, _ in own]), np.arange(30))
+        hits = np.array([s for _, s in own]) @ copies
+        share = [h / n for h, n in zip(hits, copies.sum(0)) if n]
+        assert math.isclose(mean, np.mean(share)) and math.isclose(deviation, np.std(share), abs_tol=1e-12)
+    n = series.poisson_copies(np.arange(20_000) * 7919, np.arange(5))
+    assert abs(n.mean() - 0.5) < 0.01 and abs(n.var() - 0.5) < 0.02
+    assert series.bootstrap_share(df, F.col("s"), ["id"], []).count() == 1 and series.bootstrap_share(df.limit(0), F.col("s"), ["id"], ["g"]).isEmpty()
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.3, 0.5, 0.9])
+def test_closest_reference_equals_plain_counts(spark, penalty):
+    rng = np.random.default_rng(int(penalty * 10))
+    # Some places are common to nearly all, some rows are copies, and some are null.
+    some = lambda n: {(int(p), "ACGT"[rng.integers(3)] if p > 6 else "A") for p in range(1, 25) if rng.random() < (0.9 if p <= 6 else n)}
+    q, r = ({i: some(w) for i in range(k)} for k, w in ((60, 0.3), (25, 0.2)))
+    for i in range(60, 80):
+        q[i] = q[i % 7]
+    r[30], r[31], r[32] = r[3], r[4], set()
+    long = lambda d: spark.createDataFrame([(i, *e) for i, s in d.items() for e in s] + [(0, None, "A"), (0, *min(d[0]))], "k int, pos int, state string")
+    want = {}
+    for i, s in q.items():
+        scores = [(-(len(s & t) - penalty * len(t)), j) for j, t in r.items() if len(s & t) - penalty * len(t) > 0 and s & t]
+        if scores:
+            want[i] = min(scores)
+    got = {x["k"]: (-x["score"], x["ref"]) for x in sites.closest_reference(long(q), long(r).withColumnRenamed("k", "ref"), "k", "ref", penalty).collect()}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and math.isclose(got[i][0], want[i][0]) for i in want) and (penalty > 0.6 or len(want) > 70)
+
+
 def test_frequencies_sum_to_one_and_entropy_is_bounded(spark):
     rows = [(i, p, "ACGT"[(i * p) % 4]) for i in range(12) for p in (1, 2, 3)]
     f = sites.site_frequencies(spark.createDataFrame(rows, "k int, pos int, state string"))

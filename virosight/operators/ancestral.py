@@ -230,7 +230,7 @@ def reconstruct(nodes: DataFrame, sites: DataFrame) -> DataFrame:
         seen = np.ones((len(parent), len(places), 4))
         state = pdf["state"].map({c: k for k, c in enumerate(STATES)})
         known = state.notna().to_numpy() & pdf["node_id"].isin(seat).to_numpy()
-        own, k = pdf["node_id"][known].map(seat).to_numpy(), state[known].astype(int).to_numpy()
+        own, k = pdf["node_id"][known].map(seat).to_numpy(np.int64), state[known].astype(int).to_numpy()
         seen[own, at[known]] = 0.0
         seen[own, at[known], k] = 1.0
         full = marginals(parent, length, seen)

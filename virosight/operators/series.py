@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from virosight.operators.ordered import blocks_with_edges, running_totals, value_counts
 
@@ -120,16 +126,68 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return sums.select(*by, F.try_divide("_xy", F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"))
 
 
+def poisson_copies(hashes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Copies (rows x draws) that rows have in resamples of half the size: Poisson with mean 1/2, from mixed hashes of row and draw."""
+    with np.errstate(over="ignore"):
+        z = hashes[:, None].view(np.uint64) + (draws.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+    upto = np.cumsum([math.exp(-0.5) * 0.5**k / math.factorial(k) for k in range(16)])
+    return np.searchsorted(upto, u, side="right").astype(np.int64)
+
+
+#: Numbers that a task of the bootstrap holds at most before it hands its counters on.
+HELD = 4_000_000
+
+
+def _counters(by: list[str], draws: int) -> Callable:
+    """mapInPandas function over by, _s and _h: for each group two arrays with a counter a draw, of copies and of copies that succeed."""
+
+    def rows(held: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(held), columns=by, dtype=object)
+        for i, name in enumerate(("_copies", "_hits")):
+            out[name] = [v[i] for v in held.values()]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, step, all_ = {}, max(1, HELD // (8 * draws)), np.arange(draws)
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                copies, hit = poisson_copies(part["_h"].to_numpy(np.int64), all_), part["_s"].to_numpy(np.int64)
+                keys: dict = {}
+                # A missing value of any kind is None, so that groups of nulls come together.
+                for i, key in enumerate(zip(*(part[c].astype(object) for c in by), strict=True) if by else [()] * len(part)):
+                    keys.setdefault(tuple(None if v is None or v != v else v for v in key), []).append(i)
+                for key, own in keys.items():
+                    if key not in held:
+                        held[key] = np.zeros((2, draws), np.int64)
+                    held[key][0] += copies[own].sum(0)
+                    held[key][1] += hit[own] @ copies[own]
+                if len(held) * 2 * draws > HELD:
+                    yield rows(held)
+                    held = {}
+        if held:
+            yield rows(held)
+
+    return run
+
+
 def bootstrap_share(df: DataFrame, success: Column, key: list[str], by: list[str], draws: int = 100, seed: int = 0) -> DataFrame:
     """Mean and deviation over ``draws`` resamples of half the size of the share of successes.
 
     Each row draws its number of copies from a hash of key, draw and seed
-    (Poisson with mean 1/2), so resamples need no shuffle of their own.
+    (Poisson with mean 1/2), so resamples need no shuffle of their own and a
+    repeated task draws the same.  A task sums copies in an array with a
+    counter a draw for each of its groups; only these are shuffled, no row for
+    each draw.  Null successes count as failures; draws without copies are
+    left out.
     """
-    u = F.pmod(F.xxhash64(*key, "draw", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    copies = F.when(u < 0.60653, 0).when(u < 0.90980, 1).when(u < 0.98561, 2).when(u < 0.99825, 3).otherwise(4)
-    drawn = df.select(*by, *key, success.cast("int").alias("_s"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_c", copies)
-    share = drawn.groupBy(*by, "draw").agg((F.sum(F.col("_c") * F.col("_s")) / F.sum("_c")).alias("share"))
+    rows = df.select(*by, F.coalesce(success.cast("int"), F.lit(0)).alias("_s"), F.xxhash64(*key, F.lit(seed)).alias("_h"))
+    shape = StructType([*(StructField(c, rows.schema[c].dataType) for c in by), *(StructField(c, ArrayType(LongType())) for c in ("_copies", "_hits"))])
+    counters = rows.mapInPandas(_counters(by, draws), shape).select(*by, F.posexplode(F.arrays_zip("_copies", "_hits")).alias("_draw", "_c"))
+    share = counters.groupBy(*by, "_draw").agg(F.try_divide(F.sum("_c._hits"), F.sum("_c._copies")).alias("share"))
     return share.groupBy(*by).agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("deviation"))
 
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from virosight.operators.pileup import code_points
+from virosight.session import saved, scratch
 
 
 def site_frequencies(sites: DataFrame, alphabet: str | None = None, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -73,16 +74,52 @@ def genotype_counts(df: DataFrame, seq: str, positions: list[int], least: int =
     return df.groupBy(genotype.alias("genotype")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def _difference_sets(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``id, cls`` of every key and ``cls, d, pos, state`` of one key, the least, for each different set of differences."""
+    place = F.struct(F.col("pos").alias("pos"), F.col("state").alias("state"))
+    sets = df.where("pos is not null and state is not null").groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(place)).alias("set"))
+    sets = saved(sets.withColumn("sig", F.sha2(F.to_json("set"), 256)))
+    least = saved(sets.groupBy("sig").agg(F.min("id").alias("cls")))
+    members = sets.select("id", "sig").join(least, "sig").select("id", "cls")
+    own = sets.join(least.select(F.col("cls").alias("id")), "id", "left_semi")
+    return members, saved(own.select(F.col("id").alias("cls"), F.size("set").alias("d"), F.explode("set").alias("e")).select("cls", "d", "e.pos", "e.state"))
+
+
 def closest_reference(queries: DataFrame, references: DataFrame, query: str, reference: str, penalty: float = 0.5) -> DataFrame:
     """For each query the reference with most shared differences, less a penalty for each of its differences.
 
-    Both sides are long tables of differences from one root, joined on (pos, state);
-    only scores above 0 count, and ties go to the first reference.
+    Both sides are long tables (key, pos, state) of differences from one root;
+    only scores above 0 count, and ties go to the first reference.  Repeated
+    rows count once, nulls not at all.
+
+    Exact, by bounds.  Equal sets of differences are compared once.  A
+    reference with d differences has to share more than ``penalty * d`` of
+    them, so even if a query had all of its most common ones it would need one
+    of the others: only those, the ones rarest among the queries, are joined.
+    What they leave open is bounded, and the common differences are counted
+    only for pairs that may still be a query's best, by query and place.
     """
-    own = references.groupBy(reference).agg(F.count("*").alias("_d"))
-    shared = queries.join(references, ["pos", "state"]).groupBy(query, reference).agg(F.count("*").alias("_m"))
-    score = shared.join(own, reference).select(query, reference, (F.col("_m") - penalty * F.col("_d")).alias("score")).where("score > 0")
-    return score.groupBy(query).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(reference).alias("r"))).alias("b")).select(query, F.col("b.r").alias(reference), (-F.col("b.s")).alias("score"))
+    with scratch():
+        members, q = _difference_sets(queries, query)
+        _, r = _difference_sets(references, reference)
+        seen = q.groupBy("pos", "state").agg(F.count("*").alias("_n"))
+        rarest = Window.partitionBy("r").orderBy(F.coalesce("_n", F.lit(0)), "pos", "state")
+        need = F.greatest(F.floor(F.lit(float(penalty)) * F.col("d") - 1e-9) + 1, F.lit(1)).cast("int")
+        ranked = r.withColumnRenamed("cls", "r").join(seen, ["pos", "state"], "left").withColumns({"need": need, "rank": F.row_number().over(rarest)})
+        ranked = saved(ranked.where("need <= d").select("r", "d", "need", "pos", "state", (F.col("rank") + F.col("need") <= F.col("d") + 1).alias("rare")))
+        q = q.select(F.col("cls").alias("q"), "pos", "state")
+        met = q.join(ranked.where("rare"), ["pos", "state"]).groupBy("q", "r", "d", "need").agg(F.count("*").alias("m"))
+        pairs = saved(met.withColumn("low", F.col("m") - F.lit(float(penalty)) * F.col("d")))
+        best = pairs.groupBy("q").agg(F.max("low").alias("least"))
+        high = F.col("low") + F.col("need") - 1 + 1e-9
+        open_ = saved(pairs.join(best, "q").where((high >= F.col("least")) & (high > 0)).select("q", "r", "d", "m"))
+        common = open_.select("q", "r").join(ranked.where("not rare").select("r", "pos", "state"), "r")
+        more = common.join(q, ["q", "pos", "state"]).groupBy("q", "r").agg(F.count("*").alias("_m"))
+        shared = F.col("m") + F.coalesce("_m", F.lit(0))
+        score = open_.join(more, ["q", "r"], "left").select("q", "r", (shared - F.lit(float(penalty)) * F.col("d")).alias("score")).where("score > 0")
+        top = score.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r").alias("r"))).alias("b"))
+        out = members.join(top, members["cls"] == top["q"]).select(F.col("id").alias(query), F.col("b.r").alias(reference), (-F.col("b.s")).alias("score"))
+        return saved(out, keep=True)
 
 
 def shift_counts(seq: np.ndarray, spectra: dict[int, np.ndarray], size: int) -> np.ndarray:

@@ -570,6 +570,14 @@ def ancestral_states(spark, sf_dir):
     return ancestral.reconstruct(nodes, tips)
 
 
+@query()
+def ancestral_states_contracted(spark, sf_dir):
+    nodes = node_table(spark, sf_dir)
+    letter = F.substr(F.lit("ACGT"), (F.col("child_ord") * 7 + F.col("p")) % 4 + 1, F.lit(1))
+    tips = nodes.where("node_id >= 1000").withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("node_id", F.col("p").alias("pos"), letter.alias("state"))
+    return ancestral.reconstruct_contracted(nodes, tips)
+
+
 @query("SELECT c_custkey, lower(regexp_replace(regexp_replace(n_name || 'Asia', '\\s+', '_', 'g'), '([a-z])([A-Z])', '\\1_\\2', 'g')) AS snake FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def snake_case_names(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
