@@ -130,3 +130,32 @@ def test_stateful_frequency_by_key(spark, tmp_path):
     query.foreachBatch(lambda df, _: found.extend(map(tuple, df.collect()))).trigger(availableNow=True).start().awaitTermination()
     last = {k: (n, f) for k, n, f in found}
     assert last["a"][0] == last["b"][0] == 50 and last["a"][1] > 0.9 and last["b"][1] < 0.1
+
+
+def test_particle_stream_equals_the_filter_over_all_rows(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from virosight.operators import frequency
+
+    rng, step, start = random.Random(2), 3_600_000, 1_000_000_000_000
+    rows = sorted((start + rng.randrange(80 * step), "ab"[rng.random() < 0.3], rng.random() < 0.8) for _ in range(500))
+    rows += [(start + 30 * step, "a", None), (start - 5, "a", True), (start + 200 * step, "z", True)]
+    src = str(tmp_path / "in")
+    for k in range(4):  # four batches, out of order within 10 steps
+        part = [r for r in rows if k * 20 <= (r[0] - start) // step - (r[0] % 2) * 10 < (k + 1) * 20 or (k == 3 and r[0] > start + 100 * step) or (k == 0 and r[0] < start + 10 * step and r[0] % 2)]
+        rng.shuffle(part)
+        spark.createDataFrame(part, "ms long, k string, obs boolean").selectExpr("k", "timestamp_millis(ms) as ts", "obs").coalesce(1).write.mode("append").parquet(src)
+    sent = spark.read.parquet(src)
+    found = []
+    for _ in range(2):  # a second run finds nothing new and goes on from its state
+        stream = spark.readStream.schema("k string, ts timestamp, obs boolean").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
+        query = arrival.particle_stream(stream, "k", "obs", "30 hours", start, step, particles=60).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck"))
+        query.foreachBatch(lambda df, _: found.extend(map(tuple, df.select("k", F.unix_millis("at"), "freq").collect()))).trigger(availableNow=True).start().awaitTermination()
+    years = sent.where("obs is not null").select("k", ((F.unix_millis("ts") - start) / arrival.YEAR).alias("num_date"), "obs").where("k <> 'z'")
+    want = frequency.particle_filter(years, ["k"], 0.0, 170 * step / arrival.YEAR, particles=60, dt=step / arrival.YEAR).collect()
+    want = {(r["k"], round(r["t"] * arrival.YEAR / step)): r["freq"] for r in want}
+    got = {(k, (at - start) // step): f for k, at, f in found if k != "z"}
+    assert len(found) == len({f[:2] for f in found}) and len(got) == 34
+    assert got == {p: f for p, f in want.items() if p[1] <= 160}

@@ -137,6 +137,16 @@ def lookup(freqs: DataFrame, region: str, genotype: str, pivots: DataFrame) -> D
     return pivots.join(own, "pivot", "left").select("pivot", F.round(F.coalesce("freq", F.lit(0.0)), 4).alias("freq"))
 
 
+def filter_step(x: np.ndarray, rng: np.random.Generator, yes: int, n: int, dt: float, sigma: float) -> np.ndarray:
+    """Particles after one step: drift by noise, then resampling by the likelihood of the step's counts."""
+    x = np.clip(x + rng.normal(0, sigma * dt, len(x)) * np.sqrt(x * (1 - x)), 1e-5, 1 - 1e-5)
+    if n:
+        w = yes * np.log(x) + (n - yes) * np.log(1 - x)
+        w = np.exp(w - w.max())
+        x = x[rng.choice(len(x), len(x), p=w / w.sum())]
+    return x
+
+
 def particle_filter(obs: DataFrame, by: list[str], start: float, stop: float, particles: int = 500, dt: float = 0.01, sigma: float = 5.0, seed: int = 0, date: str = "num_date", seen: str = "obs") -> DataFrame:
     """Filtered frequency on every tenth step of ``dt`` years: drift by noise, weights by the counts of the step, resampling."""
     step = F.floor((F.col(date) - start) / dt).cast("int").alias("_k")
@@ -149,12 +159,7 @@ def particle_filter(obs: DataFrame, by: list[str], start: float, stop: float, pa
         at = pdf.set_index("_k")[["_yes", "_n"]].T.to_dict("list")
         x, rows = np.full(particles, 0.5), []
         for k in range(steps):
-            x = np.clip(x + rng.normal(0, sigma * dt, particles) * np.sqrt(x * (1 - x)), 1e-5, 1 - 1e-5)
-            yes, n = at.get(k, (0, 0))
-            if n:
-                w = yes * np.log(x) + (n - yes) * np.log(1 - x)
-                w = np.exp(w - w.max())
-                x = x[rng.choice(particles, particles, p=w / w.sum())]
+            x = filter_step(x, rng, *at.get(k, (0, 0)), dt, sigma)
             if k % 10 == 0:
                 rows.append((start + k * dt, float(x.mean())))
         return pd.DataFrame(rows, columns=["t", "freq"]).assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "t", "freq"]]

@@ -594,12 +594,12 @@ def closest_clade(spark, sf_dir):
 
 @query(f"""WITH {_ROOT}, d AS {_diffs_sql('documents', 'doc_id')}, r AS {_diffs_sql('benchmark', 'item_id')},
 n AS (SELECT item_id, count(*) AS d FROM r GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS m FROM d JOIN r USING (pos, state) GROUP BY 1, 2),
-s AS (SELECT doc_id, item_id, m - 0.5 * d AS score FROM m JOIN n USING (item_id))
+s AS (SELECT doc_id, item_id, m - 0.07 * d AS score FROM m JOIN n USING (item_id))
 SELECT doc_id, item_id, round(score, 4)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k
 FROM s WHERE score > 0) WHERE k = 1""")
-def closest_clade_half(spark, sf_dir):
+def closest_clade_strict(spark, sf_dir):
     diffs = [_diffs(spark, sf_dir, name, key) for name, key in (("documents", "doc_id"), ("benchmark", "item_id"))]
-    return sites.closest_reference(*diffs, "doc_id", "item_id").select("doc_id", "item_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return sites.closest_reference(*diffs, "doc_id", "item_id", penalty=0.07).select("doc_id", "item_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query()

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from virosight.operators.frequency import filter_step
+
+#: Milliseconds of a year.
+YEAR = 31_557_600_000
+
 
 def _held(spark: SparkSession, folder: str, schema, epoch: int) -> DataFrame:
     """Rows of a folder that earlier batches wrote; none if it is not there yet."""
@@ -90,3 +97,50 @@ def filtered_frequency(events: DataFrame, key: str, seen: str, late: str, ts: st
     rows = events.where(F.col(seen).isNotNull()).select(key, ts, seen).withWatermark(ts, late)
     kind = dict(events.dtypes)[key]
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, freq double", "n long, freq double", "update", "EventTimeTimeout")
+
+
+def particle_stream(
+    events: DataFrame, key: str, seen: str, late: str, start: int, step: int, particles: int = 500, sigma: float = 5.0, every: int = 10, seed: int = 0, ts: str = "ts"
+) -> DataFrame:
+    """``key, at, freq``: the particle filter of ``frequency.particle_filter`` over a stream; particles are the state of their key.
+
+    Steps are ``step`` milliseconds long from ``start`` (milliseconds since
+    1970).  A step is filtered once the watermark (``late`` behind the newest
+    row) has passed its end, by then all of its rows are there, so arrival in
+    another order or in other batches changes nothing; rows of filtered steps
+    are late and left out, as are null ones and those before ``start``.  State
+    is the particles, their random generator and the counts of the open steps.
+    A timer filters on where a key has no new rows.  A row is given out on
+    every ``every``-th step.
+    """
+    kind = dict(events.dtypes)[key]
+    dt = step / YEAR
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(seed)
+        if state.exists:
+            k, x, held, waiting = state.get
+            x, waiting = np.frombuffer(x, np.float64), {int(i): c for i, c in json.loads(waiting).items()}
+            rng.bit_generator.state = json.loads(held)
+        else:
+            k, x, waiting = 0, np.full(particles, 0.5), {}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for i, own in batch.groupby("_k"):
+                    if i >= k:
+                        yes, n = waiting.get(int(i), (0, 0))
+                        waiting[int(i)] = (yes + int(own[seen].sum()), n + len(own))
+        now, rows = state.getCurrentWatermarkMs(), []
+        while start + (k + 1) * step <= now:
+            x = filter_step(x, rng, *waiting.pop(k, (0, 0)), dt, sigma)
+            if k % every == 0:
+                rows.append((keys[0], pd.Timestamp(start + k * step, unit="ms"), float(x.mean())))
+            k += 1
+        state.update((k, x.tobytes(), json.dumps(rng.bit_generator.state), json.dumps(waiting)))
+        state.setTimeoutTimestamp(max(start + (k + 1) * step, now + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "at", "freq"])
+
+    place = F.floor((F.unix_millis(ts) - start) / step).alias("_k")
+    rows = events.withWatermark(ts, late).where(F.col(seen).isNotNull() & (F.unix_millis(ts) >= start)).select(key, ts, seen, place)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at timestamp, freq double", "k long, x binary, rng string, waiting string", "append", "EventTimeTimeout")
