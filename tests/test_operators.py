@@ -70,7 +70,7 @@ def test_closest_reference_equals_plain_counts(spark, penalty):
     long = lambda d: spark.createDataFrame([(i, *e) for i, s in d.items() for e in s] + [(0, None, "A"), (0, *min(d[0]))], "k int, pos int, state string")
     want = {}
     for i, s in q.items():
-        scores = [(-(len(s & t) - penalty * len(t)), j) for j, t in r.items() if len(s & t) - penalty * len(t) > 0 and s & t]
+        scores = [(-round(len(s & t) - penalty * len(t), 9), j) for j, t in r.items() if round(len(s & t) - penalty * len(t), 9) > 0 and s & t]
         if scores:
             want[i] = min(scores)
     got = {x["k"]: (-x["score"], x["ref"]) for x in sites.closest_reference(long(q), long(r).withColumnRenamed("k", "ref"), "k", "ref", penalty).collect()}

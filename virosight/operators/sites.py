@@ -89,8 +89,8 @@ def closest_reference(queries: DataFrame, references: DataFrame, query: str, ref
     """For each query the reference with most shared differences, less a penalty for each of its differences.
 
     Both sides are long tables (key, pos, state) of differences from one root;
-    only scores above 0 count, and ties go to the first reference.  Repeated
-    rows count once, nulls not at all.
+    only scores above 0 count, and ties (to nine decimals) go to the first
+    reference.  Repeated rows count once, nulls not at all.
 
     Exact, by bounds.  Equal sets of differences are compared once.  A
     reference with d differences has to share more than ``penalty * d`` of
@@ -104,19 +104,19 @@ def closest_reference(queries: DataFrame, references: DataFrame, query: str, ref
         _, r = _difference_sets(references, reference)
         seen = q.groupBy("pos", "state").agg(F.count("*").alias("_n"))
         rarest = Window.partitionBy("r").orderBy(F.coalesce("_n", F.lit(0)), "pos", "state")
-        need = F.greatest(F.floor(F.lit(float(penalty)) * F.col("d") - 1e-9) + 1, F.lit(1)).cast("int")
+        need = F.greatest(F.floor(F.lit(float(penalty)) * F.col("d") - 1e-8) + 1, F.lit(1)).cast("int")
         ranked = r.withColumnRenamed("cls", "r").join(seen, ["pos", "state"], "left").withColumns({"need": need, "rank": F.row_number().over(rarest)})
         ranked = saved(ranked.where("need <= d").select("r", "d", "need", "pos", "state", (F.col("rank") + F.col("need") <= F.col("d") + 1).alias("rare")))
         q = q.select(F.col("cls").alias("q"), "pos", "state")
         met = q.join(ranked.where("rare"), ["pos", "state"]).groupBy("q", "r", "d", "need").agg(F.count("*").alias("m"))
         pairs = saved(met.withColumn("low", F.col("m") - F.lit(float(penalty)) * F.col("d")))
         best = pairs.groupBy("q").agg(F.max("low").alias("least"))
-        high = F.col("low") + F.col("need") - 1 + 1e-9
+        high = F.col("low") + F.col("need") - 1 + 1e-8
         open_ = saved(pairs.join(best, "q").where((high >= F.col("least")) & (high > 0)).select("q", "r", "d", "m"))
         common = open_.select("q", "r").join(ranked.where("not rare").select("r", "pos", "state"), "r")
         more = common.join(q, ["q", "pos", "state"]).groupBy("q", "r").agg(F.count("*").alias("_m"))
         shared = F.col("m") + F.coalesce("_m", F.lit(0))
-        score = open_.join(more, ["q", "r"], "left").select("q", "r", (shared - F.lit(float(penalty)) * F.col("d")).alias("score")).where("score > 0")
+        score = open_.join(more, ["q", "r"], "left").select("q", "r", F.round(shared - F.lit(float(penalty)) * F.col("d"), 9).alias("score")).where("score > 0")
         top = score.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r").alias("r"))).alias("b"))
         out = members.join(top, members["cls"] == top["q"]).select(F.col("id").alias(query), F.col("b.r").alias(reference), (-F.col("b.s")).alias("score"))
         return saved(out, keep=True)
