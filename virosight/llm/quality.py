@@ -1,17 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over runs of five bytes.
 
-Training is relational.  The runs of trusted texts are counted and shuffled by
-run; continuation counts, counts of counts and context totals are
-aggregations, and joins of these sharded tables give each run's probability
-and each context's weight, order by order.
+Training is relational and takes every trusted text, whole.  The runs are
+counted and shuffled by run; continuation counts, counts of counts and context
+totals are aggregations, and joins of these sharded tables give each run's
+probability and each context's weight, order by order.
 
 Documents can be scored in two ways that give the same figures.
 ``score_sharded`` joins the distinct runs of each block of documents to the
 shards of the tables and carries the answers back to the block.  ``score``
-takes the tables to the texts: the trusted texts are a bounded sample
-(``TRUSTED_BYTES``), so the tables have a bound too, which is checked, and no
-text moves.  The registered query uses the second, since the first moves more
-than the input (figures in the README).
+takes the tables to the texts, so that no text moves.  Distinct runs of five
+bytes grow far slower than the texts that hold them, so the registered query
+uses the second while the tables hold at most ``MODEL_ROWS`` rows, and the
+first, which moves more than the input (figures in the README), beyond.
 
 A document's score is its mean code length in bits a byte (the logarithm of
 its perplexity).  It is rejected if that exceeds the limit of its language: a
@@ -33,10 +33,10 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from virosight.llm.text import blocks, encoded, packed_blocks, scratch, shards, slices, unpacked, written
 
 ORDER = 5
-#: Trusted texts that the model is trained on, characters of a window of them, and bytes of all windows: the bounds of the sample.
-TRUSTED_TEXTS, WINDOW_CHARS, TRUSTED_BYTES = 3_000, 4_000, 12_000_000
-#: Most runs of an order that windows of at most four times that many bytes can hold.
-MODEL_ROWS = 4 * TRUSTED_BYTES
+#: Most runs of all orders together that are taken to the texts; larger tables stay sharded.
+MODEL_ROWS = 4_000_000
+#: Text bytes whose runs are counted at once, and distinct runs that a task gathers before it sends them.
+COUNTED_BYTES, GATHERED_RUNS = 1 << 20, 1 << 20
 #: Of this many trusted texts one is held out, to set the limits with.
 HELD_OUT = 4
 #: Quantile of held-out scores of a language, and bits a byte above it, that are still kept; held-out texts that a language needs for a limit of its own.
@@ -63,12 +63,38 @@ def _codes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[place], at
 
 
+def _ranges(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Codes of all runs of the texts, about ``COUNTED_BYTES`` at a time; a longer text comes range by range."""
+    for start, end in blocks(texts, COUNTED_BYTES):
+        first = texts[start] or b""
+        if end - start > 1 or len(first) <= COUNTED_BYTES:
+            yield _codes(texts[start:end])[0]
+            continue
+        yield _codes([first[:COUNTED_BYTES]])[0]
+        for at in range(COUNTED_BYTES, len(first), COUNTED_BYTES):
+            # The bytes before the range are the context of its first runs.
+            yield _codes([first[at - ORDER + 1 : at + COUNTED_BYTES]])[0][ORDER - 1 :]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs and their numbers, summed within the task as far as ``GATHERED_RUNS`` goes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        run, place = np.unique(np.concatenate([r for r, _ in held]), return_inverse=True)
+        n = np.zeros(len(run), np.int64)
+        np.add.at(n, place, np.concatenate([c for _, c in held]))
+        return run, n
+
     for batch in slices(batches):
-        texts = encoded(batch.column(0))
-        for start, end in blocks(texts, SCORED_BYTES):
-            run, n = np.unique(_codes(texts[start:end])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(n)], names=["run", "n"])
+        for codes in _ranges(encoded(batch.column(0))):
+            held.append(np.unique(codes, return_counts=True))
+            if sum(len(r) for r, _ in held) > GATHERED_RUNS:
+                held = [summed()]
+                if len(held[0][0]) > GATHERED_RUNS // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), names=["run", "n"])
+    if held:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, summed())), names=["run", "n"])
 
 
 class QualityModel(NamedTuple):
@@ -87,7 +113,7 @@ def train_tables(trusted: DataFrame, text_col: str = "text") -> dict[int, tuple[
     counts = {ORDER: written(trusted.select(F.col(text_col).alias("_text")).mapInArrow(_counted, shape).groupBy("run").agg(F.sum("n").alias("n")))}
     for k in range(ORDER - 1, 0, -1):
         # A shorter run counts the different bytes seen before it.
-        counts[k] = counts[k + 1].groupBy(F.col("run").bitwiseAND((1 << 8 * k) - 1).alias("run")).agg(F.count("*").alias("n"))
+        counts[k] = written(counts[k + 1].groupBy(F.col("run").bitwiseAND((1 << 8 * k) - 1).alias("run")).agg(F.count("*").alias("n")))
     below = spark.createDataFrame([(0, 1 / 256)], "run long, p double")
     out = {}
     for k in range(1, ORDER + 1):
@@ -107,11 +133,16 @@ def train_tables(trusted: DataFrame, text_col: str = "text") -> dict[int, tuple[
     return out
 
 
+def is_small(tables: dict[int, tuple[DataFrame, DataFrame]]) -> bool:
+    """Whether the tables hold at most ``MODEL_ROWS`` runs together, which may be collected."""
+    return sum(runs.count() for runs, _ in tables.values()) <= MODEL_ROWS
+
+
 def collected(tables: dict[int, tuple[DataFrame, DataFrame]]) -> QualityModel:
-    """The tables as arrays; their size has a bound from the sample, which is checked first."""
+    """The tables as arrays; their size is checked first."""
     order = range(ORDER, 0, -1)
-    if sum(tables[k][0].count() for k in order) > ORDER * MODEL_ROWS:
-        raise ValueError("the trusted texts are no bounded sample: use score_sharded")
+    if not is_small(tables):
+        raise ValueError(f"over {MODEL_ROWS} runs: use score_sharded")
     runs = [tables[k][0].toPandas().sort_values("run") for k in order]
     contexts = [tables[k][1].toPandas().sort_values("context") for k in order]
     return QualityModel(
@@ -121,7 +152,7 @@ def collected(tables: dict[int, tuple[DataFrame, DataFrame]]) -> QualityModel:
 
 
 def train(trusted: DataFrame, text_col: str = "text") -> QualityModel:
-    """``train_tables`` of a bounded sample, collected."""
+    """``train_tables``, collected; an error where they are too large for that."""
     return collected(train_tables(trusted, text_col))
 
 
@@ -268,23 +299,34 @@ def _is_held(text_col: str):
     return F.pmod(F.xxhash64(F.col(text_col), F.lit("held")), F.lit(HELD_OUT)) == 0
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Windows ``text`` of at most ``TRUSTED_TEXTS`` different texts labelled good and not held out.
+def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Every different ``text`` labelled good and not held out, whole and once, however many copies it has.
 
-    Copies come once; the texts with the least hashes are drawn, so the choice
-    hangs neither on partitions nor on copies.  All windows of a text take
-    part; if they hold over ``TRUSTED_BYTES`` together, windows are drawn by
-    hash from all places of all texts.
+    Ids and hashes choose one row a text; texts are then shuffled once, to the
+    chosen rows, and repeated rows are dropped where they meet.
     """
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    known = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0) & ~_is_held(text_col)).select(F.col(id_col).alias("_id"), _seat(text_col).alias("_h"))
-    drawn = known.join(good, "_id", "left_semi").groupBy("_h").agg(F.min("_id").alias("_id")).orderBy("_h").limit(TRUSTED_TEXTS)
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), _seat(text_col).alias("_h")).join(F.broadcast(drawn), ["_id", "_h"], "left_semi").dropDuplicates(["_h"])
-    windows = rows.select("_h", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / WINDOW_CHARS).cast("int")), lambda i: F.substr("_text", i * WINDOW_CHARS + 1, F.lit(WINDOW_CHARS)))).alias("_k", "text"))
-    windows = written(windows)
-    size = windows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return windows.where(F.pmod(F.xxhash64("_h", "_k"), F.lit(1 << 40)) / float(1 << 40) < min(1.0, TRUSTED_BYTES / max(size, 1))).select("text")
+    known = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0) & ~_is_held(text_col)).select(F.col(id_col).alias("_id"), _seat(text_col).alias("_h"), F.col(text_col).alias("text"))
+    drawn = known.select("_id", "_h").join(good, "_id", "left_semi").groupBy("_h").agg(F.min("_id").alias("_id"))
+    return known.join(drawn, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("text")
+
+
+#: The former name.
+trusted_sample = trusted_texts
+
+
+def _with_bits(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]], keep_text: bool) -> DataFrame:
+    """``score`` of the collected tables, or the same columns by ``score_sharded`` where the tables are too large for that.
+
+    The latter scores each different text once and joins the scores to the rows by the text's digest.
+    """
+    if is_small(tables):
+        return score(docs, collected(tables), keep_text=keep_text)
+    # Null texts go by their ids, so that they don't meet in one task.
+    rows = docs.withColumn("_key", F.coalesce(F.md5(F.col("text").cast("binary")), F.hex(F.xxhash64("doc_id"))))
+    bits = score_sharded(rows.where("text is not null").select("_key", "text").dropDuplicates(["_key"]), tables, "_key")
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    return rows.join(bits, "_key", "left").select(*kept, F.coalesce("_bytes", F.lit(0)).alias("_bytes"), "_bits")
 
 
 def _scored(docs: DataFrame, labels: DataFrame, keep_text: bool) -> DataFrame:
@@ -293,7 +335,7 @@ def _scored(docs: DataFrame, labels: DataFrame, keep_text: bool) -> DataFrame:
     Limits are joined by language: a table of up to ``MOST_LIMITS`` languages
     goes to the rows, a larger one is joined as Spark sees fit.
     """
-    scored = written(score(docs.withColumn("_held", _is_held("text")), train(trusted_sample(docs, labels)), keep_text=keep_text))
+    scored = written(_with_bits(docs.withColumn("_held", _is_held("text")), train_tables(trusted_texts(docs, labels)), keep_text))
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
     limit = (F.percentile_approx("_bits", QUANTILE, 10_000) + SLACK).alias("limit")
     rows = scored.where("_held and _bits is not null").join(good, "doc_id", "left_semi")
@@ -309,7 +351,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, lang, bits, perplexity, limit_bits, rejected``.
 
     Trusted are the documents labelled good; a share of their texts is held
-    out of training and sets the limits.  Documents of a language with few
+    out of training and sets the limits, all others are trained on.  Documents of a language with few
     held-out texts (or of none) are held to the limit of all held-out ones;
     without any nothing is rejected.  Null and empty texts have no bits and
     are rejected.  A score equal to the limit is kept.  Whole texts of any
