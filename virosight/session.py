@@ -10,13 +10,18 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Time zone for reproducible dates, adaptive re-planning with skew handling, and room for deep trees.
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 2 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Time zone for reproducible dates, adaptive re-planning with skew handling, room for deep trees, and Arrow batches of a bounded size.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.cteRecursionLevelLimit": "10000",
+    _BATCHES: str(BATCH_BYTES),
 }
 
 
@@ -24,6 +29,16 @@ def builder(app: str = "virosight") -> SparkSession.Builder:
     return SparkSession.builder.appName(app).config(map=SETTINGS)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in a session that was made elsewhere.
+
+    Without it a batch holds 10,000 rows whatever their texts, a whole
+    partition of documents as a rule, and both the JVM (beside its heap) and the
+    Python worker hold it at once.
+    """
+    spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
