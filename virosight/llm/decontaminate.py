@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from virosight.llm.text import ALNUM, encoded, slices
+from virosight.llm.worker import held, lean
 
 WINDOW = 10
 #: Words of benchmark items in one automaton, and bytes of text that meet it before the next one is built.
@@ -76,28 +77,22 @@ class WindowAutomaton:
         return [(a, b) for a, b in spans], items
 
 
-_built: dict[tuple[bytes, int], WindowAutomaton] = {}
-
-
 def _packed(items: list[tuple[str, bytes]]) -> bytes:
     return zlib.compress(json.dumps([(i, t.decode()) for i, t in items]).encode())
 
 
 def _automaton(packed: bytes, window: int) -> WindowAutomaton:
     """The automaton of these items; a worker keeps the last one it built."""
-    if (packed, window) not in _built:
-        _built.clear()
-        _built[packed, window] = WindowAutomaton([(i, t.encode()) for i, t in json.loads(zlib.decompress(packed))], window)
-    return _built[packed, window]
+    return held("windows", (packed, window), lambda: WindowAutomaton([(i, t.encode()) for i, t in json.loads(zlib.decompress(packed))], window))
 
 
-def _spooled(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[pa.RecordBatch]]:
-    """Lists of batches of about ``SPOOL_BYTES`` of text."""
+def _spooled(batches: Iterator[pa.RecordBatch], text_at: int, blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about ``SPOOL_BYTES`` of text; a single benchmark block takes no turns, so batches come one by one."""
     held, size = [], 0
     for batch in slices(batches):
         held.append(batch)
         size += pc.sum(pc.binary_length(batch.column(text_at))).as_py() or 0
-        if size >= SPOOL_BYTES:
+        if blocks == 1 or size >= SPOOL_BYTES:
             yield held
             held, size = [], 0
     if held:
@@ -129,8 +124,9 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 def _scanner(blocks: list, window: int, with_offsets: bool):
     """mapInArrow function: ``_id, n_words, spans, items``, and byte offsets if wanted."""
 
+    @lean("windows")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, held in enumerate(_spooled(batches, 1)):
+        for turn, held in enumerate(_spooled(batches, 1, len(blocks))):
             rows = [text for batch in held for text in encoded(batch.column(1))]
             spans: list[list[int]] = [[] for _ in rows]
             items: list[set[str]] = [set() for _ in rows]
@@ -233,8 +229,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     blocks, at = _shared_blocks(benchmark, "item_id", "text", block_words), docs.columns.index(text_col)
 
+    @lean("windows")
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, held in enumerate(_spooled(batches, at)):
+        for turn, held in enumerate(_spooled(batches, at, len(blocks))):
             clean = [np.ones(batch.num_rows, bool) for batch in held]
             for automaton in _in_turn(blocks, WINDOW, turn % 2 == 1):
                 for batch, flags in zip(held, clean, strict=True):

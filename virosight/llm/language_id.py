@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from virosight.llm.compression import compressor, drawn_windows, labelled_sample, plain, window_sizes
 from virosight.llm.text import crc_bucket
+from virosight.llm.worker import held, lean
 
 #: Labelled texts of a language, characters that a drawn text may have, and bytes of a dictionary: the bounds of the learned sample.
 PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 200_000, 100_000
@@ -38,18 +39,12 @@ def learn_languages(rows: DataFrame, lang_col: str = "lang", text_col: str = "te
     return {lang: b" ".join(drawn_windows(own, PIECE_BYTES, DICTIONARY_BYTES)) + b" " for lang, own in sorted(parts.items())}
 
 
-_held: dict[int, list] = {}
-
-
 def _compressors(model: dict[str, bytes]) -> Iterator[list]:
     """The model's compressors, ``HELD_LANGUAGES`` at a time; a worker keeps those of the last part it used."""
     contents = list(model.values())
     for k in range(0, len(contents), HELD_LANGUAGES):
-        key = hash((k, *contents[k : k + HELD_LANGUAGES]))
-        if key not in _held:
-            _held.clear()
-            _held[key] = [compressor(c, LEVEL) for c in contents[k : k + HELD_LANGUAGES]]
-        yield _held[key]
+        some = contents[k : k + HELD_LANGUAGES]
+        yield held("languages", hash((k, *some)), lambda some=some: [compressor(c, LEVEL) for c in some])
 
 
 def classify(texts: list[str | None], model: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -73,6 +68,7 @@ def classify(texts: list[str | None], model: dict[str, bytes]) -> tuple[list[str
 
 
 def _predictor(model, text_at: int, keep: bool):
+    @lean("languages")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from virosight.llm.setsketch import REGISTERS, band_hashes, estimate, sketch
 from virosight.llm.text import SPACED, blocks, discard, encoded, gram_hashes, scratch, shards, slices, word_hashes, written
+from virosight.llm.worker import lean
 
 SHINGLE, ROWS, THRESHOLD = 5, 4, 0.8
 #: Centres that a class is first compared with.
@@ -78,6 +79,7 @@ def _pack(text: bytes, squeeze) -> bytes:
     return squeeze.compress(b" ".join(text.translate(SPACED).split()))
 
 
+@lean()
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -121,6 +123,7 @@ def _likely(percent: int):
     """mapInArrow function over pairs with both sides' size and registers: the pairs ``a, b`` whose estimate is not far below the threshold."""
     cut = percent / 100 - MARGIN
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -135,6 +138,7 @@ def _likely(percent: int):
 def _verifier(percent: int):
     """mapInArrow function over pairs with both sides' body: the linked pairs ``a, b``."""
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -238,6 +242,7 @@ def _hidden_links(percent: int):
                     place[place == place[k]] = place[i]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None

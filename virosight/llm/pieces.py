@@ -19,12 +19,13 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from virosight.llm.worker import held, lean
+
 SPACE = "▁"
 #: Pieces of text, and token pairs, whose results a worker keeps.
 CACHE_LIMIT = 300_000
@@ -293,10 +294,9 @@ class PieceTable:
             return text.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=1)
 def piece_table(model: bytes) -> PieceTable:
     """One table a worker."""
-    return PieceTable(model)
+    return held("pieces", model, lambda: PieceTable(model))
 
 
 def _model_bytes(model: str | None) -> bytes:
@@ -315,6 +315,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     proto = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
     schema = f"_id {dict(docs.dtypes)[id_col]}, ids binary, decoded string"
 
+    @lean("pieces")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(proto.value)
         for batch in batches:
@@ -340,6 +341,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     proto = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
     schema = f"_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+    @lean("pieces")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(proto.value)
         for batch in batches:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from virosight.llm.text import blocks, encoded, packed_blocks, scratch, shards, slices, unpacked, written
+from virosight.llm.worker import lean, sent
 
 ORDER = 5
 #: Most runs of all orders together that are taken to the texts; larger tables stay sharded.
@@ -76,6 +77,7 @@ def _ranges(texts: list[bytes | None]) -> Iterator[np.ndarray]:
             yield _codes([first[at - ORDER + 1 : at + COUNTED_BYTES]])[0][ORDER - 1 :]
 
 
+@lean()
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs and their numbers, summed within the task as far as ``GATHERED_RUNS`` goes."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -92,9 +94,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(len(r) for r, _ in held) > GATHERED_RUNS:
                 held = [summed()]
                 if len(held[0][0]) > GATHERED_RUNS // 2:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), names=["run", "n"])
+                    yield from sent(list(held.pop()), ["run", "n"])
     if held:
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, summed())), names=["run", "n"])
+        yield from sent(list(summed()), ["run", "n"])
 
 
 class QualityModel(NamedTuple):
@@ -204,6 +206,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep_tex
     at = docs.columns.index(text_col)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = encoded(batch.column(at))
@@ -214,6 +217,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep_tex
     return docs.mapInArrow(run, StructType([*(docs.schema.fields[i] for i in kept), StructField("_bytes", LongType()), StructField("_bits", DoubleType())]))
 
 
+@lean()
 def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct runs of each block: ``block, run``."""
     for batch in batches:
@@ -221,9 +225,10 @@ def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             texts = unpacked(sizes, body)
             parts = [np.unique(_codes(texts[a:b])[0]) for a, b in blocks(texts)]
             runs = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), block)), pa.array(runs)], names=["block", "run"])
+            yield from sent([np.full(len(runs), block), runs], ["block", "run"])
 
 
+@lean()
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by block, its texts first and then its runs with their chances: ``_id, _bytes, _bits`` of the block's texts."""
 
