@@ -284,7 +284,7 @@ def place_scores(df: DataFrame, seq: str, key: str, scores: DataFrame, out: str
 
     Scores are gathered to one row for each block of places.  Texts are cut in
     pieces of a block and meet the block's scores in ``deals`` tasks, so the
-    first block, which all texts have, is no hot key.  Every key stays.
+    first block, which all texts have, is no hot key.  Every key stays, null too.
     """
     code, place = F.ascii("state"), (F.col("pos") - 1) % BLOCK
     rows = scores.select(F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("block"), (F.shiftleft(place.cast("long"), _BITS) + code).alias("at"), F.col("value").cast("double").alias("v"))
@@ -297,5 +297,5 @@ def place_scores(df: DataFrame, seq: str, key: str, scores: DataFrame, out: str
     nothing = [F.lit(None).cast(f"array<{t}>").alias(n) for n, t in (("at", "long"), ("v", "double"))]
     pieces = pieces.select("p.block", F.pmod(F.xxhash64(key), F.lit(deals)).cast("int").alias("deal"), "p.text", *nothing, F.col(key).alias("key"))
     dealt = table.unionByName(pieces).repartition("block", "deal").sortWithinPartitions("block", "deal", F.col("text").isNotNull())
-    sums = dealt.mapInArrow(_scorer, f"key {kind}, score double").groupBy(F.col("key").alias(key)).agg(F.sum("score").alias("_s"))
-    return df.select(key).distinct().join(sums, key, "left").select(key, F.coalesce("_s", F.lit(0.0)).alias(out))
+    none = df.select(F.col(key).alias("key"), F.lit(0.0).alias("score"))
+    return dealt.mapInArrow(_scorer, f"key {kind}, score double").unionByName(none).groupBy(F.col("key").alias(key)).agg(F.sum("score").alias(out))
