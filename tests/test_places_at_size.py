@@ -1,7 +1,10 @@
 """Queries over places of texts on odd tables, against their SQL and small bounds."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
+from virosight.operators import pileup
 from virosight.plans.catalogue import ORACLES, QUERIES
 
 
@@ -24,3 +27,33 @@ def test_tolerance_of_texts_without_characters(spark, tmp_path):
     path = written(docs, tmp_path, "documents")
     got = {r["doc_id"]: r["tolerance"] for r in QUERIES["tolerance_score"](spark, str(tmp_path)).collect()}
     assert got.keys() == {1, 4, None} and got == dict(sql_rows("tolerance_score", documents=path))
+
+
+def test_counts_of_a_block_are_added_up_as_they_come():
+    """However many tasks counted a block, the task that merges it holds its different keys and not all that were sent."""
+    keys, held = np.arange(20_000), []
+
+    def batches(fields):
+        for _ in range(300):
+            held.append(pa.total_allocated_bytes())
+            lists = [pa.array([x]) for x in (keys, np.ones(len(keys), np.int64))]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for _, v, t in fields), *lists], names=[*(n for n, _, _ in fields), "at", "n"])
+
+    group, block = ("g", "a", pa.string()), ("block", 0, pa.int32())
+    (out,) = list(pileup._distances(batches([group, block])))
+    assert out.to_pylist() == [{"g": "a", "s": 1.0 * len(np.unique(keys >> pileup._BITS)) * np.sum(np.full(len(keys), 1 / len(keys)) ** 2), "places": 1}]
+    (piles,) = list(pileup._merger(0)(batches([block])))
+    assert piles.to_pylist()[0]["total"] == 300 * len(keys)
+    # All parts at once are 96 MB.
+    assert max(held) - min(held) < 20e6
+
+
+def test_pieces_are_counted_in_small_calls(spark, monkeypatch):
+    """Pieces, calls and deals of any size give the same distances."""
+    rows = [(f"g{i % 3}" if i % 5 else None, "abcé𐍈"[i % 4 :] * (i % 9)) for i in range(60)] + [("g0", None)]
+    df = spark.createDataFrame(rows, "g string, seq string")
+    got = {tuple(r) for r in pileup.population_distance(df, "seq", "g").select("g", pileup.F.round("distance", 9)).collect()}
+    for name, value in (("PIECE", 4), ("PIECES_CALL", 10), ("DEALS", 3), ("WAITING", 2)):
+        monkeypatch.setattr(pileup, name, value)
+    assert {tuple(r) for r in pileup.population_distance(df, "seq", "g").select("g", pileup.F.round("distance", 9)).collect()} == got
+    assert {g for g, _ in got} == {"g0", "g1", "g2", None}

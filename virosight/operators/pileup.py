@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from virosight.session import saved
+from virosight.session import bounded_batches, saved
 
 #: Places of a block, characters counted in one call, and different (place, state) keys that a task holds.
 BLOCK, CALL, HELD = 4096, 1 << 22, 1 << 22
+#: Half the keys that wait to be added up where blocks meet, places of a piece of text, characters of pieces counted in one call, and deals of the first pieces.
+WAITING, PIECE, PIECES_CALL, DEALS = 1 << 15, 1024, 1 << 18, 8
 #: Bits of a state: a Unicode code point.
 _BITS = 21
 _CODE = (1 << _BITS) - 1
@@ -40,6 +42,26 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+class _Sums:
+    """Counts of sorted distinct keys that come in parts, added up whenever more have come than are held."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.held = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size > 2 * max(self.held, WAITING):
+            self.whole()
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.size = self.held = len(self.parts[0][0])
+        return self.parts[0]
+
+
 def _keys(texts: list[str], weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     codes, sizes = code_points(texts)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -100,8 +122,8 @@ def _counter(weighted: bool):
 def _merger(groups: int):
     """mapInArrow function over rows sorted by group and block: one row ``pos, states, counts, total`` a place."""
 
-    def places(group: tuple, fields: list[pa.Field], parts: list) -> pa.RecordBatch:
-        keys, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    def places(group: tuple, fields: list[pa.Field], sums: _Sums) -> pa.RecordBatch:
+        keys, counts = sums.whole()
         pos, code = keys >> _BITS, keys & _CODE
         first = np.flatnonzero(np.diff(pos, prepend=-1))
         known, which = np.unique(code, return_inverse=True)
@@ -114,18 +136,18 @@ def _merger(groups: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, fields = None, [], []
+        now, sums, fields = None, None, []
         for batch in batches:
             fields = list(batch.schema)[:groups]
             at, n = batch.column(groups + 1), batch.column(groups + 2)
             for i, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[: groups + 1]), strict=True)):
-                if parts and key != now:
-                    yield places(now[:-1], fields, parts)
-                    parts = []
-                now = key
-                parts.append((at[i].values.to_numpy(), n[i].values.to_numpy()))
-        if parts:
-            yield places(now[:-1], fields, parts)
+                if sums and key != now:
+                    yield places(now[:-1], fields, sums)
+                    sums = None
+                now, sums = key, sums or _Sums()
+                sums.add(at[i].values.to_numpy(), n[i].values.to_numpy())
+        if sums:
+            yield places(now[:-1], fields, sums)
 
     return run
 
@@ -182,8 +204,8 @@ def variable_sites(piles: DataFrame, threshold: float, by: list[str] | None = No
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows ``group, block, at, n`` sorted by block: each group's summed products with all groups, and the block's places (on one row)."""
 
-    def products(parts: dict, kind: pa.DataType) -> pa.RecordBatch:
-        own = {g: _summed(*(np.concatenate(x) for x in zip(*p, strict=True))) for g, p in parts.items()}
+    def products(parts: dict[object, _Sums], kind: pa.DataType) -> pa.RecordBatch:
+        own = {g: sums.whole() for g, sums in parts.items()}
         keys, counts = _summed(*(np.concatenate(x) for x in zip(*own.values(), strict=True)))
         share = lambda k, n: n / np.bincount(k >> _BITS, weights=n)[k >> _BITS]
         low = keys[0] >> _BITS << _BITS
@@ -201,19 +223,55 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield products(parts, kind)
                 parts = {}
             now = block
-            parts.setdefault(group, []).append((at[i].values.to_numpy(), n[i].values.to_numpy()))
+            parts.setdefault(group, _Sums()).add(at[i].values.to_numpy(), n[i].values.to_numpy())
     if parts:
         yield products(parts, kind)
 
 
+def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows ``group, block, text`` sorted by block and group: ``group, block, at, n``, the counts of a block's places (from 0) in one row."""
+
+    def counted(group: object, block: int, kind: pa.DataType) -> pa.RecordBatch:
+        sums.add(*_keys(texts, None))
+        keys, counts = sums.whole()
+        zero = np.zeros(1, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([block], pa.int32()), _lists(keys, zero), _lists(counts, zero)], names=["g", "block", "at", "n"])
+
+    now, kind, sums, texts, size = None, None, _Sums(), [], 0
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now and key != now:
+                yield counted(*now, kind)
+                sums, texts, size = _Sums(), [], 0
+            now = key
+            texts.append(text)
+            size += len(text)
+            if size > PIECES_CALL:
+                sums.add(*_keys(texts, None))
+                texts, size = [], 0
+    if now:
+        yield counted(*now, kind)
+
+
 def population_distance(df: DataFrame, seq: str, by: str) -> DataFrame:
     """``by, distance``: 1 less the mean over places of the summed products of a group's frequencies and those of all groups.
 
-    The sequences are counted once, by group; a block's counts of all groups
-    meet in one task, which holds them, so groups are populations and not rows.
+    Sequences are cut in pieces of ``PIECE`` places, which meet by block and
+    group and are counted there, so what is shuffled is the text once and then
+    one row of counts a block, group and deal; the first blocks, which all
+    sequences have, are dealt to several tasks.  A task holds the counts of one
+    block, those of all groups at the end, so groups are populations and not rows.
     """
-    partial = _partial(df, seq, [by], None)
-    sums = saved(partial.repartition("block").sortWithinPartitions("block").mapInArrow(_distances, StructType([StructField("g", partial.schema[by].dataType), StructField("s", DoubleType()), StructField("places", LongType())])))
+    bounded_batches(df.sparkSession)
+    starts = F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / PIECE).cast("int"))
+    cut = F.transform(starts, lambda b: F.struct(b.alias("block"), F.substring(F.col(seq), b * PIECE + 1, F.lit(PIECE)).alias("text")))
+    pieces = df.where(F.length(seq) > 0).select(F.col(by).alias("g"), F.monotonically_increasing_id().alias("id"), F.explode(cut).alias("p")).select("g", "id", "p.block", "p.text")
+    deal = F.pmod("id", F.greatest(F.floor(F.lit(DEALS) / (1 + F.col("block"))), F.lit(1)))
+    dealt = pieces.withColumn("deal", deal).repartition("block", "g", "deal").select("g", "block", "text").sortWithinPartitions("block", "g")
+    kind = StructField("g", pieces.schema["g"].dataType)
+    counts = dealt.mapInArrow(_piece_counts, StructType([kind, StructField("block", IntegerType()), StructField("at", ArrayType(LongType())), StructField("n", ArrayType(LongType()))]))
+    sums = saved(counts.repartition("block").sortWithinPartitions("block").mapInArrow(_distances, StructType([kind, StructField("s", DoubleType()), StructField("places", LongType())])))
     places = sums.agg(F.sum("places").alias("_places"))
     return sums.groupBy(F.col("g").alias(by)).agg(F.sum("s").alias("_s")).join(F.broadcast(places)).select(by, (1 - F.col("_s") / F.col("_places")).alias("distance"))
 
