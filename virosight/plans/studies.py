@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from virosight.functions import dates, numeric, sequences, strings
 from virosight.operators import ancestral, antigenic, curate, explore, frequency, prediction, seasons, series, sites, titer, trajectories, tree
 from virosight.plans.catalogue import _DAILY, _SAMPLES, _TITERS, _TREE, _YEARS, _daily, node_table, query, samples, table, titers
-from virosight.session import saved
+from virosight.session import few, saved
 from virosight.sources import readers
 
 # Trees
@@ -393,10 +393,16 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey
 def _tree_titers(spark, sf_dir):
     """Line items as titers of customers against their suppliers' nations, which are nodes of the tree."""
     t = lambda name: table(spark, sf_dir, name)
-    rows = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    # Line numbers repeat; a row id stands for one titer.
-    once = rows.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
-    return once.agg(F.min((1000 + F.col("o_custkey")).cast("int")).alias("test"), F.min((100 + F.col("s_nationkey")).cast("int")).alias("ref"), F.min("l_suppkey").alias("serum"))
+    places = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    known = few(places)
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(places if known is None else known, "l_suppkey")
+    rows = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Line numbers repeat; a row id stands for one titer.  Where they have one digit, it names the order and the line, and rows of an order are together already.
+    row_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    one_digit = t("lineitem").where("l_linenumber < 0 or l_linenumber > 9").isEmpty()
+    once = rows.groupBy("l_orderkey", "l_linenumber") if one_digit else rows.groupBy(row_id.alias("row_id"))
+    out = once.agg(F.min((1000 + F.col("o_custkey")).cast("int")).alias("test"), F.min((100 + F.col("s_nationkey")).cast("int")).alias("ref"), F.min("l_suppkey").alias("serum"))
+    return out.select(row_id.alias("row_id") if one_digit else "row_id", "test", "ref", "serum")
 
 
 @query(f"""WITH RECURSIVE {_TREE}, {_TREE_TITERS}, measured AS (SELECT test AS m FROM tt UNION SELECT ref FROM tt),

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 2 << 20
@@ -107,3 +108,13 @@ def dropped(df: DataFrame) -> None:
         path = name.rsplit("/", 1)[0]
         if path.endswith("/table"):
             _deleted(spark, path)
+
+
+#: Rows (or entries of arrays in them) that ``few`` lets go to every executor.
+FEW = 1 << 20
+
+
+def few(df: DataFrame, weight: Column | None = None) -> DataFrame | None:
+    """``df`` to be broadcast if it has at most ``FEW`` rows, or entries by ``weight``; else None.  The size is counted first."""
+    size = df.select((F.lit(1) if weight is None else weight).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if size <= FEW else None
